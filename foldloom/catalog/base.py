@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldloom.functions import sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -35,8 +37,7 @@ def digits(c: Column | str, n: int = 6) -> Column:
 
 
 def rounded(df: DataFrame, columns: Iterable[str], n: int = 6) -> DataFrame:
-    wanted = set(columns)
-    return df.select(*[digits(c, n).alias(c) if c in wanted else F.col(c) for c in df.columns])
+    return sql.replace_columns(df, df, columns, lambda c: f"round({sql.double(c)}, {n}) + 0D")
 
 
 def orders_nulls(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,8 +23,7 @@ select l_orderkey, l_partkey, l_suppkey, l_linenumber, round(m, 4) + 0.0 as row_
 from x""")
 def row_stats(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LINE)
-    made = derive.row_stats(LINE)
-    return rounded(derive.derive(df, made).drop(*LINE), made, 4)
+    return rounded(derive.with_row_stats(df, LINE).drop(*LINE), derive.ROW_STATS, 4)
 
 
 def _pairs_sql() -> str:
@@ -90,7 +89,8 @@ def _orders_customer(spark, sf):
         F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_nationkey", "c_mktsegment"
     )
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
-    return orders.join(customer, "o_custkey").drop("o_custkey")
+    # read by every fit below
+    return orders.join(customer, "o_custkey").drop("o_custkey").persist()
 
 
 def _manual_sql() -> str:

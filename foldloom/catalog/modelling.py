@@ -127,7 +127,7 @@ def knn_by_cells(spark, sf):
     """The same join through cells and blocks, the form used when points do not fit a task."""
     df = _vectors(spark, sf)
     out = knn.knn_join(
-        df, df, 5, label="label", fold="fold", local_values=0, pivots=16, block_points=200, group_queries=200
+        df, df, 5, label="label", fold="fold", local_values=0, pivots=8, block_points=250, group_queries=250
     )
     return rounded(out, ["distance"])
 
@@ -182,7 +182,9 @@ def _numeric_orders(spark, sf, k: int = 3):
     """Cleaned numeric frame of orders and customers with folds, for the model queries."""
     customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_nationkey", "c_mktsegment")
     df = table(spark, sf, "orders").drop("o_orderdate").join(customer, "o_custkey").drop("o_custkey")
-    cleaned = fe.clean_for_folds(df.withColumnRenamed("o_orderkey", "row_id"), "o_totalprice", ["row_id"])
+    # the join result is read by every fit below
+    joined = df.withColumnRenamed("o_orderkey", "row_id").persist()
+    cleaned = fe.clean_for_folds(joined, "o_totalprice", ["row_id"])
     names = [c for c in cleaned.columns if c not in ("row_id", "o_totalprice")]
     return folds.shuffled_kfold(cleaned, "row_id", k), names
 

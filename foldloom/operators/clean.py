@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.functions.numeric import finite, finite_or_zero, is_infinite
+from foldloom.functions import sql
 from foldloom.operators.columns import column_kinds, melt
 from foldloom.operators.orderstats import column_quantiles
 from foldloom.operators.state import settle, settle_row, with_state
@@ -20,20 +20,18 @@ def _settled(state: DataFrame, by: Sequence[str]) -> DataFrame:
 def fit_mean(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``<column>__fill`` = mean of the non-missing values."""
     agg = df.groupBy(*by).agg(
-        *[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"{c}__fill") for c in columns]
+        *[F.expr(f"avg({sql.not_nan(c)}) as {sql.name(c + '__fill')}") for c in columns]
     )
     return _settled(agg, by)
 
 
 def fit_median(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), finite_only: bool = False
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), rows: int | None = None
 ) -> DataFrame:
-    """``<column>__fill`` = exact interpolated median (of the finite values if asked)."""
-    if finite_only:
-        df = df.select(*by, *[finite(F.col(c)).alias(c) for c in columns])
-    q = column_quantiles(df, columns, [0.5], by)
+    """``<column>__fill`` = exact interpolated median."""
+    q = column_quantiles(df, columns, [0.5], by, rows=rows)
     return _settled(
-        q.select(*by, *[F.col(f"{c}__q")[0].alias(f"{c}__fill") for c in columns]), by
+        q.selectExpr(*by, *[f"{sql.name(c + '__q')}[0] as {sql.name(c + '__fill')}" for c in columns]), by
     )
 
 
@@ -53,7 +51,7 @@ def fit_mode(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value")
     )
     wide = best.groupBy(*by).agg(
-        *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"{c}__fill") for c in columns]
+        *[F.expr(f"max(case when column = '{c}' then value end) as {sql.name(c + '__fill')}") for c in columns]
     )
     return _settled(wide, by)
 
@@ -67,59 +65,50 @@ def fill(
 ) -> DataFrame:
     """Replace missing cells by the fitted value, then by ``default`` (all-missing column)."""
     types = dict(df.dtypes)
-    joined = with_state(df, state, by)
+    last = "" if default is None else f", '{default}'" if isinstance(default, str) else f", {default}"
 
-    def filled(c: str) -> Column:
-        x = F.col(c)
-        if types[c] in ("double", "float"):
-            x = F.when(~F.isnan(x), x)
-        choices = [x, F.col(f"{c}__fill")]
-        if default is not None:
-            choices.append(F.lit(default))
-        return F.coalesce(*choices).alias(c)
+    def filled(c: str) -> str:
+        x = sql.not_nan(c) if types[c] in ("double", "float") else sql.name(c)
+        return f"coalesce({x}, {sql.name(c + '__fill')}{last})"
 
-    return joined.select(*[filled(c) if c in columns else F.col(c) for c in df.columns])
+    return sql.replace_columns(df, with_state(df, state, by), columns, filled)
 
 
 def text_or_unknown(df: DataFrame, columns: Sequence[str], token: str = "unknown") -> DataFrame:
     """Categorical columns as strings with missing cells spelled out."""
-    return df.select(
-        *[
-            F.coalesce(F.col(c).cast("string"), F.lit(token)).alias(c) if c in columns else F.col(c)
-            for c in df.columns
-        ]
+    return sql.replace_columns(
+        df, df, columns, lambda c: f"coalesce(cast({sql.name(c)} as string), '{token}')"
     )
 
 
 def infinite_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[finite(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return sql.replace_columns(df, df, columns, sql.finite)
 
 
 def zero_infinite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NaN, NULL and both infinities become 0."""
-    return df.select(
-        *[finite_or_zero(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns]
-    )
+    return sql.replace_columns(df, df, columns, sql.finite_or_zero)
 
 
-def fit_clip(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def fit_clip(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), rows: int | None = None
+) -> DataFrame:
     """1st and 99th percentile of the finite values, ``<column>__q = [p1, p99]``."""
-    finite_part = df.select(*by, *[finite(F.col(c)).alias(c) for c in columns])
-    return _settled(column_quantiles(finite_part, columns, [0.01, 0.99], by), by)
+    finite_part = infinite_to_null(df.select(*by, *columns), columns)
+    return _settled(column_quantiles(finite_part, columns, [0.01, 0.99], by, rows=rows), by)
 
 
 def clip_infinite(
     df: DataFrame, state: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """+inf to the 99th, -inf to the 1st percentile; 0 where no finite value was seen."""
-    joined = with_state(df, state, by)
 
-    def clipped(c: str) -> Column:
-        x, q = F.col(c).cast("double"), F.col(f"{c}__q")
-        low, high = F.coalesce(q[0], F.lit(0.0)), F.coalesce(q[1], F.lit(0.0))
-        return F.when(is_infinite(x), F.when(x > 0, high).otherwise(low)).otherwise(x).alias(c)
+    def clipped(c: str) -> str:
+        x, q = sql.double(c), sql.name(c + "__q")
+        high = f"when {x} = {sql.INF} then coalesce({q}[1], 0D)"
+        return f"case {high} when {x} = -{sql.INF} then coalesce({q}[0], 0D) else {x} end"
 
-    return joined.select(*[clipped(c) if c in columns else F.col(c) for c in df.columns])
+    return sql.replace_columns(df, with_state(df, state, by), columns, clipped)
 
 
 def remaining_issues(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
@@ -130,19 +119,14 @@ def remaining_issues(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 
 def missing_cells(kinds) -> Column:
     """Sum of missing cells over all columns (one aggregate expression)."""
-    cells = [
-        (F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("long") for c in kinds.numeric
-    ] + [F.col(c).isNull().cast("long") for c in (*kinds.categorical, *kinds.other)]
-    return F.coalesce(F.sum(_total(cells)), F.lit(0).cast("long"))
+    cells = [f"int({sql.name(c)} is null or isnan({sql.double(c)}))" for c in kinds.numeric]
+    cells += [f"int({sql.name(c)} is null)" for c in (*kinds.categorical, *kinds.other)]
+    return _count_cells(cells)
 
 
 def infinite_cells(kinds) -> Column:
-    cells = [F.coalesce(is_infinite(F.col(c)), F.lit(False)).cast("long") for c in kinds.numeric]
-    return F.coalesce(F.sum(_total(cells)), F.lit(0).cast("long"))
+    return _count_cells([f"int(coalesce(abs({sql.double(c)}) = {sql.INF}, false))" for c in kinds.numeric])
 
 
-def _total(cells: list[Column]) -> Column:
-    total = F.lit(0).cast("long")
-    for cell in cells:
-        total = total + cell
-    return total
+def _count_cells(cells: list[str]) -> Column:
+    return F.expr(f"coalesce(sum(bigint({' + '.join(cells) or '0'})), 0L)")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldloom.functions import sql
+
 
 @dataclass(frozen=True)
 class ColumnKinds:
@@ -38,16 +40,11 @@ def column_kinds(df: DataFrame, exclude: Iterable[str] = ()) -> ColumnKinds:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """One notion of missing: NaN in any floating column becomes NULL."""
-    floats = {
-        f.name
-        for f in df.schema.fields
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-    }
-    return df.select(
-        *[
-            F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c)
-            for c in df.columns
-        ]
+    floats = [
+        f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+    ]
+    return sql.replace_columns(
+        df, df, floats, lambda c: f"case when not isnan({sql.name(c)}) then {sql.name(c)} end"
     )
 
 
@@ -57,10 +54,7 @@ def numeric_only(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def to_double(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    wanted = set(columns)
-    return df.select(
-        *[F.col(c).cast("double").alias(c) if c in wanted else F.col(c) for c in df.columns]
-    )
+    return sql.replace_columns(df, df, columns, sql.double)
 
 
 def constant_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -78,8 +72,9 @@ def drop_constant(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def align_to(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Force the training schema: missing columns become 0, extras go, order is fixed."""
     present = set(df.columns)
-    return df.select(
-        *keep, *[F.col(c) if c in present else F.lit(0.0).alias(c) for c in names]
+    return df.selectExpr(
+        *[sql.name(c) for c in keep],
+        *[sql.name(c) if c in present else f"0D as {sql.name(c)}" for c in names],
     )
 
 
@@ -89,10 +84,10 @@ def align_inputs(
     """Fitted input columns of a later frame; one it lacks is NULL and imputed like a missing cell."""
     present = set(df.columns)
 
-    def column(c: str, kind: str) -> Column:
-        return F.col(c) if c in present else F.lit(None).cast(kind).alias(c)
+    def column(c: str, kind: str) -> str:
+        return sql.name(c) if c in present else f"cast(null as {kind}) as {sql.name(c)}"
 
-    return df.select(
+    return df.selectExpr(
         *[column(c, "double") for c in keep],
         *[column(c, "double") for c in numeric],
         *[column(c, "string") for c in categorical],
@@ -126,7 +121,8 @@ def melt(
     value: str = "value",
 ) -> DataFrame:
     """Wide to long ``(keep..., column, value)``; one generator, no union of scans."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias(name), F.col(c).cast(cast).alias(value)) for c in columns]
+    cells = ", ".join(f"'{c}', cast({sql.name(c)} as {cast})" for c in columns)
+    return df.selectExpr(
+        *[sql.name(c) for c in keep],
+        f"stack({len(columns)}, {cells}) as ({sql.name(name)}, {sql.name(value)})",
     )
-    return df.select(*keep, F.inline(cells))

@@ -8,88 +8,93 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.functions.numeric import equal_width_bin, ratio
+from foldloom.functions import sql
+from foldloom.functions.numeric import equal_width_bin
 from foldloom.operators.orderstats import select_ranks
 from foldloom.operators.state import settle_row, with_state
 
 PAIR_COLUMNS = 5
 
 
-def row_stats(columns: Sequence[str]) -> dict[str, Column]:
-    """Mean, sample std, max, min and range over the non-missing cells of a row."""
-    cells = F.array(*[F.col(c).cast("double") for c in columns])
-    present = F.filter(cells, lambda x: x.isNotNull())
-    n = F.size(present)
-    total = F.aggregate(present, F.lit(0.0), lambda a, x: a + x)
-    mean = F.try_divide(total, n)
-    squares = F.aggregate(
-        F.transform(present, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x
+ROW_STATS = ("row_mean", "row_std", "row_max", "row_min", "row_range")
+
+
+def with_row_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Append mean, sample std, max, min and range over the non-missing cells of a row.
+
+    Three projections: each level is computed once and reused by the next.
+    """
+    cells = [sql.double(c) for c in columns]
+    total = " + ".join(f"coalesce({x}, 0D)" for x in cells)
+    seen = " + ".join(f"int({x} is not null)" for x in cells)
+    high, low = (f"{f}({', '.join(cells)})" for f in ("greatest", "least"))
+    first = df.selectExpr(
+        "*", f"({total}) as __total", f"({seen}) as __seen", f"{high} as row_max", f"{low} as row_min"
+    )
+    second = first.selectExpr("*", "try_divide(__total, __seen) as row_mean")
+    squares = " + ".join(f"coalesce(({x} - row_mean) * ({x} - row_mean), 0D)" for x in cells)
+    return second.selectExpr(
+        *[sql.name(c) for c in df.columns],
+        "row_mean",
+        f"coalesce(sqrt(try_divide({squares}, __seen - 1)), 0D) as row_std",
+        "row_max",
+        "row_min",
+        "row_max - row_min as row_range",
     )
-    high, low = F.array_max(present), F.array_min(present)
-    return {
-        "row_mean": mean,
-        "row_std": F.coalesce(F.sqrt(F.try_divide(squares, n - 1)), F.lit(0.0)),
-        "row_max": high,
-        "row_min": low,
-        "row_range": high - low,
-    }
 
 
-def row_median(columns: Sequence[str]) -> Column:
-    cells = F.array(*[F.col(c).cast("double") for c in columns])
-    ordered = F.sort_array(F.filter(cells, lambda x: x.isNotNull()))
-    n = F.size(ordered)
-    low = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    high = F.try_element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
-    return (low + high) / 2
+def row_median(columns: Sequence[str]) -> str:
+    cells = f"array_sort(array_compact(array({', '.join(sql.double(c) for c in columns)})))"
+    middle = f"int((size({cells}) + 1) div 2)"
+    upper = f"int(size({cells}) div 2) + 1"
+    return f"(try_element_at({cells}, {middle}) + try_element_at({cells}, {upper})) / 2"
 
 
 def pair_features(
     columns: Sequence[str], limit: int = PAIR_COLUMNS, minus: bool = False
-) -> dict[str, Column]:
+) -> dict[str, str]:
     """Sum, product and guarded quotient (optionally difference) of column pairs."""
-    out: dict[str, Column] = {}
+    out: dict[str, str] = {}
     for a, b in combinations(columns[:limit], 2):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        out[f"{a}_plus_{b}"] = x + y
-        out[f"{a}_mult_{b}"] = x * y
-        out[f"{a}_div_{b}"] = ratio(x, y + F.lit(1e-8))
+        x, y = sql.double(a), sql.double(b)
+        out[f"{a}_plus_{b}"] = f"{x} + {y}"
+        out[f"{a}_mult_{b}"] = f"{x} * {y}"
+        out[f"{a}_div_{b}"] = f"try_divide({x}, {y} + 1e-8D)"
         if minus:
-            out[f"{a}_minus_{b}"] = x - y
+            out[f"{a}_minus_{b}"] = f"{x} - {y}"
     return out
 
 
-def polynomial_features(columns: Sequence[str], limit: int = PAIR_COLUMNS) -> dict[str, Column]:
+def polynomial_features(columns: Sequence[str], limit: int = PAIR_COLUMNS) -> dict[str, str]:
     """Degree-2 terms of the first columns: squares and cross products."""
     chosen = list(columns[:limit])
     terms = [(c, c) for c in chosen] + list(combinations(chosen, 2))
-    return {f"{a}_poly_{b}": F.col(a).cast("double") * F.col(b).cast("double") for a, b in terms}
+    return {f"{a}_poly_{b}": f"{sql.double(a)} * {sql.double(b)}" for a, b in terms}
 
 
 def fit_minimum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return settle_row(df.agg(*[F.min(F.col(c).cast("double")).alias(c) for c in columns]))
+    return settle_row(df.agg(*[F.expr(f"min({sql.double(c)}) as {sql.name(c)}") for c in columns]))
 
 
-def unary_features(columns: Sequence[str], minimum: dict[str, float | None]) -> dict[str, Column]:
+def unary_features(columns: Sequence[str], minimum: dict[str, float | None]) -> dict[str, str]:
     """sqrt and log1p where the training minimum is not negative; square and abs always.
 
     Rows below 0 that only a later split has are taken at 0 for the gated pair.
     """
-    out: dict[str, Column] = {}
+    out: dict[str, str] = {}
     for c in columns:
-        x = F.col(c).cast("double")
-        low = minimum.get(c)
+        x, low = sql.double(c), minimum.get(c)
         if low is not None and low >= 0:
-            out[f"{c}_sqrt"] = F.sqrt(F.greatest(x, F.lit(0.0)))
-            out[f"{c}_log"] = F.log1p(F.greatest(x, F.lit(0.0)))
-        out[f"{c}_squared"] = x * x
-        out[f"{c}_abs"] = F.abs(x)
+            out[f"{c}_sqrt"] = f"sqrt(greatest({x}, 0D))"
+            out[f"{c}_log"] = f"log1p(greatest({x}, 0D))"
+        out[f"{c}_squared"] = f"{x} * {x}"
+        out[f"{c}_abs"] = f"abs({x})"
     return out
 
 
-def derive(df: DataFrame, features: dict[str, Column]) -> DataFrame:
-    """All features in one projection (one codegen stage, columns not asked for are pruned)."""
-    return df.select("*", *[e.alias(name) for name, e in features.items()])
+def derive(df: DataFrame, features: dict[str, str]) -> DataFrame:
+    """All features in one projection; columns not asked for later are pruned."""
+    return df.selectExpr("*", *[f"{e} as {sql.name(n)}" for n, e in features.items()])
 
 
 def equal_width_bins(df: DataFrame, column: str, name: str, bins: int = 5) -> DataFrame:

@@ -15,15 +15,16 @@ from foldloom.session import checkpointed
 
 @dataclass(frozen=True)
 class CategoryMap:
-    """``(column, key, n, rows, mean, overall, code)``, one row per known category.
+    """``(column, key, n, mean, code)``, one row per known category.
 
-    ``n`` training rows hold the category out of ``rows``; ``mean`` is their mean
-    target and ``overall`` the mean target of all rows; ``code`` is the 0-based
-    position of the category in string order.
+    ``n`` training rows hold the category and ``mean`` is their mean target;
+    ``code`` is the 0-based position of the category in string order.  ``totals``
+    keeps per column the rows, the overall mean target and the most frequent code.
     """
 
     state: Settled
     columns: tuple[str, ...]
+    totals: dict[str, tuple[int, float | None, int | None]]
 
     def of(self, column: str) -> Settled:
         rows = self.state.table.filter(F.col("column") == column).drop("column")
@@ -80,29 +81,32 @@ def fit_categories(
     y = F.col(target).cast("double") if target else F.lit(None).cast("double")
     long = melt(df.withColumn("__y", y), columns, ["__y"], cast="string", value="key")
     counted = long.filter(F.col("key").isNotNull()).groupBy("column", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("__y").alias("mean")
+        F.count(F.lit(1)).alias("n"), F.avg("__y").alias("mean"), F.count("__y").alias("labelled")
     )
     if also is not None:
         extra = melt(also, columns, cast="string", value="key").filter(F.col("key").isNotNull())
+        zero = F.lit(0).cast("long")
         counted = (
             counted.unionByName(
                 extra.distinct().select(
-                    "column", "key", F.lit(0).cast("long").alias("n"),
-                    F.lit(None).cast("double").alias("mean"),
+                    "column", "key", zero.alias("n"), F.lit(None).cast("double").alias("mean"), zero.alias("labelled")
                 )
             )
             .groupBy("column", "key")
-            .agg(F.sum("n").alias("n"), F.max("mean").alias("mean"))
+            .agg(F.sum("n").alias("n"), F.max("mean").alias("mean"), F.sum("labelled").alias("labelled"))
         )
-    coded = order_codes(counted, "column", "key", limit)
-    totals = df.agg(F.count(F.lit(1)).alias("rows"), F.avg(y).alias("overall")).first()
-    state = coded.withColumns(
-        {
-            "rows": F.lit(totals["rows"]).cast("long"),
-            "overall": F.lit(totals["overall"]).cast("double"),
-        }
+    state = settle(order_codes(counted, "column", "key", limit), limit)
+    return CategoryMap(state, tuple(columns), category_totals(state.table))
+
+
+def category_totals(table: DataFrame) -> dict[str, tuple[int, float | None, int | None]]:
+    """Rows, overall mean target and most frequent code per column, from the category table alone."""
+    rows = table.groupBy("column").agg(
+        F.sum("n").alias("rows"),
+        F.try_divide(F.sum(F.col("mean") * F.col("labelled")), F.sum("labelled")).alias("overall"),
+        F.min_by("code", F.struct(-F.col("n"), F.col("key"))).alias("mode"),
     )
-    return CategoryMap(settle(state, limit), tuple(columns))
+    return {r["column"]: (r["rows"], r["overall"], r["mode"]) for r in rows.collect()}
 
 
 def _joined(df: DataFrame, column: str, categories: CategoryMap) -> DataFrame:
@@ -131,20 +135,15 @@ def encode(
     training category (``mode``) or NULL (``null``); their target mean is the
     overall mean, their frequency and count are 0.
     """
-    totals = categories.state.table.filter(F.col("column") == column)
-    best = totals.agg(
-        F.min_by("code", F.struct(-F.col("n"), F.col("key"))).alias("code"),
-        F.max("rows").alias("rows"),
-        F.max("overall").alias("overall"),
-    ).first()
+    rows, overall, mode = categories.totals.get(column, (0, None, None))
     joined = _joined(df, column, categories)
-    fallback = {"first": F.lit(0), "mode": F.lit(best["code"]), "null": F.lit(None)}[unseen]
+    fallback = {"first": F.lit(0), "mode": F.lit(mode), "null": F.lit(None)}[unseen]
     n = F.coalesce(F.col(f"{column}__n"), F.lit(0).cast("long"))
     added: dict[str, Column] = {}
     if target_mean:
-        added[target_mean] = F.coalesce(F.col(f"{column}__mean"), F.lit(best["overall"]))
+        added[target_mean] = F.coalesce(F.col(f"{column}__mean"), F.lit(overall).cast("double"))
     if frequency:
-        added[frequency] = n / F.lit(float(best["rows"] or 1))
+        added[frequency] = n / F.lit(float(rows or 1))
     if count:
         added[count] = n
     if label:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldloom.functions import sql
 from foldloom.operators.columns import melt
 
 BUCKETS = 4096
@@ -193,6 +194,37 @@ def _narrow(df, by, key, intervals) -> list[dict]:
     return result
 
 
+def _read_whole(df, order, ranks, by, small):
+    """All groups at once when the largest is small; None otherwise."""
+    counts = df.filter(F.col(order[0]).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    # no more than ``small`` groups of no more than ``small`` rows come back
+    sizes_rows = counts.limit(small + 1).collect()
+    sizes = {tuple(r[c] for c in by): r["__n"] for r in sizes_rows}
+    if len(sizes) > small or any(n > small for n in sizes.values()):
+        return None
+    wanted = ranks if isinstance(ranks, dict) else {g: ranks(n) for g, n in sizes.items()}
+    keys: dict[tuple, dict[int, tuple]] = {g: {} for g, n in sizes.items() if n and g in wanted}
+    asked = [(*g, int(r)) for g in keys for r in sorted(set(wanted[g]))]
+    if asked:
+        fields = [df.schema[c] for c in by]
+        table = df.sparkSession.createDataFrame(
+            asked, T.StructType([*fields, T.StructField("__rank", T.IntegerType())])
+        )
+        lists = (
+            df.filter(F.col(order[0]).isNotNull())
+            .groupBy(*by)
+            .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("__v"))
+        )
+        if by:
+            # a handful of ranks per group
+            joined = lists.join(F.broadcast(table), by)
+        else:
+            joined = lists.select("__v", F.explode(F.array(*[F.lit(a[0]) for a in asked])).alias("__rank"))
+        for row in joined.select(*by, "__rank", F.element_at("__v", F.col("__rank")).alias("__k")).collect():
+            keys[tuple(row[c] for c in by)][row["__rank"]] = tuple(row["__k"])
+    return sizes, keys
+
+
 def select_ranks(
     df: DataFrame,
     order: Sequence[str],
@@ -210,6 +242,9 @@ def select_ranks(
     """
     by = list(by)
     named = ranks if isinstance(ranks, dict) else None
+    whole = _read_whole(df, order, ranks, by, small)
+    if whole is not None:
+        return whole
     sizes, first = _select_key(df, by, order[0], named, None if named else ranks, small)
     keys = {g: {r: (v,) for r, (v, _) in m.items()} for g, m in first.items()}
     rest = {g: {r: r - below for r, (_, below) in m.items()} for g, m in first.items()}
@@ -301,29 +336,36 @@ def column_quantiles(
     cells: int = SMALL_CELLS,
     hot_rows: int = HOT_GROUP_ROWS,
     small: int = SMALL_INTERVAL,
+    rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles of many columns: one row per group, ``<column>__q array<double>``.
 
     A frame whose largest group has at most ``cells`` cells is one aggregate.
     Otherwise the columns are melted and every (group, column) becomes a group
-    of :func:`grouped_quantiles`.
+    of :func:`grouped_quantiles`.  ``rows`` is the size of the largest group when
+    the caller has counted already.
     """
     by = list(by)
-    if by:
+    if rows is not None:
+        largest = rows
+    elif by:
         largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     else:
         largest = df.count()
-    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    clean = df.selectExpr(
+        *[sql.name(c) for c in by], *[f"{sql.not_nan(c)} as {sql.name(c)}" for c in columns]
+    )
     if largest * max(len(columns), 1) <= cells:
         wanted = ", ".join(repr(float(p)) for p in probs)
-        return (
-            df.select(*by, *[v.alias(c) for c, v in clean.items()])
-            .groupBy(*by)
-            .agg(*[F.expr(f"percentile(`{c}`, array({wanted}))").alias(f"{c}__q") for c in columns])
+        return clean.groupBy(*by).agg(
+            *[
+                F.expr(f"percentile({sql.name(c)}, array({wanted})) as {sql.name(c + '__q')}")
+                for c in columns
+            ]
         )
-    long = melt(df.select(*by, *[v.alias(c) for c, v in clean.items()]), columns, by)
+    long = melt(clean, columns, by)
     q = grouped_quantiles(long, [*by, "column"], "value", probs, hot_rows, small)
     # pivot back: at most one row per (group, column)
     return q.groupBy(*by).agg(
-        *[F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"{c}__q") for c in columns]
+        *[F.expr(f"max(case when column = '{c}' then q end) as {sql.name(c + '__q')}") for c in columns]
     )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.functions.numeric import half_even, or_one
+from foldloom.functions import sql
 from foldloom.operators.orderstats import column_quantiles
 from foldloom.operators.state import settle, settle_row, with_state
 
@@ -16,47 +16,41 @@ def _settled(state: DataFrame, by: Sequence[str]) -> DataFrame:
     return settle(state).table if by else settle_row(state)
 
 
-def _replace(df: DataFrame, joined: DataFrame, columns: Sequence[str], expression) -> DataFrame:
-    wanted = set(columns)
-    return joined.select(
-        *[expression(c).alias(c) if c in wanted else F.col(c) for c in df.columns]
-    )
-
-
 def fit_standard(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Mean and population standard deviation."""
-    stats = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        stats += [F.avg(x).alias(f"{c}__mean"), F.stddev_pop(x).alias(f"{c}__std")]
+    stats = [
+        F.expr(f"{f}({sql.double(c)}) as {sql.name(c + suffix)}")
+        for c in columns
+        for f, suffix in (("avg", "__mean"), ("stddev_pop", "__std"))
+    ]
     return _settled(df.groupBy(*by).agg(*stats), by)
 
 
-def _z(c: str) -> Column:
-    return (F.col(c).cast("double") - F.col(f"{c}__mean")) / or_one(F.col(f"{c}__std"))
+def _z(c: str) -> str:
+    return f"(({sql.double(c)} - {sql.name(c + '__mean')}) / {sql.or_one(sql.name(c + '__std'))})"
 
 
 def standard_scale(
     df: DataFrame, state: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """z-score; a constant column is only centred."""
-    return _replace(df, with_state(df, state, by), columns, _z)
+    return sql.replace_columns(df, with_state(df, state, by), columns, _z)
 
 
 def inverse_standard(
     df: DataFrame, state: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    return _replace(
-        df,
-        with_state(df, state, by),
-        columns,
-        lambda c: F.col(c) * or_one(F.col(f"{c}__std")) + F.col(f"{c}__mean"),
-    )
+    def original(c: str) -> str:
+        return f"{sql.name(c)} * {sql.or_one(sql.name(c + '__std'))} + {sql.name(c + '__mean')}"
 
+    return sql.replace_columns(df, with_state(df, state, by), columns, original)
 
-def fit_robust(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+
+def fit_robust(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), rows: int | None = None
+) -> DataFrame:
     """Exact quartiles, ``<column>__q = [q1, median, q3]``."""
-    return _settled(column_quantiles(df, columns, [0.25, 0.5, 0.75], by), by)
+    return _settled(column_quantiles(df, columns, [0.25, 0.5, 0.75], by, rows=rows), by)
 
 
 def robust_scale(
@@ -64,22 +58,21 @@ def robust_scale(
 ) -> DataFrame:
     """(x - median) / IQR; an IQR of 0 divides by 1."""
 
-    def scaled(c: str) -> Column:
-        q = F.col(f"{c}__q")
-        return (F.col(c).cast("double") - q[1]) / or_one(q[2] - q[0])
+    def scaled(c: str) -> str:
+        q = sql.name(c + "__q")
+        return f"({sql.double(c)} - {q}[1]) / {sql.or_one(f'({q}[2] - {q}[0])')}"
 
-    return _replace(df, with_state(df, state, by), columns, scaled)
+    return sql.replace_columns(df, with_state(df, state, by), columns, scaled)
 
 
 def fit_log_normal(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Moments of the column and of ``log1p(abs(z))``: two aggregates."""
     first = fit_standard(df, columns, by)
-    second = fit_standard(
-        _replace(df, with_state(df, first, by), columns, lambda c: F.log1p(F.abs(_z(c)))), columns, by
-    )
-    renamed = second.select(
+    logs = sql.replace_columns(df, with_state(df, first, by), columns, lambda c: f"log1p(abs({_z(c)}))")
+    second = fit_standard(logs, columns, by)
+    renamed = second.selectExpr(
         *by,
-        *[F.col(f"{c}__{s}").alias(f"{c}__log_{s}") for c in columns for s in ("mean", "std")],
+        *[f"{sql.name(f'{c}__{s}')} as {sql.name(f'{c}__log_{s}')}" for c in columns for s in ("mean", "std")],
     )
     return _settled(first.join(renamed, list(by)) if by else _beside(first, renamed), by)
 
@@ -94,9 +87,8 @@ def log_normalise(
 ) -> DataFrame:
     """z-score, ``log1p(abs(z))``, z-score again, rounded half to even."""
 
-    def scaled(c: str) -> Column:
-        log = F.log1p(F.abs(_z(c)))
-        again = (log - F.col(f"{c}__log_mean")) / or_one(F.col(f"{c}__log_std"))
-        return half_even(again, digits)
+    def scaled(c: str) -> str:
+        mean, std = sql.name(c + "__log_mean"), sql.name(c + "__log_std")
+        return f"bround((log1p(abs({_z(c)})) - {mean}) / {sql.or_one(std)}, {digits})"
 
-    return _replace(df, with_state(df, state, by), columns, scaled)
+    return sql.replace_columns(df, with_state(df, state, by), columns, scaled)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldloom.functions import sql
 from foldloom.session import checkpointed
 
 LOCAL_STATE_ROWS = 50_000
@@ -49,8 +50,9 @@ def with_state(df: DataFrame, state: DataFrame, by: Sequence[str] = ()) -> DataF
     if by:
         return df.join(state, list(by), "left")
     row = state.first()
-    fields = {f.name: f.dataType for f in state.schema.fields}
-    return df.withColumns({k: F.lit(row[k]).cast(t) for k, t in fields.items()})
+    return df.selectExpr(
+        "*", *[f"{sql.literal(row[f.name], f.dataType)} as {sql.name(f.name)}" for f in state.schema.fields]
+    )
 
 
 def lookup(

@@ -8,12 +8,12 @@ streaming frame).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.functions.numeric import finite_or_zero
+from foldloom.functions import sql
 from foldloom.operators import clean, columns, derive, encode, scale
 from foldloom.operators.encode import CategoryMap
 from foldloom.operators.linear import fold_moments, solve_lasso
@@ -43,7 +43,7 @@ class ManualFeatures:
         out = clean.text_or_unknown(out, categorical)
         added: dict = {}
         if len(numeric) >= 2:
-            added.update(derive.row_stats(numeric))
+            out = derive.with_row_stats(out, numeric)
             added.update(derive.pair_features(numeric))
         added.update(derive.unary_features(numeric, self.minimum))
         out = derive.derive(out, added)
@@ -51,10 +51,8 @@ class ManualFeatures:
             out = encode.encode(
                 out, self.categories, c, label=c, target_mean=f"{c}_target_mean", frequency=f"{c}_freq"
             )
-        return out.select(
-            *self.keep,
-            *[finite_or_zero(F.col(c)).alias(c) for c in feature_names(numeric, categorical, self.minimum)],
-        )
+        names = feature_names(numeric, categorical, self.minimum)
+        return clean.zero_infinite(out.select(*self.keep, *names), names)
 
     def transform(self, df: DataFrame) -> DataFrame:
         scaled = scale.robust_scale(self._engineer(df), self.quartiles, list(self.names))
@@ -86,7 +84,7 @@ def feature_names(numeric: Sequence[str], categorical: Sequence[str], minimum: d
     """Engineered columns in order; the width follows from the column kinds alone."""
     names = [*numeric, *categorical]
     if len(numeric) >= 2:
-        names += ["row_mean", "row_std", "row_max", "row_min", "row_range"]
+        names += list(derive.ROW_STATS)
         names += list(derive.pair_features(numeric))
     names += list(derive.unary_features(numeric, minimum))
     for c in categorical:
@@ -95,15 +93,22 @@ def feature_names(numeric: Sequence[str], categorical: Sequence[str], minimum: d
 
 
 def fit_manual_features(train: DataFrame, target: str, keep: Sequence[str] = ()) -> ManualFeatures:
-    """Four aggregates: medians, minima, category statistics, quartiles of the result."""
+    """Four aggregates: minima, medians, category statistics, quartiles of the result.
+
+    ``train`` is scanned by each of them; persist it when it is the result of work.
+    """
     keep = tuple(dict.fromkeys([*keep, target]))
     kinds = columns.column_kinds(train, keep)
     numeric, categorical = list(kinds.numeric), list(kinds.categorical)
     train = columns.nan_to_null(train)
-    median = clean.fit_median(train, numeric) if numeric else _no_state(train)
-    minimum = derive.fit_minimum(train, numeric).first().asDict() if numeric else {}
+    first = train.agg(
+        F.count(F.lit(1)).alias("__rows"),
+        *[F.expr(f"min({sql.double(c)}) as {sql.name(c)}") for c in numeric],
+    ).first()
+    rows = first["__rows"]
     # an all-missing column is filled with 0, whose square root exists
-    minimum = {c: 0.0 if v is None else v for c, v in minimum.items()}
+    minimum = {c: 0.0 if first[c] is None else first[c] for c in numeric}
+    median = clean.fit_median(train, numeric, rows=rows) if numeric else _no_state(train)
     categories = None
     if categorical:
         categories = encode.fit_categories(clean.text_or_unknown(train, categorical), categorical, target)
@@ -111,10 +116,8 @@ def fit_manual_features(train: DataFrame, target: str, keep: Sequence[str] = ())
     draft = ManualFeatures(
         tuple(numeric), tuple(categorical), tuple(names), keep, minimum, median, categories, median
     )
-    quartiles = scale.fit_robust(draft._engineer(train), names)
-    return ManualFeatures(
-        draft.numeric, draft.categorical, draft.names, keep, minimum, median, categories, quartiles
-    )
+    quartiles = scale.fit_robust(draft._engineer(train), names, rows=rows)
+    return replace(draft, quartiles=quartiles)
 
 
 def _no_state(df: DataFrame) -> DataFrame:
@@ -145,7 +148,10 @@ class CleanFeatures:
     def transform(self, df: DataFrame) -> DataFrame:
         out = self._encoded(df).select(*self.keep, *self.selected)
         out = scale.log_normalise(out, self.moments, list(self.selected))
-        return clean.clip_infinite(out, self.limits, list(self.selected))
+        names = list(self.selected)
+        if self.limits is None:
+            return clean.zero_infinite(out, names)
+        return clean.clip_infinite(out, self.limits, names)
 
 
 def fit_clean_features(
@@ -171,25 +177,28 @@ def fit_clean_features(
     selected = [c for c in both if c not in dropped]
     slim = filled.select(*keep, *selected)
     moments = scale.fit_log_normal(slim, selected)
-    limits = clean.fit_clip(scale.log_normalise(slim, moments, selected), selected)
-    return CleanFeatures(
-        draft.numeric, draft.categorical, tuple(selected), keep, categories, means, moments, limits
-    )
+    scaled = scale.log_normalise(slim, moments, selected)
+    # the scaled columns are finite unless the input was not: only then percentiles are needed
+    rows, bad = scaled.agg(
+        F.count(F.lit(1)), clean.infinite_cells(columns.column_kinds(scaled, keep))
+    ).first()
+    limits = clean.fit_clip(scaled, selected, rows=rows) if bad else None
+    return replace(draft, selected=tuple(selected), moments=moments, limits=limits)
 
 
 def auto_candidates(names: Sequence[str], minimum: dict) -> dict:
     """One unary step: log where positive, sqrt where not negative, abs where negatives occur."""
     out = {}
     for c in names:
-        x, low = F.col(c).cast("double"), minimum.get(c)
+        x, low = sql.double(c), minimum.get(c)
         if low is None:
             continue
         if low > 0:
-            out[f"log({c})"] = F.ln(F.greatest(x, F.lit(low)))
+            out[f"log({c})"] = f"ln(greatest({x}, {low!r}D))"
         if low >= 0:
-            out[f"sqrt({c})"] = F.sqrt(F.greatest(x, F.lit(0.0)))
+            out[f"sqrt({c})"] = f"sqrt(greatest({x}, 0D))"
         else:
-            out[f"abs({c})"] = F.abs(x)
+            out[f"abs({c})"] = f"abs({x})"
     return out
 
 
@@ -222,7 +231,9 @@ class AutoFeatures:
     def transform(self, df: DataFrame) -> DataFrame:
         made = {n: e for n, e in auto_candidates(self.names, self.minimum).items() if n in self.selected}
         out = derive.derive(df, made)
-        return out.select(*self.keep, *[finite_or_zero(F.col(f"`{c}`")).alias(c) for c in self.selected])
+        return out.selectExpr(
+            *self.keep, *[f"{sql.finite_or_zero(c)} as {sql.name(c)}" for c in self.selected]
+        )
 
 
 def fit_auto_features(
@@ -234,10 +245,10 @@ def fit_auto_features(
     minimum = derive.fit_minimum(train, numeric).first().asDict()
     made = auto_candidates(numeric, minimum)
     safe = {n: f"f{i}" for i, n in enumerate([*numeric, *made])}
-    wide = train.select(
-        F.col(target).cast("double").alias(target),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(safe[c]) for c in numeric],
-        *[finite_or_zero(e).alias(safe[n]) for n, e in made.items()],
+    made_frame = derive.derive(train, made)
+    wide = made_frame.selectExpr(
+        f"{sql.double(target)} as {sql.name(target)}",
+        *[f"{sql.finite_or_zero(n)} as {s}" for n, s in safe.items()],
     )
     back = {v: k for k, v in safe.items()}
     constant = set(columns.constant_columns(wide, list(back)))
@@ -249,18 +260,22 @@ def clean_for_folds(df: DataFrame, target: str, keep: Sequence[str] = ()) -> Dat
     """Median/mode impute, label encode, numeric only, infinities to the median, target too."""
     kinds = columns.column_kinds(df, [*keep, target])
     numeric, categorical = list(kinds.numeric), list(kinds.categorical)
-    out = columns.nan_to_null(columns.to_double(df, [*numeric, target]))
-    for part in (numeric, [target]):
-        out = clean.fill(out, clean.fit_median(out, part), part) if part else out
+    both = [*numeric, target]
+    out = columns.nan_to_null(columns.to_double(df, both))
+    rows, infinite = out.agg(
+        F.count(F.lit(1)), clean.infinite_cells(columns.ColumnKinds(tuple(both), (), ()))
+    ).first()
+    out = clean.fill(out, clean.fit_median(out, both, rows=rows), both)
     if categorical:
         out = clean.fill(out, clean.fit_mode(out, categorical), categorical, default="unknown")
         codes = encode.fit_categories(out, categorical)
         for c in categorical:
             out = encode.encode(out, codes, c, label=c)
     out = columns.numeric_only(out.select(*df.columns), keep)
-    both = [*numeric, target]
+    if not infinite:
+        return out
     finite_part = clean.infinite_to_null(out, both)
-    return clean.fill(finite_part, clean.fit_median(finite_part, both), both)
+    return clean.fill(finite_part, clean.fit_median(finite_part, both, rows=rows), both)
 
 
 def clean_for_search(

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldloom.operators.encode import CategoryMap
+from foldloom.operators.encode import CategoryMap, category_totals
 from foldloom.operators.state import settle
 
 
@@ -25,4 +25,5 @@ def load_state(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], di
 
 
 def load_categories(table: DataFrame, columns: list[str]) -> CategoryMap:
-    return CategoryMap(settle(table), tuple(columns))
+    state = settle(table)
+    return CategoryMap(state, tuple(columns), category_totals(state.table))
