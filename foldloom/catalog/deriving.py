@@ -215,11 +215,15 @@ def trial_candidates(spark, sf):
     return drawn.select("trial", "algorithm", "hp", F.round("number", 9).alias("number"), "choice")
 
 
+def _unit_sql(key: str, salt: int) -> str:
+    x = f"(({key}::bigint % 2147483647 + {salt * 7919 + 1}) % 2147483647)"
+    x = f"(({x} * {x} + {x} * 48271) % 2147483647)"
+    x = f"(({x} * {x} + {x} * 16807 + {salt}) % 2147483647)"
+    return f"({x} + 0.5::double) / 2147483647.0::double"
+
+
 def _normal_sql(key: str, salt: int) -> str:
-    u1 = f"((({key} % 10007) * 7919 + {2 * salt + 1} * 104729) % 10007) / 10007.0::double + 0.5::double / 10007"
-    shifted = f"(({key} * 31 + 17) % 9973)"
-    u2 = f"((({shifted} % 9973) * 7919 + {2 * salt + 2} * 104729) % 9973) / 9973.0::double"
-    return f"sqrt(-2.0 * ln({u1})) * cos(2 * pi() * ({u2}))"
+    return f"sqrt(-2.0::double * ln({_unit_sql(key, 2 * salt + 1)})) * cos(2 * pi() * ({_unit_sql(key, 2 * salt + 2)}))"
 
 
 def _synthetic_sql() -> str:

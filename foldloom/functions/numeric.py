@@ -56,8 +56,22 @@ def unit(key: Column, salt: Column | int = 0, modulus: int = 10007) -> Column:
     return F.pmod(mixed, F.lit(modulus)) / F.lit(float(modulus))
 
 
+MERSENNE = 2147483647
+
+
+def mixed_unit(key: Column, salt: int) -> Column:
+    """Well-mixed deterministic uniform in (0, 1): two quadratic rounds modulo 2^31 - 1.
+
+    Products stay below 2^63, so the result is the same in any engine.
+    """
+    m = F.lit(MERSENNE)
+    x = F.pmod(F.pmod(key.cast("long"), m) + F.lit(salt * 7919 + 1), m)
+    x = (x * x + x * F.lit(48271)) % m
+    x = (x * x + x * F.lit(16807) + F.lit(salt)) % m
+    return (x + F.lit(0.5)) / F.lit(float(MERSENNE))
+
+
 def normal(key: Column, salt: int) -> Column:
     """Standard normal by Box-Muller from two deterministic uniforms."""
-    u1 = unit(key, 2 * salt + 1) + F.lit(0.5 / 10007)
-    u2 = unit(F.pmod(key * 31 + F.lit(17), F.lit(9973)), 2 * salt + 2, 9973)
-    return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+    radius = F.sqrt(F.lit(-2.0) * F.ln(mixed_unit(key, 2 * salt + 1)))
+    return radius * F.cos(F.lit(2.0 * math.pi) * mixed_unit(key, 2 * salt + 2))

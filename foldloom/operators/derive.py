@@ -45,9 +45,9 @@ def with_row_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def row_median(columns: Sequence[str]) -> str:
     cells = f"array_sort(array_compact(array({', '.join(sql.double(c) for c in columns)})))"
-    middle = f"int((size({cells}) + 1) div 2)"
-    upper = f"int(size({cells}) div 2) + 1"
-    return f"(try_element_at({cells}, {middle}) + try_element_at({cells}, {upper})) / 2"
+    n = f"size({cells})"
+    # get() is NULL outside the array: a row without values has no median
+    return f"(get({cells}, int(({n} - 1) div 2)) + get({cells}, int({n} div 2))) / 2"
 
 
 def pair_features(

@@ -30,7 +30,7 @@ MAX_DOUBLE = 1.7976931348623157e308
 
 
 def _tag(df: DataFrame, by: Sequence[str], key: str, intervals: list[dict]) -> DataFrame:
-    """Rows that lie in some interval, with that interval's ``lo, span, half, log, iid``."""
+    """Rows that lie in some interval, with that interval's ``lo, span, half, kind, iid``."""
     spark = df.sparkSession
     key_type = df.schema[key].dataType
     fields = [df.schema[c] for c in by]
@@ -42,11 +42,11 @@ def _tag(df: DataFrame, by: Sequence[str], key: str, intervals: list[dict]) -> D
             T.StructField("__hi", key_type),
             T.StructField("__half", T.DoubleType()),
             T.StructField("__span", T.DoubleType()),
-            T.StructField("__log", T.BooleanType()),
+            T.StructField("__kind", T.IntegerType()),
         ]
     )
     rows = [
-        (*i["group"], n, i["lo"], i["hi"], i["half"], i["span"], i["log"])
+        (*i["group"], n, i["lo"], i["hi"], i["half"], i["span"], i["kind"])
         for n, i in enumerate(intervals)
     ]
     x = F.col(key)
@@ -59,7 +59,7 @@ def _tag(df: DataFrame, by: Sequence[str], key: str, intervals: list[dict]) -> D
                 F.lit(i["lo"]).cast(key_type).alias("__lo"),
                 F.lit(i["half"]).alias("__half"),
                 F.lit(i["span"]).alias("__span"),
-                F.lit(i["log"]).alias("__log"),
+                F.lit(i["kind"]).alias("__kind"),
             )
             pick = F.when(hit, info) if pick is None else pick.when(hit, info)
         tagged = df.select(key, pick.alias("__i")).filter(F.col("__i").isNotNull())
@@ -70,24 +70,43 @@ def _tag(df: DataFrame, by: Sequence[str], key: str, intervals: list[dict]) -> D
         match = match & (F.col(c) == F.col("__g_" + c))
     # one row per live interval: bounded by (groups asked for) x (ranks asked for)
     return df.select(*by, key).join(F.broadcast(table), match, "inner").select(
-        key, "__iid", "__lo", "__half", "__span", "__log"
+        key, "__iid", "__lo", "__half", "__span", "__kind"
     )
 
 
+LINEAR, LOG_POSITIVE, LOG_NEGATIVE, SIGN = range(4)
+WIDE_RATIO = 1_000
+
+
 def _bucket(key: str) -> Column:
-    share = (F.col(key) * F.col("__half") - F.col("__lo") * F.col("__half")) / F.col("__span")
-    stretched = F.log1p(share * 1e12) / math.log1p(1e12)
-    position = F.when(F.col("__log"), stretched).otherwise(share)
-    return F.least(F.floor(position * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    """Monotone bucket of a value inside its interval; the two ends never share one."""
+    x, lo = F.col(key), F.col("__lo")
+    linear = (x * F.col("__half") - lo * F.col("__half")) / F.col("__span")
+    logs = (F.ln(F.abs(x)) - F.ln(F.abs(lo))) / F.col("__span")
+    share = F.when(F.col("__kind") == LINEAR, linear).otherwise(logs)
+    bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+    return F.when(F.col("__kind") == SIGN, F.signum(x) + 1).otherwise(bucket).cast("int")
 
 
-def _interval(group: tuple, lo, hi, below: int, rows: int, ranks: list[int], log: bool) -> dict:
-    half = 1.0
-    if isinstance(lo, float) and math.isinf(hi - lo):
-        half = 0.5
-    span = float(hi * half - lo * half)
+def _interval(group: tuple, lo, hi, below: int, rows: int, ranks: list[int], poor: bool) -> dict:
+    """Interval with its bucket rule: log-spaced over a wide range of one sign, else equal width.
+
+    Around zero the signs are separated first when equal widths barely helped.
+    """
+    half, span, kind = 1.0, 0.0, LINEAR
+    if lo > 0 and hi / WIDE_RATIO > lo:
+        kind, span = LOG_POSITIVE, math.log(hi) - math.log(lo)
+    elif hi < 0 and lo / WIDE_RATIO < hi:
+        kind, span = LOG_NEGATIVE, math.log(-hi) - math.log(-lo)
+    elif lo <= 0 <= hi and poor:
+        kind = SIGN
+    if kind == LINEAR:
+        if isinstance(lo, float) and math.isinf(hi - lo):
+            half = 0.5
+        span = float(hi * half - lo * half)
+    # the span of a finished or sign interval is never used
     return dict(group=group, lo=lo, hi=hi, below=below, rows=rows, ranks=ranks,
-                log=log, half=half, span=span)
+                kind=kind, half=half, span=span or 1.0)
 
 
 def _select_key(
@@ -187,8 +206,7 @@ def _narrow(df, by, key, intervals) -> list[dict]:
                 old["group"], row["__lo"], row["__hi"],
                 old["below"] + row["__upto"] - row["__n"], row["__n"],
                 [r["__rank"] for r in rows],
-                # equal-width buckets that barely help mean a heavy tail: use log-spaced ones
-                row["__n"] * 2 > old["rows"] and not old["log"],
+                row["__n"] * 2 > old["rows"],
             )
         )
     return result
