@@ -31,13 +31,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def digits(c: Column | str, n: int = 6) -> Column:
-    """Rounded double without a negative zero."""
+    """Rounded double without a negative zero (``round`` itself would go through a decimal)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), n) + F.lit(0.0)
+    scale = float(10**n)
+    return F.rint(c.cast("double") * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, columns: Iterable[str], n: int = 6) -> DataFrame:
-    return sql.replace_columns(df, df, columns, lambda c: f"round({sql.double(c)}, {n}) + 0D")
+    return sql.replace_columns(df, df, columns, lambda c: f"rint({sql.double(c)} * {10**n}D) / {10**n}D + 0D")
 
 
 def orders_nulls(spark: SparkSession, folder: str) -> DataFrame:

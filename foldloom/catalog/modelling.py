@@ -191,7 +191,7 @@ def _numeric_orders(spark, sf, k: int = 3):
 
 def _cv(spark, sf, algorithm: str, params: dict):
     frame, names = _numeric_orders(spark, sf)
-    packed = models.assemble(frame, names, "o_totalprice", ["row_id", "fold"]).persist()
+    packed = models.spread_out(models.assemble(frame, names, "o_totalprice", ["row_id", "fold"]))
     out = models.fit_predict_by_fold(packed, algorithm, params)
     return metrics.regression_metrics(out, ["fold"])
 
@@ -220,7 +220,7 @@ def _quality(spark, sf):
 
 def _classify(spark, sf, algorithm: str, params: dict):
     frame, names = _quality(spark, sf)
-    packed = models.assemble(frame, names, "quality", ["row_id", "fold"]).persist()
+    packed = models.spread_out(models.assemble(frame, names, "quality", ["row_id", "fold"]))
     out = models.fit_predict_by_fold(packed, algorithm, params, task="classification")
     return metrics.accuracy(out, ["fold"])
 

@@ -134,6 +134,23 @@ def assemble(df: DataFrame, features: Sequence[str], target: str, keep: Sequence
     return packed.select(*keep, LABEL, FEATURES)
 
 
+def spread_out(packed: DataFrame) -> DataFrame:
+    """Persist the training frame, in at least one partition per core.
+
+    Iterative fits read it many times.  A frame that already fills the cluster is
+    left as it is; only one that sits in a few partitions is shuffled once.
+    """
+    cores = packed.sparkSession.sparkContext.defaultParallelism
+    held = packed.persist()
+    used = held.select(F.spark_partition_id().alias("p")).distinct().count()
+    if used >= cores:
+        return held
+    spread = held.repartition(cores).persist()
+    spread.count()
+    held.unpersist()
+    return spread
+
+
 def multiclass_svm(params: Mapping[str, object] | None = None, rows: int | None = None) -> OneVsRest:
     made = make_estimator("svm", params, "classification", rows)
     return OneVsRest(classifier=made.estimator, featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION)
@@ -149,14 +166,17 @@ def fit_predict_by_fold(
 ) -> DataFrame:
     """Out-of-fold predictions ``(keep, fold, y_true, y_pred)``: one distributed fit per fold.
 
-    ``packed`` is read once per fold; persist it when it is the result of work.
+    ``packed`` is read by every fit: see :func:`spread_out`.
     """
-    counts = {r[fold]: r["count"] for r in packed.groupBy(fold).count().collect()}
+    # unlabelled rows are predicted but never trained on
+    rows = packed.groupBy(fold).agg(F.count(LABEL).alias("n")).collect()
+    counts = {r[fold]: r["n"] for r in rows}
     total = sum(counts.values())
     out = None
     for f in sorted(counts):
         made = make_estimator(algorithm, params, task, total - counts[f])
-        model = made.estimator.fit(packed.filter(F.col(fold) != F.lit(f)))
+        training = packed.filter((F.col(fold) != F.lit(f)) & F.col(LABEL).isNotNull())
+        model = made.estimator.fit(training)
         part = model.transform(packed.filter(F.col(fold) == F.lit(f))).select(
             *keep, fold, F.col(LABEL).alias("y_true"), F.col(PREDICTION).alias("y_pred")
         )

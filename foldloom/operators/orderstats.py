@@ -1,6 +1,6 @@
 """Exact order statistics without a global sort or a single-task percentile.
 
-``percentile`` keeps every distinct value of a group in one task and
+``percentile`` keeps every distinct value of a group in memory of one task and
 ``ntile() over (order by ...)`` moves a whole table to one task.  Both are
 answered here by *rank selection*: histogram the interval that contains the
 wanted rank, keep the bucket the rank falls into, repeat.  Every pass is a scan
@@ -20,11 +20,12 @@ from pyspark.sql import types as T
 
 from foldloom.functions import sql
 from foldloom.operators.columns import melt
+from foldloom.operators.state import settle
 
 BUCKETS = 4096
-SMALL_INTERVAL = 50_000
-SMALL_CELLS = 20_000_000
-HOT_GROUP_ROWS = 2_000_000
+SMALL_INTERVAL = 500_000
+SMALL_CELLS = 500_000
+HOT_GROUP_ROWS = 5_000_000
 CASE_INTERVALS = 32
 MAX_DOUBLE = 1.7976931348623157e308
 
@@ -310,20 +311,18 @@ def grouped_quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles ``(by..., n, q array<double>)`` per group.
 
-    Groups up to ``hot_rows`` rows use the built-in aggregate.  Larger groups
-    (at most total / ``hot_rows`` of them) are answered by rank selection, so no
-    task ever holds a hot group.
+    Groups up to ``hot_rows`` rows are sorted (spilling, many groups per task) and
+    the wanted positions picked.  Larger groups, at most total / ``hot_rows`` of
+    them, are answered by rank selection, so no task ever holds a hot group.
     """
     by = list(by)
     slim = df.select(*by, F.col(value).cast("double").alias("__x")).filter(
         F.col("__x").isNotNull() & ~F.isnan("__x")
     )
-    percentiles = F.expr(f"percentile(__x, array({', '.join(repr(float(p)) for p in probs)}))")
-    hot = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).drop("n")
-    hot_groups = [tuple(r) for r in hot.collect()]
-    exact = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), percentiles.alias("q"))
+    counts = settle(slim.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))).table
+    hot_groups = [tuple(r) for r in counts.filter(F.col("n") > hot_rows).drop("n").collect()]
     if not hot_groups:
-        return exact
+        return _sorted_quantiles(slim, counts, by, probs)
     spark = df.sparkSession
     key_schema = T.StructType([slim.schema[c] for c in by])
     keys = F.broadcast(spark.createDataFrame(hot_groups, key_schema))
@@ -338,14 +337,27 @@ def grouped_quantiles(
         [*key_schema.fields, T.StructField("n", T.LongType()),
          T.StructField("q", T.ArrayType(T.DoubleType()))]
     )
-    cold = (
-        slim.join(keys, by, "left_anti")
-        .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("n"), percentiles.alias("q"))
-    )
+    cold = _sorted_quantiles(slim.join(keys, by, "left_anti"), counts, by, probs)
     return cold.unionByName(spark.createDataFrame(rows, schema))
 
 
+def _sorted_quantiles(slim: DataFrame, counts: DataFrame, by: list[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles of groups that one task may sort."""
+    at = [f"{float(p)!r}D * (n - 1)" for p in probs]
+    ranks = sorted({f"{f}({x}) + 1" for x in at for f in ("floor", "ceil")})
+    numbered = slim.join(counts, by).withColumn(
+        "__rn", F.row_number().over(Window.partitionBy(*by).orderBy("__x"))
+    )
+    kept = numbered.filter(F.expr(f"__rn in ({', '.join(ranks)})"))
+    cells = []
+    for i, x in enumerate(at):
+        low, high = (f"max(case when __rn = {f}({x}) + 1 then __x end)" for f in ("floor", "ceil"))
+        cells += [f"{low} as l{i}", f"{high} as h{i}", f"max({x} - floor({x})) as w{i}"]
+    picked = kept.groupBy(*by).agg(F.max("n").alias("n"), *[F.expr(c) for c in cells])
+    values = [f"if(l{i} = h{i}, l{i}, l{i} + (h{i} - l{i}) * w{i})" for i in range(len(at))]
+    return picked.selectExpr(*[sql.name(c) for c in by], "n", f"array({', '.join(values)}) as q")
+
+
 def column_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -358,22 +370,18 @@ def column_quantiles(
 ) -> DataFrame:
     """Exact quantiles of many columns: one row per group, ``<column>__q array<double>``.
 
-    A frame whose largest group has at most ``cells`` cells is one aggregate.
+    A frame of at most ``cells`` cells is one aggregate.
     Otherwise the columns are melted and every (group, column) becomes a group
-    of :func:`grouped_quantiles`.  ``rows`` is the size of the largest group when
-    the caller has counted already.
+    of :func:`grouped_quantiles`.  ``rows`` is the row count when the caller has
+    counted already.
     """
     by = list(by)
-    if rows is not None:
-        largest = rows
-    elif by:
-        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    else:
-        largest = df.count()
+    if rows is None:
+        rows = df.count()
     clean = df.selectExpr(
         *[sql.name(c) for c in by], *[f"{sql.not_nan(c)} as {sql.name(c)}" for c in columns]
     )
-    if largest * max(len(columns), 1) <= cells:
+    if rows * max(len(columns), 1) <= cells:
         wanted = ", ".join(repr(float(p)) for p in probs)
         return clean.groupBy(*by).agg(
             *[

@@ -1,12 +1,13 @@
 """Dataset profiling: shapes, missing cells, moments, correlations, entropy, quality reports.
 
-Per dataset there is one moment aggregate and one histogram aggregate whatever
-the number of columns; results are long, one row per dataset.
+A full profile is three scans per dataset whatever the number of columns: shapes,
+moments and limits; pairwise sums; histograms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
@@ -14,9 +15,11 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.functions.numeric import equal_width_bin, half_even, ratio
+from foldloom.functions import sql
+from foldloom.functions.numeric import half_even, ratio
 from foldloom.operators.clean import infinite_cells, missing_cells
-from foldloom.operators.columns import column_kinds, melt
+from foldloom.operators.columns import column_kinds
+from foldloom.operators.state import settle_row
 
 PAIRS_PER_AGGREGATE = 300
 
@@ -25,15 +28,18 @@ def shapes(df: DataFrame, dataset: str, exclude: Sequence[str] = ()) -> DataFram
     """Row count, column counts by kind and share of missing cells."""
     kinds = column_kinds(df, exclude)
     p = len(kinds.numeric) + len(kinds.categorical) + len(kinds.other)
+    return df.agg(F.lit(dataset).alias("dataset"), *_shape_columns(kinds, p))
+
+
+def _shape_columns(kinds, p: int) -> list[Column]:
     n = F.count(F.lit(1))
-    return df.agg(
-        F.lit(dataset).alias("dataset"),
+    return [
         n.alias("n_samples"),
         F.lit(p).cast("long").alias("n_features"),
         F.lit(p - len(kinds.numeric)).cast("long").alias("n_categorical"),
         F.lit(len(kinds.numeric)).cast("long").alias("n_numerical"),
         F.coalesce(ratio(missing_cells(kinds), n * F.lit(p)), F.lit(0.0)).alias("missing_ratio"),
-    )
+    ]
 
 
 def target_variance(df: DataFrame, target: str) -> Column:
@@ -62,39 +68,56 @@ def _row_mean(columns: Sequence[Column]) -> Column:
     return F.coalesce(F.try_divide(total, seen), F.lit(0.0))
 
 
-def moments(df: DataFrame, dataset: str, columns: Sequence[str]) -> DataFrame:
-    """Mean adjusted skewness and kurtosis over the numeric columns."""
+def _moment_columns(columns: Sequence[str]) -> list[Column]:
+    """Adjusted skewness ``s<i>`` and kurtosis ``k<i>``; a constant column has 0, not NaN."""
     stats = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
         n = F.count(x)
         constant = F.min(x) == F.max(x)
-        # a constant column has moments 0 by convention, not NaN
         stats += [
             F.when(constant & (n >= 3), 0.0).otherwise(adjusted_skewness(x, n)).alias(f"s{i}"),
             F.when(constant & (n >= 4), 0.0).otherwise(adjusted_kurtosis(x, n)).alias(f"k{i}"),
         ]
-    if not stats:
-        return df.limit(1).select(
-            F.lit(dataset).alias("dataset"), F.lit(0.0).alias("skewness_mean"), F.lit(0.0).alias("kurtosis_mean")
-        )
-    return df.agg(*stats).select(
-        F.lit(dataset).alias("dataset"),
-        _row_mean([F.col(f"s{i}") for i in range(len(columns))]).alias("skewness_mean"),
-        _row_mean([F.col(f"k{i}") for i in range(len(columns))]).alias("kurtosis_mean"),
-    )
+    return stats
+
+
+def _mean_moments(columns: Sequence[str]) -> list[Column]:
+    return [
+        _row_mean([F.col(f"{m}{i}") for i in range(len(columns))]).alias(name)
+        for m, name in (("s", "skewness_mean"), ("k", "kurtosis_mean"))
+    ]
+
+
+def moments(df: DataFrame, dataset: str, columns: Sequence[str]) -> DataFrame:
+    """Mean adjusted skewness and kurtosis over the numeric columns."""
+    stats = df.agg(F.count(F.lit(1)).alias("__n"), *_moment_columns(columns))
+    return stats.select(F.lit(dataset).alias("dataset"), *_mean_moments(columns))
+
+
+def _pair_array(columns: Sequence[str]) -> Column:
+    cells = [f"corr({sql.double(a)}, {sql.double(b)})" for a, b in combinations(columns, 2)]
+    return F.expr(f"cast(array({', '.join(cells)}) as array<double>)")
+
+
+def _pair_summary() -> list[Column]:
+    """Mean and population std of the array ``r``; 0 when it is empty."""
+    values = F.filter("r", lambda x: x.isNotNull() & ~F.isnan(x))
+    n = F.size(values)
+    mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), n)
+    spread = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    return [
+        F.coalesce(mean, F.lit(0.0)).alias("correlation_mean"),
+        F.coalesce(F.sqrt(F.try_divide(spread, n)), F.lit(0.0)).alias("correlation_std"),
+    ]
 
 
 def _pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Upper-triangle Pearson correlations as one array column ``r``."""
     pairs = list(combinations(columns, 2))
     if len(pairs) <= PAIRS_PER_AGGREGATE:
-        return df.agg(
-            F.array(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in pairs]).alias("r")
-        )
-    nulls = df.agg(
-        F.max(F.greatest(*[F.col(c).isNull().cast("int") for c in columns]))
-    ).first()[0]
+        return df.agg(_pair_array(columns).alias("r"))
+    nulls = df.agg(F.max(F.expr(" or ".join(f"{sql.name(c)} is null" for c in columns)))).first()[0]
     if not nulls:
         # one distributed Gram matrix, p x p on return
         packed = VectorAssembler(inputCols=list(columns), outputCol="__v").transform(df).select("__v")
@@ -104,10 +127,7 @@ def _pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
         chunk = pairs[start : start + PAIRS_PER_AGGREGATE]
-        row = df.agg(
-            F.array(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in chunk])
-        ).first()
-        parts += list(row[0])
+        parts += list(df.agg(*[F.expr(f"corr({sql.double(a)}, {sql.double(b)})") for a, b in chunk]).first())
     return df.sparkSession.createDataFrame([(parts,)], "r array<double>")
 
 
@@ -119,33 +139,35 @@ def correlations(df: DataFrame, dataset: str, columns: Sequence[str]) -> DataFra
             F.lit(0.0).alias("correlation_mean"),
             F.lit(0.0).alias("correlation_std"),
         )
-    values = F.filter("r", lambda x: x.isNotNull() & ~F.isnan(x))
-    n = F.size(values)
-    mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), n)
-    spread = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return _pair_correlations(df, columns).select(
-        F.lit(dataset).alias("dataset"),
-        F.coalesce(mean, F.lit(0.0)).alias("correlation_mean"),
-        F.coalesce(F.sqrt(F.try_divide(spread, n)), F.lit(0.0)).alias("correlation_std"),
-    )
+    return _pair_correlations(df, columns).select(F.lit(dataset).alias("dataset"), *_pair_summary())
 
 
-def entropy(df: DataFrame, dataset: str, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """Mean Shannon entropy (bits) of an equal-width histogram per numeric column.
+def _limits(columns: Sequence[str]) -> list[Column]:
+    """Minimum and maximum of every column, NaN left out."""
+    return [
+        F.expr(f"{f}({sql.not_nan(c)}) as {f}_{i}") for i, c in enumerate(columns) for f in ("min", "max")
+    ]
 
-    The limits are one aggregate (one row per column); the counts leave each map
-    task as at most columns x bins rows.
-    """
-    if not columns:
+
+def _histogram_entropy(df: DataFrame, dataset: str, columns: Sequence[str], limits, bins: int) -> DataFrame:
+    """Bins are computed before the melt; at most columns x bins rows leave a map task."""
+    cells = []
+    for i, c in enumerate(columns):
+        lo, hi = limits[f"min_{i}"], limits[f"max_{i}"]
+        if lo is None:
+            continue
+        x = sql.not_nan(c)
+        width = (hi - lo) / bins or 1.0
+        cells.append(f"{i}, int(least({bins - 1}, floor(({x} - {lo!r}D) / {width!r}D)))")
+    if not cells:
         return df.groupBy().agg(F.lit(dataset).alias("dataset"), F.lit(0.0).alias("feature_entropy"))
-    long = melt(df, columns).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    limits = long.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     counts = (
-        long.join(F.broadcast(limits), "column")  # one row per column of the schema
-        .groupBy("column", equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+        df.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) as (c, bin)")
+        .filter("bin is not null")
+        .groupBy("c", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    per_column = counts.groupBy("column").agg(
+    per_column = counts.groupBy("c").agg(
         # -sum(p log2 p) with p = n/N equals log2 N - sum(n log2 n)/N
         (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h")
     )
@@ -155,6 +177,12 @@ def entropy(df: DataFrame, dataset: str, columns: Sequence[str], bins: int = 10)
     )
 
 
+def entropy(df: DataFrame, dataset: str, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """Mean Shannon entropy (bits) of an equal-width histogram per numeric column: two scans."""
+    limits = df.agg(*_limits(columns)).first() if columns else {}
+    return _histogram_entropy(df, dataset, columns, limits, bins)
+
+
 def expansion(original: int, engineered: int) -> float:
     """Relative growth of the feature count."""
     return (engineered - original) / original
@@ -173,18 +201,29 @@ def profile(
     numeric = list(kinds.numeric)
     p = len(kinds.numeric) + len(kinds.categorical) + len(kinds.other)
     growth = expansion(p, engineered_features if engineered_features is not None else p)
-    variance = df.agg(F.lit(dataset).alias("dataset"), target_variance(df, target).alias("target_variance"))
+    # shapes, moments and limits share a scan; the pairwise sums keep their own, since one
+    # aggregate over everything outgrows the size a generated method is compiled at
+    first = df.agg(
+        *_shape_columns(kinds, p),
+        target_variance(df, target).alias("target_variance"),
+        *_moment_columns(numeric),
+        *_limits(numeric),
+    )
+    settled = settle_row(first)
+    limits = settled.first()
+    facts = settled.select(
+        F.lit(dataset).alias("dataset"), "n_samples", "n_features", "n_categorical", "n_numerical", "missing_ratio",
+        "target_variance", *_mean_moments(numeric),
+    )
     parts = [
-        shapes(df, dataset, skip),
-        entropy(df, dataset, numeric),
-        variance,
-        correlations(df, dataset, numeric),
-        moments(df, dataset, numeric),
+        facts, _histogram_entropy(df, dataset, numeric, limits, 10), correlations(df, dataset, numeric),
     ]
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.join(part, "dataset")
-    return joined.withColumn("fe_impact_score", F.lit(growth))
+    joined = reduce(lambda a, b: a.join(b, "dataset"), parts)
+    return joined.select(
+        "dataset", "n_samples", "n_features", "n_categorical", "n_numerical", "missing_ratio", "feature_entropy",
+        "target_variance", "correlation_mean", "correlation_std", "skewness_mean", "kurtosis_mean",
+        F.lit(growth).alias("fe_impact_score"),
+    )
 
 
 def quality_report(df: DataFrame, task: str, exclude: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:

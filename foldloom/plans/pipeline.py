@@ -13,6 +13,7 @@ from foldloom.operators import columns, folds, metrics, models, profile
 from foldloom.plans import features as fe
 from foldloom.plans import recommend, search
 from foldloom.sources import logs
+from foldloom.sources.folds import metadata
 
 # Published reference scores (test R2).
 REFERENCE_SCORES = [
@@ -41,7 +42,9 @@ def final_predictions(
 ) -> DataFrame:
     """Constrained configuration, fitted once per fold on the other folds; unlabelled rows are predicted too."""
     legal = recommend.constrain(algorithm, params)
-    packed = models.assemble(frame.filter(F.col(target).isNotNull()), names, target, [row_id, "fold"])
+    packed = None
+    if algorithm not in ("ridge", "lasso", "linear_regression", "knn"):
+        packed = models.spread_out(models.assemble(frame, names, target, [row_id, "fold"]))
     return search.evaluate_trial(packed, frame, names, target, algorithm, legal, "fold", row_id)
 
 
@@ -133,6 +136,4 @@ def describe(df: DataFrame, name: str, target: str, folds_: int = 10) -> DataFra
     """Dataset metadata row for a raw frame."""
     kinds = columns.column_kinds(df, [target, "row_id"])
     names = [c for c in df.columns if c in {*kinds.numeric, *kinds.categorical, *kinds.other}]
-    from foldloom.sources.folds import metadata
-
     return metadata(df, name, names, target, folds_)

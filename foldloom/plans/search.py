@@ -91,9 +91,12 @@ def run_trials(
     """
     spark = frame.sparkSession
     labelled = frame.filter(F.col(target).isNotNull()).persist()
-    packed = models.assemble(labelled, features, target, [row_id, fold]).persist()
     moments = None
     trials = grid.collect()
+    closed = ("ridge", "lasso", "linear_regression", "knn")
+    packed = None
+    if any(task == "classification" or t["algorithm"] not in closed for t in trials):
+        packed = models.spread_out(models.assemble(labelled, features, target, [row_id, fold]))
     if task == "regression" and any(t["algorithm"] in ("ridge", "lasso", "linear_regression") for t in trials):
         moments = linear.fold_moments(labelled, features, target, fold)
 
@@ -117,7 +120,8 @@ def run_trials(
         with ThreadPoolExecutor(parallel) as pool:
             found = [row for rows in pool.map(one, trials) for row in rows]
     finally:
-        packed.unpersist()
+        if packed is not None:
+            packed.unpersist()
         labelled.unpersist()
     return spark.createDataFrame(found, RESULT)
 
