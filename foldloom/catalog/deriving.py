@@ -49,26 +49,24 @@ def pair_interactions(spark, sf):
 
 @query("""select c_custkey, round(sqrt(c_nationkey), 6) as c_nationkey_sqrt, round(ln(1 + c_nationkey), 6) as c_nationkey_log,
   round((c_nationkey * c_nationkey)::double, 6) + 0.0 as c_nationkey_squared, round(abs(c_nationkey)::double, 6) + 0.0 as c_nationkey_abs,
-  round(c_acctbal * c_acctbal, 3) as c_acctbal_squared, round(abs(c_acctbal), 6) as c_acctbal_abs from customer""")
+  round(c_acctbal * c_acctbal, 4) as c_acctbal_squared, round(abs(c_acctbal), 6) as c_acctbal_abs from customer""")
 def unary_features(spark, sf):
     names = ["c_nationkey", "c_acctbal"]
     df = table(spark, sf, "customer").select("c_custkey", *names)
     minimum = derive.fit_minimum(df, names).first().asDict()
     out = derive.derive(df, derive.unary_features(names, minimum)).drop(*names)
     made = [c for c in out.columns if c != "c_custkey"]
-    return out.select("c_custkey", *[digits(c, 3 if c == "c_acctbal_squared" else 6).alias(c) for c in made])
+    return out.select("c_custkey", *[digits(c, 4 if c == "c_acctbal_squared" else 6).alias(c) for c in made])
 
 
-@query("""select p_partkey, round((p_size * p_size)::double, 4) + 0.0 as p_size_poly_p_size, round(p_retailprice * p_retailprice, 2) as p_retailprice_poly_p_retailprice,
+@query("""select p_partkey, round((p_size * p_size)::double, 4) + 0.0 as p_size_poly_p_size, round(p_retailprice * p_retailprice, 4) as p_retailprice_poly_p_retailprice,
   round(p_size * p_retailprice, 4) as p_size_poly_p_retailprice, round((p_size + p_retailprice) / 2, 4) as row_median from part""")
 def polynomial_features(spark, sf):
     names = ["p_size", "p_retailprice"]
     df = table(spark, sf, "part").select("p_partkey", *names)
     made = {**derive.polynomial_features(names), "row_median": derive.row_median(names)}
     out = derive.derive(df, made)
-    return out.select(
-        "p_partkey", *[digits(c, 2 if c == "p_retailprice_poly_p_retailprice" else 4).alias(c) for c in made]
-    )
+    return out.select("p_partkey", *[digits(c, 4).alias(c) for c in made])
 
 
 @query("""with l as (select min(p_retailprice) lo, max(p_retailprice) hi from part)

@@ -71,6 +71,8 @@ PARAM_NAMES = {
 }
 WHOLE = {"maxDepth", "minInstancesPerNode", "numTrees", "maxIter"}
 MAX_TREE_DEPTH = 30
+ROWS_PER_TASK = 5_000
+SVM_TOLERANCE = 1e-3
 
 
 @dataclass(frozen=True)
@@ -101,6 +103,7 @@ def make_estimator(
         elif name == "alpha" and algorithm == "lasso":
             settings.update(regParam=float(value), elasticNetParam=1.0, standardization=False)
         elif name == "C" and rows:
+            # the penalty on the summed loss becomes one on its mean
             settings.update(regParam=1.0 / (float(value) * rows))
         else:
             ignored.append(name)
@@ -109,6 +112,8 @@ def make_estimator(
         settings["seed"] = SEED
         if "maxDepth" in settings:
             settings["maxDepth"] = min(settings["maxDepth"], MAX_TREE_DEPTH)
+    if cls is LinearSVC:
+        settings["tol"] = SVM_TOLERANCE
     estimator = cls(**settings)
     return Made(estimator, tuple(ignored))
 
@@ -135,17 +140,20 @@ def assemble(df: DataFrame, features: Sequence[str], target: str, keep: Sequence
 
 
 def spread_out(packed: DataFrame) -> DataFrame:
-    """Persist the training frame, in at least one partition per core.
+    """Persist the training frame, in one partition per core when it has the rows for it.
 
     Iterative fits read it many times.  A frame that already fills the cluster is
-    left as it is; only one that sits in a few partitions is shuffled once.
+    left as it is; only one that sits in too few partitions is shuffled once.
     """
     cores = packed.sparkSession.sparkContext.defaultParallelism
     held = packed.persist()
-    used = held.select(F.spark_partition_id().alias("p")).distinct().count()
-    if used >= cores:
+    # one count per partition
+    sizes = held.groupBy(F.spark_partition_id().alias("part")).count()
+    used, rows = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    wanted = min(cores, max(1, rows // ROWS_PER_TASK))
+    if used >= wanted:
         return held
-    spread = held.repartition(cores).persist()
+    spread = held.repartition(wanted).persist()
     spread.count()
     held.unpersist()
     return spread
