@@ -232,7 +232,7 @@ def logistic_cv(spark, sf):
 
 @query()
 def svm_cv(spark, sf):
-    return _classify(spark, sf, "svm", {"C": 1.0, "max_iter": 30})
+    return _classify(spark, sf, "svm", {"C": 1.0, "max_iter": 10})
 
 
 @query()
