@@ -222,7 +222,7 @@ def select_features(
 
 
 @dataclass(frozen=True)
-class AutoFeatures:
+class SelectedFeatures:
     names: tuple[str, ...]
     minimum: dict
     selected: tuple[str, ...]
@@ -238,7 +238,7 @@ class AutoFeatures:
 
 def fit_auto_features(
     train: DataFrame, target: str, keep: Sequence[str] = (), cap: int = FEATURE_CAP
-) -> AutoFeatures:
+) -> SelectedFeatures:
     """Originals plus one unary step, selected by importance."""
     keep = tuple(dict.fromkeys([*keep, target]))
     numeric = list(columns.column_kinds(train, keep).numeric)
@@ -253,7 +253,7 @@ def fit_auto_features(
     back = {v: k for k, v in safe.items()}
     constant = set(columns.constant_columns(wide, list(back)))
     chosen = select_features(wide, [c for c in back if c not in constant], target, cap)
-    return AutoFeatures(tuple(numeric), minimum, tuple(back[c] for c in chosen), keep)
+    return SelectedFeatures(tuple(numeric), minimum, tuple(back[c] for c in chosen), keep)
 
 
 def clean_for_folds(df: DataFrame, target: str, keep: Sequence[str] = ()) -> DataFrame:
