@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foldloom.llm.pieces import (
     SPACE,
@@ -276,7 +277,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", lexicon: str | None =
                     [*kept, *own],
                 )
 
-    schema = docs.schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
+    schema = StructType(list(docs.schema.fields)).add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
     return docs.mapInArrow(encoded, schema)
 
 

@@ -24,6 +24,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from foldloom.llm.pieces import SPACE, Merger, byte_of_char, char_classes, cut, spread, vocabulary
 from foldloom.llm.words import mixed, slices
@@ -260,7 +261,7 @@ def count_prefixes(docs: DataFrame, path: str, text: str = "text", limits: Seque
     own = ["n_bytes", "n_tokens", "prefix_counts", *[f"longest_{n}" for n in limits]]
     kept = [c for c in docs.columns if c not in own]
     docs = docs.select(*kept)
-    schema = docs.schema.add("n_bytes", "long").add("n_tokens", "long").add("prefix_counts", "binary")
+    schema = StructType(list(docs.schema.fields)).add("n_bytes", "long").add("n_tokens", "long").add("prefix_counts", "binary")
     for name in own[3:]:
         schema = schema.add(name, "long")
 
