@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foldloom.llm.store import Scratch
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -48,3 +50,136 @@ def op10_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return encoded.selectExpr(
         "doc_id", "n_tokens", "sha2(ids, 256) as ids_sha256", "sha2(decoded, 256) as decoded_sha256"
     )
+
+
+def _normal(text: str) -> str:
+    return f"trim(lower(regexp_replace({text}, '\\s+', ' ', 'g')))"
+
+
+OP3_SQL = f"""
+with recursive
+cleaned as (
+  select conv_id, turn, role, text,
+         regexp_matches(text, '(^|\n)[ \t]*>') as quotes,
+         string_split(replace(regexp_replace(
+           text, '(?im)^on [^\n]{{0,200}} wrote:[ \t]*\n([ \t]*>)', '\1', 'g'), chr(13) || chr(10), chr(10)), chr(10)) as ls
+  from conversations),
+lines as (
+  select conv_id, turn, pos, length(regexp_replace(regexp_extract(raw, '^([ \t]*>)+'), '[^>]', '', 'g')) as level,
+         {_normal("regexp_replace(raw, '^([ \t]*>)+', '')")} as line
+  from (select distinct conv_id, turn, unnest(ls) as raw, generate_subscripts(ls, 1) as pos
+        from cleaned where quotes and conv_id is not null and turn is not null)),
+cut as (
+  select *, case when level = lag(level) over (partition by conv_id, turn order by pos) then 0 else 1 end as new from lines),
+spans as (select *, sum(new) over (partition by conv_id, turn order by pos) as passage from cut),
+passages as (
+  select conv_id, turn, passage, level, string_agg(line, ' ' order by pos) as unit, count(*) as n
+  from spans where level > 0 and line <> '' group by all),
+units as (
+  select conv_id, turn, passage, level, true as whole, unit from passages
+  union
+  select s.conv_id, s.turn, s.passage, s.level, false, s.line
+  from spans s join passages p using (conv_id, turn, passage) where s.line <> '' and p.n > 1),
+own as (
+  select conv_id, turn, role,
+         case when quotes then regexp_replace(array_to_string(
+           [x for x in ls if not regexp_matches(x, '^([ \t]*>)+')], chr(10)), '^\\s+|\\s+$', '', 'g') else text end as text
+  from cleaned),
+said as (
+  select conv_id, turn, {_normal("p")} as unit
+  from (select conv_id, turn, unnest(list_concat([text], regexp_split_to_array(text, '\n[ \t]*\n'),
+                                                 string_split(text, chr(10)))) as p
+        from own where text is not null and conv_id is not null and turn is not null)),
+first as (select conv_id, unit, min(turn) as origin from said where unit <> '' group by all),
+found as (
+  select u.conv_id, u.turn, u.passage, u.level, whole, origin
+  from units u join first f on f.conv_id = u.conv_id and f.unit = u.unit and f.origin < u.turn),
+linked as (
+  select conv_id, turn, passage, level, origin from found
+  qualify row_number() over (partition by conv_id, turn, passage order by whole desc, origin desc) = 1),
+parents as (
+  select conv_id, turn, max(n_linked) as n_linked, max(origin) filter (level = near) as parent_turn
+  from (select *, min(level) over (partition by conv_id, turn) as near,
+               count(*) over (partition by conv_id, turn) as n_linked from linked) group by all),
+up as (
+  select conv_id, turn, parent_turn as root_turn, 1 as depth from parents
+  union all
+  select up.conv_id, up.turn, p.parent_turn, up.depth + 1
+  from up join parents p on p.conv_id = up.conv_id and p.turn = up.root_turn),
+roots as (select conv_id, turn, arg_max(root_turn, depth) as root_turn, max(depth) as depth from up group by all),
+quoted as (select conv_id, turn, count(distinct passage) as n_quoted from passages group by all)
+select o.conv_id, o.turn, o.role, o.text, p.parent_turn, coalesce(r.root_turn, o.turn) as root_turn,
+       cast(coalesce(r.depth, 0) as integer) as depth, coalesce(n_quoted, 0) as n_quoted,
+       coalesce(n_linked, 0) as n_linked
+from own o left join parents p using (conv_id, turn) left join roots r using (conv_id, turn)
+left join quoted q using (conv_id, turn)
+"""
+
+
+@query(OP3_SQL)
+def op3_quotations(spark: SparkSession, folder: str) -> DataFrame:
+    from foldloom.llm.quotations import link
+
+    return link(table(spark, folder, "conversations"))
+
+
+OP6_SQL = """
+with sizes as (select source, sum(coalesce(length(text), 0)) as size from documents group by source having size > 0),
+rates as (
+  select source, sum(size) over () * (sqrt(size) / sum(sqrt(size)) over ()) / size as rate from sizes),
+parts as (select source, greatest(ceil(rate / 200), 1)::int as parts, rate / greatest(ceil(rate / 200), 1) as r from rates),
+terms as (
+  select source, parts, k, exp(-r + k * ln(r) - lgamma(k + 1)) as term
+  from parts, unnest(range(0, ceil(r + 12 * sqrt(r) + 26)::bigint)) as t(k)),
+cdf as (select source, parts, sum(term) over (partition by source order by k) as c from terms),
+drawn as (
+  select d.*, i, ('0x' || substr(md5('7:' || coalesce(d.doc_id::varchar, '') || ':' || i), 1, 13))::bigint / 4503599627370496 as u
+  from (select row_number() over () as n, * from documents) d
+  join parts p on d.source is not distinct from p.source, unnest(range(1, parts + 1)) as t(i)),
+counted as (
+  select d.n, count(*) as copies from drawn d join cdf c on d.source is not distinct from c.source and c.c <= d.u
+  group by d.n)
+select d.doc_id, d.text, d.lang, d.source, d.n_chars, unnest(range(1, copies + 1))::int as copy
+from (select row_number() over () as n, * from documents) d join counted using (n)
+"""
+
+
+@query(OP6_SQL)
+def op6_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
+    from foldloom.llm.poisson_mix import replicate
+
+    return replicate(table(spark, folder, "documents"))
+
+
+OP9_SQL = """
+with facts as (
+  select page_id, encode(coalesce(html, '')) as payload from pages),
+sized as (
+  select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest from facts),
+firsts as (
+  select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from sized)
+select page_id, payload_bytes, payload_digest,
+       case when first is null or page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+       case when first is null or page_id is not distinct from first then null else first end as refers_to
+from firsts
+"""
+
+
+@query(OP9_SQL)
+def op9_seekable_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    from foldloom.llm import bundles
+
+    pages = table(spark, folder, "pages")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    with Scratch(spark) as scratch:
+        written = scratch.save(bundles.bundles(pages))
+        records = bundles.read(written, payloads=False)
+        return scratch.kept(
+            records.selectExpr(
+                f"cast(page_id as {kind}) as page_id",
+                "payload_bytes",
+                "payload_digest",
+                "record_type",
+                f"cast(refers_to as {kind}) as refers_to",
+            )
+        )
