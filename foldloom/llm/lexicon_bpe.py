@@ -14,6 +14,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
 import shutil
@@ -178,12 +179,11 @@ def ship_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
     ids, counts = Merger(vocabulary(path)).merge(data, ends - [len(w) for w in words], ends)
     flat = Transducer.compile(dict(zip(words, np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if words else {})
     name = f"lexicon-{hashlib.sha256(flat.tobytes()).hexdigest()[:16]}.npy"
-    folder = tempfile.mkdtemp(prefix="foldloom-lexicon-")  # the driver's; Spark serves the file from its own copy
-    try:
-        np.save(f"{folder}/{name}", flat)
-        docs.sparkSession.sparkContext.addFile(f"{folder}/{name}")
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
+    # Spark's file server reads the file whenever an executor asks, so it stays as long as the driver
+    folder = tempfile.mkdtemp(prefix="foldloom-lexicon-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    np.save(f"{folder}/{name}", flat)
+    docs.sparkSession.sparkContext.addFile(f"{folder}/{name}")
     return name
 
 
