@@ -32,6 +32,15 @@ def tokenizer(name: str) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+@query()
+def op1_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    from foldloom.llm.robust_outliers import judge
+
+    return judge(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"
+    )
+
+
 @query()
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from foldloom.llm.token_prefix import count_prefixes
