@@ -153,6 +153,14 @@ from (select row_number() over () as n, * from documents) d join counted using (
 """
 
 
+@query()
+def op5_hash_index(spark: SparkSession, folder: str) -> DataFrame:
+    from foldloom.llm.hash_index import fit, search
+
+    vectors = table(spark, folder, "embeddings")
+    return search(vectors, vectors.filter("vec_id % 100 = 0"), fit(vectors))
+
+
 @query(OP6_SQL)
 def op6_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     from foldloom.llm.poisson_mix import replicate
