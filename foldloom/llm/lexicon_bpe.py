@@ -43,6 +43,9 @@ from foldloom.llm.words import slices
 
 LEXICON_WORDS = 1 << 15
 
+#: (application, file name) of the lexicons that Spark distributes already
+_SHIPPED: set[tuple[str, str]] = set()
+
 
 class Transducer:
     """Minimal acyclic automaton over bytes; ``find`` gives each word's number or -1."""
@@ -179,11 +182,15 @@ def ship_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
     ids, counts = Merger(vocabulary(path)).merge(data, ends - [len(w) for w in words], ends)
     flat = Transducer.compile(dict(zip(words, np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if words else {})
     name = f"lexicon-{hashlib.sha256(flat.tobytes()).hexdigest()[:16]}.npy"
+    context = docs.sparkSession.sparkContext
+    if (context.applicationId, name) in _SHIPPED:
+        return name
     # Spark's file server reads the file whenever an executor asks, so it stays as long as the driver
     folder = tempfile.mkdtemp(prefix="foldloom-lexicon-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     np.save(f"{folder}/{name}", flat)
-    docs.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    context.addFile(f"{folder}/{name}")
+    _SHIPPED.add((context.applicationId, name))
     return name
 
 
