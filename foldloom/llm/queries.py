@@ -200,3 +200,10 @@ def op9_seekable_bundles(spark: SparkSession, folder: str) -> DataFrame:
                 f"cast(refers_to as {kind}) as refers_to",
             )
         )
+
+
+@query()
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from foldloom.llm.overlap_join import duplicate_classes
+
+    return duplicate_classes(table(spark, folder, "documents"))
