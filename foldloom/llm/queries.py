@@ -207,3 +207,11 @@ def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from foldloom.llm.overlap_join import duplicate_classes
 
     return duplicate_classes(table(spark, folder, "documents"))
+
+
+@query()
+def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    from foldloom.llm.passages import repeated_passages
+
+    found = repeated_passages(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
