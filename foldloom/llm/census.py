@@ -7,11 +7,12 @@ token space, and the answers go back to the chunks.  Tokens are 64-bit hashes in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 CHUNK_TOKENS = 1 << 19
 BUCKET_TOKENS = 1 << 20
@@ -91,28 +92,29 @@ def _answer(rows: pa.Table) -> pa.Table:
     )
 
 
-def _resolve(rows: pa.Table, answers: pa.Table, names: list[str]) -> pa.Table:
-    told = [np.concatenate(values(answers.column(c), k)) if answers.num_rows else np.zeros(0, k) for c, k in
-            (("tokens", "<u8"), ("counts", "<i4"), ("firsts", "<i8"))]
+def _resolve(rows: pa.Table, answers: pa.Table, finish: Callable[[pa.Table, list, list], pa.Table]) -> pa.Table:
+    told = [
+        np.concatenate(values(answers.column(c), k)) if answers.num_rows else np.zeros(0, k)
+        for c, k in (("tokens", "<u8"), ("counts", "<i4"), ("firsts", "<i8"))
+    ]
     order = np.argsort(told[0], kind="stable")
     known, counts, firsts = (t[order] for t in told)
-    n_docs, first = [], []
+    docs, first = [], []
     for own, tokens in zip(rows.column("id").to_pylist(), values(rows.column("tokens"), "<u8"), strict=True):
         at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
         hit = known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
-        n_docs.append(np.where(hit, counts[at] if len(known) else 1, 1).astype("<i4").tobytes())
-        first.append(np.where(hit, firsts[at] if len(known) else own, own).astype("<i8").tobytes())
-    columns = {n: rows.column(n) for n in names}
-    return pa.table(columns | {"docs": pa.array(n_docs, pa.binary()), "first": pa.array(first, pa.binary())})
+        docs.append(np.where(hit, counts[at] if len(known) else 1, 1))
+        first.append(np.where(hit, firsts[at] if len(known) else own, own))
+    return finish(rows, docs, first)
 
 
-def census(rows: DataFrame) -> DataFrame:
-    """``rows`` (id, tokens and any others) plus docs (32-bit) and first (64-bit), one for each token.
+def census(rows: DataFrame, finish: Callable[[pa.Table, list, list], pa.Table], schema: str) -> DataFrame:
+    """What ``finish`` makes of the rows of each chunk and, for each row, two arrays beside its tokens.
 
-    docs is the number of ids that hold the token, first the smallest of them.  ``rows`` should be
-    a written table, as it is read more than once; ids must not be null.
+    The first is the number of ids that hold the token, the second the smallest of them.  ``rows``
+    (id, tokens and any others) should be a written table, as it is read more than once; ids must
+    not be null.
     """
-    names = rows.columns
     total = rows.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     chunks = max(1, total // (8 * CHUNK_TOKENS))
     buckets = max(1, total // (8 * BUCKET_TOKENS))
@@ -120,10 +122,9 @@ def census(rows: DataFrame) -> DataFrame:
     asked = rows.select("id", "tokens", chunk).groupBy("chunk")
     asked = asked.applyInArrow(lambda key, table: _ask(key, table, buckets), ASKED)
     answered = asked.groupBy("bucket").applyInArrow(_answer, ASKED)
-    schema = StructType([*rows.schema.fields, StructField("docs", BinaryType()), StructField("first", BinaryType())])
     return (
         rows.select("*", chunk)
         .groupBy("chunk")
         .cogroup(answered.groupBy("chunk"))
-        .applyInArrow(lambda left, right: _resolve(left, right, names), schema)
+        .applyInArrow(lambda left, right: _resolve(left, right, finish), schema)
     )

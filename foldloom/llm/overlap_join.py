@@ -343,29 +343,21 @@ def _large_blocks(rows: DataFrame, blocks: DataFrame, block_tokens: int, block_s
 def set_components(sets: DataFrame, scratch: Scratch, block_tokens: int, block_sets: int) -> DataFrame:
     """rep, component of the sets (id, n, tokens) that may link with another; others are alone."""
 
-    def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("n").to_numpy()
-            keep, tokens, rare = [], [], []
-            for i, (own, docs) in enumerate(zip(values(batch["tokens"], "<u8"), values(batch["docs"], "<i4"), strict=True)):
-                m, least = int((docs > 1).sum()), int(needed(n[i]))
-                if m >= least:
-                    own, docs = own[docs > 1], docs[docs > 1]
-                    order = np.lexsort((own, docs))
-                    keep.append(i)
-                    tokens.append(own)
-                    rare.append(own[order[: m - least + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["id"].take(pa.array(keep, pa.int64())),
-                    pa.array(n[keep], pa.int64()),
-                    blobs(tokens),
-                    pa.array(rare, pa.list_(pa.int64())),
-                ],
-                ["rep", "n", "tokens", "rare"],
-            )
-
-    counted = census(sets).mapInArrow(shared_only, "rep long, n long, tokens binary, rare array<long>")
+    def shared_only(rows: pa.Table, docs: list[np.ndarray], _: list[np.ndarray]) -> pa.Table:
+        keep, tokens, rare = [], [], []
+        sizes = rows["n"].to_numpy()
+        for i, (own, held) in enumerate(zip(values(rows["tokens"], "<u8"), docs, strict=True)):
+            m, least = int((held > 1).sum()), int(needed(sizes[i]))
+            if m >= least:
+                own, held = own[held > 1], held[held > 1]
+                order = np.lexsort((own, held))
+                keep.append(i)
+                tokens.append(own)
+                rare.append(own[order[: m - least + 1]].view(np.int64))
+        columns = [rows["id"].take(pa.array(keep, pa.int64())), pa.array(sizes[keep], pa.int64()), blobs(tokens)]
+        return pa.table([*columns, pa.array(rare, pa.list_(pa.int64()))], names=["rep", "n", "tokens", "rare"])
+
+    counted = census(sets, shared_only, "rep long, n long, tokens binary, rare array<long>")
     rows = scratch.save(counted)
     lists = rows.select("rep", F.explode("rare").alias("token"))
     heads = lists.groupBy("token").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")

@@ -279,22 +279,19 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def recurring(counted: DataFrame) -> DataFrame:
-    """doc_id, key, places, first of the tokens that several documents hold."""
+def recurring(rows: DataFrame) -> DataFrame:
+    """doc_id, key, places, first of the tokens of rows (id, key, tokens, places) that several documents hold."""
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            ids = zip(batch["id"].to_pylist(), batch["key"].to_pylist(), strict=True)
-            marks = zip(*[values(batch[c], k) for c, k in (("places", "<i4"), ("docs", "<i4"), ("first", "<i8"))], strict=True)
-            for (doc, key), (places, docs, first) in zip(ids, marks, strict=True):
-                again = docs > 1
-                if again.any():
-                    rows.append((doc, key, places[again].tobytes(), first[again].tobytes()))
-            yield _batch(rows, ["doc_id", "key", "places", "first"])
+    def kept(table: pa.Table, docs: list[np.ndarray], first: list[np.ndarray]) -> pa.Table:
+        out = []
+        ids = zip(table["id"].to_pylist(), table["key"].to_pylist(), strict=True)
+        for (doc, key), places, held, owner in zip(ids, values(table["places"], "<i4"), docs, first, strict=True):
+            again = held > 1
+            if again.any():
+                out.append((doc, key, places[again].tobytes(), owner[again].astype("<i8").tobytes()))
+        return pa.Table.from_batches([_batch(out, ["doc_id", "key", "places", "first"])])
 
-    names = ["id", "key", "places", "docs", "first"]
-    return counted.select(*names).mapInArrow(kept, "doc_id long, key long, places binary, first binary")
+    return census(rows, kept, "doc_id long, key long, places binary, first binary")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -385,12 +382,12 @@ def repeated_passages(
         alone = small_side(first.select(F.col("first_id").alias("doc_id"), "words_sha256"))
         own = table.filter(F.octet_length("tokens") > 0).join(alone, ["doc_id", "words_sha256"], "left_semi")
         own = scratch.save(own.select(F.col("doc_id").alias("id"), "key", "tokens", "places"))
-        found = scratch.save(recurring(census(own)).dropDuplicates(same))
+        found = scratch.save(recurring(own).dropDuplicates(same))
         texts = scratch.save(_candidates(docs, found))
         runs = confirm(cut(texts, window, phrase), window, phrase, shard_bytes, stream_bytes, scratch)
         by_doc = runs.groupBy(*same).agg(F.collect_set(F.struct("start", "end")).alias("runs"))
         waiting = windows_left(texts.join(by_doc, same, "left"), window, phrase)
-        again = scratch.save(recurring(census(scratch.save(waiting))))
+        again = scratch.save(recurring(scratch.save(waiting)))
         again = texts.select(*same, "text").join(again, same)
         more = confirm(cut(again, window, phrase), window, phrase, shard_bytes, stream_bytes, scratch)
         by_doc = runs.unionByName(more).groupBy(*same).agg(F.collect_set(F.struct("start", "end")).alias("runs"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from foldloom.session import checkpointed
 
 BROADCAST_ROWS = 200_000
+ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 1_000
 
 
 class Scratch:
@@ -18,16 +20,22 @@ class Scratch:
 
     Every executor can read them, so a lost executor costs only its own tasks.  The tables
     are deleted when the block ends; a result that outlives it goes through ``kept``.
+
+    Inside the block, Arrow batches have at most ``ARROW_ROWS`` rows, as rows hold whole texts.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folders: list[str] = []
+        self.rows: str | None = None
 
     def __enter__(self) -> Scratch:
+        self.rows = self.spark.conf.get(ARROW_SETTING)
+        self.spark.conf.set(ARROW_SETTING, min(int(self.rows), ARROW_ROWS))
         return self
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(ARROW_SETTING, self.rows)
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for folder in self.folders:
             path = jvm.org.apache.hadoop.fs.Path(folder)
