@@ -215,3 +215,10 @@ def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 
     found = repeated_passages(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op4_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    from foldloom.llm.cotraining import judge
+
+    return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
