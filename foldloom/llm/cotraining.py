@@ -37,6 +37,9 @@ LEAST_EVIDENCE = 20
 WORD_FEATURES = 1 << 15
 PAGE_FEATURES = 1 << 8
 THRESHOLD = 0.5
+STRENGTH = 1e-2
+#: the fitted sample is bounded, so are the tasks of an iteration
+FIT_PARTITIONS = 6
 VIEWS = ("text", "page")
 
 
@@ -63,8 +66,9 @@ def features(docs: DataFrame) -> DataFrame:
         F.log1p(F.regexp_count("_text", F.lit(r"[#*$%&|<>!]")) / n),
         F.log1p(F.regexp_count("_text", F.lit(r"[A-Z]{2}")) / n),
     ]
-    rows = rows.withColumn("_stats", array_to_vector(F.array(*stats)))
-    rows = VectorAssembler(inputCols=["_weights", "_stats"], outputCol="text_features").transform(rows)
+    rows = rows.withColumns({f"_stat{i}": s.cast("double") for i, s in enumerate(stats)})
+    parts = ["_weights", *[f"_stat{i}" for i in range(len(stats))]]
+    rows = VectorAssembler(inputCols=parts, outputCol="text_features").transform(rows)
     hasher = FeatureHasher(
         inputCols=["_source", "_lang", "_band"], outputCol="page_features", numFeatures=PAGE_FEATURES
     )
@@ -75,7 +79,7 @@ def margin(view: str) -> F.Column:
     return vector_to_array(f"{view}_raw")[1].alias(f"{view}_margin")
 
 
-def _fit(rows: DataFrame, column: str, strength: float, iterations: int = 50) -> LogisticRegressionModel:
+def _fit(rows: DataFrame, column: str, strength: float, iterations: int = 25) -> LogisticRegressionModel:
     view = column.removesuffix("_features")
     return LogisticRegression(
         featuresCol=column,
@@ -186,21 +190,28 @@ def fit(
     if not all(n for c in counts.values() for n in c):
         bad, good = (sum(c[i] for c in counts.values()) for i in (0, 1))
         return good / (good + bad) if good + bad else 1.0
-    strength = {"text": 1e-2, "page": 1e-2}
     given: dict[str, DataFrame | None] = dict.fromkeys(VIEWS)
+    models: dict[str, LogisticRegressionModel] = {}
     for turn in range(rounds + 1):
-        models = {}
         for view in VIEWS:
             column = f"{view}_features"
             rows = train.select("good", column)
             if given[view] is not None:
                 rows = rows.unionByName(pool.join(F.broadcast(given[view]), "doc_id").select("good", column))
-            models[view] = _fit(rows, column, strength[view])
-        held_margins = scratch.kept(_with_margins(held, models).select("doc_id", "good", *[f"{v}_margin" for v in VIEWS]))
+            elif view in models:
+                continue  # nothing was handed over, so the rows are those of the round before
+            models[view] = _fit(rows.coalesce(FIT_PARTITIONS), column, STRENGTH)
+        held_margins = _with_margins(held, {v: models[v] for v in VIEWS})
+        held_margins = scratch.kept(held_margins.select("doc_id", "good", *[f"{v}_margin" for v in VIEWS]).coalesce(1))
         if turn < rounds:
-            pool_margins = scratch.kept(_with_margins(pool, models).select("doc_id", *[f"{v}_margin" for v in VIEWS]))
+            pool_margins = scratch.kept(
+                _with_margins(pool, {v: models[v] for v in VIEWS}).select("doc_id", *[f"{v}_margin" for v in VIEWS])
+            )
             for view, other in zip(VIEWS, VIEWS[::-1], strict=True):
-                given[other] = scratch.kept(_confident(held_margins, pool_margins, view))  # at most the pool
+                labels_given = scratch.kept(_confident(held_margins, pool_margins, view))  # at most the pool
+                given[other] = None if labels_given.isEmpty() else labels_given
+            if all(g is None for g in given.values()):
+                break
     scales = {v: _calibrated(held_margins, v) for v in VIEWS}
     both = _as_vector(held_margins, [f"{v}_margin" for v in VIEWS], "both_features")
     joint = _fit(both, "both_features", 1e-4)

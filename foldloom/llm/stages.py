@@ -1,2 +1,51 @@
-"""Stages of the corpus pipeline."""
-quality = near_duplicates = repeated_passages = mix = encode = None
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) to the documents that stay.
+
+All but the last return the columns of ``docs``; n_chars follows text where a stage changes it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foldloom.llm import cotraining, lexicon_bpe, overlap_join, passages, poisson_mix
+from foldloom.llm.queries import table, tokenizer
+from foldloom.llm.store import Scratch, small_side
+
+
+def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id (null included) is in ``ids``."""
+    ids = small_side(Scratch.kept(ids.select(F.col("doc_id").alias("_id")).distinct()))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    judged = cotraining.judge(docs, table(spark, sf_dir, "labels"))
+    rejected = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept")
+    rejected = small_side(Scratch.kept(rejected.select(F.col("doc_id").alias("_id"))))
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that of smallest doc_id."""
+    found = overlap_join.duplicate_classes(docs)
+    return _rows_of(docs, found.filter("doc_id <=> component_id")).dropDuplicates(["doc_id", "text"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document of smaller doc_id holds."""
+    cut = passages.without_passages(docs)
+    kind = docs.schema["n_chars"].dataType
+    changed = F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", changed)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's rate draws it, shuffled."""
+    return poisson_mix.replicate(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids, and the text that the ids decode to."""
+    return lexicon_bpe.encode(docs, tokenizer("word_bpe_49k.json")).drop("text")
