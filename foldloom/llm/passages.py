@@ -413,7 +413,8 @@ def without_passages(docs: DataFrame, **options: int) -> DataFrame:
         F.coalesce("doc_id", F.lit(LAST)).alias("_doc_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans")
     ).dropDuplicates(["_doc_id", "_key"])
     joined = keyed(docs).join(small_side(Scratch.kept(found)), ["_doc_id", "_key"], "left")
-    joined = joined.select(*docs.columns, "_spans")
+    names = docs.columns
+    joined = joined.select(*names, "_spans")
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -427,7 +428,7 @@ def without_passages(docs: DataFrame, **options: int) -> DataFrame:
                         starts = [*(words.starts[at : words.first[row + 1]] - base).tolist(), len(raw)]
                         cuts = [0, *[starts[s[e]] for s in spans for e in ("start", "end")], len(raw)]
                         texts[row] = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)).decode()
-                columns = [pa.array(texts, pa.string()) if n == "text" else part[n] for n in docs.columns]
-                yield pa.RecordBatch.from_arrays(columns, docs.columns)
+                columns = [pa.array(texts, pa.string()) if n == "text" else part[n] for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(computed, StructType(list(docs.schema.fields)))

@@ -13,12 +13,6 @@ from foldloom.llm.queries import table, tokenizer
 from foldloom.llm.store import Scratch, small_side
 
 
-def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id (null included) is in ``ids``."""
-    ids = small_side(Scratch.kept(ids.select(F.col("doc_id").alias("_id")).distinct()))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     judged = cotraining.judge(docs, table(spark, sf_dir, "labels"))
@@ -28,9 +22,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that of smallest doc_id."""
-    found = overlap_join.duplicate_classes(docs)
-    return _rows_of(docs, found.filter("doc_id <=> component_id")).dropDuplicates(["doc_id", "text"])
+    """One document of each class of near duplicates, that of smallest doc_id; rows without one all stay."""
+    found = Scratch.kept(overlap_join.duplicate_classes(docs))
+    rows = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = Scratch.kept(rows)
+    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    stay = docs.join(small_side(dropped), F.col("doc_id") == F.col("_id"), "left_anti")
+    again = rows.filter("n > 1").select("_id")
+    if again.isEmpty():
+        return stay
+    # ids with several rows keep one of them
+    again = small_side(again)
+    once = stay.join(again, F.col("doc_id") == F.col("_id"), "left_anti")
+    several = stay.join(again, F.col("doc_id") == F.col("_id"), "left_semi")
+    return once.unionByName(several.dropDuplicates(["doc_id"]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,4 +53,5 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and the text that the ids decode to."""
-    return lexicon_bpe.encode(docs, tokenizer("word_bpe_49k.json")).drop("text")
+    encoded = lexicon_bpe.encode(docs, tokenizer("word_bpe_49k.json")).drop("text")
+    return encoded.withColumn("decoded", F.col("decoded").cast("string"))
