@@ -178,8 +178,9 @@ def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> lis
 def ship_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
     """Compile the lexicon and give it to Spark's file distribution; returns the file's name."""
     words = frequent_words(docs, path, most)
-    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words], dtype=np.int64)
-    ids, counts = Merger(vocabulary(path)).merge(data, ends - [len(w) for w in words], ends)
+    data, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(size)
+    ids, counts = Merger(vocabulary(path)).merge(data, ends - size, ends)
     flat = Transducer.compile(dict(zip(words, np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if words else {})
     name = f"lexicon-{hashlib.sha256(flat.tobytes()).hexdigest()[:16]}.npy"
     context = docs.sparkSession.sparkContext
