@@ -151,33 +151,30 @@ def flips(width: int, most: int) -> np.ndarray:
 def _matrix(table: pa.Table) -> np.ndarray:
     flat = table.column("embedding").combine_chunks()
     values = flat.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 0))
+    return values.reshape(table.num_rows, -1)
 
 
 def nearest_in_shard(index: pa.Table, queries: pa.Table, codes: Codes, k: int, radius: int) -> pa.Table:
-    ids = index.column("vec_id").to_numpy()
-    vectors, asked = _matrix(index), _matrix(queries)
-    tables = SubstringIndex(codes.encode(vectors), [r.shape[1] for r in codes.rotations])
-    words = codes.encode(asked)
-    out: tuple[list, list, list] = ([], [], [])
-    for query, vector, word in zip(queries.column("vec_id").to_pylist(), asked, words, strict=True):
-        reach = radius
-        while True:
-            found = tables.within(word, reach)
-            found = found[ids[found] != query]
-            if len(found) >= k or reach >= codes.bits:
-                break
-            reach = min(codes.bits, reach + max(1, codes.bits // 16))
-        score = np.sqrt(((vectors[found] - vector) ** 2).sum(axis=1))
-        best = np.lexsort((ids[found], score))[:k]
-        out[0].append(np.full(len(best), query, np.int64))
-        out[1].append(ids[found[best]])
-        out[2].append(score[best])
-    return pa.table(
-        {name: np.concatenate(parts) for name, parts in zip(("query_id", "vec_id", "score"), out, strict=True)}
-        if out[0]
-        else {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-    )
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    if index.num_rows and queries.num_rows:
+        ids = index.column("vec_id").to_numpy()
+        vectors, asked = _matrix(index), _matrix(queries)
+        tables = SubstringIndex(codes.encode(vectors), [r.shape[1] for r in codes.rotations])
+        for query, vector, word in zip(
+            queries.column("vec_id").to_pylist(), asked, codes.encode(asked), strict=True
+        ):
+            reach = radius
+            while True:
+                found = tables.within(word, reach)
+                found = found[ids[found] != query]
+                if len(found) >= k or reach >= codes.bits:
+                    break
+                reach = min(codes.bits, reach + max(1, codes.bits // 16))
+            score = np.sqrt(((vectors[found] - vector) ** 2).sum(axis=1))
+            best = np.lexsort((ids[found], score))[:k]
+            out.append((np.full(len(best), query, np.int64), ids[found[best]], score[best]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
 
 def search(
