@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_TOKENS = 1 << 19
-BUCKET_TOKENS = 1 << 20
+#: tokens of a chunk or bucket: the small size up to ``PARTS`` of them, then larger ones up to the large size
+SMALL, LARGE, PARTS = 1 << 18, 1 << 23, 1 << 11
 
 ASKED = "chunk long, bucket long, tokens binary, counts binary, firsts binary"
 
@@ -24,6 +24,14 @@ def values(column: pa.ChunkedArray | pa.Array, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(v.as_buffer() or b"", kind) if v.is_valid else np.zeros(0, kind) for v in column]
 
 
+def parts_of(tokens: int) -> int:
+    """Into how many chunks or buckets so many tokens go.
+
+    A chunk has a row for each bucket that it asks, so both grow once there are many of them.
+    """
+    return max(1, tokens // LARGE, min(tokens // SMALL, PARTS))
+
+
 def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
     """Equal ranges of the token space; ascending with the token."""
     return ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -115,9 +123,8 @@ def census(rows: DataFrame, finish: Callable[[pa.Table, list, list], pa.Table],
     (id, tokens and any others) should be a written table, as it is read more than once; ids must
     not be null.
     """
-    total = rows.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    chunks = max(1, total // (8 * CHUNK_TOKENS))
-    buckets = max(1, total // (8 * BUCKET_TOKENS))
+    total = (rows.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // 8
+    chunks = buckets = parts_of(total)
     chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk")
     asked = rows.select("id", "tokens", chunk).groupBy("chunk")
     asked = asked.applyInArrow(lambda key, table: _ask(key, table, buckets), ASKED)

@@ -39,14 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.census import bucket_of, census, runs_of, values
+from foldloom.llm.census import bucket_of, census, parts_of, runs_of, values
 from foldloom.llm.components import components
 from foldloom.llm.pieces import spread
 from foldloom.llm.store import Scratch, attach, small_side
 from foldloom.llm.words import GRAM, Words, blobs, gram_hashes, mixed, run_hashes, slices, word_hashes, words_of
 
 SHINGLE = 5
-BUCKET_TOKENS = 1 << 20
+#: prefix shingles that a task gathers before it asks about them
+ASK_TOKENS = 1 << 19
 BLOCK_TOKENS = 1 << 22
 BLOCK_SETS = 1 << 14
 PIVOTS = 16
@@ -99,10 +100,14 @@ ASKED_NAMES = ["bucket", "tokens", "holders", "own", "own_counts", "doc_id", "n_
 FOUND_NAMES = ["holder", "found", "doc_id", "n_shingles", "print"]
 
 
-def _prefixes(sets: list[np.ndarray], prints: list[bytes], buckets: int) -> pa.RecordBatch:
-    """Questions of one slice: its distinct sets' prefix shingles by bucket, each shingle once."""
-    distinct = {p: s for p, s in zip(prints, sets, strict=True) if len(s)}
-    parts = [s[: len(s) - needed(len(s)) + int(spare(len(s)))] for s in distinct.values()]
+def prefix(shingle_set: np.ndarray) -> np.ndarray:
+    n = len(shingle_set)
+    return shingle_set[: n - needed(n) + int(spare(n))].copy()
+
+
+def _prefixes(distinct: dict[bytes, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Questions about the prefixes of distinct sets, by bucket, each shingle once."""
+    parts = list(distinct.values())
     tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     holder = np.repeat(_holder(list(distinct)), [len(p) for p in parts])
     order = np.argsort(tokens, kind="stable")
@@ -161,6 +166,8 @@ def summaries(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows (doc_id, n_shingles, print) of all documents, and rows (holder, found) of shared prefixes."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct: dict[bytes, np.ndarray] = {}
+        gathered = 0
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingles(words_of(part.column("text"), lower=True))
@@ -170,7 +177,14 @@ def summaries(docs: DataFrame, buckets: int) -> DataFrame:
                 facts = [pa.array([x * buckets >> 16 for x in place], pa.int64()), *[pa.nulls(n, pa.binary())] * 4]
                 facts += [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*facts, pa.array(prints, pa.binary())], ASKED_NAMES)
-                yield _prefixes(sets, prints, buckets)
+                for p, s in zip(prints, sets, strict=True):
+                    if len(s) and p not in distinct:
+                        distinct[p] = prefix(s)
+                        gathered += len(distinct[p])
+                if gathered >= ASK_TOKENS:
+                    yield _prefixes(distinct, buckets)
+                    distinct, gathered = {}, 0
+        yield _prefixes(distinct, buckets)
 
     rows = docs.select("doc_id", "text").mapInArrow(asked, ASKED)
     return rows.groupBy("bucket").applyInArrow(_shared, FOUND)
@@ -400,9 +414,8 @@ def duplicate_classes(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, block_s
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch(docs.sparkSession) as scratch:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        # a byte of text gives about a sixteenth of a prefix shingle
-        buckets = max(1, size // (16 * BUCKET_TOKENS))
-        found = scratch.save(summaries(docs, buckets))
+        # a byte of text gives about a twentieth of a prefix shingle
+        found = scratch.save(summaries(docs, parts_of(size // 20)))
         facts = found.filter("print is not null").select("doc_id", "n_shingles", "print")
         counts = found.filter("holder is not null").groupBy("holder").agg(F.sum("found").alias("found"))
         classes = facts.filter("n_shingles > 0").groupBy("print", "n_shingles")
