@@ -20,9 +20,12 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import FeatureHasher, HashingTF, Normalizer, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,23 +41,17 @@ WORD_FEATURES = 1 << 15
 PAGE_FEATURES = 1 << 8
 THRESHOLD = 0.5
 STRENGTH = 1e-2
+ITERATIONS = 25
 #: the fitted sample is bounded, so are the tasks of an iteration
 FIT_PARTITIONS = 6
 VIEWS = ("text", "page")
+PAGE_COLUMNS = ("_page0", "_page1", "_page2")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source, n_chars and others) plus text_features and page_features."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    band = F.floor(F.log2(F.coalesce(F.col("n_chars"), F.lit(0)).cast("double") + 1))
-    rows = docs.withColumns(
-        {
-            "_text": text,
-            "_source": F.coalesce("source", F.lit("")),
-            "_lang": F.coalesce("lang", F.lit("")),
-            "_band": F.coalesce(band, F.lit(0)).cast("string"),
-        }
-    )
+def text_features(docs: DataFrame) -> DataFrame:
+    """``docs`` plus text_features: hashed words of length one together, and statistics of the text."""
+    names = docs.columns
+    rows = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     rows = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[\x20\x09-\x0D]+").transform(rows)
     rows = HashingTF(inputCol="_words", outputCol="_hashed", numFeatures=WORD_FEATURES, binary=True).transform(rows)
     rows = Normalizer(inputCol="_hashed", outputCol="_weights").transform(rows)
@@ -69,67 +66,62 @@ def features(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({f"_stat{i}": s.cast("double") for i, s in enumerate(stats)})
     parts = ["_weights", *[f"_stat{i}" for i in range(len(stats))]]
     rows = VectorAssembler(inputCols=parts, outputCol="text_features").transform(rows)
-    hasher = FeatureHasher(
-        inputCols=["_source", "_lang", "_band"], outputCol="page_features", numFeatures=PAGE_FEATURES
-    )
-    return hasher.transform(rows).select(*docs.columns, "text_features", "page_features")
-
-
-def margin(view: str) -> F.Column:
-    return vector_to_array(f"{view}_raw")[1].alias(f"{view}_margin")
-
+    return rows.select(*names, "text_features")
 
-def _fit(rows: DataFrame, column: str, strength: float, iterations: int = 25) -> LogisticRegressionModel:
-    view = column.removesuffix("_features")
-    return LogisticRegression(
-        featuresCol=column,
-        labelCol="good",
-        rawPredictionCol=f"{view}_raw",
-        probabilityCol=f"{view}_probability",
-        predictionCol=f"{view}_prediction",
-        regParam=strength,
-        maxIter=iterations,
-    ).fit(rows)
 
+def page_features() -> list[F.Column]:
+    """Hashed source, language and size band: three of PAGE_FEATURES indicators."""
+    band = F.floor(F.log2(F.coalesce(F.col("n_chars"), F.lit(0)).cast("double") + 1)).cast("string")
+    values = {"source": F.coalesce("source", F.lit("")), "lang": F.coalesce("lang", F.lit("")), "band": F.coalesce(band, F.lit(""))}
+    return [
+        F.pmod(F.xxhash64(F.lit(kind), value), F.lit(PAGE_FEATURES)).cast("int").alias(name)
+        for name, (kind, value) in zip(PAGE_COLUMNS, values.items(), strict=True)
+    ]
 
-def _with_margins(rows: DataFrame, models: dict[str, LogisticRegressionModel]) -> DataFrame:
-    names = rows.columns
-    for model in models.values():
-        rows = model.transform(rows)
-    return rows.select(*names, *[margin(v) for v in models])
 
+def logistic(at: np.ndarray, values: np.ndarray, good: np.ndarray, size: int, strength: float) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton steps; the last one is the offset.
 
-def _as_vector(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
-    return rows.withColumn(name, array_to_vector(F.array(*columns)))
+    Row i has values[i, k] at feature at[i, k]; a feature may occur twice in a row.
+    """
+    at = np.column_stack((at, np.full(len(at), size)))
+    values = np.column_stack((values, np.ones(len(values))))
+    weights = np.zeros(size + 1)
+    penalty = np.append(np.full(size, strength * len(good)), 1e-6)
+    flat = (at[:, :, None] * (size + 1) + at[:, None, :]).ravel()
+    outer = values[:, :, None] * values[:, None, :]
+    for _ in range(ITERATIONS):
+        p = 1 / (1 + np.exp(-np.clip((values * weights[at]).sum(axis=1), -30, 30)))
+        slope = np.bincount(at.ravel(), (values * (p - good)[:, None]).ravel(), size + 1) + penalty * weights
+        bend = np.bincount(flat, (outer * (p * (1 - p))[:, None, None]).ravel(), (size + 1) ** 2)
+        step = np.linalg.solve(bend.reshape(size + 1, size + 1) + np.diag(penalty + 1e-9), slope)
+        weights -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return weights
 
 
-def _calibrated(held: DataFrame, view: str) -> tuple[float, float]:
-    """Slope and offset that turn a view's margin into the log-odds seen on held-out rows."""
-    model = _fit(_as_vector(held, [f"{view}_margin"], "margin_features"), "margin_features", 1e-4)
-    return float(model.coefficients[0]), float(model.intercept)
+def calibration(margins: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Weights that turn margins (one column per view) into the log-odds seen on held-out rows, and an offset."""
+    views = margins.shape[1]
+    at = np.tile(np.arange(views), (len(margins), 1))
+    return logistic(at, margins, good, views, 1e-4)
 
 
-def _probability(view: str, scale: tuple[float, float]) -> F.Column:
-    return 1 / (1 + F.exp(-(F.col(f"{view}_margin") * scale[0] + scale[1])))
+def confident(margin: np.ndarray, held_margin: np.ndarray, held_good: np.ndarray) -> np.ndarray:
+    """The label that a view may hand over for each pool row: 1, 0, or nan for none."""
+    slope, offset = calibration(held_margin[:, None], held_good)
 
+    def sides(x: np.ndarray) -> dict[float, np.ndarray]:
+        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
+        return {1.0: p >= CONFIDENT, 0.0: p <= 1 - CONFIDENT}
 
-def _confident(held: DataFrame, pool: DataFrame, view: str) -> DataFrame:
-    """doc_id and good of the pool rows that the view may hand over."""
-    scale = _calibrated(held, view)
-    p = _probability(view, scale)
-    sides = {1.0: p >= CONFIDENT, 0.0: p <= 1 - CONFIDENT}
-    seen = held.agg(
-        *[
-            F.struct(F.count_if(side).alias("n"), F.count_if(side & (F.col("good") == good)).alias("right")).alias(f"s{good:.0f}")
-            for good, side in sides.items()
-        ]
-    ).first()
-    label = F.lit(None).cast("double")
-    for good, side in sides.items():
-        evidence = seen[f"s{good:.0f}"]
-        if evidence["n"] >= LEAST_EVIDENCE and evidence["right"] >= CONFIDENT * evidence["n"]:
-            label = F.when(side, F.lit(good)).otherwise(label)
-    return pool.withColumn("good", label).filter("good is not null").select("doc_id", "good")
+    label, seen = np.full(len(margin), np.nan), sides(held_margin)
+    for good, side in sides(margin).items():
+        n = seen[good].sum()
+        if n >= LEAST_EVIDENCE and (held_good[seen[good]] == good).sum() >= CONFIDENT * n:
+            label[side] = good
+    return label
 
 
 def _first(rows: DataFrame, most: int) -> DataFrame:
@@ -137,23 +129,31 @@ def _first(rows: DataFrame, most: int) -> DataFrame:
     return rows.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(most)
 
 
+@dataclass
 class Classifier:
-    """Two fitted views and the weights that combine their margins."""
+    """Two fitted views, their calibrations, and the weights that combine their margins."""
 
-    def __init__(self, models: dict[str, LogisticRegressionModel], scales: dict, weights: list[float], offset: float):
-        self.models, self.scales, self.weights, self.offset = models, scales, weights, offset
+    text_model: LogisticRegressionModel
+    page_weights: np.ndarray
+    scales: dict[str, np.ndarray]
+    joint: np.ndarray
 
     def score(self, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         """doc_id, text_probability, page_probability, good_probability and kept of every document."""
-        rows = features(docs.select("doc_id", "text", "lang", "source", "n_chars"))
-        rows = _with_margins(rows, self.models)
-        odds = F.lit(self.offset)
-        for view, weight in zip(VIEWS, self.weights, strict=True):
-            odds = odds + F.col(f"{view}_margin") * weight
-        quality = 1 / (1 + F.exp(-odds))
+        rows = text_features(docs.select("doc_id", "text", *page_features()))
+        rows = self.text_model.transform(rows).withColumn("text_margin", vector_to_array("rawPrediction")[1])
+        table = F.lit([float(w) for w in self.page_weights[:-1]])
+        known = [F.element_at(table, F.col(c) + 1) for c in PAGE_COLUMNS]
+        rows = rows.withColumn("page_margin", sum(known, F.lit(float(self.page_weights[-1]))))
+
+        def probability(weights: np.ndarray, views: tuple[str, ...]) -> F.Column:
+            terms = [F.col(f"{v}_margin") * float(w) for v, w in zip(views, weights, strict=False)]
+            return 1 / (1 + F.exp(-sum(terms, F.lit(float(weights[-1])))))
+
+        quality = probability(self.joint, VIEWS)
         return rows.select(
             "doc_id",
-            *[_probability(v, self.scales[v]).alias(f"{v}_probability") for v in VIEWS],
+            *[probability(self.scales[v], (v,)).alias(f"{v}_probability") for v in VIEWS],
             quality.alias("good_probability"),
             (quality >= threshold).alias("kept"),
         )
@@ -166,56 +166,74 @@ def labelled(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("good").alias("good"))
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = LABELLED, pool_size: int = POOL, rounds: int = ROUNDS
-) -> Classifier | float:
-    """The classifier, or the share of good documents where it cannot be learned."""
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id is not null")
+def _sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int, pool_size: int) -> DataFrame:
+    """doc_id, part (train, held or pool), good, text_features and page columns of the bounded sample."""
     known = labelled(labels)
     ids = docs.select("doc_id")
     chosen = _first(ids.join(known, "doc_id", "left_semi"), most).join(known, "doc_id")
     others = _first(ids.join(known, "doc_id", "left_anti"), pool_size).withColumn("good", F.lit(None).cast("double"))
     chosen = scratch.kept(chosen.unionByName(others))
+    held = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(HELD_OUT)) == 0
+    part = F.when(F.col("good").isNull(), "pool").when(held, "held").otherwise("train")
     # at most ``most`` + ``pool_size`` ids
-    sample = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    table = scratch.save(features(sample).select("doc_id", "good", "text_features", "page_features"))
-    part = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(HELD_OUT))
-    pool = table.filter("good is null").drop("good")
-    train = table.filter("good is not null").filter(part > 0)
-    held = table.filter("good is not null").filter(part == 0)
-    counts = {
-        name: tuple(rows.agg(F.count_if(F.col("good") == 0), F.count_if(F.col("good") == 1)).first())
-        for name, rows in (("train", train), ("held", held))
-    }
-    if not all(n for c in counts.values() for n in c):
-        bad, good = (sum(c[i] for c in counts.values()) for i in (0, 1))
-        return good / (good + bad) if good + bad else 1.0
-    given: dict[str, DataFrame | None] = dict.fromkeys(VIEWS)
-    models: dict[str, LogisticRegressionModel] = {}
+    rows = docs.join(F.broadcast(chosen.withColumn("part", part)), "doc_id").dropDuplicates(["doc_id"])
+    rows = text_features(rows.select("doc_id", "part", "good", "text", *page_features())).drop("text")
+    return scratch.save(rows.coalesce(FIT_PARTITIONS))
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = LABELLED, pool_size: int = POOL, rounds: int = ROUNDS
+) -> Classifier | float:
+    """The classifier, or the share of good documents where it cannot be learned.
+
+    The text view is fitted by Spark over the sample; the driver gets the sample's labels, margins
+    and page indicators, which the bounds keep small.
+    """
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id is not null")
+    table = _sample(docs, labels, scratch, most, pool_size)
+    facts = table.select("doc_id", "part", "good", *PAGE_COLUMNS).toArrow().sort_by("doc_id")
+    ids, part = facts["doc_id"].to_numpy(), facts["part"].to_numpy()
+    good = facts["good"].to_numpy(zero_copy_only=False).astype(float)
+    page = np.column_stack([facts[c].to_numpy() for c in PAGE_COLUMNS]) if len(ids) else np.zeros((0, 3), int)
+    train, held, pool = (part == name for name in ("train", "held", "pool"))
+    if any(not (good[rows] == value).any() for rows in (train, held) for value in (0, 1)):
+        known = good[~np.isnan(good)]
+        return float(known.mean()) if len(known) else 1.0
+
+    spark = docs.sparkSession
+    estimator = LogisticRegression(
+        featuresCol="text_features", labelCol="good", regParam=STRENGTH, maxIter=ITERATIONS, aggregationDepth=2
+    )
+    given = {v: np.full(len(ids), np.nan) for v in VIEWS}  # pseudo-labels that each view got
+    margins: dict[str, np.ndarray] = {}
+    model, page_weights = None, None
     for turn in range(rounds + 1):
-        for view in VIEWS:
-            column = f"{view}_features"
-            rows = train.select("good", column)
-            if given[view] is not None:
-                rows = rows.unionByName(pool.join(F.broadcast(given[view]), "doc_id").select("good", column))
-            elif view in models:
-                continue  # nothing was handed over, so the rows are those of the round before
-            models[view] = _fit(rows.coalesce(FIT_PARTITIONS), column, STRENGTH)
-        held_margins = _with_margins(held, {v: models[v] for v in VIEWS})
-        held_margins = scratch.kept(held_margins.select("doc_id", "good", *[f"{v}_margin" for v in VIEWS]).coalesce(1))
+        fresh = {v: turn == 0 or not np.isnan(given[v]).all() for v in VIEWS}
+        if fresh["text"]:
+            rows = table.filter("part = 'train'").select("good", "text_features")
+            named = ~np.isnan(given["text"])
+            if named.any():
+                extra = spark.createDataFrame(
+                    list(zip(ids[named].tolist(), given["text"][named].tolist(), strict=True)), "doc_id long, good double"
+                )
+                extra = table.filter("part = 'pool'").drop("good").join(F.broadcast(extra), "doc_id")
+                rows = rows.unionByName(extra.select("good", "text_features")).coalesce(FIT_PARTITIONS)
+            model = estimator.fit(rows)
+            found = model.transform(table).select("doc_id", vector_to_array("rawPrediction")[1].alias("m"))
+            margins["text"] = found.toArrow().sort_by("doc_id")["m"].to_numpy()
+        if fresh["page"]:
+            label = np.where(train, good, given["page"])
+            used = ~np.isnan(label)
+            page_weights = logistic(page[used], np.ones(page[used].shape), label[used], PAGE_FEATURES, STRENGTH)
+            margins["page"] = page_weights[page].sum(axis=1) + page_weights[-1]
         if turn < rounds:
-            pool_margins = scratch.kept(
-                _with_margins(pool, {v: models[v] for v in VIEWS}).select("doc_id", *[f"{v}_margin" for v in VIEWS])
-            )
             for view, other in zip(VIEWS, VIEWS[::-1], strict=True):
-                labels_given = scratch.kept(_confident(held_margins, pool_margins, view))  # at most the pool
-                given[other] = None if labels_given.isEmpty() else labels_given
-            if all(g is None for g in given.values()):
+                given[other] = np.where(pool, confident(margins[view], margins[view][held], good[held]), np.nan)
+            if all(np.isnan(g).all() for g in given.values()):
                 break
-    scales = {v: _calibrated(held_margins, v) for v in VIEWS}
-    both = _as_vector(held_margins, [f"{v}_margin" for v in VIEWS], "both_features")
-    joint = _fit(both, "both_features", 1e-4)
-    return Classifier(models, scales, [float(c) for c in joint.coefficients], float(joint.intercept))
+    both = np.column_stack([margins[v][held] for v in VIEWS])
+    scales = {v: calibration(both[:, [i]], good[held]) for i, v in enumerate(VIEWS)}
+    return Classifier(model, page_weights, scales, calibration(both, good[held]))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **sizes: int) -> DataFrame:
@@ -226,5 +244,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **si
         return found.score(docs, threshold)
     share = F.lit(found).cast("double")
     return docs.select(
-        "doc_id", *[share.alias(f"{v}_probability") for v in VIEWS], share.alias("good_probability"), (share >= threshold).alias("kept")
+        "doc_id",
+        *[share.alias(f"{v}_probability") for v in VIEWS],
+        share.alias("good_probability"),
+        (share >= threshold).alias("kept"),
     )

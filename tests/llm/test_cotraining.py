@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from foldloom.llm import cotraining
@@ -32,16 +33,21 @@ def test_held_out_accuracy(table):
     assert all(0 <= r[c] <= 1 for r in rows for c in ("text_probability", "page_probability", "good_probability"))
 
 
-def test_views_hand_over_what_they_know(spark, table):
-    docs, labels = table
-    held = spark.createDataFrame(
-        [(i, float(i % 2), 4.0 if i % 2 else -4.0, 0.01 * (i % 7)) for i in range(400)],
-        "doc_id long, good double, text_margin double, page_margin double",
-    )
-    pool = held.drop("good")
-    given = {r["doc_id"]: r["good"] for r in cotraining._confident(held, pool, "text").collect()}
-    assert given == {i: float(i % 2) for i in range(400)}
-    assert cotraining._confident(held, pool, "page").count() == 0
+def test_views_hand_over_what_they_know():
+    good = np.arange(400) % 2.0
+    knows, guesses = np.where(good == 1, 4.0, -4.0), 0.01 * (np.arange(400) % 7)
+    assert cotraining.confident(knows, knows, good).tolist() == good.tolist()
+    assert np.isnan(cotraining.confident(guesses, guesses, good)).all()
+    # a class without evidence stays at home
+    assert set(cotraining.confident(knows, knows[:30], good[:30]).tolist()[::2]) != {0.0}
+
+
+def test_logistic_regression_finds_the_odds():
+    at = np.array([[0]] * 100 + [[1]] * 100)
+    good = np.array([1.0] * 80 + [0.0] * 20 + [1.0] * 30 + [0.0] * 70)
+    weights = cotraining.logistic(at, np.ones((200, 1)), good, 2, 1e-9)
+    odds = weights[:2] + weights[2]
+    np.testing.assert_allclose(odds, [np.log(4), np.log(3 / 7)], atol=1e-3)
 
 
 def test_labels(spark):
