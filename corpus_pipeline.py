@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from foldloom.llm import stages
-from foldloom.llm.store import shared_folder
+from foldloom.llm.store import delete, shared_folder
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of ``docs``
 STAGES = [
@@ -23,10 +23,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage read is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (_, stage) in enumerate(STAGES):
-        out = f"{folder}/{number}"
+    read = None
+    for _, stage in STAGES:
+        out = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        if read is not None:
+            delete(spark, read)
+        docs, read = spark.read.parquet(out), out
     return docs

@@ -36,10 +36,8 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         self.spark.conf.set(ARROW_SETTING, self.rows)
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for folder in self.folders:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, folder)
 
     def save(self, df: DataFrame) -> DataFrame:
         folder = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
@@ -53,6 +51,11 @@ class Scratch:
         return checkpointed(df)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
