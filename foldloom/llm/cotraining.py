@@ -29,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.store import Scratch
+from foldloom.llm.store import Scratch, first_by_hash
 
 LABELLED = 20_000
 POOL = 20_000
@@ -124,11 +124,6 @@ def confident(margin: np.ndarray, held_margin: np.ndarray, held_good: np.ndarray
     return label
 
 
-def _first(rows: DataFrame, most: int) -> DataFrame:
-    """The ``most`` ids that come first by hash."""
-    return rows.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(most)
-
-
 @dataclass
 class Classifier:
     """Two fitted views, their calibrations, and the weights that combine their margins."""
@@ -170,8 +165,9 @@ def _sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int, poo
     """doc_id, part (train, held or pool), good, text_features and page columns of the bounded sample."""
     known = labelled(labels)
     ids = docs.select("doc_id")
-    chosen = _first(ids.join(known, "doc_id", "left_semi"), most).join(known, "doc_id")
-    others = _first(ids.join(known, "doc_id", "left_anti"), pool_size).withColumn("good", F.lit(None).cast("double"))
+    named, unnamed = ids.join(known, "doc_id", "left_semi").distinct(), ids.join(known, "doc_id", "left_anti").distinct()
+    chosen = first_by_hash(named, "doc_id", most, 17).join(known, "doc_id")
+    others = first_by_hash(unnamed, "doc_id", pool_size, 17).withColumn("good", F.lit(None).cast("double"))
     chosen = scratch.kept(chosen.unionByName(others))
     held = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(HELD_OUT)) == 0
     part = F.when(F.col("good").isNull(), "pool").when(held, "held").otherwise("train")

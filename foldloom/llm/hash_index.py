@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.llm.pieces import spread
+from foldloom.llm.store import first_by_hash
 
 SAMPLE_ROWS = 10_000
 ROUNDS = 30
@@ -77,8 +78,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def fit(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> Codes | None:
     """Learn the rotations on the ``sample_rows`` rows that come first by a hash of vec_id."""
-    order = F.xxhash64(F.lit(seed), "vec_id")
-    rows = usable(vectors).orderBy(order, "vec_id").limit(sample_rows).select("embedding").collect()
+    rows = first_by_hash(usable(vectors), "vec_id", sample_rows, seed).select("embedding").collect()
     if not rows:
         return None
     size = Counter(len(r[0]) for r in rows).most_common(1)[0][0]

@@ -39,6 +39,7 @@ from foldloom.llm.pieces import (
     spread,
     vocabulary,
 )
+from foldloom.llm.store import Scratch
 from foldloom.llm.words import slices
 
 LEXICON_WORDS = 1 << 15
@@ -155,7 +156,11 @@ def _runs(texts: list[str | None], special: dict[str, int]) -> tuple[list[str],
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> list[bytes]:
-    """The ``most`` commonest pieces of the corpus (ties: smaller bytes first), counted over all texts."""
+    """The commonest pieces of the corpus, counted over all texts: at most ``most``.
+
+    Counts are banded, eight bands to a doubling; the highest bands that hold ``most`` pieces
+    together are taken whole, so the driver gets the bands' sizes and those pieces only.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = vocabulary(path).special
@@ -171,8 +176,18 @@ def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> lis
                 )
 
     table = docs.select("text").mapInArrow(counted, "piece binary, n long")
-    top = table.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
-    return [bytes(r["piece"]) for r in top.collect()]  # at most ``most`` rows
+    band = F.floor(8 * F.log2(F.sum("n").cast("double"))).cast("int").alias("band")
+    with Scratch(docs.sparkSession) as scratch:
+        bands = scratch.save(table.groupBy("piece").agg(band))
+        sizes = sorted(((r["band"], r["n"]) for r in bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+        lowest, held = None, 0
+        for number, n in sizes:
+            if held + n > most:
+                break
+            lowest, held = number, held + n
+        if lowest is None:
+            return []
+        return [bytes(r["piece"]) for r in bands.filter(F.col("band") >= lowest).select("piece").collect()]
 
 
 def ship_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
