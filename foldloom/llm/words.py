@@ -27,7 +27,6 @@ LOWER[65:91] += 32
 # odd multipliers of the polynomial hashes, fixed values
 BASE = 0x9E3779B97F4A7C15
 GRAM = 0xD6E8FEB86659FD93
-MASK = (1 << 64) - 1
 
 
 def buffer_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
