@@ -37,7 +37,7 @@ ROUNDS = 2
 HELD_OUT = 5  # one in so many labelled documents
 CONFIDENT = 0.97
 LEAST_EVIDENCE = 20
-WORD_FEATURES = 1 << 15
+WORD_FEATURES = 1 << 12
 PAGE_FEATURES = 1 << 8
 THRESHOLD = 0.5
 STRENGTH = 1e-2
