@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: length of the kept tables of powers: a slice, and a text that ends it
+KEPT_POWERS = SLICE_BYTES + (1 << 16)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -94,25 +96,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@cache
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^0 … and its inverses, modulo 2^64, for 2^bits positions."""
-    n = 1 << bits
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^0 … and its inverses, modulo 2^64, for n positions; one table of each base is kept."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept[0]) < n:
+        size = max(n, KEPT_POWERS)
 
-    def powers(b: int) -> np.ndarray:
-        out = np.full(n, b, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
+        def powers(b: int) -> np.ndarray:
+            out = np.full(size, b, np.uint64)
+            out[0] = 1
+            return np.multiply.accumulate(out)
 
-    return powers(base), powers(pow(base, -1, 1 << 64))
+        kept = powers(base), powers(pow(base, -1, 1 << 64))
+        if size == KEPT_POWERS:  # tables for longer texts go again
+            _POWERS[base] = kept
+    return kept[0][:n], kept[1][:n]
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Polynomial hash of every run values[starts[i]:ends[i]], from one cumulative sum."""
     n = len(values)
-    up, down = _powers(base, max(16, int(n).bit_length()))
+    up, down = _powers(base, n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * up[:n], out=total[1:])
+    np.cumsum(values.astype(np.uint64) * up, out=total[1:])
     return (total[ends] - total[starts]) * down[starts]
 
 
