@@ -37,7 +37,7 @@ ROUNDS = 2
 HELD_OUT = 5  # one in so many labelled documents
 CONFIDENT = 0.97
 LEAST_EVIDENCE = 20
-WORD_FEATURES = 1 << 12
+WORD_FEATURES = 1 << 15
 PAGE_FEATURES = 1 << 8
 THRESHOLD = 0.5
 STRENGTH = 1e-2
@@ -214,6 +214,8 @@ def fit(
                 )
                 extra = table.filter("part = 'pool'").drop("good").join(F.broadcast(extra), "doc_id")
                 rows = rows.unionByName(extra.select("good", "text_features")).coalesce(FIT_PARTITIONS)
+            model = None
+            spark.sparkContext._jvm.System.gc()  # the last round's model, broadcasts and gradients go before the next fit
             model = estimator.fit(rows)
             found = model.transform(table).select("doc_id", vector_to_array("rawPrediction")[1].alias("m"))
             margins["text"] = found.toArrow().sort_by("doc_id")["m"].to_numpy()

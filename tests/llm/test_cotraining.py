@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from foldloom.llm import cotraining
 
@@ -69,3 +71,11 @@ def test_null_columns_are_scored(spark, table):
     odd = spark.createDataFrame([(5000, None, None, None, None, "x"), (None, "", None, "s", 3, "x"), (5001, "x " * 20000, "en", None, 9, "x")], DOCS)
     rows = cotraining.judge(docs.unionByName(odd), labels).filter("doc_id is null or doc_id >= 5000").collect()
     assert len(rows) == 3 and all(r["good_probability"] is not None for r in rows)
+
+
+def test_words_of_a_large_vocabulary_have_weights_of_their_own(spark):
+    words = spark.createDataFrame([(i, f"word{i}") for i in range(20_000)], "doc_id long, text string")
+    features = cotraining.text_features(words).select(vector_to_array("text_features").alias("x"))
+    held = features.select(F.array_position("x", 1.0).alias("at")).groupBy("at").count().toPandas()["count"]
+    # others that share a word's weight, on average
+    assert (held * (held - 1)).sum() / 20_000 < 1
