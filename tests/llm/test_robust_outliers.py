@@ -92,3 +92,22 @@ def test_labelled_junk_goes_and_good_documents_stay(spark, sf, documents):
     rows = robust.judge(documents).join(labels, "doc_id").filter("not base_failed").toPandas()
     kept = rows.groupby("quality")["kept"].mean()
     assert kept[1] > 0.98 and kept.get(0, 0) < 0.3
+
+
+def test_each_statistic_alone_leads_to_rejection(spark):
+    rnd = np.random.default_rng(7)
+    word = [f"w{i:04d}" for i in range(3000)]
+    rows = [(i, " ".join(rnd.choice(word, 40, replace=False)), "en", "s", "x") for i in range(100)]
+    menu = "\n".join(f"share\nlikes\nmenus\n{w}" for w in word[:30])
+    phrase = word[:7] + word[100:160] + word[:7]
+    planted = [
+        " ".join("w" + w * 3 for w in word[:40]),
+        " ".join("#" + w[1:] for w in word[:40]),
+        menu,
+        " ".join(phrase + word[200:206]),
+    ]
+    rows += [(1000 + i, text, "en", "s", "x") for i, text in enumerate(planted)]
+    found = {r["doc_id"]: r for r in robust.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert [found[1000 + i]["kept"] for i in range(4)] == [False] * 4
+    assert all(found[i]["kept"] for i in range(100))
