@@ -41,7 +41,8 @@ from foldloom.llm.words import slices
 LEAST_WORDS = 10
 MOST_REPEATED = 20
 LEAST = 50
-SHARE = 0.75
+#: of the rows that make an estimate; nearly as many others may be copies of one junk text
+SHARE = 0.5
 STEPS = 6
 UNIT = 1000
 #: words of average length added to each text, so that a few words say little about their length
@@ -53,9 +54,9 @@ FLOORS = np.array([0.04, 0.6, 0.75, 0.5])
 N = len(FEATURES)
 PAIRS = [(i, j) for i in range(N) for j in range(i + 1)]
 #: quantiles of the chi-square distribution with N = 4 degrees of freedom, fixed values
-CHI_SHARE, CHI_975, CHI_CUT = 5.385269, 11.143287, 23.512742  # 0.75, 0.975, 0.9999
+CHI_SHARE, CHI_975, CHI_CUT = 3.356694, 11.143287, 23.512742  # 0.5, 0.975, 0.9999
 #: P(chi2 with N + 2 <= the quantile), for the consistency of truncated scatters; fixed values
-WITHIN_SHARE, WITHIN_975 = 0.504570, 0.915952
+WITHIN_SHARE, WITHIN_975 = 0.237072, 0.915952
 
 
 def statistics(docs: DataFrame) -> DataFrame:

@@ -111,3 +111,15 @@ def test_each_statistic_alone_leads_to_rejection(spark):
     assert not any(r["base_failed"] for r in found.values())
     assert [found[1000 + i]["kept"] for i in range(4)] == [False] * 4
     assert all(found[i]["kept"] for i in range(100))
+
+
+def test_copies_that_are_a_third_of_a_pool_are_rejected(spark):
+    rnd = np.random.default_rng(9)
+    word = [f"word{i}" for i in range(200)]
+    rows = [(i, " ".join(rnd.choice(word, 40)), "en", "s", "x") for i in range(100)]
+    junk = " ".join(f"###{w}" for w in rnd.choice(word, 40, replace=False))
+    rows += [(1000 + i, junk, "en", "s", "x") for i in range(50)]
+    found = {r["doc_id"]: r for r in robust.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert not any(found[1000 + i]["kept"] for i in range(50))
+    assert all(found[i]["kept"] for i in range(100))
