@@ -6,6 +6,7 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldloom.llm.store import Scratch
 
@@ -222,3 +223,153 @@ def op4_cotraining(spark: SparkSession, folder: str) -> DataFrame:
     from foldloom.llm.cotraining import judge
 
     return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+#: crc32 in SQL: its 256 remainders, and the value of a string
+CRCS = """crc_table as (
+  select list(c order by b) as crcs from (
+    select b, list_reduce(list_concat([b], range(8)),
+                          lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from range(256) t(b)))"""
+
+
+def _crc(text: str) -> str:
+    octets = f"lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint"
+    return f"""xor(4294967295, list_reduce(
+      list_concat([4294967295::bigint], list_transform(range(octet_length(encode({text}))), {octets})),
+      lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])))"""
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP11_SQL = f"""
+with recursive {CRCS},
+runs as (
+  select coalesce(doc_id::varchar, '') as doc_id,
+         unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-zÀ-ÿ]+')) as run
+  from documents),
+hashed as (select run, {_crc("doc_id || ':' || run")} as h from runs, crc_table where length(run) >= 7),
+typed as (
+  select case when h % 31 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word
+  from hashed),
+words as (select word, count(*) as n from typed where length(word) >= 7 group by word having count(*) >= 2),
+holes as (
+  select word, i, left(word, i - 1) || substr(word, i + 1) as hole
+  from words, unnest(range(1, length(word) + 1)) as t(i)),
+pairs as (
+  select a.word as word, b.word as near from holes a join holes b on a.hole = b.hole and a.i = b.i and a.word <> b.word
+  union select h.word, w.word from holes h join words w on h.hole = w.word
+  union select w.word, h.word from holes h join words w on h.hole = w.word),
+near as (
+  select p.word, count(*) as n_near, arg_min(p.near, (-x.n, p.near)) filter (x.n >= 10 * w.n) as form
+  from pairs p join words w on w.word = p.word join words x on x.word = p.near group by p.word),
+forms as (select word, form from near where form is not null),
+up as (
+  select word, form as root, 1 as depth from forms
+  union all select up.word, f.form, up.depth + 1 from up join forms f on f.word = up.root),
+roots as (select word, arg_max(root, depth) as root from up group by word)
+select w.word, near.form, coalesce(r.root, w.word) as root, w.n, coalesce(n_near, 0) as n_near, f.n as form_n
+from words w left join near using (word) left join roots r using (word) left join words f on f.word = near.form
+"""
+
+
+@query(OP11_SQL)
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """A hash of document and word plants typing errors, so that rare variants of common words are there."""
+    from foldloom.llm import spelling_variants
+
+    runs = spelling_variants.runs(table(spark, folder, "documents"))
+    hashed = runs.withColumn("h", F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "word")))
+    typed = F.expr(
+        """if(h % 31 = 0, concat(left(word, cast(h % length(word) as int)), substr(word, cast(h % length(word) as int) + 2)),
+              word)"""
+    )
+    return spelling_variants.variants(spelling_variants.counted(hashed.select(typed.alias("word"))))
+
+
+def _fold(digest: str, tops: int) -> str:
+    """``digest`` carried up levels 0 to ``tops`` - 1 of the tables of siblings b0, a0, b1, …"""
+    for k in range(tops):
+        digest = f"case when b{k} is null then {digest} else sha256(b{k} || {digest} || a{k}) end"
+    return digest
+
+
+#: levels in the SQL below the sources and above them: enough for 16^4 rows of a source, 16^2 sources
+BELOW, ABOVE = 4, 2
+
+
+def _merkle_level(name: str, k: int) -> str:
+    """From nodes (tree, pos, digest, n of its tree) their siblings and the next level; a lone node stays."""
+    beside = "list_aggregate(list_transform(list_filter(run, lambda x: x.pos {} pos), lambda x: x.digest), 'string_agg', '')"
+    return f"""
+{name}{k}_runs as (
+  select tree, pos // 16 as up, list({{'pos': pos, 'digest': digest}} order by pos) as run,
+         sha256(string_agg(digest, '' order by pos)) as parent
+  from {name}{k} where n > 1 group by all),
+{name}{k}_beside as (
+  select c.tree, c.pos, case when c.n > 1 then coalesce({beside.format("<")}, '') end as b,
+         case when c.n > 1 then coalesce({beside.format(">")}, '') end as a
+  from {name}{k} c left join {name}{k}_runs r on r.tree = c.tree and r.up = c.pos // 16),
+{name}{k + 1} as (
+  select tree, up as pos, parent as digest, count(*) over (partition by tree) as n from {name}{k}_runs
+  union all select tree, pos, digest, n from {name}{k} where n = 1)"""
+
+
+def _merkle_sql() -> str:
+    framed = "coalesce(octet_length(encode({0}::varchar)) || ':' || {0}::varchar, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(framed.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    lower = f"translate(text, '{UPPER}', '{LOWER}')"
+    joins = "".join(f"\n  left join low{k}_beside l{k} on l{k}.tree = x.tree and l{k}.pos = x.pos // {16**k}" for k in range(BELOW))
+    joins += "\n  join high0 h on h.source = x.tree"
+    joins += "".join(f"\n  left join high{k}_beside h{k} on h{k}.pos = h.pos // {16**k}" for k in range(ABOVE))
+    names = [f"l{k}" for k in range(BELOW)] + [f"h{k}" for k in range(ABOVE)]
+    beside = ", ".join(f"{n}.b as b{i}, {n}.a as a{i}" for i, n in enumerate(names))
+    proof = " || ".join(f"coalesce(b{i} || a{i}, '')" for i in range(len(names)))
+    return f"""
+with {CRCS},
+leaves as (
+  select doc_id, case when source is null then '' else '=' || source end as tree, {leaf("text")} as digest,
+         case when doc_id is not null and {_crc("coalesce(doc_id::varchar, '')")} % 5 = 0 then {leaf(lower)} end as other
+  from documents, crc_table),
+low0 as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, digest) - 1 as pos,
+         count(*) over (partition by tree) as n from leaves),
+{",".join(_merkle_level("low", k) for k in range(BELOW))},
+high0 as (
+  select '' as tree, tree as source, digest, row_number() over (order by tree) - 1 as pos, count(*) over () as n
+  from low{BELOW}),
+{",".join(_merkle_level("high", k) for k in range(ABOVE))},
+paths as (
+  select x.doc_id, x.digest as leaf, x.other, h.digest as subroot, {beside}
+  from low0 x{joins}),
+folded as (
+  select *, (select digest from high{ABOVE}) as root, {_fold("coalesce(other, leaf)", len(names))} as folded_root from paths)
+select doc_id, leaf, subroot, root, sha256({proof}) as proof_sha256, folded_root, folded_root = root as verified
+from folded
+"""
+
+
+OP12_SQL = _merkle_sql()
+
+
+@query(OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of all documents; lower-casing the text of every fifth by hash shows what verification finds."""
+    from foldloom.llm.merkle_manifest import manifest
+
+    chosen = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return manifest(table(spark, folder, "documents"), chosen, F.translate("text", UPPER, LOWER))
+
+
+@query()
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from foldloom.llm.language_id import identify, learn
+
+    docs = table(spark, folder, "documents")
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    held_out = F.coalesce(part == 1, F.lit(False)).alias("held_out")
+    model = learn(docs.filter(~held_out).select("text", "lang"))
+    return identify(docs.select("doc_id", held_out, "text"), model)
