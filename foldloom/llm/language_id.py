@@ -1,7 +1,7 @@
 """Language identification by words first, then by progressively shorter character n-grams.
 
 Learning is two counts over all labelled documents: words by language, and from that table the
-character n-grams of 1 to ``LONGEST`` code points (a word is bounded by a blank on either side).  A word
+character n-grams of 1 to ``LONGEST`` code points (from two on, a word is bounded by a blank on either side).  A word
 or n-gram is known if its share in some language is at least ``SHARE``; so a language has at most
 1 / ``SHARE`` known words and as many n-grams of each length, however large the corpus is, while its
 shares come from every document.  That bound makes the model fit for a broadcast.
@@ -67,9 +67,8 @@ class Model:
         at = self.known[0].get(word)
         if at is not None:
             return self.shares[0][at]
-        bounded = f" {word} "
         for n in range(len(self.known) - 1, 0, -1):
-            table = self.known[n]
+            table, bounded = self.known[n], f" {word} " if n > 1 else word
             grams = [table[g] for i in range(len(bounded) - n + 1) if (g := bounded[i : i + n]) in table]
             if grams:
                 return self.shares[n][grams].mean(axis=0)
@@ -139,10 +138,10 @@ def learn(docs: DataFrame, share: float = SHARE, longest: int = LONGEST) -> Mode
             if n == 0:
                 counts, sizes = words, totals
             else:
-                grams = F.expr(
-                    f"explode(transform(sequence(1, length(term) + 2 - {n} + 1), i -> substr(concat(' ', term, ' '), i, {n})))"
-                )
-                counts = words.filter(F.length("term") + 2 >= n).select("lang", grams.alias("term"), "n")
+                bounded = F.concat(F.lit(" "), "term", F.lit(" ")) if n > 1 else F.col("term")
+                counts = words.withColumn("term", bounded).filter(F.length("term") >= n)
+                grams = F.expr(f"explode(transform(sequence(1, length(term) - {n - 1}), i -> substr(term, i, {n})))")
+                counts = counts.select("lang", grams.alias("term"), "n")
                 counts = scratch.save(counts.groupBy("lang", "term").agg(F.sum("n").alias("n")))
                 sizes = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
                 sizes = {lang: sizes.get(lang, 0) for lang in totals}

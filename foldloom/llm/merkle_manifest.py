@@ -20,6 +20,7 @@ empty result; columns other than the five of ``FIELDS`` are not read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def leaf_of(fields: Sequence[Column]) -> Column:
 
 
 def numbered(rows: DataFrame, tree: str, order: Sequence[str], scratch: Scratch) -> DataFrame:
-    """``rows`` (a written table) and ``pos``, counted from 0 in each ``tree`` along ``order``; ties in any order."""
+    """``rows``, ``pos`` counted from 0 in each ``tree`` along ``order`` (ties in any order), and the tree's size ``of``."""
     # the salt keeps rows that are equal in every column from filling one partition
     salted = scratch.save(rows.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id())))
     parts = partitions(rows.sparkSession)
@@ -61,73 +62,65 @@ def numbered(rows: DataFrame, tree: str, order: Sequence[str], scratch: Scratch)
     placed = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
     placed = placed.withColumn("_n", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1))
     placed = placed.drop("_part", "_before", "_at")
-    firsts = placed.groupBy(tree).agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    firsts = scratch.save(firsts)
+    firsts = placed.groupBy(tree).agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("of"))
+    firsts = scratch.save(firsts.withColumn("_rows", F.col("of")))
     placed = attach(placed, firsts, [tree], "_rows")
     return placed.withColumn("pos", F.col("_n") - F.col("_first")).drop("_n", "_first")
 
 
 def pivoted(nodes: DataFrame) -> DataFrame:
-    """tree, pos, digest and the children's digests in ``SLOTS``, for nodes of tree, pos, digest."""
+    """The parents of nodes (tree, pos, of, digest): the same columns, and their children's digests in ``SLOTS``."""
     slot = F.col("pos") % FANOUT
     columns = [F.max(F.when(slot == i, F.col("digest"))).alias(s) for i, s in enumerate(SLOTS)]
-    parents = nodes.groupBy("tree", F.expr(f"pos div {FANOUT}").alias("pos")).agg(*columns)
+    up = F.expr(f"pos div {FANOUT}").alias("pos")
+    parents = nodes.groupBy("tree", up, F.expr(f"(of + {FANOUT - 1}) div {FANOUT}").alias("of")).agg(*columns)
     return parents.withColumn("digest", F.sha2(F.concat_ws("", *SLOTS), 256))
 
 
-def levels(nodes: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
-    """The pivoted levels above ``nodes``, lowest first, and the root of each tree (tree, digest)."""
-    counts = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
-    # the largest tree decides the number of levels; a smaller one has fewer
-    most = counts.agg(F.max("n")).first()[0] or 0
-    alone = scratch.save(counts.filter("n = 1").select("tree"))
-    roots = nodes.join(alone, "tree", "left_semi").select("tree", "digest")
-    nodes = nodes.join(alone, "tree", "left_anti").select("tree", "pos", "digest")
+def levels(nodes: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """The pivoted levels above ``nodes``, lowest first; a tree ends at the level where it is one node."""
+    # the largest tree decides the number of levels
+    most = nodes.agg(F.max("of")).first()[0] or 0
     built = []
     while most > 1:
-        level = scratch.save(pivoted(nodes))
-        built.append(level)
+        nodes = scratch.save(pivoted(nodes.filter("of > 1")))
+        built.append(nodes)
         most = -(-most // FANOUT)
-        # a parent is the last of its tree if it is the first and the tree had no other
-        several = level.filter("pos > 0").select("tree").distinct()
-        roots = roots.unionByName(level.join(several, "tree", "left_anti").select("tree", "digest"))
-        nodes = level.join(several, "tree", "left_semi").select("tree", "pos", "digest")
-    return built, roots
+    return built
 
 
-def _beside(children: DataFrame, parents: DataFrame) -> DataFrame:
+def roots(nodes: DataFrame, built: list[DataFrame]) -> DataFrame:
+    """tree, digest of the one node that remains of every tree."""
+    ends = [level.filter("of = 1").select("tree", "digest") for level in (nodes, *built)]
+    return reduce(DataFrame.unionByName, ends)
+
+
+def _beside(children: DataFrame, parents: DataFrame, handed: Sequence[str]) -> DataFrame:
     """Children (tree, pos, …) with ``path``: their siblings before and after them, then their parents' path."""
     slot = F.col("pos") % FANOUT
     shown = [F.coalesce(f"_{s}", F.lit("")) for s in SLOTS]
     before = F.concat(*[F.when(slot > i, s).otherwise("") for i, s in enumerate(shown)])
     after = F.concat(*[F.when(slot < i, s).otherwise("") for i, s in enumerate(shown)])
-    up = parents.select([F.col(c).alias(f"_{c}") for c in ("tree", "pos", *SLOTS, "path")])
+    up = parents.select([F.col(c).alias(f"_{c}") for c in ("tree", "pos", *SLOTS, "path", *handed)])
     on = (F.col("tree") == F.col("_tree")) & (F.expr(f"pos div {FANOUT}") == F.col("_pos"))
-    own = F.array(F.struct(before.alias("before"), after.alias("after")))
-    path = F.when(F.col("_pos").isNull(), F.col("above")).otherwise(F.concat(own, "_path"))
-    return children.join(up, on, "left").select(*children.columns, path.alias("path"))
+    path = F.concat(F.array(F.struct(before.alias("before"), after.alias("after"))), "_path")
+    return children.join(up, on).select(*children.columns, path.alias("path"), *[F.col(f"_{c}").alias(c) for c in handed])
 
 
-def with_paths(leaves: DataFrame, built: list[DataFrame], above: DataFrame, scratch: Scratch) -> DataFrame:
-    """Leaves (tree, pos, …) with ``path``, the siblings of every level upwards.
+def with_paths(nodes: DataFrame, built: list[DataFrame], above: DataFrame, scratch: Scratch) -> DataFrame:
+    """``nodes`` with ``path``, their siblings of every level upwards.
 
-    ``above`` (tree, n, above) has the path from each tree's root on.
+    ``above`` has for each tree the path from its root on, and what else its nodes are handed.
     """
-
-    def start(rows: DataFrame) -> DataFrame:
-        return attach(rows, above, ["tree"], "n")
-
-    # a parent is in the level above unless it is its tree's root
-    path = None
-    for level in reversed(built):
-        rows = start(level)
-        if path is None:
-            rows = rows.withColumn("path", F.col("above"))
-        else:
-            rows = _beside(rows, path)
-        path = scratch.save(rows.select("tree", "pos", *SLOTS, "path"))
-    rows = start(leaves)
-    return (rows.withColumn("path", F.col("above")) if path is None else _beside(rows, path)).drop("above")
+    handed = [c for c in above.columns if c not in ("tree", "path")]
+    parents = None
+    for level in (*reversed(built), nodes):
+        # at most sixteen children meet a parent, and one root its tree's row, so no key is hot
+        rows = level.filter("of = 1").join(above, "tree").select(*level.columns, "path", *handed)
+        if parents is not None:
+            rows = rows.unionByName(_beside(level.filter("of > 1"), parents, handed))
+        parents = scratch.save(rows)
+    return parents
 
 
 #: a digest carried up a path
@@ -149,31 +142,27 @@ def manifest(docs: DataFrame, changed: Column, tampered: Column) -> DataFrame:
         tree = F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
         leaves = docs.select("doc_id", tree.alias("tree"), own.alias("digest"), other.alias("other"))
         leaves = scratch.save(numbered(leaves, "tree", ["doc_id", "digest"], scratch))
-        built, subroots = levels(leaves, scratch)
-        subroots = scratch.save(subroots)
+        built = levels(leaves, scratch)
 
-        upper = subroots.select(F.col("tree").alias("source"), F.lit(TOP).alias("tree"), "digest")
+        upper = roots(leaves, built).select(F.col("tree").alias("source"), F.lit(TOP).alias("tree"), "digest")
         upper = scratch.save(numbered(upper, "tree", ["source"], scratch))
-        built_above, root = levels(upper, scratch)
-        root = root.first()
-        root = None if root is None else root["digest"]
-        nothing = docs.sparkSession.range(1).select(F.lit(TOP).alias("tree"), F.lit(1).alias("n"), F.expr(NO_PATH).alias("above"))
-        upper = with_paths(upper, built_above, nothing, scratch)
-        sizes = leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
-        upper = upper.select(F.col("source").alias("tree"), F.col("path").alias("above"), F.col("digest").alias("subroot"))
-        above = scratch.save(upper.join(sizes, "tree"))
-
-        rows = with_paths(leaves, built, above.select("tree", "n", "above"), scratch)
-        rows = attach(rows, above.select("tree", "n", "subroot"), ["tree"], "n")
+        built_above = levels(upper, scratch)
+        root = roots(upper, built_above).first()
+        root = F.lit(None if root is None else root["digest"]).cast("string")
+        top = scratch.save(docs.sparkSession.range(1).select(F.lit(TOP).alias("tree"), F.expr(NO_PATH).alias("path")))
+        upper = with_paths(upper, built_above, top, scratch)
+
+        above = upper.select(F.col("source").alias("tree"), "path", F.col("digest").alias("subroot"))
+        rows = with_paths(leaves, built, above, scratch)
         rows = rows.withColumn("folded_root", F.expr(FOLD.format("coalesce(other, digest)")))
         return scratch.kept(
             rows.select(
                 "doc_id",
                 F.col("digest").alias("leaf"),
                 "subroot",
-                F.lit(root).cast("string").alias("root"),
+                root.alias("root"),
                 F.expr("sha2(array_join(transform(path, p -> concat(p.before, p.after)), ''), 256)").alias("proof_sha256"),
                 "folded_root",
-                (F.col("folded_root") == F.lit(root)).alias("verified"),
+                (F.col("folded_root") == root).alias("verified"),
             )
         )

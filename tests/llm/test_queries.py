@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_repeated_passages": "doc_id n_words n_removed kept_sha256",
     "op9_seekable_bundles": "page_id payload_bytes payload_digest record_type refers_to",
     "op10_bpe_lexicon": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op11_spelling_variants": "word form root n n_near form_n",
+    "op12_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13_language_id": "doc_id held_out lang_pred score",
 }
 
 
@@ -36,7 +39,7 @@ def test_columns(spark, sf, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages_act(spark, sf, documents, words):
