@@ -10,6 +10,7 @@ from foldloom.catalog import (  # noqa: F401  (importing registers the queries)
     profiling,
     scaling,
     splitting,
+    stored,
 )
 from foldloom.catalog.base import QUERIES, SQL
 

@@ -164,29 +164,46 @@ def multiclass_svm(params: Mapping[str, object] | None = None, rows: int | None
     return OneVsRest(classifier=made.estimator, featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION)
 
 
-def fit_predict_by_fold(
+def fit_by_fold(
     packed: DataFrame,
     algorithm: str,
     params: Mapping[str, object] | None = None,
     fold: str = "fold",
     task: str = "regression",
-    keep: Sequence[str] = ("row_id",),
-) -> DataFrame:
-    """Out-of-fold predictions ``(keep, fold, y_true, y_pred)``: one distributed fit per fold.
+) -> dict:
+    """For each fold the model fitted on all labelled rows of the others: one distributed fit per fold.
 
     ``packed`` is read by every fit: see :func:`spread_out`.
     """
-    # unlabelled rows are predicted but never trained on
     rows = packed.groupBy(fold).agg(F.count(LABEL).alias("n")).collect()
     counts = {r[fold]: r["n"] for r in rows}
     total = sum(counts.values())
-    out = None
+    out = {}
     for f in sorted(counts):
         made = make_estimator(algorithm, params, task, total - counts[f])
-        training = packed.filter((F.col(fold) != F.lit(f)) & F.col(LABEL).isNotNull())
-        model = made.estimator.fit(training)
-        part = model.transform(packed.filter(F.col(fold) == F.lit(f))).select(
+        out[f] = made.estimator.fit(packed.filter((F.col(fold) != F.lit(f)) & F.col(LABEL).isNotNull()))
+    return out
+
+
+def predict_with(
+    fitted: Mapping, packed: DataFrame, fold: str = "fold", keep: Sequence[str] = ("row_id",)
+) -> DataFrame:
+    """Out-of-fold predictions ``(keep, fold, y_true, y_pred)`` of one model per fold; unlabelled rows too."""
+    out = None
+    for f in sorted(fitted):
+        part = fitted[f].transform(packed.filter(F.col(fold) == F.lit(f))).select(
             *keep, fold, F.col(LABEL).alias("y_true"), F.col(PREDICTION).alias("y_pred")
         )
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def fit_predict_by_fold(
+    packed: DataFrame,
+    algorithm: str,
+    params: Mapping[str, object] | None = None,
+    fold: str = "fold",
+    task: str = "regression",
+    keep: Sequence[str] = ("row_id",),
+) -> DataFrame:
+    return predict_with(fit_by_fold(packed, algorithm, params, fold, task), packed, fold, keep)

@@ -153,6 +153,24 @@ class CleanFeatures:
             return clean.zero_infinite(out, names)
         return clean.clip_infinite(out, self.limits, names)
 
+    def save(self, path: str) -> None:
+        tables = {"means": self.means, "moments": self.moments, "limits": self.limits}
+        if self.categories is not None:
+            tables["categories"] = self.categories.state.table
+        info = dict(numeric=self.numeric, categorical=self.categorical, selected=self.selected, keep=self.keep)
+        save_state(path, {n: t for n, t in tables.items() if t is not None}, info)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> CleanFeatures:
+        tables, info = load_state(spark, path)
+        categories = None
+        if "categories" in tables:
+            categories = load_categories(tables["categories"], info["categorical"])
+        return CleanFeatures(
+            tuple(info["numeric"]), tuple(info["categorical"]), tuple(info["selected"]), tuple(info["keep"]),
+            categories, tables["means"], tables.get("moments"), tables.get("limits"),
+        )
+
 
 def fit_clean_features(
     train: DataFrame, target: str, keep: Sequence[str] = (), test: DataFrame | None = None
@@ -235,6 +253,18 @@ class SelectedFeatures:
             *self.keep, *[f"{sql.finite_or_zero(c)} as {sql.name(c)}" for c in self.selected]
         )
 
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        minimum = spark.createDataFrame(list(self.minimum.items()), "column string, minimum double")
+        info = dict(names=self.names, selected=self.selected, keep=self.keep)
+        save_state(path, {"minimum": minimum}, info)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> SelectedFeatures:
+        tables, info = load_state(spark, path)
+        minimum = {r["column"]: r["minimum"] for r in tables["minimum"].collect()}
+        return SelectedFeatures(tuple(info["names"]), minimum, tuple(info["selected"]), tuple(info["keep"]))
+
 
 def fit_auto_features(
     train: DataFrame, target: str, keep: Sequence[str] = (), cap: int = FEATURE_CAP

@@ -13,10 +13,12 @@ from dataclasses import dataclass
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.operators import encode, hyperparams, knn, leaderboard, linear, scale
+from foldloom.sources.model_store import INDEX, KEYS, ModelStore
 
 # The meta-features of a dataset, in order.
 META_FEATURES = (
@@ -164,6 +166,34 @@ def predict_heads(heads: Heads, rows: DataFrame, row_id: str = "dataset_id") ->
     )
 
 
+def save_heads(store: ModelStore, name: str, heads: Heads) -> int:
+    """Keep fitted heads in ``store``: scalers and weights as tables, the network by its writer; one commit shows all."""
+    spark = store.spark
+    folder = store.new_folder()
+    heads.classifier.write().save(f"{store.root}/{folder}/network")
+    weights = spark.createDataFrame(list(heads.hp_weights.items()), "hp string, weights array<double>")
+    about = [(folder, list(heads.features), list(heads.labels))]
+    about = spark.createDataFrame(about, "path string, features array<string>, labels array<string>")
+    tables = {"scaler": heads.scaler, "hp_scalers": heads.hp_scalers, "hp_weights": weights, "about": about}
+    entry = spark.createDataFrame(
+        [("", None, f"heads/{name}", type(heads.classifier).__name__, f"{folder}/network", "{}")], INDEX
+    )
+    return store.merge("index", entry, KEYS, {f"heads/{name}/{t}": df for t, df in tables.items()})
+
+
+def load_heads(store: ModelStore, name: str) -> Heads:
+    version = store.version()
+    tables = {t: store.read(f"heads/{name}/{t}", version) for t in ("scaler", "hp_scalers", "hp_weights", "about")}
+    if tables["about"] is None:
+        raise KeyError(name)
+    about = tables["about"].first()
+    network = DefaultParamsReader.loadParamsInstance(f"{store.root}/{about['path']}/network", store.spark)
+    weights = {r["hp"]: list(r["weights"]) for r in tables["hp_weights"].collect()}
+    return Heads(
+        tuple(about["features"]), tables["scaler"], list(about["labels"]), network, tables["hp_scalers"], weights
+    )
+
+
 def constrain(algorithm: str, params: dict[str, str]) -> dict[str, str]:
     """Legal ranges for one configuration that is about to be fitted."""
     ranges = {h: (lo, hi, whole) for a, h, lo, hi, whole in hyperparams.LEGAL_RANGES if a == algorithm}

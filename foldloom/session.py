@@ -34,19 +34,26 @@ def build_session(
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    The folder is ``spark.checkpoint.dir``.  Only a local session may fall back
-    to a temporary folder: on a cluster the files must outlive any executor.
+    Only a local session may fall back to a temporary folder: on a cluster the
+    files must outlive any executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    folder = context.getCheckpointDir()
+    if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="foldloom-checkpoint-")
         context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

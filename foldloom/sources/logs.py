@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foldloom.sources.snapshots import Snapshots
+
 # The stored record formats.
 LOG_SCHEMA = (
     "dataset string, algorithm string, best_params map<string,string>, best_score double, "
@@ -68,6 +70,19 @@ def write_logs(log: DataFrame, path: str, mode: str = "append") -> None:
     log.write.mode(mode).partitionBy("dataset").json(path)
 
 
+def merge_log(store: Snapshots, log: DataFrame) -> int:
+    """Keep search results as a versioned table, one row per (dataset, algorithm).
+
+    An interrupted search that is repeated replaces what it had already saved instead of adding it again.
+    """
+    return store.merge("log", log, ["dataset", "algorithm"])
+
+
+def merge_trials(store: Snapshots, dataset: str, trials: DataFrame) -> int:
+    """Fold metrics of trials, one row per (dataset, algorithm, trial, fold)."""
+    return store.merge("trials", trials.withColumn("dataset", F.lit(dataset)), ["dataset", "algorithm", "trial", "fold"])
+
+
 def read_predictions(spark: SparkSession, paths: str | list[str], labelled: bool = True) -> DataFrame:
     """Prediction CSVs with the dataset and fold taken from the file name."""
     schema = "y_true double, y_pred double" if labelled else "y_pred double"
