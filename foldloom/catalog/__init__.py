@@ -5,6 +5,7 @@ from foldloom.catalog import (  # noqa: F401  (importing registers the queries)
     deriving,
     encoding,
     evaluating,
+    grids,
     logs,
     modelling,
     profiling,

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.operators import columns, folds, metrics, models, profile
-from foldloom.plans import features as fe
-from foldloom.plans import recommend, search
+from foldloom.operators.packed import Packed, pack
+from foldloom.plans import grid, grouped, recommend, search
 from foldloom.sources import logs
 from foldloom.sources.folds import metadata
 
@@ -27,7 +27,7 @@ REFERENCE_SCORES = [
 
 @dataclass(frozen=True)
 class Outcome:
-    engineered: dict
+    engineered: DataFrame | None
     log: DataFrame | None
     recommended: DataFrame | None
     predictions: DataFrame | None
@@ -49,16 +49,14 @@ def final_predictions(
 
 
 def engineer(
-    raw: DataFrame, target: str, row_id: str = "row_id", k: int = 10, cap: int = fe.FEATURE_CAP
-) -> tuple[DataFrame, list[str]]:
-    """Folded and engineered frame of one dataset with its feature names."""
-    folded = folds.shuffled_kfold(raw, row_id, k)
-    fitted = fe.fit_clean_features(folded, target, [row_id, "fold"])
-    cleaned = fitted.transform(folded)
-    auto = fe.fit_auto_features(cleaned, target, [row_id, "fold"], cap)
-    out = auto.transform(cleaned)
-    safe = {c: f"f{i}" for i, c in enumerate(auto.selected)}
-    return out.select(row_id, "fold", target, *[F.col(f"`{c}`").alias(s) for c, s in safe.items()]), list(safe.values())
+    datasets: Mapping[str, tuple[DataFrame, str]], row_id: str = "row_id", k: int = 10, cap: int = grouped.FEATURE_CAP
+) -> tuple[Packed, grouped.States]:
+    """Folded rows of all datasets, and the cleaning and selection state of every (dataset, held-out fold)."""
+    folded = {name: (folds.shuffled_kfold(raw, row_id, k), target) for name, (raw, target) in datasets.items()}
+    packed = pack(folded, row_id)
+    states = grouped.fit_clean(packed)
+    grouped.select(packed, states, cap)
+    return packed, states
 
 
 def run_pipeline(
@@ -70,6 +68,8 @@ def run_pipeline(
 ) -> Outcome:
     """Run all stages; a failing stage is recorded and the next one still starts.
 
+    Every feature, weight and tree that scores or predicts a fold comes from the other folds.
+
     ``datasets``: name -> (frame with ``row_id``, target column).
     """
     spark = next(iter(datasets.values()))[0].sparkSession
@@ -87,18 +87,20 @@ def run_pipeline(
             return None
 
     def features_stage():
-        for name, (raw, target) in sorted(datasets.items()):
-            frame, names = engineer(raw, target, k=k)
-            made[name] = (frame, names, target)
-        return made
+        packed, states = engineer(datasets, k=k)
+        made.update(packed=packed, states=states)
+        return grouped.engineered(packed, states)
 
     def search_stage():
-        return search.search_all(made, algorithms, trials)
+        made["trials"] = grid.trials_of(search.trial_grid(spark, algorithms, trials))
+        made["fitted"] = grid.fit(made["packed"], made["states"], made["trials"])
+        return grid.best_trials(grid.scores(made["packed"], made["fitted"]))
 
     def recommend_stage():
         metas = None
         for name, (raw, target) in sorted(datasets.items()):
-            meta = profile.profile(raw, name, target, len(made[name][1]), ["row_id"])
+            widths = [len(s.selected) for (d, _), s in made["states"].items() if d == name]
+            meta = profile.profile(raw, name, target, max(widths), ["row_id"])
             metas = meta if metas is None else metas.unionByName(meta)
         ids = metas.withColumn("dataset_id", F.xxhash64("dataset")).persist()
         targets = logs.as_entries(log)
@@ -108,16 +110,15 @@ def run_pipeline(
         return voted
 
     def final_stage():
-        out = None
-        for row in recommended.collect():  # one row per dataset
-            frame, names, target = made[row["dataset"]]
-            part = final_predictions(frame, names, target, row["algorithm"], row["hyperparams"]).withColumn(
-                "dataset", F.lit(row["dataset"])
-            )
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    stage("feature_engineering", features_stage)
+        # a constrained configuration per dataset: all of them are fitted together, each predicts its own dataset
+        rows = recommended.collect()
+        configs = [
+            grid.Trial(i, r["algorithm"], recommend.constrain(r["algorithm"], dict(r["hyperparams"]))) for i, r in enumerate(rows)
+        ]
+        fitted = grid.fit(made["packed"], made["states"], configs)
+        return grid.predictions(made["packed"], fitted, {r["dataset"]: [i] for i, r in enumerate(rows)})
+
+    engineered = stage("feature_engineering", features_stage)
     log = stage("search", search_stage)
     recommended = stage("recommendation", recommend_stage)
     predictions = stage("final_training", final_stage)
@@ -128,7 +129,7 @@ def run_pipeline(
         reference = spark.createDataFrame(REFERENCE_SCORES, "dataset string, reference double")
         gaps = metrics.reference_gap(summary.select("dataset", F.col("avg_r2").alias("r2")), reference)
     return Outcome(
-        made, log, recommended, predictions, fold_metrics, summary, gaps, logs.run_status(spark, steps)
+        engineered, log, recommended, predictions, fold_metrics, summary, gaps, logs.run_status(spark, steps)
     )
 
 
