@@ -62,7 +62,32 @@ def ridge_cv(spark, sf):
     return _ridge(spark, sf, 25.0)
 
 
-@query()
+def _lasso_sql(alpha: float) -> str:
+    """The least objective among the stationary points of every choice of signs."""
+    ridge = _ridge_sql(0.0)
+    head, tail = ridge.split("\nw as ", 1)[0], ridge.split("\np as ", 1)[1]
+    soft = "sign({0}) * greatest(abs({0}) - t, 0) / {1}"
+    return f"""{head}
+s as (select *, {alpha} * n as t from m),
+c as (
+  select s.*, 0.0::double as wa, 0.0::double as wb from s
+  union all select s.*, {soft.format("say", "saa")}, 0.0 from s
+  union all select s.*, 0.0, {soft.format("sby", "sbb")} from s
+  union all
+  select * from (
+    select s.*, (sbb * (say - t * i) - sab * (sby - t * j)) / (saa * sbb - sab * sab) as wa,
+           (saa * (sby - t * j) - sab * (say - t * i)) / (saa * sbb - sab * sab) as wb
+    from s, (values (1, 1), (1, -1), (-1, 1), (-1, -1)) as v(i, j)
+    where sign((sbb * (say - t * i) - sab * (sby - t * j)) / (saa * sbb - sab * sab)) = i
+      and sign((saa * (sby - t * j) - sab * (say - t * i)) / (saa * sbb - sab * sab)) = j)),
+w as (
+  select fold, any_value(ma) as ma, any_value(mb) as mb, any_value(my) as my, arg_min(wa, o) as wa, arg_min(wb, o) as wb
+  from (select *, (saa * wa * wa + 2 * sab * wa * wb + sbb * wb * wb) / 2 - wa * say - wb * sby + t * (abs(wa) + abs(wb)) as o from c)
+  group by fold),
+p as {tail}"""
+
+
+@query(_lasso_sql(10.0))
 def lasso_cv(spark, sf):
     df = _two_features(spark, sf)
     names = ["c_acctbal", "c_nationkey"]

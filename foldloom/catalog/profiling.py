@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.catalog.base import events_inf, orders_nulls, query, rounded, table
-from foldloom.operators import columns, profile
+from foldloom.operators import gram, columns, profile
 from foldloom.sources.folds import metadata
 
 # table -> (numeric features, other features, target)
@@ -98,6 +98,22 @@ def meta_correlation(spark, sf):
     return rounded(_stack(parts), ["correlation_mean", "correlation_std"], 8)
 
 
+@query("""with e as (
+  select vec_id, i, case when (vec_id + i) % 7 <> 0 then embedding[i]::double end as x
+  from embeddings, unnest(range(1, 26)) as t(i))
+select a.i::integer as i, b.i::integer as j, round(corr(a.x, b.x), 8) + 0.0 as r
+from e a join e b on a.vec_id = b.vec_id and a.i < b.i group by a.i, b.i""")
+def wide_correlations(spark, sf):
+    """Correlations of every two of 25 columns with gaps, by the form for wide frames: one scan."""
+    vectors = table(spark, sf, "embeddings")
+    cells = [
+        F.when((F.col("vec_id") + i) % 7 != 0, F.col("embedding")[i - 1].cast("double")).alias(f"x{i}") for i in range(1, 26)
+    ]
+    rows = gram.correlation_rows(vectors.select(*cells), [f"x{i}" for i in range(1, 26)])
+    pairs = rows.select((F.col("i") + 1).alias("i"), F.posexplode("r").alias("at", "r"))
+    return rounded(pairs.select("i", (F.col("i") + F.col("at") + 1).cast("int").alias("j"), "r"), ["r"], 8)
+
+
 def _meta_sql(name: str) -> str:
     return f"""select s.*, e.feature_entropy, v.target_variance, c.correlation_mean, c.correlation_std, m.skewness_mean, m.kurtosis_mean,
   round(3.0 / s.n_features, 9) as fe_impact_score

@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldloom.operators import gram
+
 PRODUCTS_PER_AGGREGATE = 400
 
 
@@ -36,9 +38,14 @@ class Moments:
 
 
 def fold_moments(df: DataFrame, features: Sequence[str], target: str, fold: str | None = None) -> Moments:
-    """One aggregate for the centre, one for the products (partial sums per task)."""
+    """One aggregate for the centre, one for the products (partial sums per task).
+
+    A frame of more pairs than one aggregate takes is read once and multiplied batch by batch.
+    """
     names = [*features, target]
     rows = df.filter(F.col(target).isNotNull())
+    if len(names) * (len(names) + 1) // 2 > PRODUCTS_PER_AGGREGATE:
+        return _wide_moments(rows, names, fold)
     center = np.array(rows.agg(*[F.avg(F.col(c).cast("double")) for c in names]).first(), dtype=float)
     x = [
         F.coalesce(F.col(c).cast("double") - F.lit(float(m)), F.lit(0.0))
@@ -49,19 +56,30 @@ def fold_moments(df: DataFrame, features: Sequence[str], target: str, fold: str
     by = [F.lit(0).alias("__f") if fold is None else F.col(fold).alias("__f")]
     centred = rows.select(*by, *[e.alias(f"x{i}") for i, e in enumerate(x)])
     parts: dict = {}
-    for start in range(0, len(pairs), PRODUCTS_PER_AGGREGATE):
-        chunk = pairs[start : start + PRODUCTS_PER_AGGREGATE]
-        sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in chunk]
-        if start == 0:
-            sums += [F.sum(f"x{i}").alias(f"s{i}") for i in range(p)] + [F.count(F.lit(1)).alias("n")]
-        for row in centred.groupBy("__f").agg(*sums).collect():
-            n, s, m = parts.setdefault(row["__f"], [0, np.zeros(p), np.zeros((p, p))])
-            for i, j in chunk:
-                m[i, j] = m[j, i] = row[f"p{i}_{j}"]
-            if start == 0:
-                parts[row["__f"]][0] = row["n"]
-                s[:] = [row[f"s{i}"] for i in range(p)]
-    return Moments(tuple(features), center, {f: tuple(v) for f, v in parts.items()})
+    sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs]
+    sums += [F.sum(f"x{i}").alias(f"s{i}") for i in range(p)] + [F.count(F.lit(1)).alias("n")]
+    for row in centred.groupBy("__f").agg(*sums).collect():
+        m = np.zeros((p, p))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = row[f"p{i}_{j}"]
+        parts[row["__f"]] = row["n"], np.array([row[f"s{i}"] for i in range(p)]), m
+    return Moments(tuple(features), center, parts)
+
+
+def _wide_moments(rows: DataFrame, names: Sequence[str], fold: str | None) -> Moments:
+    center = gram.sample_center(rows, names)
+    found = gram.products(rows, names, center, fold)
+    kind = "string" if fold is None else rows.schema[fold].dataType.simpleString()
+
+    def as_fold(text: str):
+        if kind == "string":
+            return text
+        return int(text) if text else None
+
+    parts = {
+        (0 if fold is None else as_fold(f)): (float(m[0, 0]), m[0, 1:], m[1:, 1:]) for f, m in found.items()
+    }
+    return Moments(tuple(names[:-1]), center, parts)
 
 
 def _normal_equations(moments: Moments, without, intercept: bool):

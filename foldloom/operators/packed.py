@@ -169,9 +169,15 @@ def keyed_sums(packed: Packed, kernel: Callable[[Block, Layout], Found]) -> Data
                     key = (block.dataset, held_out, task, op)
                     held[key] = JOINED[op](held[key], values) if key in held else np.array(values, float)
             if sum(v.nbytes for v in held.values()) > HELD_BYTES:
-                yield from _sent(held)
+                yield from sent(held)
                 held = {}
-        yield from _sent(held)
+        yield from sent(held)
+
+    return summed(packed.rows.mapInArrow(partial, SUMS))
+
+
+def summed(sums: DataFrame) -> DataFrame:
+    """Partial sums of ``SUMS`` joined by key and part; a group has a row per task."""
 
     def joined(key: tuple, rows: pa.Table) -> pa.Table:
         op = key[3].as_py()
@@ -182,11 +188,10 @@ def keyed_sums(packed: Packed, kernel: Callable[[Block, Layout], Found]) -> Data
                 total = values.copy() if total is None else JOINED[op](total, values)
         return rows.slice(0, 1).drop_columns(["numbers"]).append_column("numbers", pa.array([total], pa.list_(pa.float64())))
 
-    sums = packed.rows.mapInArrow(partial, SUMS)
     return sums.groupBy("dataset", "held_out", "task", "op", "part").applyInArrow(joined, SUMS)
 
 
-def _sent(held: Mapping[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def sent(held: Mapping[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for (dataset, held_out, task, op), values in held.items():
         n, width = values.shape
         numbers = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * width, pa.array(values.ravel()))

@@ -10,13 +10,12 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.functions import sql
 from foldloom.functions.numeric import half_even, ratio
+from foldloom.operators import gram
 from foldloom.operators.clean import infinite_cells, missing_cells
 from foldloom.operators.columns import column_kinds
 from foldloom.operators.state import settle_row
@@ -112,25 +111,6 @@ def _pair_summary() -> list[Column]:
     ]
 
 
-def _pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Upper-triangle Pearson correlations as one array column ``r``."""
-    pairs = list(combinations(columns, 2))
-    if len(pairs) <= PAIRS_PER_AGGREGATE:
-        return df.agg(_pair_array(columns).alias("r"))
-    nulls = df.agg(F.max(F.expr(" or ".join(f"{sql.name(c)} is null" for c in columns)))).first()[0]
-    if not nulls:
-        # one distributed Gram matrix, p x p on return
-        packed = VectorAssembler(inputCols=list(columns), outputCol="__v").transform(df).select("__v")
-        matrix = Correlation.corr(packed, "__v").first()[0].toArray()
-        upper = [float(matrix[i, j]) for i, j in combinations(range(len(columns)), 2)]
-        return df.sparkSession.createDataFrame([(upper,)], "r array<double>")
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        chunk = pairs[start : start + PAIRS_PER_AGGREGATE]
-        parts += list(df.agg(*[F.expr(f"corr({sql.double(a)}, {sql.double(b)})") for a, b in chunk]).first())
-    return df.sparkSession.createDataFrame([(parts,)], "r array<double>")
-
-
 def correlations(df: DataFrame, dataset: str, columns: Sequence[str]) -> DataFrame:
     """Mean and population std of the pairwise correlations; 0 with fewer than two columns."""
     if len(columns) < 2:
@@ -139,7 +119,15 @@ def correlations(df: DataFrame, dataset: str, columns: Sequence[str]) -> DataFra
             F.lit(0.0).alias("correlation_mean"),
             F.lit(0.0).alias("correlation_std"),
         )
-    return _pair_correlations(df, columns).select(F.lit(dataset).alias("dataset"), *_pair_summary())
+    if len(columns) * (len(columns) - 1) // 2 <= PAIRS_PER_AGGREGATE:
+        pairs = df.agg(_pair_array(columns).alias("r"))
+        return pairs.select(F.lit(dataset).alias("dataset"), *_pair_summary())
+    pairs = gram.correlation_rows(df, columns).select(F.explode("r").alias("r")).filter(~F.isnan("r"))
+    return pairs.agg(
+        F.lit(dataset).alias("dataset"),
+        F.coalesce(F.avg("r"), F.lit(0.0)).alias("correlation_mean"),
+        F.coalesce(F.stddev_pop("r"), F.lit(0.0)).alias("correlation_std"),
+    )
 
 
 def _limits(columns: Sequence[str]) -> list[Column]:
