@@ -20,11 +20,11 @@ Blocks are bounded: one that holds more than ``BLOCK_TOKENS`` is dealt into piec
 few common pivot sets.  Pieces are searched alone; afterwards only the sets outside the block's
 largest component are compared with every piece, in blocks of both.
 
-Copies: documents with equal sets are one set from step 2 on.
+Copies: documents with equal sets are one set from step 2 on, with a number of its own.
 
-Defined cases: a null text has no shingles; sets without shingles link with nothing; a null doc_id
-is in no component of its own, but gets that of documents with an equal set; texts that share a
-doc_id count as linked; an empty table gives an empty result; extra columns are ignored.
+Defined cases: a null text has no shingles; sets without shingles link with nothing; a row without doc_id
+links like any other, gets the smallest doc_id of its component and null if that has none; rows that share a doc_id
+are documents of their own, whose components may differ; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldloom.llm.census import bucket_of, census, parts_of, runs_of, values
 from foldloom.llm.components import components
@@ -411,6 +412,14 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 def duplicate_classes(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, block_sets: int = BLOCK_SETS) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    return classes(docs, block_tokens, block_sets).select("doc_id", "n_shingles", "component_id")
+
+
+def classes(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """doc_id, n_shingles, print, component, component_id of every document.
+
+    ``print`` names the set, ``component`` (null without shingles) the component, also one without any doc_id.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch(docs.sparkSession) as scratch:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -418,33 +427,63 @@ def duplicate_classes(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, block_s
         found = scratch.save(summaries(docs, parts_of(size // 20)))
         facts = found.filter("print is not null").select("doc_id", "n_shingles", "print")
         counts = found.filter("holder is not null").groupBy("holder").agg(F.sum("found").alias("found"))
-        classes = facts.filter("n_shingles > 0").groupBy("print", "n_shingles")
-        classes = classes.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("rep is not null")
-        classes = Scratch.kept(classes)
-        likely = scratch.save(_likely(classes, counts))
-        texts = docs.join(small_side(likely.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-        sets = full_sets(texts).join(small_side(likely.select("print")), "print", "left_semi")
-        sets = scratch.save(sets.select("id", "n", "tokens"))
-        joined = set_components(sets, scratch, block_tokens, block_sets)
-        joined = joined.groupBy("rep").agg(F.min("component").alias("component"))
-        named = classes.join(joined, "rep", "left").select(
-            "print", "copies", F.coalesce("component", "rep").alias("component_id")
+        sets = facts.filter("n_shingles > 0").groupBy("print", "n_shingles")
+        sets = sets.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        # numbers of a written table, which stay
+        sets = scratch.save(sets.withColumn("id", F.monotonically_increasing_id()))
+        likely = scratch.save(_likely(sets, counts))
+        tokens = scratch.save(_tokens(docs, likely))
+        joined = set_components(tokens, scratch, block_tokens, block_sets)
+        joined = Scratch.kept(joined.groupBy(F.col("rep").alias("id")).agg(F.min("component").alias("component")))
+        # only sets that were searched can have a component of several
+        searched = joined.join(sets.select("id", "rep"), "id")
+        smallest = searched.groupBy("component").agg(F.min("rep").alias("least"))
+        searched = searched.select("id", "component").join(smallest, "component")
+        named = sets.join(searched, "id", "left").select(
+            "print", "copies", F.coalesce("component", "id").alias("component"),
+            F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("least"),
         )
         out = attach(facts, Scratch.kept(named), ["print"], "copies", "left")
-        return scratch.kept(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+        smallest = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+        return scratch.kept(out.select("doc_id", "n_shingles", "print", "component", smallest.alias("component_id")))
+
+
+def _tokens(docs: DataFrame, likely: DataFrame) -> DataFrame:
+    """id, n, tokens of the likely sets, from a text of each."""
+    numbers = likely.select("print", "id")
+    texts = docs.join(small_side(likely.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    sets = full_sets(texts).drop("id")
+    if not likely.filter("rep is null").isEmpty():
+        # sets that no numbered document has
+        nameless = likely.filter("rep is null").select("print")
+        own = full_sets(docs.filter("doc_id is null")).drop("id").join(small_side(nameless), "print", "left_semi")
+        sets = sets.unionByName(own.groupBy("print").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    return sets.join(small_side(numbers), "print").select("id", "n", "tokens")
+
+
+def with_print(docs: DataFrame) -> DataFrame:
+    """``docs`` with the print of every text as ``_print``."""
+    names = docs.columns
+
+    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                prints = [fingerprint(s) for s in shingles(words_of(part.column("text"), lower=True))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints, pa.binary())], [*names, "_print"])
+
+    return docs.mapInArrow(computed, T.StructType([*docs.schema.fields, T.StructField("_print", T.BinaryType())]))
 
 
-def _likely(classes: DataFrame, counts: DataFrame) -> DataFrame:
-    """Classes whose prefix shares enough shingles with another set."""
+def _likely(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """Sets whose prefix shares enough shingles with another set."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             holder = _holder([p.as_py() for p in batch["print"]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(holder), batch["print"], batch["rep"], batch["n_shingles"]],
-                                             ["holder", "print", "rep", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(holder), *batch.columns], ["holder", *batch.schema.names])
 
-    own = classes.select("print", "rep", "n_shingles").mapInArrow(
-        marked, "holder long, print binary, rep long, n_shingles long"
+    own = sets.select("print", "rep", "id", "n_shingles").mapInArrow(
+        marked, "holder long, print binary, rep long, id long, n_shingles long"
     )
     least = F.greatest(F.lit(1), F.expr("((4 * n_shingles + 4) div 5) div 10"))
-    return own.join(counts, "holder").filter(F.col("found") >= least).select("print", "rep")
+    return own.join(counts, "holder").filter(F.col("found") >= least).select("print", "rep", "id")

@@ -72,7 +72,7 @@ cleaned as (
   select conv_id, turn, role, text,
          regexp_matches(text, '(^|\n)[ \t]*>') as quotes,
          string_split(replace(regexp_replace(
-           text, '(?im)^on [^\n]{{0,200}} wrote:[ \t]*\n([ \t]*>)', '\1', 'g'), chr(13) || chr(10), chr(10)), chr(10)) as ls
+           text, '(?im)^on [^\n]* wrote:[ \t]*\n([ \t]*>)', '\\1', 'g'), chr(13) || chr(10), chr(10)), chr(10)) as ls
   from conversations),
 lines as (
   select conv_id, turn, pos, length(regexp_replace(regexp_extract(raw, '^([ \t]*>)+'), '[^>]', '', 'g')) as level,

@@ -27,7 +27,7 @@ from foldloom.llm.store import Scratch, attach
 QUOTED = r"(?m)^[ \t]*>"
 MARKS = r"^([ \t]*>)+"
 #: the line with which mail programs introduce a quote
-INTRODUCTION = r"(?im)^on [^\n]{0,200} wrote:[ \t]*\n(?=[ \t]*>)"
+INTRODUCTION = r"(?im)^on [^\n]* wrote:[ \t]*\n(?=[ \t]*>)"
 OUTPUTS = ("text", "parent_turn", "root_turn", "depth", "n_quoted", "n_linked")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldloom.llm import cotraining, lexicon_bpe, overlap_join, passages, poisson_mix
 from foldloom.llm.queries import table, tokenizer
-from foldloom.llm.store import Scratch, small_side
+from foldloom.llm.store import Scratch, attach, small_side
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,20 +22,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that of smallest doc_id; rows without one all stay."""
-    found = Scratch.kept(overlap_join.duplicate_classes(docs))
-    rows = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
-    rows = Scratch.kept(rows)
-    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    stay = docs.join(small_side(dropped), F.col("doc_id") == F.col("_id"), "left_anti")
-    again = rows.filter("n > 1").select("_id")
-    if again.isEmpty():
-        return stay
-    # ids with several rows keep one of them
-    again = small_side(again)
-    once = stay.join(again, F.col("doc_id") == F.col("_id"), "left_anti")
-    several = stay.join(again, F.col("doc_id") == F.col("_id"), "left_semi")
-    return once.unionByName(several.dropDuplicates(["doc_id"]))
+    """One document of each component of near duplicates, that of smallest doc_id (any one, if none has an id).
+
+    Documents without words all stay.  Rows that share a doc_id, or have none, are told apart by the print of
+    their text.  An empty table stays empty; columns beside doc_id and text are only passed on.
+    """
+    found = Scratch.kept(overlap_join.classes(docs))
+    odd = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is null or n > 1")
+    odd = Scratch.kept(odd)
+    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    if odd.isEmpty():
+        return docs.join(small_side(dropped), F.col("doc_id") == F.col("_id"), "left_anti")
+    ids = small_side(odd.select(F.col("doc_id").alias("_id")))
+    plain = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti")
+    stay = plain.join(small_side(dropped.distinct()), F.col("doc_id") == F.col("_id"), "left_anti")
+    rows = overlap_join.with_print(docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi"))
+    facts = found.join(ids, found["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    facts = facts.groupBy(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("print").alias("_print")).agg(
+        F.first("component").alias("_component"), F.first("component_id").alias("_least"), F.count(F.lit(1)).alias("_n")
+    )
+    rows = attach(rows, Scratch.kept(facts), ["doc_id", "_print"], "_n")
+    wordless = rows.filter("_component is null")
+    first = rows.filter("_component is not null and doc_id <=> _least").dropDuplicates(["_component"])
+    return stay.unionByName(wordless.select(*docs.columns)).unionByName(first.select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

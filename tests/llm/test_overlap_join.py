@@ -75,6 +75,52 @@ def test_defined_cases(spark):
     assert overlap_join.duplicate_classes(spark.createDataFrame([(1, None)], docs.schema)).first()[:] == (1, 0, 1)
 
 
+def test_rows_without_an_id_are_bridges(spark):
+    """The middle one links two documents that do not link with each other."""
+    base = [f"w{i}" for i in range(60)]
+    a, b, c = base[:50], base[3:53], base[6:56]
+    for middle, want in ((None, [1, 1, 1]), (9, [1, 1, 1])):
+        rows = [(1, " ".join(a)), (middle, " ".join(b)), (2, " ".join(c)), (None, "only nameless ones here now"),
+                (None, "Only nameless ones here now")]
+        found = overlap_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(r["component_id"] for r in found if r["component_id"]) == want
+        assert len({r["component"] for r in found}) == 2 and sum(r["component_id"] is None for r in found) == 2
+
+
+@pytest.mark.parametrize("limits", [{}, {"block_tokens": 150, "block_sets": 3}])
+def test_missing_and_repeated_ids_match_brute_force(spark, words, groups, limits):
+    rows = near_copies(8)
+    rnd = random.Random(2)
+    ids = [rnd.choice([None, i, i, i, i // 3]) for i in range(len(rows))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in zip(ids, rows, strict=True)], "doc_id long, text string")
+    component = brute([(n, t) for n, (_, t) in enumerate(rows)], words, groups)
+    least = {}
+    for n, (_, c) in component.items():
+        least[c] = min((i for i in (least.get(c), ids[n]) if i is not None), default=None)
+    want = sorted(((ids[n], size, least[c]) for n, (size, c) in component.items()), key=repr)
+    found = overlap_join.duplicate_classes(docs, **limits).collect()
+    assert sorted(map(tuple, found), key=repr) == want
+
+
+def test_stage_keeps_one_row_of_each_component(spark, words, groups):
+    from foldloom.llm import stages
+
+    rows = near_copies(8)
+    rnd = random.Random(2)
+    ids = [rnd.choice([None, i, i, i, i // 3]) for i in range(len(rows))]
+    table = [(i, t, "en", "s", n, 1.5) for n, (i, (_, t)) in enumerate(zip(ids, rows, strict=True))]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long, component double")
+    component = brute([(n, t) for n, (_, t) in enumerate(rows)], words, groups)
+    kept = stages.near_duplicates(spark, docs, "").collect()
+    assert docs.columns == list(kept[0].asDict())
+    of = lambda n: component[n][1] if component[n][0] else ("alone", n)
+    assert sorted(map(str, (of(r["n_chars"]) for r in kept))) == sorted({str(of(n)) for n in component})
+    for r in kept:
+        own = [ids[n] for n in component if of(n) == of(r["n_chars"]) and ids[n] is not None]
+        assert r["doc_id"] == (min(own) if own else None)
+    assert stages.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_divide_skip_counts_overlaps():
     rnd = np.random.default_rng(0)
     sets = [np.unique(rnd.integers(0, 80, rnd.integers(1, 60)).astype(np.uint64)) for _ in range(300)]

@@ -1,7 +1,16 @@
+import random
+import sys
+from pathlib import Path
+
 import pytest
 
 from foldloom.llm.quotations import link
 
+sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
+
+import compare  # noqa: E402
+from foldloom.llm.queries import OP3_SQL  # noqa: E402
+
 SCHEMA = "conv_id long, turn long, role string, text string, depth string"
 
 
@@ -64,3 +73,49 @@ def test_many_quotes_of_one_line(spark):
 def test_line_ends(spark, mark):
     rows = [(1, 0, "u", f"one{mark}two"), (1, 1, "u", f"> one{mark}> two{mark}three")]
     assert linked(spark, rows)[1][2:5] == ("three", 0, 0)
+
+
+def threads(seed, conversations):
+    """Messages of which over half quote earlier ones, with attribution lines short and long, levels up to four."""
+    rnd, rows = random.Random(seed), []
+    words = "alpha Beta gamma  delta EPSILON zeta wrote: on > eta".split(" ")
+    for conv in range(conversations):
+        said = []
+        for turn in range(rnd.randint(1, 14)):
+            lines = []
+            for _ in range(rnd.choice([0, 1, 1, 2, 3]) if said else 0):
+                level, of = rnd.randint(1, 4), rnd.choice(said)
+                if rnd.random() < 0.5:
+                    lines.append(rnd.choice(["On", "ON", "on"]) + " Monday, " + "x" * rnd.choice([3, 250, 5000]) + " wrote:" + rnd.choice(["", " "]))
+                mark = rnd.choice(["> ", ">", " > "]) * level
+                part = of.split("\n")
+                at = rnd.randrange(len(part))
+                lines += [mark + rnd.choice([x, x.upper(), x + " "]) for x in part[at : at + rnd.randint(1, 4)]]
+                if rnd.random() < 0.5:
+                    lines.append("")
+            own = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 4))]
+            own = [x if not x.lstrip().startswith(">") else "y" + x for x in own]
+            if rnd.random() < 0.3:
+                own.insert(rnd.randrange(len(own) + 1), "")
+            said.append("\n".join(own))
+            text = rnd.choice(["\n", "\n", "\r\n"]).join([*lines, *own])
+            rows.append((conv, turn, "user", text if rnd.random() > 0.01 else None))
+    return rows
+
+
+def test_generated_threads_equal_the_sql(spark, tmp_path, monkeypatch):
+    rows = threads(11, 700)
+    quoting = sum(any(x.lstrip().startswith(">") for x in (r[3] or "").split("\n")) for r in rows)
+    assert len(rows) >= 5000 and quoting > 0.5 * len(rows)
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    next(Path(f"{tmp_path}/t").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
+    monkeypatch.setitem(compare.QUERIES, "threads", lambda s, d: link(s.read.parquet(f"{d}/conversations.parquet")))
+    monkeypatch.setitem(compare.SQL, "threads", OP3_SQL)
+    assert compare.compare(spark, compare.connect(str(tmp_path)), str(tmp_path), "threads") is None
+    linked = link(spark.read.parquet(f"{tmp_path}/conversations.parquet")).selectExpr("sum(n_linked)", "max(depth)").first()
+    assert linked[0] > 1000 and linked[1] > 3
+
+
+def test_long_attribution_lines_go(spark):
+    rows = [(1, 0, "u", "first"), (1, 1, "a", "On " + "day " * 100_000 + "wrote:\n> first\nreply")]
+    assert linked(spark, rows)[1][2:5] == ("reply", 0, 0)
