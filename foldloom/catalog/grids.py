@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from foldloom.catalog.base import EVENTS_INF, ORDERS_NULLS, digits, events_inf, orders_nulls, query, rounded, table
@@ -103,3 +104,64 @@ def grid_search(spark, sf):
     capped = [grid.Trial(t.trial, t.algorithm, {k: str(min(int(v), 6)) if k == "max_depth" else v for k, v in t.params.items()}) for t in drawn]
     best = grid.best_trials(grid.scores(packed, grid.fit(packed, states, [*capped, *ensembles])))
     return best.select("dataset", "algorithm", "trial", digits("best_score").alias("best_score"), "n_trials")
+
+
+def _part_features(spark, sf):
+    part = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("row_id"), "p_size", (F.col("p_partkey") % 17).alias("place"),
+        F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 4).alias("fold"),
+    )
+    return pack({"part": (part, "y")})
+
+
+_PART = """r as (select p_partkey as id, p_partkey % 4 as fold, p_size::double as a, (p_partkey % 17)::double as b, p_retailprice as y from part)"""
+
+
+@query(f"""with {_PART},
+x as (select h.o as held_out, r.* , ((id % 10007) * 7919) % 10007 % 10 as block from r join (select unnest([0, 1, 2, 3]) as o) h on fold <> o)
+select held_out::integer as held_out, block::integer as block, count(*) as n, round(sum(a), 4) as sum_size, round(sum(b), 4) as sum_place,
+  round(sum(a * b), 4) as size_place, round(sum(a * y), 2) as size_y, round(sum(b * y), 2) as place_y
+from x group by held_out, block""")
+def selection_moments(spark, sf):
+    """The sums per row block from which all selection runs are formed."""
+    packed = _part_features(spark, sf)
+    states = grouped.plain(packed)
+
+    def parts(block, layout, held_out):
+        return np.where(block.fold != held_out, grouped.row_blocks(block.row_id, 10), -1)
+
+    # columns in the order of the layout: size and place
+    sums = grouped.gram(packed, states, None, parts)
+    cell = lambda part, at: F.max(F.when(F.col("part") == part, F.col("numbers")[at]))
+    out = sums.groupBy("held_out", F.col("task").alias("block")).agg(
+        cell(0, 0).cast("long").alias("n"), cell(0, 1).alias("sum_size"), cell(0, 2).alias("sum_place"),
+        cell(1, 2).alias("size_place"), cell(1, 3).alias("size_y"), cell(2, 3).alias("place_y"),
+    )
+    return rounded(rounded(out, ["sum_size", "sum_place", "size_place"], 4), ["size_y", "place_y"], 2)
+
+
+@query(f"""with {_PART},
+t as (select unnest([0, 1, 2]) as trial, unnest([1.0, 10000.0, 1000000.0]) as alpha),
+f as (select unnest([0, 1, 2, 3]) as f),
+pairs as (select o.f as o, i.f as i from f o join f i on true),
+m as (
+  select o, i, trial, count(*) as n, avg(a) as ma, avg(b) as mb, avg(y) as my, var_pop(a) * count(*) + alpha as saa,
+         var_pop(b) * count(*) + alpha as sbb, covar_pop(a, b) * count(*) as sab, covar_pop(a, y) * count(*) as say,
+         covar_pop(b, y) * count(*) as sby
+  from pairs join r on r.fold <> o and r.fold <> i cross join t group by o, i, trial, alpha),
+w as (
+  select *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) as wa, (saa * sby - sab * say) / (saa * sbb - sab * sab) as wb from m),
+s as (
+  select o, i, trial, count(*) as n, avg(pow(y - my - wa * (a - ma) - wb * (b - mb), 2)) as mse, var_pop(y) as var
+  from w join r on r.fold = i group by o, i, trial),
+c as (
+  select o, trial, avg(1 - mse / var) as inner_r2 from s where i <> o group by o, trial
+  qualify row_number() over (partition by o order by inner_r2 desc, trial) = 1)
+select o::integer as fold, trial::bigint as trial, round(inner_r2, 8) + 0.0 as inner_r2, n, round(mse, 4) as mse, round(1 - mse / var, 8) + 0.0 as r2
+from c join s using (o, trial) where i = o""")
+def nested_ridge(spark, sf):
+    """The penalty chosen inside each outer fold, and its error on that fold."""
+    packed = _part_features(spark, sf)
+    trials = [grid.Trial(i, "ridge", {"alpha": a}) for i, a in enumerate(("1", "10000", "1000000"))]
+    out = grid.nested_linear(packed, grouped.plain(packed), trials).drop("dataset")
+    return rounded(rounded(out, ["inner_r2", "r2"], 8), ["mse"], 4)

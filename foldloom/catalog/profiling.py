@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.catalog.base import events_inf, orders_nulls, query, rounded, table
-from foldloom.operators import gram, columns, profile
+from foldloom.operators import columns, gram, profile, profiles
 from foldloom.sources.folds import metadata
 
 # table -> (numeric features, other features, target)
@@ -130,7 +130,19 @@ def meta_features(spark, sf):
         p = len(numeric) + len(other)
         # the engineered frame is taken as three derived columns wider
         parts.append(profile.profile(dataset(spark, sf, n), n, target, p + 3))
-    out = _stack(parts).withColumn("target_variance", F.col("target_variance") / 1e6)
+    return _meta_rounded(_stack(parts))
+
+
+@query(_union(_meta_sql(n) for n in SETS))
+def meta_features_grouped(spark, sf):
+    """The same rows from scans that all datasets share."""
+    frames = {n: (dataset(spark, sf, n), target) for n, (_, _, target) in SETS.items()}
+    rows, widths = profiles.profile_rows(frames, {n: len(a) + len(b) + 3 for n, (a, b, _) in SETS.items()})
+    return _meta_rounded(profiles.profiles(rows, widths))
+
+
+def _meta_rounded(rows: DataFrame) -> DataFrame:
+    out = rows.withColumn("target_variance", F.col("target_variance") / 1e6)
     out = rounded(out, ["fe_impact_score"], 9)
     out = rounded(out, ["missing_ratio"], 9)
     out = rounded(out, ["target_variance", "skewness_mean", "kurtosis_mean"], 5)

@@ -62,6 +62,13 @@ def stratified_kfold_events(spark, sf):
     return folds.stratified_kfold(df, "event_type", "event_id", 5)
 
 
+@query(_STRATIFIED.format(label="o_custkey", id="o_orderkey", table="orders"))
+def stratified_kfold_many(spark, sf):
+    """A class per customer, in the form for more classes than the driver should hold."""
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return folds.stratified_kfold(df, "o_custkey", "o_orderkey", 5, few=100)
+
+
 @query(f"""select o_orderkey, case when row_number() over (order by {SHUFFLED})
        <= (select count(*) - cast(ceil(0.2 * count(*)) as bigint) from orders) then 'train' else 'test' end as split from orders""")
 def holdout_split(spark, sf):

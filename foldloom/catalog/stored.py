@@ -11,6 +11,7 @@ from foldloom.catalog.evaluating import rounded_metrics
 from foldloom.catalog.modelling import _numeric_orders, _ridge_sql, _two_features
 from foldloom.operators import linear, metrics, models
 from foldloom.session import shared_folder
+from foldloom.sources import folds as fold_source
 from foldloom.sources import logs
 from foldloom.sources.model_store import Entry, ModelStore
 from foldloom.sources.snapshots import Snapshots
@@ -53,6 +54,27 @@ def trees_stored(spark, sf):
     )
 
 
+@query("""with r as (select p_size::double as x, p_partkey::double as key, p_retailprice as y, p_partkey % 4 as fold from part),
+f as (select h.f as fold, case when r.fold = h.f then 'test' else 'train' end as split, x, key, y from r join (select unnest([0, 1, 2, 3]) as f) h on true)
+select 'part' as dataset, fold::integer as fold, split, count(*) as n, round(sum(x), 2) as size, round(sum(key * y), 0) as key_target
+from f group by fold, split""")
+def fold_files(spark, sf):
+    """A dataset written as four files per fold, found and read back whole; features and targets match by position."""
+    root = _fresh(spark)
+    part = table(spark, sf, "part").select(
+        "p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_partkey").cast("double").alias("key"),
+        F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 4).cast("int").alias("fold"),
+    )
+    for fold in range(4):
+        fold_source.write_fold_files(part, root, "part", fold, "y", "p_partkey")
+    (dataset,) = fold_source.fold_layout(spark, root)
+    rows = fold_source.read_dataset(spark, root, dataset)
+    sums = rows.groupBy("dataset", "fold", "split").agg(
+        F.count("target").alias("n"), F.sum("x").alias("size"), F.sum(F.col("key") * F.col("target")).alias("key_target")
+    )
+    return rounded(rounded(sums, ["size"], 2), ["key_target"], 0)
+
+
 @query("""with e as (
   select 'd' || (user_id % 5) as dataset, event_type as algorithm, max(value) as best, count(*) as n from events group by 1, 2)
 select dataset, algorithm, round(best, 6) as best_score, n::integer as n_trials from e""")

@@ -29,7 +29,9 @@ class Moments:
     parts: dict  # fold -> (count, sums (p+1), products (p+1, p+1))
 
     def total(self, without=None) -> tuple[float, np.ndarray, np.ndarray]:
-        chosen = [m for f, m in self.parts.items() if without is None or f != without]
+        """Sums of all parts but one, or but a set of them."""
+        left_out = without if isinstance(without, (set, frozenset)) else {without} if without is not None else ()
+        chosen = [m for f, m in self.parts.items() if f not in left_out]
         return (
             sum(m[0] for m in chosen),
             sum(m[1] for m in chosen),

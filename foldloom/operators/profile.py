@@ -20,7 +20,7 @@ from foldloom.operators.clean import infinite_cells, missing_cells
 from foldloom.operators.columns import column_kinds
 from foldloom.operators.state import settle_row
 
-PAIRS_PER_AGGREGATE = 300
+PAIRS_PER_AGGREGATE = 100
 
 
 def shapes(df: DataFrame, dataset: str, exclude: Sequence[str] = ()) -> DataFrame:
@@ -95,7 +95,14 @@ def moments(df: DataFrame, dataset: str, columns: Sequence[str]) -> DataFrame:
 
 
 def _pair_array(columns: Sequence[str]) -> Column:
-    cells = [f"corr({sql.double(a)}, {sql.double(b)})" for a, b in combinations(columns, 2)]
+    """Pairwise correlations over the rows that have both; NULL (corr() raises an error) where a column is constant."""
+
+    def corr(a: str, b: str) -> str:
+        x, y = sql.double(a), sql.double(b)
+        spread = f"stddev_pop(if({y} is null, null, {x})) * stddev_pop(if({x} is null, null, {y}))"
+        return f"try_divide(covar_pop({x}, {y}), {spread})"
+
+    cells = [corr(a, b) for a, b in combinations(columns, 2)]
     return F.expr(f"cast(array({', '.join(cells)}) as array<double>)")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,9 @@ from foldloom.operators.linear import fold_moments, solve_lasso
 from foldloom.sources.state import load_categories, load_state, save_state
 
 FEATURE_CAP = 50
+SELECTION_RUNS = 5
+#: row blocks of each selection run
+RUN_BLOCKS = 2
 
 
 @dataclass(frozen=True)
@@ -221,21 +225,26 @@ def auto_candidates(names: Sequence[str], minimum: dict) -> dict:
 
 
 def select_features(
-    df: DataFrame, names: Sequence[str], target: str, cap: int = FEATURE_CAP, alpha: float = 0.0005
+    df: DataFrame, names: Sequence[str], target: str, cap: int = FEATURE_CAP, alpha: float = 0.0005,
+    runs: int = SELECTION_RUNS,
 ) -> list[str]:
-    """Features by importance: an L1 model on standardised columns, then abs correlation.
+    """Features by importance: votes of L1 models on standardised columns, mean weight, abs correlation.
 
-    Both come from the same second moments (one scan); at most ``cap`` are kept,
-    which is the limit of the operator itself.
+    Rows are dealt into blocks by a hash of their values; each run leaves out its blocks.  All runs come from
+    one scan, as second moments per block are added and subtracted; at most ``cap`` features are
+    kept, which is the limit of the operator itself.
     """
     moments = scale.fit_standard(df, [*names, target])
-    z = scale.standard_scale(df, moments, [*names, target])
-    sums = fold_moments(z, names, target)
-    n, _, products = sums.total()
-    weight = solve_lasso(sums, alpha)
+    block = F.pmod(F.xxhash64(*names, target), F.lit(RUN_BLOCKS * runs)).cast("int")
+    z = scale.standard_scale(df.withColumn("__block", block), moments, [*names, target])
+    sums = fold_moments(z, names, target, "__block")
     p = len(names)
-    corr = {c: abs(products[i, p]) / max(n, 1) for i, c in enumerate(names)}
-    order = sorted(range(p), key=lambda i: (weight[i] == 0.0, -abs(weight[i]), -corr[names[i]], names[i]))
+    n, _, products = sums.total()
+    left_out = [{b for b in sums.parts if b % runs == r} for r in range(runs)] if runs > 1 else [set()]
+    weights = [np.abs(solve_lasso(sums, alpha, out)[:p]) for out in left_out if sums.total(out)[0]]
+    votes, weight = sum((w > 0).astype(int) for w in weights), sum(weights) / len(weights)
+    corr = [abs(products[i, p]) / max(n, 1) for i in range(p)]
+    order = sorted(range(p), key=lambda i: (-votes[i], -weight[i], -corr[i], names[i]))
     return [names[i] for i in order][:cap]
 
 

@@ -99,28 +99,26 @@ def fit(packed: Packed, states: grouped.States, trials: Sequence[Trial], bins: i
     return Fitted(trials, states, _linear(packed, states, trials), forests)
 
 
+def _solved(trial: Trial, moments: linear.Moments) -> np.ndarray:
+    """Coefficients then intercept of a linear trial."""
+    alpha = float(trial.params.get("alpha", 0.0))
+    if trial.algorithm == "lasso":
+        return linear.solve_lasso(moments, alpha)
+    return linear.solve_ridge(moments, alpha, None, trial.params.get("fit_intercept", "true") == "true")
+
+
 def _linear(packed: Packed, states: grouped.States, trials: Sequence[Trial]) -> dict[tuple[str, int], np.ndarray]:
     """A row of weights and intercept per trial (zeros for trees), solved where the sums of a fold meet."""
 
     def solve(key: tuple, rows: pa.Table) -> pa.Table:
         dataset, held_out = (k.as_py() for k in key)
-        parts = sorted(rows.select(["part", "numbers"]).to_pylist(), key=lambda r: r["part"])
-        matrix = np.array([r["numbers"] for r in parts])
-        moments = grouped.moments_of(matrix, range(len(parts) - 2))
-        out = []
-        for t in trials:
-            alpha = float(t.params.get("alpha", 0.0))
-            if t.algorithm == "lasso":
-                w = linear.solve_lasso(moments, alpha)
-            elif t.algorithm in LINEAR:
-                w = linear.solve_ridge(moments, alpha, None, t.params.get("fit_intercept", "true") == "true")
-            else:
-                w = np.zeros(len(parts) - 1)
-            out.append([float(v) for v in w])
+        matrix = grouped.matrices(rows)[0]
+        moments = grouped.moments_of(matrix, range(len(matrix) - 2))
+        out = [_solved(t, moments) if t.algorithm in LINEAR else np.zeros(len(matrix) - 1) for t in trials]
         return pa.table(
             {
                 "dataset": [dataset], "held_out": pa.array([held_out], pa.int32()), "n": [float(matrix[0, 0])],
-                "weights": pa.array([out], pa.list_(pa.list_(pa.float64()))),
+                "weights": pa.array([[[float(v) for v in w] for w in out]], pa.list_(pa.list_(pa.float64()))),
             }
         )
 
@@ -130,6 +128,55 @@ def _linear(packed: Packed, states: grouped.States, trials: Sequence[Trial]) ->
     return {(r["dataset"], r["held_out"]): np.array(r["weights"]) for r in found.filter("n > 0").collect()}
 
 
+NESTED = "dataset string, fold int, trial long, inner_r2 double, n long, mse double, r2 double"
+
+
+def _errors(matrix: np.ndarray, weights: np.ndarray) -> tuple[float, float, float]:
+    """Rows, squared error and total squares of a linear model on rows that are known by their sums alone."""
+    n = matrix[0, 0]
+    full = np.concatenate(([-weights[-1]], -weights[:-1], [1.0]))
+    return n, max(float(full @ matrix @ full), 0.0), float(matrix[-1, -1] - matrix[0, -1] ** 2 / n)
+
+
+def nested_linear(packed: Packed, states: grouped.States, trials: Sequence[Trial]) -> DataFrame:
+    """Tuning inside every outer fold: the trial chosen there, and its score on the outer fold; columns of ``NESTED``.
+
+    The features of an outer fold come from the other folds, the inner folds are those, and the training sums
+    of an inner fold are the total less the outer and the inner fold.  Fits and scores of all trials follow
+    from one pass, by sums of products per fold; the outer fold's sums are read once, to score the choice.
+    """
+    places = {d: {f: i for i, f in enumerate(layout.folds)} for d, layout in packed.layout.items()}
+
+    def parts(block: Block, layout: Layout, held_out: int) -> np.ndarray:
+        return np.searchsorted(np.array(layout.folds), block.fold)
+
+    def solve(key: tuple, rows: pa.Table) -> pa.Table:
+        dataset, outer = (k.as_py() for k in key)
+        by_fold = grouped.matrices(rows)
+        own = by_fold.pop(places[dataset][outer], None)
+        out = []
+        if own is not None and len(by_fold) > 1:
+            total = sum(by_fold.values())
+            inner = []
+            for t in trials:
+                scores = []
+                for part in by_fold.values():
+                    _, sse, sst = _errors(part, _solved(t, grouped.moments_of(total - part, range(len(part) - 2))))
+                    scores.append(1 - sse / sst if sst > 0 else 0.0)
+                inner.append(float(np.mean(scores)))
+            best = max(range(len(trials)), key=lambda i: inner[i])
+            n, sse, sst = _errors(own, _solved(trials[best], grouped.moments_of(total, range(len(own) - 2))))
+            out = [(dataset, outer, trials[best].trial, inner[best], int(n), sse / n, 1 - sse / sst if sst > 0 else 0.0)]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+        names = [f.split()[0] for f in NESTED.split(", ")]
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+    if any(t.algorithm not in LINEAR for t in trials):
+        raise ValueError("nested tuning from sums is for linear models")
+    # a group has one matrix per fold
+    return grouped.gram(packed, states, None, parts).groupBy("dataset", "held_out").applyInArrow(solve, NESTED)
+
+
 def scores(packed: Packed, fitted: Fitted) -> DataFrame:
     """Metrics of every trial on every held-out fold, from one pass: the columns of ``RESULT``."""
     places = range(len(fitted.trials))

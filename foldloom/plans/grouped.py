@@ -2,7 +2,7 @@
 
 For each held-out fold the state comes from the other folds alone: text codes, means for missing
 values, constant columns, the two moments of the log normalisation, minima that decide which unary
-features exist, and the selection by an L1 model on labels of training rows.  Each step is one
+features exist, and the selection by votes of several L1 models on labels of training rows.  Each step is one
 pass of ``keyed_sums`` over all datasets; the rows are never copied per fold, a task computes the
 features of a held-out fold when it needs them.
 """
@@ -21,6 +21,9 @@ from foldloom.operators.packed import UNSEEN, Block, Layout, Packed, collected,
 
 FEATURE_CAP = 50
 SELECTION_ALPHA = 0.0005
+SELECTION_RUNS = 5
+#: row blocks of each selection run
+RUN_BLOCKS = 2
 DIGITS = 3
 
 
@@ -156,21 +159,42 @@ def fit_clean(packed: Packed) -> dict[tuple[str, int], FoldState]:
     return states
 
 
-def gram(packed: Packed, states: States, chosen=None) -> DataFrame:
-    """Sums of products of (1, features, y) over labelled training rows: a part per row of the matrix."""
+def row_blocks(row_id: np.ndarray, blocks: int) -> np.ndarray:
+    """Block of a row, by the shuffle that also deals folds."""
+    return np.mod(np.mod(np.mod(row_id, 10007) * 7919, 10007), blocks)
+
+
+def gram(packed: Packed, states: States, chosen=None, parts=None) -> DataFrame:
+    """Sums of products of (1, features, y) over labelled rows: a part per row of the matrix.
+
+    Without ``parts`` the sums are those of all training rows of a held-out fold.  ``parts`` gives every row of a
+    block its number, and a task per number holds its rows' sums; rows of number -1 are left out.
+    """
 
     def kernel(block: Block, layout: Layout):
         for at, held_out in enumerate(layout.folds):
             s = states[block.dataset, held_out]
             own = None if chosen is None else chosen[block.dataset, held_out]
-            rows = block.take(np.flatnonzero((block.fold != held_out) & ~np.isnan(block.y)))
+            number = np.where(block.fold != held_out, 0, -1) if parts is None else parts(block, layout, held_out)
+            number = np.where(np.isnan(block.y), -1, number)
+            rows = block.take(np.flatnonzero(number >= 0))
+            number = number[number >= 0]
             v = s.features(rows, at, own)
             v = np.concatenate((np.ones((len(v), 1)), v, rows.y[:, None]), axis=1)
-            yield held_out, 0, "sum", v.T @ v
+            for n in np.unique(number):
+                yield held_out, n, "sum", v[number == n].T @ v[number == n]
 
     return keyed_sums(packed, kernel)
 
 
+def matrices(rows: pa.Table) -> dict[int, np.ndarray]:
+    """The matrices of a group of sums, by task."""
+    found: dict[int, list] = {}
+    for r in sorted(rows.select(["task", "part", "numbers"]).to_pylist(), key=lambda r: r["part"]):
+        found.setdefault(r["task"], []).append(r["numbers"])
+    return {t: np.array(m) for t, m in sorted(found.items())}
+
+
 def moments_of(matrix: np.ndarray, names) -> Moments:
     """A Gram matrix of (1, features, y) as the moments that the linear solvers read, about the means."""
     n = max(matrix[0, 0], 1.0)
@@ -178,32 +202,52 @@ def moments_of(matrix: np.ndarray, names) -> Moments:
     return Moments(tuple(names), mean, {0: (n, np.zeros(len(mean)), matrix[1:, 1:] - n * np.outer(mean, mean))})
 
 
-def chosen_features(matrix: np.ndarray, candidates, cap: int, alpha: float) -> list[int]:
-    """Places of the selected candidates: weight in an L1 model on standardised columns, then correlation."""
-    m = moments_of(matrix, range(len(candidates)))
+def importance(matrix: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every candidate: weight in an L1 model on standardised columns, correlation, whether it varies."""
+    m = moments_of(matrix, range(len(matrix) - 2))
     n, _, products = m.parts[0]
     spread = np.sqrt(np.maximum(np.diag(products) / n, 0))
     varying = spread > 1e-12 * np.maximum(1.0, np.abs(m.center))
     unit = _or_one(np.where(varying, spread, 0.0))
     z = products / np.outer(unit, unit)
     weight = solve_lasso(Moments(m.features, np.zeros(len(unit)), {0: (n, np.zeros(len(unit)), z)}), alpha)
-    corr = np.abs(z[:-1, -1]) / n
-    live = [i for i in range(len(candidates)) if varying[i]]
-    return sorted(live, key=lambda i: (weight[i] == 0.0, -abs(weight[i]), -corr[i], candidates[i]))[:cap]
+    return np.abs(weight[:-1]), np.abs(z[:-1, -1]) / n, varying[:-1]
 
 
-def select(packed: Packed, states: States, cap: int = FEATURE_CAP, alpha: float = SELECTION_ALPHA) -> None:
-    """Choose features per (dataset, held-out fold) from its training labels: one pass, solved where the sums meet."""
+def stable_choice(blocks: Mapping[int, np.ndarray], names, cap: int, alpha: float, runs: int) -> list[int]:
+    """Places of the selected candidates: votes of the runs, then mean weight, then correlation.
+
+    Run r leaves out every block b with b % runs = r, by subtracting its sums from the total.
+    """
+    total = sum(blocks.values())
+    samples = [total - sum(m for b, m in blocks.items() if b % runs == r) for r in range(runs)] if runs > 1 else [total]
+    found = [importance(m, alpha) for m in samples if m[0, 0] > 0] or [importance(total, alpha)]
+    votes = sum((w > 0).astype(int) for w, _, _ in found)
+    weight = sum(w for w, _, _ in found) / len(found)
+    _, corr, varying = importance(total, alpha)
+    live = np.flatnonzero(varying).tolist()
+    return sorted(live, key=lambda i: (-votes[i], -weight[i], -corr[i], names[i]))[:cap]
+
+
+def select(
+    packed: Packed, states: States, cap: int = FEATURE_CAP, alpha: float = SELECTION_ALPHA, runs: int = SELECTION_RUNS
+) -> None:
+    """Choose features per (dataset, held-out fold) from its training labels.
+
+    One pass adds up the products by row block; all runs are solved from those sums, where they meet.
+    """
     chosen = {k: s.candidates() for k, s in states.items()}
-    sums = gram(packed, states, chosen)
+
+    def parts(block: Block, layout: Layout, held_out: int) -> np.ndarray:
+        return np.where(block.fold != held_out, row_blocks(block.row_id, RUN_BLOCKS * runs), -1)
 
     def solve(key: tuple, rows: pa.Table) -> pa.Table:
         dataset, held_out = (k.as_py() for k in key)
-        matrix = np.array([r["numbers"] for r in sorted(rows.select(["part", "numbers"]).to_pylist(), key=lambda r: r["part"])])
-        places = chosen_features(matrix, chosen[dataset, held_out], cap, alpha)
+        places = stable_choice(matrices(rows), chosen[dataset, held_out], cap, alpha, runs)
         return pa.table({"dataset": [dataset], "held_out": pa.array([held_out], pa.int32()), "places": pa.array([places], pa.list_(pa.int32()))})
 
-    # a group is one matrix, as large as the square of the dataset's columns
+    # a group is one matrix per block, as large as the square of the dataset's columns
+    sums = gram(packed, states, chosen, parts)
     found = sums.groupBy("dataset", "held_out").applyInArrow(solve, "dataset string, held_out int, places array<int>")
     for r in found.collect():
         key = (r["dataset"], r["held_out"])

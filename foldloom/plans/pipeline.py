@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.operators import columns, folds, metrics, models, profile
+from foldloom.operators import columns, folds, metrics, models, profiles
 from foldloom.operators.packed import Packed, pack
 from foldloom.plans import grid, grouped, recommend, search
 from foldloom.sources import logs
@@ -97,11 +97,8 @@ def run_pipeline(
         return grid.best_trials(grid.scores(made["packed"], made["fitted"]))
 
     def recommend_stage():
-        metas = None
-        for name, (raw, target) in sorted(datasets.items()):
-            widths = [len(s.selected) for (d, _), s in made["states"].items() if d == name]
-            meta = profile.profile(raw, name, target, max(widths), ["row_id"])
-            metas = meta if metas is None else metas.unionByName(meta)
+        widths = {d: len(state.selected) for (d, _), state in made["states"].items()}
+        metas = profiles.profiles(*profiles.profile_rows(datasets, widths, ("row_id",)))
         ids = metas.withColumn("dataset_id", F.xxhash64("dataset")).persist()
         targets = logs.as_entries(log)
         best = recommend.leaderboard.best_per_dataset(targets).withColumn("dataset_id", F.xxhash64("dataset"))

@@ -72,6 +72,58 @@ def read_fold_directory(
     return both.withColumns({"dataset": F.lit(dataset), "fold": F.lit(fold)})
 
 
+#: dataset, fold and split in a path of the four-file layout
+PLACE = r"/([^/]+)/(\d+)/[Xy]_(train|test)[^/]*\.parquet"
+
+
+def fold_layout(spark: SparkSession, root: str) -> dict[str, list[int]]:
+    """Datasets below ``root`` in the four-file layout, and their folds, from one listing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/*/X_train.parquet")
+    found: dict[str, list[int]] = {}
+    for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []:
+        fold = status.getPath().getParent()
+        if fold.getName().isdigit():
+            found.setdefault(fold.getParent().getName(), []).append(int(fold.getName()))
+    return {d: sorted(f) for d, f in sorted(found.items())}
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """fold, split and row position from the file that a row comes from."""
+    part = lambda i: F.regexp_extract(F.col("_metadata.file_path"), PLACE, i)
+    return df.withColumns(
+        {"fold": part(2).cast("int"), "split": part(3), "row_id": F.col("_metadata.row_index")}
+    )
+
+
+def read_dataset(spark: SparkSession, root: str, dataset: str, suffix: str = "", ragged: bool = False) -> DataFrame:
+    """All folds of a dataset in the four-file layout as one frame: two scans and one join, however many folds.
+
+    Rows of features and targets are matched by fold, split and position.  The target is NULL where there is no
+    file with targets.  ``suffix`` selects engineered features; ``ragged`` unites folds with different columns.
+    """
+    both = "{train,test}"
+    x = spark.read.option("mergeSchema", ragged).parquet(f"{root}/{dataset}/*/X_{both}{suffix}.parquet")
+    x = nan_to_null(_placed(x))
+    try:
+        raw = spark.read.parquet(f"{root}/{dataset}/*/y_{both}.parquet")
+    except AnalysisException:
+        joined = x.withColumn("target", F.lit(None).cast("double"))
+    else:
+        target = F.col(f"`{raw.columns[0]}`").cast("double").alias("target")
+        y = _placed(raw.select(target, "_metadata")).select("fold", "split", "row_id", "target")
+        joined = x.join(y, ["fold", "split", "row_id"], "left")
+    return joined.withColumn("dataset", F.lit(dataset))
+
+
+def write_fold_files(df: DataFrame, root: str, dataset: str, fold: int, target: str, row_id: str) -> None:
+    """One fold of the four-file layout: rows of ``fold`` are the test split; targets follow the features' order."""
+    for split, rows in (("train", df.filter(F.col("fold") != fold)), ("test", df.filter(F.col("fold") == fold))):
+        ordered = rows.repartition(1).sortWithinPartitions(row_id)
+        features = [c for c in df.columns if c not in (target, "fold", row_id)]
+        ordered.select(*features).write.mode("overwrite").parquet(f"{root}/{dataset}/{fold}/X_{split}.parquet")
+        ordered.select(target).write.mode("overwrite").parquet(f"{root}/{dataset}/{fold}/y_{split}.parquet")
+
+
 def read_flat(spark: SparkSession, folder: str, dataset: str) -> DataFrame:
     """Train and test files whose last column is the target."""
     parts = []

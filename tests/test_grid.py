@@ -188,3 +188,78 @@ def test_cuts_are_chosen_near_equal_shares():
     cuts = grown.cuts_of(counts, edge, edge, 4)
     assert cuts.tolist() == [24.5, 49.5, 74.5]
     assert grown.cuts_of(counts[:3], edge[:3], edge[:3], 32).tolist() == [0.5, 1.5]
+
+
+def test_selection_votes_are_of_row_subsets(spark):
+    packed = pack({"d": (frame(spark, 400), "y")})
+    states = grouped.fit_clean(packed)
+    key = ("d", 1)
+    candidates = states[key].candidates()
+    rows = grouped.engineered(packed, states).filter("held_out = 1 and fold <> 1 and y is not null").collect()
+    ids, y = np.array([r["row_id"] for r in rows]), np.array([r["y"] for r in rows])
+    grouped.select(packed, states, cap=4)
+    # by hand, from the rows of each run
+    state = states[key]
+    blocks = {r["row_id"]: r for r in rows}
+    layout = packed.layout["d"]
+    x = np.array([[blocks[i]["features"][list(state.kept).index(c)] for c, _ in candidates] for i in ids])
+    for j, (c, step) in enumerate(candidates):
+        if step == "log":
+            x[:, j] = np.log(np.maximum(x[:, j], state.low[c]))
+        elif step:
+            x[:, j] = np.sqrt(np.maximum(x[:, j], state.low[c])) if step == "sqrt" else np.abs(x[:, j])
+    number = grouped.row_blocks(ids, 10)
+    votes, weight = np.zeros(len(candidates)), np.zeros(len(candidates))
+    for run in range(5):
+        own = number % 5 != run
+        v = np.concatenate((np.ones((own.sum(), 1)), x[own], y[own, None]), axis=1)
+        w, _, _ = grouped.importance(v.T @ v, grouped.SELECTION_ALPHA)
+        votes, weight = votes + (w > 0), weight + w
+    order = sorted(range(len(candidates)), key=lambda i: (-votes[i], -round(weight[i], 9)))
+    assert set(state.selected) <= {candidates[i] for i in order if votes[i] >= votes[order[3]]}
+    assert len(state.selected) == 4 and state.names(layout)
+
+
+def test_outer_labels_do_not_change_the_choice(spark):
+    raw = frame(spark)
+    trials = [grid.Trial(i, "ridge", {"alpha": a}) for i, a in enumerate(("0.1", "50", "5000"))]
+    changed = raw.withColumn("y", F.when(F.col("fold") == 2, -40 * F.col("y")).otherwise(F.col("y")))
+    found = []
+    for df in (raw, changed):
+        packed = pack({"d": (df, "y")})
+        found.append({r["fold"]: r for r in grid.nested_linear(packed, fitted(packed), trials).collect()})
+    a, b = found[0][2], found[1][2]
+    assert (a["trial"], a["inner_r2"]) == (b["trial"], b["inner_r2"]) and a["mse"] != b["mse"]
+    assert len(found[0]) == 4 and found[0][1]["inner_r2"] != found[1][1]["inner_r2"]
+    with pytest.raises(ValueError, match="linear"):
+        grid.nested_linear(packed, {}, TRIALS)
+
+
+def test_nested_errors_equal_those_of_the_rows(spark):
+    packed = pack({"d": (frame(spark), "y")})
+    states = fitted(packed)
+    trial = [grid.Trial(0, "ridge", {"alpha": "2.0"})]
+    nested = {r["fold"]: r for r in grid.nested_linear(packed, states, trial).collect()}
+    for r in grid.scores(packed, grid.fit(packed, states, trial)).collect():
+        assert (nested[r["fold"]]["n"], nested[r["fold"]]["mse"]) == (r["n"], pytest.approx(r["mse"]))
+
+
+def test_profiles_share_their_plan(spark):
+    from foldloom.operators import profile, profiles
+
+    frames = {f"d{i}": (frame(spark, 50 + i, i).drop("fold"), "y") for i in range(5)}
+    frames["none"] = (spark.createDataFrame([], "row_id long, a double, y double"), "y")
+    frames["text"] = (spark.createDataFrame([(1, "a", 2.0), (2, None, 3.0)], "row_id long, c string, y double"), "y")
+    rows, widths = profiles.profile_rows(frames, {"d1": 9}, ("row_id",))
+    got = {r["dataset"]: r for r in profiles.profiles(rows, widths).collect()}
+    for name, (df, target) in frames.items():
+        want = profile.profile(df, name, target, widths[name].engineered, ["row_id"]).first()
+        if name == "none":
+            assert name not in got
+            continue
+        for c in want.asDict():
+            assert got[name][c] == (pytest.approx(want[c], abs=1e-9) if isinstance(want[c], float) else want[c]), (name, c)
+    operators = lambda n: profiles.profiles(
+        spark.createDataFrame([("d", [1.0], 0, 1.0)], rows.schema), {f"d{i}": profiles.Width(1, 0, 1) for i in range(n)} | {"d": profiles.Width(1, 0, 1)}
+    )._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+    assert operators(1) == operators(200)
