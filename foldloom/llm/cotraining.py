@@ -2,71 +2,113 @@
 
 Two classifiers see different things: one the text (hashed words and a few statistics), one the page
 metadata (source, language, size band).  Both are fitted on labelled documents.  In each round, each
-labels those documents of an unlabelled pool about which it is confident, and these join the other's
+labels those unlabelled documents about which it is confident, and some of them join the other's
 training rows.  A view may hand over a class only if, on held-out labels, it is right about that
 class as often as its confidence says; a view that knows too little hands over nothing.  Margins are
 calibrated on the held-out rows, the calibrated views are combined there, and all documents are
 scored by whole text.
 
-Fitting uses at most ``LABELLED`` labelled documents and a pool of at most ``POOL`` others, those
-that come first by a hash of doc_id; scoring has no bound.  A document is good if its quality label
-is 1 and its toxic label is not.
+A round is one pass over all documents.  What is bounded is the rows of a fit: at most ``LABELLED`` labelled
+documents, those that come first by a hash of doc_id (one in ``HELD_OUT`` of each class held out), and about
+``CHOSEN`` confident ones per view and class, drawn by a hash in equal numbers from every source and language that has
+them.  A fit of that size is one task; the driver gets weights and held-out margins.  A document is good
+if its quality label is 1 and its toxic label is not.
 
 Defined cases: null text, source, language or size count as empty ones; labels without quality are
-left out, and of labels that contradict each other the worse holds; without labels of both classes
-every document gets the share of good ones (1 without any label); rows that repeat are scored each;
-an empty table gives an empty result; extra columns are ignored.
+left out, and of labels that contradict each other the worse holds; of rows that share a doc_id the shortest text
+is learned from (ties: the smaller one); where train or held-out rows lack a class nothing is learned, documents labelled
+bad are rejected and all others kept, with the share of good labels (1 without any) as probability; a good_probability of
+exactly ``THRESHOLD`` is kept; rows that repeat are scored each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.store import Scratch, first_by_hash
+from foldloom.llm.store import Scratch, first_by_hash, small_side
+from foldloom.llm.text_stats import per_row
+from foldloom.llm.words import slices, word_hashes, words_of
 
 LABELLED = 20_000
-POOL = 20_000
+CHOSEN = 5_000
 ROUNDS = 2
 HELD_OUT = 5  # one in so many labelled documents
 CONFIDENT = 0.97
 LEAST_EVIDENCE = 20
 WORD_FEATURES = 1 << 15
-PAGE_FEATURES = 1 << 8
+PAGE_FEATURES = 1 << 15
 THRESHOLD = 0.5
 STRENGTH = 1e-2
 ITERATIONS = 25
-#: the fitted sample is bounded, so are the tasks of an iteration
-FIT_PARTITIONS = 6
+#: past steps that a fit remembers
+MEMORY = 10
 VIEWS = ("text", "page")
 PAGE_COLUMNS = ("_page0", "_page1", "_page2")
+STATS = 5
 
+SYMBOL = np.zeros(256, bool)
+SYMBOL[[ord(c) for c in "#*$%&|<>!"]] = True
 
-def text_features(docs: DataFrame) -> DataFrame:
-    """``docs`` plus text_features: hashed words of length one together, and statistics of the text."""
-    names = docs.columns
-    rows = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    rows = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[\x20\x09-\x0D]+").transform(rows)
-    rows = HashingTF(inputCol="_words", outputCol="_hashed", numFeatures=WORD_FEATURES, binary=True).transform(rows)
-    rows = Normalizer(inputCol="_hashed", outputCol="_weights").transform(rows)
-    n = F.greatest(F.size("_words"), F.lit(1))
-    stats = [
-        F.log1p(F.size("_words").cast("double")),
-        F.length("_text") / n,
-        F.size(F.array_distinct("_words")) / n,
-        F.log1p(F.regexp_count("_text", F.lit(r"[#*$%&|<>!]")) / n),
-        F.log1p(F.regexp_count("_text", F.lit(r"[A-Z]{2}")) / n),
-    ]
-    rows = rows.withColumns({f"_stat{i}": s.cast("double") for i, s in enumerate(stats)})
-    parts = ["_weights", *[f"_stat{i}" for i in range(len(stats))]]
-    rows = VectorAssembler(inputCols=parts, outputCol="text_features").transform(rows)
-    return rows.select(*names, "text_features")
+
+@dataclass
+class Sparse:
+    """Rows of a few features each: entry k says that row[k] has value[k] at at[k]."""
+
+    rows: int
+    size: int
+    row: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * weights[self.at], self.rows)
+
+    def turned(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, self.value * values[self.row], self.size)
+
+
+def text_rows(texts: pa.Array) -> tuple[Sparse, np.ndarray]:
+    """Hashed distinct words, each row of length one together, and statistics of the texts."""
+    words = words_of(texts)
+    n, rows = words.counts, len(words.counts)
+    feature = (word_hashes(words) >> np.uint64(20)).astype(np.int64) % WORD_FEATURES
+    held = np.unique(np.repeat(np.arange(rows), n) * WORD_FEATURES + feature)
+    row, at = held // WORD_FEATURES, held % WORD_FEATURES
+    distinct = np.bincount(row, minlength=rows)
+    data, offsets = words.data, words.offsets
+    upper = (data >= 65) & (data <= 90)
+    pairs = np.zeros(len(data), bool)
+    pairs[:-1] = upper[:-1] & upper[1:]
+    least = np.maximum(n, 1)
+    stats = np.column_stack(
+        (
+            np.log1p(n),
+            per_row((data & 0xC0) != 0x80, offsets) / least,
+            distinct / least,
+            np.log1p(per_row(SYMBOL[data], offsets) / least),
+            np.log1p(per_row(pairs, offsets) / least),
+        )
+    )
+    return Sparse(rows, WORD_FEATURES, row, at, 1 / np.sqrt(distinct[row])), stats
+
+
+def with_stats(words: Sparse, stats: np.ndarray) -> Sparse:
+    """Words and statistics as one set of features."""
+    rows, width = stats.shape
+    row = np.concatenate((words.row, np.repeat(np.arange(rows), width)))
+    at = np.concatenate((words.at, np.tile(np.arange(words.size, words.size + width), rows)))
+    return Sparse(rows, words.size + width, row, at, np.concatenate((words.value, stats.ravel())))
+
+
+def page_rows(columns: list[np.ndarray]) -> Sparse:
+    at = np.column_stack(columns).astype(np.int64).reshape(-1, len(columns))
+    return Sparse(len(at), PAGE_FEATURES, np.repeat(np.arange(len(at)), len(columns)), at.ravel(), np.ones(at.size))
 
 
 def page_features() -> list[F.Column]:
@@ -79,6 +121,56 @@ def page_features() -> list[F.Column]:
     ]
 
 
+def fitted(x: Sparse, good: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
+    """Weights of a ridge logistic regression, the offset last, by limited-memory quasi-Newton steps.
+
+    Features are divided by their spread, so the penalty treats rare and common ones alike.
+    """
+    n = max(len(good), 1)
+    mean = np.bincount(x.at, x.value, x.size) / n
+    spread = np.sqrt(np.maximum(np.bincount(x.at, x.value**2, x.size) / n - mean**2, 0))
+    unit = np.where(spread > 1e-9, 1 / np.maximum(spread, 1e-9), 0.0)
+    x = Sparse(x.rows, x.size, x.row, x.at, x.value * unit[x.at])
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        m = np.clip(x.times(w[:-1]) + w[-1], -30, 30)
+        slope = (1 / (1 + np.exp(-m)) - good) / n
+        value = (np.logaddexp(0, m) - good * m).sum() / n + strength / 2 * (w[:-1] @ w[:-1])
+        return value, np.append(x.turned(slope) + strength * w[:-1], slope.sum())
+
+    w = np.zeros(x.size + 1)
+    share = np.clip(good.mean() if len(good) else 0.5, 1e-6, 1 - 1e-6)
+    w[-1] = np.log(share / (1 - share))
+    value, slope = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(ITERATIONS):
+        step, used = -slope, []
+        for s, y in reversed(past):
+            a = (s @ step) / (s @ y)
+            used.append(a)
+            step = step - a * y
+        if past:
+            step = step * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]))
+        for (s, y), a in zip(past, reversed(used), strict=True):
+            step = step + s * (a - (y @ step) / (s @ y))
+        size = 1.0 if past else 1 / max(np.abs(slope).sum(), 1.0)
+        for _ in range(30):
+            moved, new = loss(w + size * step)
+            if moved <= value + 1e-4 * size * (slope @ step):
+                break
+            size /= 2
+        else:
+            break
+        s, y = size * step, new - slope
+        if s @ y > 1e-12:
+            past = [*past, (s, y)][-MEMORY:]
+        done = abs(value - moved) <= 1e-7 * max(abs(value), 1e-12)
+        w, value, slope = w + s, moved, new
+        if done:
+            break
+    return np.append(w[:-1] * unit, w[-1])
+
+
 def logistic(at: np.ndarray, values: np.ndarray, good: np.ndarray, size: int, strength: float) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton steps; the last one is the offset.
 
@@ -108,47 +200,69 @@ def calibration(margins: np.ndarray, good: np.ndarray) -> np.ndarray:
     return logistic(at, margins, good, views, 1e-4)
 
 
-def confident(margin: np.ndarray, held_margin: np.ndarray, held_good: np.ndarray) -> np.ndarray:
-    """The label that a view may hand over for each pool row: 1, 0, or nan for none."""
+def limits(held_margin: np.ndarray, held_good: np.ndarray) -> tuple[float, float, float, float]:
+    """slope, offset, and the probabilities from which a view may hand over good and bad (2 and -1: never)."""
     slope, offset = calibration(held_margin[:, None], held_good)
+    p = 1 / (1 + np.exp(-np.clip(slope * held_margin + offset, -30, 30)))
+    allowed = []
+    for good, side, never in ((1, p >= CONFIDENT, 2.0), (0, p <= 1 - CONFIDENT, -1.0)):
+        n = side.sum()
+        right = n >= LEAST_EVIDENCE and (held_good[side] == good).sum() >= CONFIDENT * n
+        allowed.append((CONFIDENT if good else 1 - CONFIDENT) if right else never)
+    return float(slope), float(offset), *allowed
 
-    def sides(x: np.ndarray) -> dict[float, np.ndarray]:
-        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
-        return {1.0: p >= CONFIDENT, 0.0: p <= 1 - CONFIDENT}
 
-    label, seen = np.full(len(margin), np.nan), sides(held_margin)
-    for good, side in sides(margin).items():
-        n = seen[good].sum()
-        if n >= LEAST_EVIDENCE and (held_good[seen[good]] == good).sum() >= CONFIDENT * n:
-            label[side] = good
-    return label
+def handed_over(margin: F.Column, held_margin: np.ndarray, held_good: np.ndarray) -> F.Column:
+    """The label that a view may hand over: 1, 0, or null for none."""
+    slope, offset, high, low = limits(held_margin, held_good)
+    p = 1 / (1 + F.exp(-(margin * slope + F.lit(offset))))
+    return F.when(p >= high, 1.0).when(p <= low, 0.0)
 
 
 @dataclass
 class Classifier:
     """Two fitted views, their calibrations, and the weights that combine their margins."""
 
-    text_model: LogisticRegressionModel
+    text_weights: np.ndarray
     page_weights: np.ndarray
-    scales: dict[str, np.ndarray]
-    joint: np.ndarray
+    held_margins: np.ndarray
+    held_good: np.ndarray
+
+    def margins(self, docs: DataFrame, *also: str) -> DataFrame:
+        """doc_id, ``also``, text_margin and page_margin of every document, by whole text."""
+        text, page = self.text_weights, self.page_weights
+        names = ["doc_id", *also]
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    x = with_stats(*text_rows(part.column("text")))
+                    pages = page_rows([part.column(c).to_numpy() for c in PAGE_COLUMNS])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *[part.column(c) for c in names],
+                            pa.array(x.times(text[:-1]) + text[-1]), pa.array(pages.times(page[:-1]) + page[-1]),
+                        ],
+                        [*names, "text_margin", "page_margin"],
+                    )
+
+        rows = docs.select(*names, "text", *page_features())
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+        return rows.mapInArrow(scored, f"{kinds}, text_margin double, page_margin double")
 
     def score(self, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         """doc_id, text_probability, page_probability, good_probability and kept of every document."""
-        rows = text_features(docs.select("doc_id", "text", *page_features()))
-        rows = self.text_model.transform(rows).withColumn("text_margin", vector_to_array("rawPrediction")[1])
-        table = F.lit([float(w) for w in self.page_weights[:-1]])
-        known = [F.element_at(table, F.col(c) + 1) for c in PAGE_COLUMNS]
-        rows = rows.withColumn("page_margin", sum(known, F.lit(float(self.page_weights[-1]))))
+        scales = {v: calibration(self.held_margins[:, [i]], self.held_good) for i, v in enumerate(VIEWS)}
+        joint = calibration(self.held_margins, self.held_good)
 
         def probability(weights: np.ndarray, views: tuple[str, ...]) -> F.Column:
             terms = [F.col(f"{v}_margin") * float(w) for v, w in zip(views, weights, strict=False)]
             return 1 / (1 + F.exp(-sum(terms, F.lit(float(weights[-1])))))
 
-        quality = probability(self.joint, VIEWS)
-        return rows.select(
+        quality = probability(joint, VIEWS)
+        return self.margins(docs).select(
             "doc_id",
-            *[probability(self.scales[v], (v,)).alias(f"{v}_probability") for v in VIEWS],
+            *[probability(scales[v], (v,)).alias(f"{v}_probability") for v in VIEWS],
             quality.alias("good_probability"),
             (quality >= threshold).alias("kept"),
         )
@@ -161,89 +275,150 @@ def labelled(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("good").alias("good"))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int, pool_size: int) -> DataFrame:
-    """doc_id, part (train, held or pool), good, text_features and page columns of the bounded sample."""
-    known = labelled(labels)
-    ids = docs.select("doc_id")
-    named, unnamed = ids.join(known, "doc_id", "left_semi").distinct(), ids.join(known, "doc_id", "left_anti").distinct()
-    chosen = first_by_hash(named, "doc_id", most, 17).join(known, "doc_id")
-    others = first_by_hash(unnamed, "doc_id", pool_size, 17).withColumn("good", F.lit(None).cast("double"))
-    chosen = scratch.kept(chosen.unionByName(others))
-    held = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(HELD_OUT)) == 0
-    part = F.when(F.col("good").isNull(), "pool").when(held, "held").otherwise("train")
-    # at most ``most`` + ``pool_size`` ids
-    rows = docs.join(F.broadcast(chosen.withColumn("part", part)), "doc_id").dropDuplicates(["doc_id"])
-    rows = text_features(rows.select("doc_id", "part", "good", "text", *page_features())).drop("text")
-    return scratch.save(rows.coalesce(FIT_PARTITIONS))
+FEATURES = "doc_id long, part string, good double, words binary, stats binary, _page0 int, _page1 int, _page2 int"
+
+
+def _featured(rows: DataFrame) -> DataFrame:
+    """``FEATURES`` of rows that have doc_id, part, good, text and the page columns."""
+    names = [f.split()[0] for f in FEATURES.split(", ")]
+
+    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, stats = text_rows(part.column("text"))
+                cuts = np.searchsorted(words.row, np.arange(part.num_rows + 1))
+                made = {
+                    "doc_id": part.column("doc_id").cast(pa.int64()),
+                    "words": pa.array([words.at[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                    "stats": pa.array([r.astype("<f8").tobytes() for r in stats], pa.binary()),
+                }
+                yield pa.RecordBatch.from_arrays([made.get(c, part.column(c) if c not in made else None) for c in names], names)
+
+    return rows.select("doc_id", "part", "good", "text", *PAGE_COLUMNS).mapInArrow(computed, FEATURES)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row of each doc_id: that of the shortest text, ties to the smaller one."""
+    columns = [c for c in rows.columns if c != "doc_id"]
+    best = F.min_by(F.struct(*columns), F.struct(F.coalesce(F.octet_length("text"), F.lit(0)), F.col("text")))
+    return rows.groupBy("doc_id").agg(best.alias("_row")).select("doc_id", "_row.*")
+
+
+def _sample(docs: DataFrame, known: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """``FEATURES`` of the bounded labelled sample; part is train or held, by rank of a hash in each class."""
+    named = docs.select("doc_id").join(small_side(known.select("doc_id")), "doc_id", "left_semi").distinct()
+    chosen = scratch.save(first_by_hash(named, "doc_id", most, 17).join(known, "doc_id"))
+    rank = f"row_number() over (partition by good order by xxhash64(23, doc_id), doc_id) % {HELD_OUT} = 1"
+    # at most ``most`` ids
+    chosen = chosen.withColumn("part", F.expr(f"if({rank}, 'held', 'train')"))
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "part", "good", "text", *page_features())
+    return scratch.save(_featured(_once(rows)))
+
+
+FITTED = "text binary, page binary, margins binary, good binary"
+
+
+def _fit(table: pa.Table) -> pa.Table:
+    """Both views from the rows of a fit; none if train or held-out rows lack a class."""
+    table = table.sort_by([("doc_id", "ascending"), ("part", "ascending")])
+    part = np.array(table["part"].to_pylist())
+    good = table["good"].to_numpy().astype(float)
+    held = part == "held"
+    if any(not (good[part == name] == value).any() for name in ("train", "held") for value in (0, 1)):
+        return pa.table({f.split()[0]: pa.array([], pa.binary()) for f in FITTED.split(", ")})
+    words = [np.frombuffer(w, "<i4") for w in table["words"].to_pylist()]
+    sizes = np.array([len(w) for w in words])
+    row = np.repeat(np.arange(len(words)), sizes)
+    at = np.concatenate(words).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+    stats = np.array([np.frombuffer(x, "<f8") for x in table["stats"].to_pylist()]).reshape(-1, STATS)
+    pages = np.column_stack([table[c].to_numpy() for c in PAGE_COLUMNS])
+
+    def of(rows: np.ndarray, view: str) -> Sparse:
+        place = np.flatnonzero(rows)
+        if view == "page":
+            return page_rows(list(pages[place].T))
+        inside = rows[row]
+        number = np.cumsum(rows) - 1
+        value = 1 / np.sqrt(sizes[row[inside]])
+        return with_stats(Sparse(len(place), WORD_FEATURES, number[row[inside]], at[inside], value), stats[place])
+
+    weights, margins = {}, []
+    for view in VIEWS:
+        own = np.isin(part, ["train", f"for {view}"])
+        weights[view] = fitted(of(own, view), good[own])
+        margins.append(of(held, view).times(weights[view][:-1]) + weights[view][-1])
+    values = [weights["text"], weights["page"], np.column_stack(margins), good[held]]
+    return pa.table([pa.array([v.astype("<f8").tobytes()], pa.binary()) for v in values], names=["text", "page", "margins", "good"])
+
+
+def _chosen(docs: DataFrame, model: Classifier, known: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """``FEATURES`` of confident unlabelled documents; part names the view that they are for."""
+    scored = model.margins(docs, "source", "lang")
+    given = [
+        F.struct(
+            F.lit(f"for {other}").alias("part"),
+            handed_over(F.col(f"{view}_margin"), model.held_margins[:, i], model.held_good).alias("good"),
+        )
+        for i, (view, other) in enumerate(zip(VIEWS, VIEWS[::-1], strict=True))
+    ]
+    sure = scored.select("doc_id", "source", "lang", F.inline(F.array(*given))).filter("good is not null")
+    sure = scratch.save(sure.join(small_side(known.select("doc_id")), "doc_id", "left_anti").distinct())
+    stratum = ["part", "good", "source", "lang"]
+    counts = sure.groupBy(*stratum).agg(F.count(F.lit(1)).alias("n"))
+    strata = {(r["part"], r["good"]): r["strata"] for r in counts.groupBy("part", "good").agg(F.count(F.lit(1)).alias("strata")).collect()}
+    if not strata:
+        return sure.limit(0).select(*[F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in FEATURES.split(", ")])
+    quota = F.coalesce(*[F.when((F.col("part") == p) & (F.col("good") == g), F.lit(most / n)) for (p, g), n in strata.items()])
+    counts = scratch.save(counts.withColumn("share", quota / F.col("n")).drop("n"))
+    renamed = counts.select("share", *[F.col(c).alias(f"_{c}") for c in stratum])
+    match = [sure[c].eqNullSafe(renamed[f"_{c}"]) for c in stratum]
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(31), "doc_id"), 11) / F.lit(float(1 << 53))
+    drawn = sure.join(small_side(renamed), match).filter(draw < F.col("share")).select("doc_id", "part", "good")
+    # about ``most`` rows per view and class
+    drawn = scratch.save(drawn.distinct())
+    ids = F.broadcast(drawn.select("doc_id").distinct())
+    rows = _once(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text", *page_features()))
+    return scratch.save(_featured(rows.join(F.broadcast(drawn), "doc_id")))
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = LABELLED, pool_size: int = POOL, rounds: int = ROUNDS
-) -> Classifier | float:
-    """The classifier, or the share of good documents where it cannot be learned.
-
-    The text view is fitted by Spark over the sample; the driver gets the sample's labels, margins
-    and page indicators, which the bounds keep small.
-    """
+    docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = LABELLED, chosen: int = CHOSEN, rounds: int = ROUNDS
+) -> Classifier | None:
+    """The classifier, or None where it cannot be learned."""
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id is not null")
-    table = _sample(docs, labels, scratch, most, pool_size)
-    facts = table.select("doc_id", "part", "good", *PAGE_COLUMNS).toArrow().sort_by("doc_id")
-    ids, part = facts["doc_id"].to_numpy(), facts["part"].to_numpy()
-    good = facts["good"].to_numpy(zero_copy_only=False).astype(float)
-    page = np.column_stack([facts[c].to_numpy() for c in PAGE_COLUMNS]) if len(ids) else np.zeros((0, 3), int)
-    train, held, pool = (part == name for name in ("train", "held", "pool"))
-    if any(not (good[rows] == value).any() for rows in (train, held) for value in (0, 1)):
-        known = good[~np.isnan(good)]
-        return float(known.mean()) if len(known) else 1.0
-
-    spark = docs.sparkSession
-    estimator = LogisticRegression(
-        featuresCol="text_features", labelCol="good", regParam=STRENGTH, maxIter=ITERATIONS, aggregationDepth=2
-    )
-    given = {v: np.full(len(ids), np.nan) for v in VIEWS}  # pseudo-labels that each view got
-    margins: dict[str, np.ndarray] = {}
-    model, page_weights = None, None
+    known = scratch.save(labelled(labels))
+    sample = _sample(docs, known, scratch, most)
+    rows, model = sample, None
     for turn in range(rounds + 1):
-        fresh = {v: turn == 0 or not np.isnan(given[v]).all() for v in VIEWS}
-        if fresh["text"]:
-            rows = table.filter("part = 'train'").select("good", "text_features")
-            named = ~np.isnan(given["text"])
-            if named.any():
-                extra = spark.createDataFrame(
-                    list(zip(ids[named].tolist(), given["text"][named].tolist(), strict=True)), "doc_id long, good double"
-                )
-                extra = table.filter("part = 'pool'").drop("good").join(F.broadcast(extra), "doc_id")
-                rows = rows.unionByName(extra.select("good", "text_features")).coalesce(FIT_PARTITIONS)
-            model = None
-            spark.sparkContext._jvm.System.gc()  # the last round's model, broadcasts and gradients go before the next fit
-            model = estimator.fit(rows)
-            found = model.transform(table).select("doc_id", vector_to_array("rawPrediction")[1].alias("m"))
-            margins["text"] = found.toArrow().sort_by("doc_id")["m"].to_numpy()
-        if fresh["page"]:
-            label = np.where(train, good, given["page"])
-            used = ~np.isnan(label)
-            page_weights = logistic(page[used], np.ones(page[used].shape), label[used], PAGE_FEATURES, STRENGTH)
-            margins["page"] = page_weights[page].sum(axis=1) + page_weights[-1]
-        if turn < rounds:
-            for view, other in zip(VIEWS, VIEWS[::-1], strict=True):
-                given[other] = np.where(pool, confident(margins[view], margins[view][held], good[held]), np.nan)
-            if all(np.isnan(g).all() for g in given.values()):
-                break
-    both = np.column_stack([margins[v][held] for v in VIEWS])
-    scales = {v: calibration(both[:, [i]], good[held]) for i, v in enumerate(VIEWS)}
-    return Classifier(model, page_weights, scales, calibration(both, good[held]))
+        # the rows of a fit are bounded, see above
+        found = rows.withColumn("fit", F.lit(0)).groupBy("fit").applyInArrow(_fit, FITTED).first()
+        if found is None:
+            return None
+        text, page, margins, good = (np.frombuffer(bytes(found[c]), "<f8") for c in ("text", "page", "margins", "good"))
+        model = Classifier(text, page, margins.reshape(-1, len(VIEWS)), good)
+        if turn == rounds:
+            break
+        extra = _chosen(docs, model, known, scratch, chosen)
+        if extra.isEmpty():
+            break
+        rows = sample.unionByName(extra)
+    return model
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **sizes: int) -> DataFrame:
     """doc_id, text_probability, page_probability, good_probability and kept of every document."""
     with Scratch(docs.sparkSession) as scratch:
         found = fit(docs, labels, scratch, **sizes)
-    if isinstance(found, Classifier):
-        return found.score(docs, threshold)
-    share = F.lit(found).cast("double")
-    return docs.select(
+        if found is not None:
+            return found.score(docs, threshold)
+        known = labelled(labels)
+        share = known.agg(F.coalesce(F.avg("good"), F.lit(1.0))).first()[0]
+        bad = scratch.kept(known.filter("good = 0").select(F.col("doc_id").alias("_bad")))
+    rows = docs.select("doc_id").join(small_side(bad), F.col("doc_id") == F.col("_bad"), "left")
+    share = F.lit(float(share))
+    return rows.select(
         "doc_id",
         *[share.alias(f"{v}_probability") for v in VIEWS],
         share.alias("good_probability"),
-        (share >= threshold).alias("kept"),
+        F.col("_bad").isNull().alias("kept"),
     )

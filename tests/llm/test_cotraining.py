@@ -1,6 +1,6 @@
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from foldloom.llm import cotraining
@@ -35,13 +35,81 @@ def test_held_out_accuracy(table):
     assert all(0 <= r[c] <= 1 for r in rows for c in ("text_probability", "page_probability", "good_probability"))
 
 
-def test_views_hand_over_what_they_know():
+def test_views_hand_over_what_they_know(spark):
     good = np.arange(400) % 2.0
     knows, guesses = np.where(good == 1, 4.0, -4.0), 0.01 * (np.arange(400) % 7)
-    assert cotraining.confident(knows, knows, good).tolist() == good.tolist()
-    assert np.isnan(cotraining.confident(guesses, guesses, good)).all()
+
+    def labels(margin, held, held_good):
+        rows = spark.createDataFrame([(i, float(m)) for i, m in enumerate(margin)], "i int, m double")
+        return [r[0] for r in rows.orderBy("i").select(cotraining.handed_over(F.col("m"), held, held_good)).collect()]
+
+    assert labels(knows, knows, good) == good.tolist()
+    assert set(labels(guesses, guesses, good)) == {None}
     # a class without evidence stays at home
-    assert set(cotraining.confident(knows, knows[:30], good[:30]).tolist()[::2]) != {0.0}
+    assert set(labels(knows, knows[:30], good[:30])[::2]) != {0.0}
+
+
+def test_a_fit_equals_plain_gradient_descent():
+    rnd = np.random.default_rng(2)
+    dense = (rnd.random((300, 12)) < 0.3) * rnd.random((300, 12))
+    good = (dense[:, 0] + dense[:, 3] - dense[:, 5] + rnd.normal(size=300) / 5 > 0.1).astype(float)
+    row, at = np.nonzero(dense)
+    got = cotraining.fitted(cotraining.Sparse(300, 12, row, at, dense[row, at]), good)
+    spread = dense.std(0)
+    x, w, c = dense / spread, np.zeros(12), 0.0
+    for _ in range(20_000):
+        slope = 1 / (1 + np.exp(-(x @ w + c))) - good
+        w -= 0.1 * (x.T @ slope / 300 + cotraining.STRENGTH * w)
+        c -= 0.1 * slope.mean()
+    np.testing.assert_allclose(got, [*(w / spread), c], atol=0.02)
+
+
+def test_a_round_equals_a_plain_version(spark, table):
+    """One round by numpy alone, over the same rows."""
+    docs, labels = table
+    from foldloom.llm.store import Scratch
+
+    def plain(rows):
+        texts, columns = rows.column("text").combine_chunks(), [rows[c].to_numpy() for c in cotraining.PAGE_COLUMNS]
+        words, stats = cotraining.text_rows(texts)
+        return {"text": cotraining.with_stats(words, stats), "page": cotraining.page_rows(columns)}
+
+    with Scratch(spark) as scratch:
+        known = scratch.save(cotraining.labelled(labels))
+        model = cotraining.fit(docs, labels, scratch, rounds=0)
+        chosen = cotraining._chosen(docs, model, known, scratch, 10_000).toArrow().to_pylist()
+    all_rows = docs.select("doc_id", "text", *cotraining.page_features()).toArrow().sort_by("doc_id")
+    ids = all_rows["doc_id"].to_numpy()
+    x = plain(all_rows)
+    label = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    wanted = set()
+    for i, (view, other) in enumerate((("text", "page"), ("page", "text"))):
+        weights = getattr(model, f"{view}_weights")
+        margin = x[view].times(weights[:-1]) + weights[-1]
+        slope, offset, high, low = cotraining.limits(model.held_margins[:, i], model.held_good)
+        p = 1 / (1 + np.exp(-(slope * margin + offset)))
+        for doc, q in zip(ids.tolist(), p, strict=True):
+            if doc not in label and (q >= high or q <= low):
+                wanted.add((doc, f"for {other}", float(q >= high)))
+    assert {(r["doc_id"], r["part"], r["good"]) for r in chosen} == wanted and len(wanted) > 500
+
+
+def test_confident_rows_come_from_every_source(spark, table):
+    docs, labels = table
+    from foldloom.llm.store import Scratch
+
+    with Scratch(spark) as scratch:
+        known = scratch.save(cotraining.labelled(labels))
+        model = cotraining.fit(docs, labels, scratch, rounds=0)
+        few = cotraining._chosen(docs, model, known, scratch, 40).select("doc_id", "part", "good").collect()
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    assert 60 < len(few) < 260 and len({source[r["doc_id"]] for r in few}) == 8
+
+
+def test_many_sources_keep_weights_of_their_own(spark):
+    docs = spark.createDataFrame([(i, "t", "en", f"source{i}", 10, "x") for i in range(3000)], DOCS)
+    held = docs.select(*cotraining.page_features()).groupBy("_page0").count().toPandas()["count"]
+    assert (held * (held - 1)).sum() / 3000 < 0.2
 
 
 def test_logistic_regression_finds_the_odds():
@@ -61,7 +129,7 @@ def test_labels(spark):
 def test_tables_that_teach_nothing(spark):
     docs = spark.createDataFrame([(1, None, None, None, None, "x"), (2, "a", "en", "s", 1, "x"), (None, "b", "en", "s", 1, "x")], DOCS)
     one = spark.createDataFrame([(1, 0, 0)], LABELS)
-    assert [r["kept"] for r in cotraining.judge(docs, one).collect()] == [False] * 3
+    assert {r["doc_id"]: r["kept"] for r in cotraining.judge(docs, one).collect()} == {1: False, 2: True, None: True}
     assert [r["kept"] for r in cotraining.judge(docs, one.limit(0)).collect()] == [True] * 3
     assert cotraining.judge(docs.limit(0), one.limit(0)).count() == 0
 
@@ -73,9 +141,27 @@ def test_null_columns_are_scored(spark, table):
     assert len(rows) == 3 and all(r["good_probability"] is not None for r in rows)
 
 
-def test_words_of_a_large_vocabulary_have_weights_of_their_own(spark):
-    words = spark.createDataFrame([(i, f"word{i}") for i in range(20_000)], "doc_id long, text string")
-    features = cotraining.text_features(words).select(vector_to_array("text_features").alias("x"))
-    held = features.select(F.array_position("x", 1.0).alias("at")).groupBy("at").count().toPandas()["count"]
+def test_words_of_a_large_vocabulary_have_weights_of_their_own():
+    words, _ = cotraining.text_rows(pa.array([f"word{i}" for i in range(20_000)]))
+    held = np.bincount(words.at)
     # others that share a word's weight, on average
     assert (held * (held - 1)).sum() / 20_000 < 1
+
+
+def test_held_out_rows_of_each_class(spark, table):
+    docs, labels = table
+    from foldloom.llm.store import Scratch
+
+    rare = labels.filter("quality = 1").unionByName(labels.filter("quality = 0").limit(2))
+    with Scratch(spark) as scratch:
+        rows = cotraining._sample(docs, scratch.save(cotraining.labelled(rare)), scratch, 10_000)
+        parts = {(r["part"], r["good"]): r["count"] for r in rows.groupBy("part", "good").count().collect()}
+    assert parts["held", 0.0] == parts["train", 0.0] == 1 and parts["held", 1.0] == 80
+
+
+def test_repeated_rows_are_learned_from_once(spark, table):
+    docs, labels = table
+    twice = docs.unionByName(docs.filter("doc_id % 4 = 1").withColumn("text", F.concat("text", F.lit(" longer"))))
+    one = {r["doc_id"]: r["good_probability"] for r in cotraining.judge(docs, labels, rounds=0).collect()}
+    rows = cotraining.judge(twice, labels, rounds=0).collect()
+    assert len(rows) == 1500 and all(min(abs(r["good_probability"] - one[r["doc_id"]]) for r in rows if r["doc_id"] == i) < 1e-9 for i in (1, 2, 5))
