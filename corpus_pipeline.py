@@ -23,13 +23,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what a stage read is deleted once its result is written."""
+    """The last stage's rows; what a stage read is deleted once its result is written, and all if a stage fails."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    read = None
-    for _, stage in STAGES:
-        out = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        if read is not None:
-            delete(spark, read)
-        docs, read = spark.read.parquet(out), out
+    written: list[str] = []
+    try:
+        for _, stage in STAGES:
+            written.append(f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}")
+            stage(spark, docs, sf_dir).write.parquet(written[-1])
+            for folder in written[:-1]:
+                delete(spark, folder)
+            written = written[-1:]
+            docs = spark.read.parquet(written[-1])
+    except BaseException:
+        for folder in written:
+            delete(spark, folder)
+        raise
     return docs
