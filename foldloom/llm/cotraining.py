@@ -48,6 +48,8 @@ STRENGTH = 1e-2
 ITERATIONS = 25
 #: past steps that a fit remembers
 MEMORY = 10
+#: entries of a fit that are multiplied at a time
+CHUNK = 1 << 19
 VIEWS = ("text", "page")
 PAGE_COLUMNS = ("_page0", "_page1", "_page2")
 STATS = 5
@@ -58,22 +60,39 @@ SYMBOL[[ord(c) for c in "#*$%&|<>!"]] = True
 
 @dataclass
 class Sparse:
-    """Rows of a few features each: entry k says that row[k] has value[k] at at[k]."""
+    """Rows of a few features each: entry k says that row[k] has value[k] at at[k].  ``dense`` are features that all have."""
 
     rows: int
     size: int
     row: np.ndarray
     at: np.ndarray
     value: np.ndarray
+    dense: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return self.size + self.dense.shape[1]
+
+    def _chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Entries by runs, so that what is made of them stays small."""
+        for i in range(0, len(self.row), CHUNK):
+            yield self.row[i : i + CHUNK], self.at[i : i + CHUNK], self.value[i : i + CHUNK]
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * weights[self.at], self.rows)
+        out = self.dense @ weights[self.size :]
+        for row, at, value in self._chunks():
+            out += np.bincount(row, value * weights[at], self.rows)
+        return out
 
-    def turned(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, self.value * values[self.row], self.size)
+    def turned(self, values: np.ndarray, power: int = 1) -> np.ndarray:
+        """Of every feature, the sum of ``values`` by its values to a power."""
+        out = np.zeros(self.size)
+        for row, at, value in self._chunks():
+            out += np.bincount(at, value**power * values[row], self.size)
+        return np.concatenate((out, values @ self.dense**power))
 
 
-def text_rows(texts: pa.Array) -> tuple[Sparse, np.ndarray]:
+def text_rows(texts: pa.Array) -> Sparse:
     """Hashed distinct words, each row of length one together, and statistics of the texts."""
     words = words_of(texts)
     n, rows = words.counts, len(words.counts)
@@ -95,20 +114,13 @@ def text_rows(texts: pa.Array) -> tuple[Sparse, np.ndarray]:
             np.log1p(per_row(pairs, offsets) / least),
         )
     )
-    return Sparse(rows, WORD_FEATURES, row, at, 1 / np.sqrt(distinct[row])), stats
-
-
-def with_stats(words: Sparse, stats: np.ndarray) -> Sparse:
-    """Words and statistics as one set of features."""
-    rows, width = stats.shape
-    row = np.concatenate((words.row, np.repeat(np.arange(rows), width)))
-    at = np.concatenate((words.at, np.tile(np.arange(words.size, words.size + width), rows)))
-    return Sparse(rows, words.size + width, row, at, np.concatenate((words.value, stats.ravel())))
+    return Sparse(rows, WORD_FEATURES, row, at, 1 / np.sqrt(distinct[row]), stats)
 
 
 def page_rows(columns: list[np.ndarray]) -> Sparse:
     at = np.column_stack(columns).astype(np.int64).reshape(-1, len(columns))
-    return Sparse(len(at), PAGE_FEATURES, np.repeat(np.arange(len(at)), len(columns)), at.ravel(), np.ones(at.size))
+    row = np.repeat(np.arange(len(at)), len(columns))
+    return Sparse(len(at), PAGE_FEATURES, row, at.ravel(), np.ones(at.size), np.zeros((len(at), 0)))
 
 
 def page_features() -> list[F.Column]:
@@ -127,18 +139,17 @@ def fitted(x: Sparse, good: np.ndarray, strength: float = STRENGTH) -> np.ndarra
     Features are divided by their spread, so the penalty treats rare and common ones alike.
     """
     n = max(len(good), 1)
-    mean = np.bincount(x.at, x.value, x.size) / n
-    spread = np.sqrt(np.maximum(np.bincount(x.at, x.value**2, x.size) / n - mean**2, 0))
+    ones = np.ones(x.rows)
+    spread = np.sqrt(np.maximum(x.turned(ones, 2) / n - (x.turned(ones) / n) ** 2, 0))
     unit = np.where(spread > 1e-9, 1 / np.maximum(spread, 1e-9), 0.0)
-    x = Sparse(x.rows, x.size, x.row, x.at, x.value * unit[x.at])
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        m = np.clip(x.times(w[:-1]) + w[-1], -30, 30)
+        m = np.clip(x.times(unit * w[:-1]) + w[-1], -30, 30)
         slope = (1 / (1 + np.exp(-m)) - good) / n
         value = (np.logaddexp(0, m) - good * m).sum() / n + strength / 2 * (w[:-1] @ w[:-1])
-        return value, np.append(x.turned(slope) + strength * w[:-1], slope.sum())
+        return value, np.append(unit * x.turned(slope) + strength * w[:-1], slope.sum())
 
-    w = np.zeros(x.size + 1)
+    w = np.zeros(x.width + 1)
     share = np.clip(good.mean() if len(good) else 0.5, 1e-6, 1 - 1e-6)
     w[-1] = np.log(share / (1 - share))
     value, slope = loss(w)
@@ -236,7 +247,7 @@ class Classifier:
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    x = with_stats(*text_rows(part.column("text")))
+                    x = text_rows(part.column("text"))
                     pages = page_rows([part.column(c).to_numpy() for c in PAGE_COLUMNS])
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -285,12 +296,12 @@ def _featured(rows: DataFrame) -> DataFrame:
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words, stats = text_rows(part.column("text"))
+                words = text_rows(part.column("text"))
                 cuts = np.searchsorted(words.row, np.arange(part.num_rows + 1))
                 made = {
                     "doc_id": part.column("doc_id").cast(pa.int64()),
                     "words": pa.array([words.at[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                    "stats": pa.array([r.astype("<f8").tobytes() for r in stats], pa.binary()),
+                    "stats": pa.array([r.astype("<f8").tobytes() for r in words.dense], pa.binary()),
                 }
                 yield pa.RecordBatch.from_arrays([made.get(c, part.column(c) if c not in made else None) for c in names], names)
 
@@ -326,21 +337,19 @@ def _fit(table: pa.Table) -> pa.Table:
     held = part == "held"
     if any(not (good[part == name] == value).any() for name in ("train", "held") for value in (0, 1)):
         return pa.table({f.split()[0]: pa.array([], pa.binary()) for f in FITTED.split(", ")})
-    words = [np.frombuffer(w, "<i4") for w in table["words"].to_pylist()]
-    sizes = np.array([len(w) for w in words])
-    row = np.repeat(np.arange(len(words)), sizes)
-    at = np.concatenate(words).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-    stats = np.array([np.frombuffer(x, "<f8") for x in table["stats"].to_pylist()]).reshape(-1, STATS)
+    words = [np.frombuffer(w.as_buffer(), "<i4") for w in table["words"]]
+    stats = np.array([np.frombuffer(x.as_buffer(), "<f8") for x in table["stats"]]).reshape(-1, STATS)
     pages = np.column_stack([table[c].to_numpy() for c in PAGE_COLUMNS])
 
     def of(rows: np.ndarray, view: str) -> Sparse:
         place = np.flatnonzero(rows)
         if view == "page":
             return page_rows(list(pages[place].T))
-        inside = rows[row]
-        number = np.cumsum(rows) - 1
-        value = 1 / np.sqrt(sizes[row[inside]])
-        return with_stats(Sparse(len(place), WORD_FEATURES, number[row[inside]], at[inside], value), stats[place])
+        sizes = np.array([len(words[i]) for i in place])
+        row = np.repeat(np.arange(len(place), dtype=np.int32), sizes)
+        value = np.repeat((1 / np.sqrt(np.maximum(sizes, 1))).astype(np.float32), sizes)
+        at = np.concatenate([words[i] for i in place])
+        return Sparse(len(place), WORD_FEATURES, row, at, value, stats[place])
 
     weights, margins = {}, []
     for view in VIEWS:
