@@ -20,7 +20,7 @@ from foldloom.operators.clean import infinite_cells, missing_cells
 from foldloom.operators.columns import column_kinds
 from foldloom.operators.state import settle_row
 
-PAIRS_PER_AGGREGATE = 100
+PAIRS_PER_AGGREGATE = 6
 
 
 def shapes(df: DataFrame, dataset: str, exclude: Sequence[str] = ()) -> DataFrame:
