@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from foldloom.catalog.base import EVENTS_INF, ORDERS_NULLS, digits, events_inf, orders_nulls, query, rounded, table
 from foldloom.catalog.evaluating import rounded_metrics
-from foldloom.operators import folds, metrics
 from foldloom.operators.packed import Packed, pack
 from foldloom.plans import grid, grouped, search
 

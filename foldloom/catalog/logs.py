@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foldloom.catalog.base import LOG, digits, experiment_log, query, rounded, table
 from foldloom.operators import hyperparams, leaderboard
+from foldloom.plans import recommend
 
 
 @query(f"""with {LOG}, r as (select *, row_number() over (partition by dataset, fold order by score desc, seq) as rn from log)
@@ -24,6 +25,25 @@ def best_per_dataset(spark, sf):
     return out.select("dataset", "algorithm", digits("mean_score").alias("mean_score"), F.col("params")["k"].cast("long").alias("k"))
 
 
+@query(f"""with {LOG}, m as (select dataset, algorithm, avg(score) as mean_score, min(seq) as first from log group by 1, 2),
+r as (select *, row_number() over (partition by dataset order by mean_score desc, first) as rn from m),
+p as (select dataset, algorithm, k, row_number() over (partition by dataset, algorithm order by score desc, seq) as rn from log),
+meta as (select user_id % 5 as dataset, count(*)::double as n_samples, round(avg(value), 6) as mean_value from events group by 1)
+select dataset, n_samples, mean_value, r.algorithm as best_algorithm, k, f.fold::integer as fold, dataset || '_fold_' || f.fold as dataset_fold
+from meta join r using (dataset) join p on p.dataset = r.dataset and p.algorithm = r.algorithm
+join (select unnest(range(1, 11)) as fold) f on true where r.rn = 1 and p.rn = 1""")
+def recommender_rows(spark, sf):
+    """What the recommender learns from: meta-features and best algorithm of each dataset, a row per fold."""
+    meta = table(spark, sf, "events").groupBy((F.col("user_id") % 5).alias("dataset")).agg(
+        F.count(F.lit(1)).alias("n_samples"), F.avg("value").alias("mean_value")
+    )
+    rows = recommend.training_rows(meta, experiment_log(spark, sf), 10)
+    return rows.select(
+        "dataset", "n_samples", digits("mean_value").alias("mean_value"), "best_algorithm",
+        F.col("params")["k"].cast("long").alias("k"), "fold", "dataset_fold",
+    )
+
+
 @query(f"""with {LOG}, p as (select *, row_number() over (partition by dataset, algorithm order by score desc, seq) as rn from log)
 select dataset, algorithm, k, round(score, 6) as score from p where rn = 1""")
 def best_params(spark, sf):
