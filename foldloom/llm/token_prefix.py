@@ -8,6 +8,9 @@ prefix.  Counts add up over the pieces that pre-tokenisation cuts; where a prefi
 differently from the whole text (white-space runs, contractions, special strings) the counts of
 those positions are set to those of the prefix as it stands.
 
+Short pieces advance together, byte by byte; a piece of over ``LONE`` bytes is swept on its own, in
+time and memory proportional to its length.
+
 ``count_prefixes`` stores the counts as one difference per character.  ``count_at`` and
 ``longest_within`` then answer truncation and budget questions by a running sum.
 
@@ -18,8 +21,10 @@ result; columns of the input named like an output are replaced.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator, Sequence
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,8 @@ from foldloom.llm.pieces import SPACE, Merger, byte_of_char, char_classes, cut,
 from foldloom.llm.words import mixed, slices
 
 KNOWN_BITS = 19
+LONE = 256  # bytes of a piece from which on it is swept alone
+LONE_PAIRS = 1 << 18  # checked pairs that the sweep of a lone piece remembers
 CONTRACTIONS = (b"'re", b"'ve", b"'ll")  # of two letters, which stand apart while incomplete
 
 
@@ -78,6 +85,61 @@ class TokenSuffixes:
         return out
 
 
+class LoneSweep:
+    """The sweep of one long piece, on plain lists: a step per byte, whatever the length."""
+
+    def __init__(self, counter: PrefixCounter):
+        suffixes, merger = counter.suffixes, counter.merger
+        self.way = dict(zip(suffixes.keys.tolist(), range(1, len(suffixes.keys) + 1), strict=True))
+        self.fail, self.longest = suffixes.fail.tolist(), suffixes.longest.tolist()
+        self.size, self.shorter = suffixes.size.tolist(), suffixes.shorter.tolist()
+        self.made, self.left, self.right = counter.made.tolist(), counter.left.tolist(), counter.right.tolist()
+        self.alone = counter.alone.tolist()
+        self.merges, self.never = merger.merges, merger.never
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def _check(self, a: int, b: int) -> bool:
+        """``PrefixCounter._check`` of one pair."""
+        until = self.never
+        while True:
+            merge = self.merges.get((a, b))
+            if merge is not None and merge[0] < until:
+                return False
+            made_a, made_b = self.made[a], self.made[b]
+            if made_a < 0 and made_b < 0:
+                return True
+            if made_b >= made_a:
+                until, b = made_b + 1, self.left[b]
+            else:
+                until, a = made_a, self.right[a]
+
+    def fit(self, before: int, token: int) -> bool:
+        if before < 0:
+            return self.alone[token]
+        found = self.known.get((before, token))
+        if found is None:
+            if len(self.known) >= LONE_PAIRS:
+                self.known.clear()
+            found = self.known[before, token] = self._check(before, token)
+        return found
+
+    def counts(self, piece: bytes) -> np.ndarray:
+        """Tokens of every byte prefix."""
+        way, fail, size = self.way, self.fail, self.size
+        last, count = array("i", [-1]), array("q", [0])
+        state = 0
+        for depth, byte in enumerate(piece, 1):
+            while (to := way.get(state << 8 | byte)) is None and state:
+                state = fail[state]
+            state = to or 0
+            token = self.longest[state]
+            while not self.fit(last[depth - size[token]], token):
+                token = self.shorter[token]
+            last.append(token)
+            count.append(count[depth - size[token]] + 1)
+        return np.frombuffer(count, np.int64)[1:]
+
+
 class PrefixCounter:
     """Counts of all prefixes of pieces, for one byte-level vocabulary file."""
 
@@ -102,6 +164,10 @@ class PrefixCounter:
         self.known = np.full(1 << KNOWN_BITS, -1, np.int64)
         self.known_fit = np.zeros(1 << KNOWN_BITS, bool)
 
+    @cached_property
+    def lone(self) -> LoneSweep:
+        return LoneSweep(self)
+
     def _check(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether ``token`` may follow ``before`` in an encoding.
 
@@ -142,10 +208,19 @@ class PrefixCounter:
         return out
 
     def sweep(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Tokens of every byte prefix of every piece data[starts[i]:starts[i] + sizes[i]], end to end.
+        """Tokens of every byte prefix of every piece data[starts[i]:starts[i] + sizes[i]], end to end."""
+        long = sizes > LONE
+        if not long.any():
+            return self._sweep(data, starts, sizes)
+        out = np.empty(sizes.sum(), np.int64)
+        first = np.cumsum(sizes) - sizes
+        out[spread(first[~long], sizes[~long])] = self._sweep(data, starts[~long], sizes[~long])
+        for i in np.flatnonzero(long):
+            out[first[i] : first[i] + sizes[i]] = self.lone.counts(data[starts[i] : starts[i] + sizes[i]].tobytes())
+        return out
 
-        All pieces advance byte by byte; pieces that begin alike share the state of that beginning.
-        """
+    def _sweep(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The same for short pieces, which all advance byte by byte; those that begin alike share that state."""
         order = np.argsort(-sizes, kind="stable")
         starts, size = starts[order], sizes[order]
         longest = int(size.max(initial=0))
@@ -223,26 +298,30 @@ class PrefixCounter:
         """Counts at the end of every character of every text."""
         runs: list[str] = []
         plan: list[list[tuple[int, int]]] = []
+        special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         for text in texts:
-            own, rest = [], text or ""
-            while rest:
-                at, string = min(((i, s) for s in self.special if (i := rest.find(s)) >= 0), default=(-1, ""))
-                size = len(rest) if at < 0 else at
+            text, own, at = text or "", [], 0
+            for hit in special.finditer(text):
                 # the incomplete special string is ordinary text, so the run goes on into it
-                own.append((len(runs), size))
-                runs.append(rest[: size + max(0, len(string) - 1)])
-                rest = rest[size + len(string) :]
+                own.append((len(runs), hit.start() - at))
+                runs.append(text[at : hit.end() - 1])
+                at = hit.end()
+            if at < len(text):
+                own.append((len(runs), len(text) - at))
+                runs.append(text[at:])
             plan.append(own)
         counts, first = self.runs(runs)
         out = []
         for text, own in zip(texts, plan, strict=True):
-            parts, before = [], 0
+            parts, before, done = [], 0, 0
             for run, size in own:
                 local = counts[first[run] : first[run + 1]] + before
                 parts.append(local)
-                if len(local) > size or sum(map(len, parts)) < len(text or ""):
+                done += len(local)
+                if len(local) > size or done < len(text or ""):
                     before += (int(counts[first[run] + size - 1]) if size else 0) + 1
                     parts.append(np.array([before]))
+                    done += 1
             out.append(np.concatenate(parts) if parts else np.zeros(0, np.int64))
         return out
 
@@ -255,8 +334,8 @@ def _counter(path: str) -> PrefixCounter:
 def count_prefixes(docs: DataFrame, path: str, text: str = "text", limits: Sequence[int] = ()) -> DataFrame:
     """``docs`` plus n_bytes, n_tokens, prefix_counts and, per limit, longest_<limit>.
 
-    prefix_counts holds one little-endian 16-bit difference per character; longest_<limit> is the
-    number of characters of the longest prefix that has at most that many tokens.
+    prefix_counts holds one difference per character (see ``pack``); longest_<limit> is the number of
+    characters of the longest prefix that has at most that many tokens.
     """
     own = ["n_bytes", "n_tokens", "prefix_counts", *[f"longest_{n}" for n in limits]]
     kept = [c for c in docs.columns if c not in own]
@@ -283,14 +362,19 @@ def count_prefixes(docs: DataFrame, path: str, text: str = "text", limits: Seque
 
 
 def pack(counts: np.ndarray) -> bytes:
+    """Differences of neighbouring counts, little-endian: 16 bits each, or a zero byte and 32 bits each.
+
+    The second form, of odd length, is for texts where two neighbouring prefixes differ by over 32 767.
+    """
     steps = np.diff(counts, prepend=0)
     if len(steps) and np.abs(steps).max() > 32767:
-        raise ValueError("the count of a prefix differs by over 32767 from the one before")
+        return b"\0" + steps.astype("<i4").tobytes()
     return steps.astype("<i2").tobytes()
 
 
 def unpack(prefix_counts: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(prefix_counts, "<i2"), dtype=np.int64)
+    wide = len(prefix_counts) % 2
+    return np.cumsum(np.frombuffer(prefix_counts, "<i4" if wide else "<i2", offset=wide), dtype=np.int64)
 
 
 def _longest(counts: np.ndarray, limit: int) -> int:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -35,6 +36,49 @@ def test_every_prefix_has_the_count_of_its_encoding():
         assert counts.tolist() == [len(e.ids) for e in own.encode_batch([text[: i + 1] for i in range(len(text))])]
 
 
+def test_a_long_piece_alone_has_the_counts_of_the_joint_sweep():
+    rnd = random.Random(5)
+    counter = token_prefix.PrefixCounter(tokenizer("byte_bpe_50k.json"))
+    pieces = [
+        b"a" * 700, b"ab" * 300, b"=" * 500, "é中😀".encode() * 60, b"internationalisation" * 30, b"xyz",
+        bytes(rnd.choice(b"abcdeghilmnorstu") for _ in range(900)), bytes(range(128, 256)) * 3,
+    ]
+    data, sizes = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces])
+    starts = np.cumsum(sizes) - sizes
+    want = counter._sweep(data, starts, sizes)
+    assert counter.sweep(data, starts, sizes).tolist() == want.tolist()
+    assert np.concatenate([counter.lone.counts(p) for p in pieces]).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("alphabet", ["a", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_a_word_of_a_megabyte_takes_seconds(alphabet):
+    rnd = random.Random(7)
+    counter = token_prefix.PrefixCounter(tokenizer("byte_bpe_50k.json"))
+    text = "".join(rnd.choices(alphabet, k=1 << 20))
+    began = time.monotonic()
+    counts = counter.texts([text])[0]
+    assert time.monotonic() - began < 60
+    pieces = np.array([0, len(text)])
+    ids, _ = counter.merger.merge(np.frombuffer(text.encode(), np.uint8), pieces[:1], pieces[1:])
+    assert counts[-1] == len(ids)
+    assert counts[9_999] == len(library("byte_bpe_50k.json").encode(text[:10_000]).ids)
+
+
+def test_many_special_strings_in_one_text():
+    counter, own = token_prefix.PrefixCounter(tokenizer("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    text = "<|endoftext|>a b<|endoftext|>" * 20_000
+    counts = counter.texts([text, "<|endoftext|>", "x<|endoftext|"])
+    assert [c[-1] for c in counts] == [len(own.encode(t).ids) for t in (text, "<|endoftext|>", "x<|endoftext|")]
+
+
+def test_steps_of_over_16_bits_are_packed_wide():
+    counts = np.array([1, 2, 70_000, 69_999, 70_001])
+    packed = token_prefix.pack(counts)
+    assert token_prefix.unpack(packed).tolist() == counts.tolist()
+    assert token_prefix.count_at(packed, 3) == 70_000 and token_prefix.longest_within(packed, 69_999) == 4
+    assert token_prefix.unpack(token_prefix.pack(counts[:2])).tolist() == [1, 2]
+
+
 def test_packed_counts_answer_questions():
     text = "Counting tokens, word for word: internationalisation!"
     counter, own = token_prefix.PrefixCounter(tokenizer("byte_bpe_50k.json")), library("byte_bpe_50k.json")
