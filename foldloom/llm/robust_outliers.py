@@ -13,9 +13,9 @@ The estimate is FAST-MCD with deterministic starts over all rows, as grouped sum
 * of the starts, the one of least determinant is reweighted once.
 
 Statistics are whole thousandths, so all sums are whole numbers and the result does not depend on
-the order in which tasks finish.  ``FLOORS`` are added to the spread of every statistic, which keeps
-scatters regular where one hardly varies; they are small enough that each statistic alone can still
-lead to rejection.  Groups below ``LEAST`` rows are pooled by language, and languages
+the order in the order in which tasks finish.  A spread below its ``FLOORS`` is raised to it, which keeps scatters
+regular where a statistic hardly varies; a spread above it is used as estimated.  Floors are small
+enough that each statistic alone can still lead to rejection.  Groups below ``LEAST`` rows are pooled by language, and languages
 that stay below it are pooled together; every row belongs to one pool.
 
 Defined cases: a null text has no words and fails; null language or source is a value of its own;
@@ -48,9 +48,11 @@ UNIT = 1000
 #: words of average length added to each text, so that a few words say little about their length
 PRIOR_WORDS, PRIOR_LENGTH = 30, 5
 FEATURES = ("length", "symbols", "lines", "repeats")
-#: added in square to every variance, in the units of the features; with a floor alone as spread, a
-#: document is rejected from about 38 % duplicate lines or 10.5 % repeated words on
+#: least spread of each feature; with a floor as spread, a document is rejected from about 38 %
+#: duplicate lines or 10.5 % repeated words on
 FLOORS = np.array([0.04, 0.6, 0.75, 0.5])
+#: factor on covariances, so that features which vary together in every row leave a regular scatter
+SHRINK = 0.99
 N = len(FEATURES)
 PAIRS = [(i, j) for i in range(N) for j in range(i + 1)]
 #: quantiles of the chi-square distribution with N = 4 degrees of freedom, fixed values
@@ -132,7 +134,8 @@ def _moments_of(frame: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def _regular(scatter: np.ndarray) -> np.ndarray:
-    return scatter + np.diag(FLOORS**2)
+    """The scatter with variances of at least ``FLOORS`` squared, and correlations below one."""
+    return np.where(np.eye(N, dtype=bool), np.maximum(scatter, np.diag(FLOORS**2)), SHRINK * scatter)
 
 
 def distance() -> str:

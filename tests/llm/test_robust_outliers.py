@@ -11,7 +11,11 @@ def plain_estimate(x):
     """The same estimate on one pool in memory."""
     units = x / robust.UNIT
     n = robust.N
-    regular = np.diag(robust.FLOORS**2)
+
+    def regular(cov):
+        out = robust.SHRINK * cov
+        np.fill_diagonal(out, np.maximum(np.diag(cov), robust.FLOORS**2))
+        return out
 
     def middle(v):
         v = np.sort(v)
@@ -20,7 +24,7 @@ def plain_estimate(x):
     mean = np.array([middle(x[:, i]) for i in range(n)])
     spread = np.array([1.4826 * middle(np.abs(x[:, i] - mean[i])) for i in range(n)]) / robust.UNIT
     mean = mean / robust.UNIT
-    scale = np.sqrt(spread**2 + robust.FLOORS**2)
+    scale = np.maximum(spread, robust.FLOORS)
     z = (units - mean) / scale
     norm = np.linalg.norm(z, axis=1, keepdims=True)
     starts = [(mean, np.diag(scale**2))]
@@ -44,11 +48,11 @@ def plain_estimate(x):
             upto = np.cumsum([(bins == b).sum() for b in order])
             own = units[bins <= order[np.searchsorted(upto, robust.SHARE * len(units))]]
             cov = np.cov(own.T, bias=True).reshape(n, n) * robust.SHARE / robust.WITHIN_SHARE
-            new.append((own.mean(axis=0), cov + regular))
+            new.append((own.mean(axis=0), regular(cov)))
         starts = new
     best = min(starts, key=lambda m: np.linalg.slogdet(m[1])[1])
     own = units[d2(best) <= robust.CHI_975]
-    final = (own.mean(axis=0), np.cov(own.T, bias=True).reshape(n, n) * 0.975 / robust.WITHIN_975 + regular)
+    final = (own.mean(axis=0), regular(np.cov(own.T, bias=True).reshape(n, n) * 0.975 / robust.WITHIN_975))
     return d2(final)
 
 
@@ -67,6 +71,13 @@ def test_estimates_match_a_plain_version(spark):
         np.testing.assert_allclose(own["d2"].to_numpy(), plain_estimate(x), rtol=1e-6, atol=1e-9)
 
 
+def test_floors_bound_a_spread_from_below_only():
+    spread = np.array([0.01, 2.0, 0.1, 3.0])
+    found = robust._regular(np.outer(spread, spread))  # features that vary together
+    np.testing.assert_allclose(np.sqrt(np.diag(found)), np.maximum(spread, robust.FLOORS))
+    assert found[1, 3] == pytest.approx(robust.SHRINK * 6) and np.linalg.eigvalsh(found).min() > 0
+
+
 @pytest.mark.parametrize("n", [60, 30])
 def test_outliers_are_judged_by_their_pool(spark, n):
     rnd = np.random.default_rng(5)
