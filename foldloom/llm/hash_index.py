@@ -3,13 +3,16 @@
 ``fit`` learns, on a bounded sample, two rotations of the centred vectors that bring them close to
 the corners of a cube (iterative quantisation); the signs of the rotated vectors are the bits of a
 code.  Every vector is coded.  The index is kept in shards of bounded size; in each, the codes are
-cut into substrings of at most 16 bits with a table from substring to codes.  Two codes that differ
-in at most r bits agree in some substring up to r // m bits, so probing every substring within its
-share of r retrieves all codes of the shard within r; a count of differing bits drops the others
-and the original vectors give the exact order.  Where the radius holds fewer than k codes it grows.
+cut into substrings of at most 16 bits, the logarithm of a shard's size, with a table from substring
+to codes.  Probing goes outwards: after all patterns of up to f flipped bits in the first j of m
+substrings, and up to f - 1 in the others, every code within (f - 1) m + j bits of the query has been
+retrieved, because a code further on in every substring differs in more.  The radius grows from 0
+until k codes lie ``margin`` bits inside it, so it follows the data: near codes end the search after
+a few probes.  Codes within the radius are ordered by their original vectors.
 
 The stated query set meets the shards in blocks: a task holds one shard and one block of queries and
-returns the best k of that shard, so no task grows with the data.
+returns the best k of that shard, so no task grows with the data.  Shards and blocks are of one size,
+which sends the fewest copies for the memory of a task.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do vectors whose length is not the sample's commonest; a null vec_id takes no part; equal vectors are
@@ -20,13 +23,16 @@ it is the query's own; an empty table gives an empty result; extra columns are i
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from foldloom.llm.pieces import spread
 from foldloom.llm.store import first_by_hash
@@ -35,9 +41,10 @@ SAMPLE_ROWS = 10_000
 ROUNDS = 30
 ROTATIONS = 2
 SUBSTRING = 16
-RADIUS_SHARE = 0.44
-SHARD_ROWS = 16_384
-QUERY_ROWS = 4_096
+#: bits by which the radius exceeds the k-th nearest code, as a share of a code's bits
+MARGIN_SHARE = 0.085
+SHARD_ROWS = 65_536
+QUERY_ROWS = 65_536
 
 RESULT = "query_id long, vec_id long, score double"
 
@@ -64,8 +71,10 @@ class Codes:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part, as doubles."""
-    whole = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id and embedding of the rows that take part; floats stay floats until they are compared."""
+    whole = F.col("embedding")
+    if vectors.schema["embedding"].dataType.elementType not in (FloatType(), DoubleType()):
+        whole = F.transform("embedding", lambda x: x.cast("double"))
     return (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("embedding"))
         .filter("vec_id is not null and embedding is not null and size(embedding) > 0")
@@ -116,45 +125,66 @@ class SubstringIndex:
     def substring(words: np.ndarray, word: int, low: int, width: int) -> np.ndarray:
         return ((words[:, word] >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
 
+    def shells(self, query: np.ndarray, seen: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The radius up to which all codes are retrieved, the codes that came with it, and their distances.
+
+        ``seen`` marks codes to leave out; those retrieved are marked in it.
+        """
+        values = [int(self.substring(query[None, :], *part)[0]) for part in self.parts]
+        for flipped in range(max(width for _, _, width in self.parts) + 1):
+            for number, (value, (_, _, width), (order, first)) in enumerate(
+                zip(values, self.parts, self.tables, strict=True)
+            ):
+                probes = flips(width, flipped) ^ value
+                sizes = first[probes + 1] - first[probes]
+                hit = sizes > 0
+                new = order[spread(first[probes[hit]], sizes[hit])]
+                new = new[~seen[new]]
+                seen[new] = True
+                differing = np.bitwise_count(self.words[new] ^ query).sum(axis=1, dtype=np.int64)
+                yield flipped * len(self.parts) + number, new, differing
+
+    def nearest(self, query: np.ndarray, k: int, margin: int, seen: np.ndarray) -> np.ndarray:
+        """Codes up to ``margin`` bits beyond the k-th nearest; all of them, if there are no more than k.
+
+        ``seen`` marks codes that are no candidates; those retrieved are marked in it.
+        """
+        left = len(seen) - int(seen.sum())
+        found, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = np.zeros(64 * self.words.shape[1] + 1, np.int64)  # codes by distance
+        for radius, new, differing in self.shells(query, seen):
+            found.append(new)
+            far.append(differing)
+            at += np.bincount(differing, minlength=len(at))
+            left -= len(new)
+            if not left or (radius >= margin and at[: radius - margin + 1].sum() >= k):
+                break
+        codes, differing = np.concatenate(found), np.concatenate(far)
+        return codes[differing <= np.searchsorted(np.cumsum(at), k) + margin]
+
     def within(self, query: np.ndarray, radius: int) -> np.ndarray:
         """All codes that differ from the query in at most ``radius`` bits."""
-        m = len(self.parts)
-        share, more = divmod(radius, m)
-        seen = np.zeros(len(self.words), bool)
-        for number, ((word, low, width), (order, first)) in enumerate(zip(self.parts, self.tables, strict=True)):
-            # one of the first ``more + 1`` substrings agrees up to ``share`` bits, or another up to one less
-            near = share if number <= more else share - 1
-            if near < 0:
-                continue
-            value = int(self.substring(query[None, :], word, low, width)[0])
-            probes = flips(width, min(near, width)) ^ value
-            sizes = first[probes + 1] - first[probes]
-            hit = sizes > 0
-            seen[order[spread(first[probes[hit]], sizes[hit])]] = True
-        found = np.flatnonzero(seen)
-        differing = np.bitwise_count(self.words[found] ^ query).sum(axis=1)
-        return found[differing <= radius]
-
-
-_FLIPS: dict[tuple[int, int], np.ndarray] = {}
-
-
-def flips(width: int, most: int) -> np.ndarray:
-    """All patterns of at most ``most`` set bits."""
-    if (width, most) not in _FLIPS:
-        _FLIPS[width, most] = np.array(
-            [sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(width), n)], np.int64
-        )
-    return _FLIPS[width, most]
+        found = []
+        for reached, new, differing in self.shells(query, np.zeros(len(self.words), bool)):
+            found.append(new[differing <= radius])
+            if reached >= radius:
+                break
+        return np.sort(np.concatenate(found))
+
+
+@cache
+def flips(width: int, flipped: int) -> np.ndarray:
+    """All patterns of ``flipped`` set bits."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), flipped)], np.int64)
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
     flat = table.column("embedding").combine_chunks()
     values = flat.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(table.num_rows, -1)
+    return values.astype(np.float64).reshape(table.num_rows, -1)
 
 
-def nearest_in_shard(index: pa.Table, queries: pa.Table, codes: Codes, k: int, radius: int) -> pa.Table:
+def nearest_in_shard(index: pa.Table, queries: pa.Table, codes: Codes, k: int, margin: int) -> pa.Table:
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     if index.num_rows and queries.num_rows:
         ids = index.column("vec_id").to_numpy()
@@ -163,13 +193,7 @@ def nearest_in_shard(index: pa.Table, queries: pa.Table, codes: Codes, k: int, r
         for query, vector, word in zip(
             queries.column("vec_id").to_pylist(), asked, codes.encode(asked), strict=True
         ):
-            reach = radius
-            while True:
-                found = tables.within(word, reach)
-                found = found[ids[found] != query]
-                if len(found) >= k or reach >= codes.bits:
-                    break
-                reach = min(codes.bits, reach + max(1, codes.bits // 16))
+            found = tables.nearest(word, k, margin, ids == query)
             score = np.sqrt(((vectors[found] - vector) ** 2).sum(axis=1))
             best = np.lexsort((ids[found], score))[:k]
             out.append((np.full(len(best), query, np.int64), ids[found[best]], score[best]))
@@ -182,7 +206,7 @@ def search(
     queries: DataFrame,
     codes: Codes | None,
     k: int = 10,
-    radius: int | None = None,
+    margin: int | None = None,
     shard_rows: int = SHARD_ROWS,
     query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
@@ -192,7 +216,7 @@ def search(
     if codes is None:
         return empty
     size = len(codes.centre)
-    radius = round(RADIUS_SHARE * codes.bits) if radius is None else radius
+    margin = max(2, round(MARGIN_SHARE * codes.bits)) if margin is None else margin
     rows = usable(vectors).filter(F.size("embedding") == size)
     asked = usable(queries).filter(F.size("embedding") == size)
     shards = max(1, -(-rows.count() // shard_rows))
@@ -207,7 +231,7 @@ def search(
     asked = dealt(asked, blocks, 2, "block", shards, "shard")
 
     def searched(left: pa.Table, right: pa.Table) -> pa.Table:
-        return nearest_in_shard(left, right, codes, k, radius)
+        return nearest_in_shard(left, right, codes, k, margin)
 
     found = (
         index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(searched, RESULT)

@@ -40,9 +40,21 @@ def test_substrings_retrieve_every_code_within_the_radius():
             assert index.within(words[i], radius).tolist() == want.tolist()
 
 
-def test_recall_on_the_test_vectors(spark, sf):
-    rows = [(r[0], list(r[1])) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
-    want, found = brute(rows), search(spark, rows, shard_rows=200, query_rows=3)
+def test_the_radius_holds_k_codes_a_margin_inside():
+    rnd = np.random.default_rng(1)
+    words = rnd.integers(0, 1 << 12, (300, 1)).astype(np.uint64)
+    index = hash_index.SubstringIndex(words, [12])
+    for query in range(0, 300, 37):
+        far = np.bitwise_count(words ^ words[query]).sum(axis=1)
+        others = np.arange(300) != query
+        kth = np.sort(far[others])[9]
+        found = index.nearest(words[query], 10, 2, ~others)
+        assert set(found) == set(np.flatnonzero(others & (far <= kth + 2)))
+        assert set(index.nearest(words[query], 300, 2, ~others)) == set(np.flatnonzero(others))
+
+
+def check_recall(rows, found):
+    want = brute(rows)
     assert found.keys() == want.keys()
     exact = {q: dict(own) for q, own in brute(rows, len(rows)).items()}
     for query, own in found.items():
@@ -52,6 +64,30 @@ def test_recall_on_the_test_vectors(spark, sf):
     assert hits >= 0.9 * 10 * len(want)
 
 
+@pytest.mark.parametrize("limits", [{}, {"shard_rows": 200, "query_rows": 3}])
+def test_recall_on_the_test_vectors(spark, sf, limits):
+    rows = [(r[0], list(r[1])) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    check_recall(rows, search(spark, rows, **limits))
+
+
+def test_clustered_vectors_need_few_codes(spark):
+    rnd = np.random.default_rng(2)
+    centres = rnd.normal(size=(200, 64))
+    data = centres[rnd.integers(0, 200, 6000)] + 0.3 * rnd.normal(size=(6000, 64))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(data)]
+    check_recall(rows, search(spark, rows))
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    codes = hash_index.fit(vectors)
+    words = codes.encode(data)
+    index = hash_index.SubstringIndex(words, [r.shape[1] for r in codes.rotations])
+    probed = []
+    for i in range(0, 6000, 100):
+        seen = np.zeros(6000, bool)
+        index.nearest(words[i], 11, round(hash_index.MARGIN_SHARE * codes.bits), seen)
+        probed.append(seen.mean())
+    assert np.mean(probed) < 0.3
+
+
 def test_few_and_equal_vectors_give_all_candidates(spark):
     rows = [(i, [1.0, 2.0, float(i % 3)]) for i in range(0, 900, 50)]
     found, want = search(spark, rows, k=30), brute(rows, 30)
