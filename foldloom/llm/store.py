@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 from foldloom.session import checkpointed
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 1 << 26
 ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ARROW_ROWS = 1_000
 
@@ -66,9 +68,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
+def bytes_of(column: Column, kind: DataType) -> Column:
+    """About how many bytes of data a value holds; a null has none."""
+    zero = F.lit(0).cast("long")
+    if isinstance(kind, (StringType, BinaryType)):
+        size = F.octet_length(column).cast("long")
+    elif isinstance(kind, ArrayType) and isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType, MapType)):
+        size = F.aggregate(column, zero, lambda total, x: total + bytes_of(x, kind.elementType))
+    elif isinstance(kind, ArrayType):
+        size = F.size(column).cast("long") * 8
+    elif isinstance(kind, MapType):
+        size = bytes_of(F.map_keys(column), ArrayType(kind.keyType)) + bytes_of(F.map_values(column), ArrayType(kind.valueType))
+    elif isinstance(kind, StructType):
+        size = sum((bytes_of(column.getField(f.name), f.dataType) for f in kind.fields), zero)
+    else:
+        size = F.lit(8).cast("long")
+    return F.when(column.isNull(), zero).otherwise(size)
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows of ``size`` bytes together; looks at no more rows than that."""
+    own = sum((bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    held = df.select(own.alias("bytes")).limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
+    return held["n"] <= rows and (held["bytes"] or 0) <= size
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -96,7 +118,7 @@ def attach(
 ) -> DataFrame:
     """Join ``df`` with a materialised table of one row per key.  Null keys equal each other.
 
-    A table of up to ``rows`` rows is broadcast.  Of a larger one, the keys that hold over a
+    A table of up to ``rows`` rows and ``BROADCAST_BYTES`` is broadcast.  Of a larger one, the keys that hold over a
     thousandth of all rows (by ``weight``, so under a thousand keys) are broadcast and the others
     joined by shuffle, where no key is hot.  The table's ``weight`` column is not returned.
     """

@@ -41,7 +41,18 @@ def test_scratch_tables_go_and_settings_return(spark):
         assert folder.exists() and str(folder).startswith(shared_folder(spark).removeprefix("file:"))
     assert not folder.exists() and kept.count() == 5
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
     assert bounded(spark.range(5), 5) and not bounded(spark.range(6), 5)
+    assert bounded(spark.range(5), 5, 40) and not bounded(spark.range(5), 5, 39)
+    wide = spark.createDataFrame(
+        [("é", bytearray(b"123"), [1, 2], ["ab", None, "c"], (1, "x"), {"k": 2.0}, None)],
+        "`a.b` string, b binary, c array<int>, d array<string>, e struct<x: int, y: string>, f map<string, double>, g string",
+    )
+    size = 2 + 3 + 16 + 3 + 9 + 9
+    assert bounded(wide, 1, size) and not bounded(wide, 1, size - 1)
+    assert bounded(wide.limit(0), 0, 0)
 
 
 @pytest.mark.parametrize("small", [1 << 18, 40])
@@ -75,7 +86,7 @@ def test_chunks_grow_once_there_are_many():
     assert [counting.parts_of(n) for n in (0, 1 << 18, 1 << 28, 1 << 29, 1 << 34, 1 << 40)] == [1, 1, 1 << 10, 1 << 11, 1 << 11, 1 << 17]
 
 
-def test_frequent_words_take_whole_bands(spark):
+def test_frequent_words_fill_the_lexicon(spark):
     text = " ".join(f"w{i}" + f" w{i}" * (2 ** (i // 3)) for i in range(12))
     docs = spark.createDataFrame([(text,), (None,)], "text string")
     path = tokenizer("word_bpe_49k.json")
@@ -83,4 +94,6 @@ def test_frequent_words_take_whole_bands(spark):
     everything = set(frequent_words(docs, path, 1000))
     assert {b"w", b"1", b"9"} <= everything
     some = set(frequent_words(docs, path, 4))
-    assert 0 < len(some) <= 4 and b"w" in some
+    assert len(some) == 4 and b"w" in some and some <= everything
+    alike = spark.createDataFrame([(" ".join(chr(97 + i) * 3 for i in range(20)),)], "text string")
+    assert len(frequent_words(alike, path, 5)) == 5  # one band alone holds more
