@@ -39,7 +39,7 @@ from foldloom.llm.pieces import (
     spread,
     vocabulary,
 )
-from foldloom.llm.store import Scratch, first_by_hash
+from foldloom.llm.store import Scratch
 from foldloom.llm.words import slices
 
 LEXICON_WORDS = 1 << 15
@@ -158,9 +158,8 @@ def _runs(texts: list[str | None], special: dict[str, int]) -> tuple[list[str],
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> list[bytes]:
     """The commonest pieces of the corpus, counted over all texts: at most ``most``.
 
-    Counts are banded, eight bands to a doubling; the highest bands are taken whole, of the first one
-    that does not fit the pieces that come first by a hash.  The driver gets the bands' sizes and those
-    pieces only.
+    Counts are banded, eight bands to a doubling; the highest bands that hold ``most`` pieces
+    together are taken whole, so the driver gets the bands' sizes and those pieces only.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,17 +180,14 @@ def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> lis
     with Scratch(docs.sparkSession) as scratch:
         bands = scratch.save(table.groupBy("piece").agg(band))
         sizes = sorted(((r["band"], r["n"]) for r in bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-        lowest, held, partly = np.inf, 0, None
+        lowest, held = None, 0
         for number, n in sizes:
             if held + n > most:
-                partly = number
                 break
             lowest, held = number, held + n
-        words = [] if held == 0 else bands.filter(F.col("band") >= lowest).select("piece").collect()
-        if partly is not None and held < most:
-            # the band that does not fit gives the pieces that come first by a hash
-            words += first_by_hash(bands.filter(F.col("band") == partly).select("piece"), "piece", most - held, 17).collect()
-        return [bytes(r["piece"]) for r in words]
+        if lowest is None:
+            return []
+        return [bytes(r["piece"]) for r in bands.filter(F.col("band") >= lowest).select("piece").collect()]
 
 
 def ship_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
