@@ -154,7 +154,7 @@ def feature_categories(spark, sf):
     counts = derive.feature_categories(
         df, fitted.names, ["c_acctbal", "c_nationkey", "o_orderpriority", "c_mktsegment"]
     )
-    return counts.join(out.agg(F.count(F.lit(1)).alias("n_rows")))
+    return counts.withColumn("n_rows", F.lit(out.count()).cast("long"))
 
 
 @query()
