@@ -10,10 +10,14 @@ inequality decides which blocks of points a query has to meet:
   neighbour closer than ``max(low - d, d - high)`` for a query at distance d from
   the same pivot.
 
-Queries meet whole blocks, both of bounded size, and only the k best per (query,
-block) leave a task.  Exact copies of a point collapse into one vector with its k
-smallest ids per fold, so copies cannot form a hot block.  Nothing is capped: a
-query visits every block it cannot rule out.
+Points and queries are stored once, as packs of bounded size that hold neighbouring
+cells.  A pack of queries meets each pack of points that one of its queries needs;
+packs are read where they meet and never copied through a shuffle, so disk grows
+with the rows alone, also where the triangle inequality rules out nothing.  Inside a
+pair of packs, groups of queries meet blocks of points and only the k best per query
+leave a task.  Exact copies of a point beyond the k smallest ids per fold are left
+out first, so copies cannot form a hot block.  Nothing is capped: a query visits
+every block it cannot rule out.
 """
 
 from __future__ import annotations
@@ -25,13 +29,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldloom.operators.state import settle
+from foldloom.session import checkpointed
 
 LOCAL_VALUES = 4_000_000
 PIVOTS = 128
 BLOCK_POINTS = 2_000
 GROUP_QUERIES = 2_000
 CHUNK_VALUES = 4_000_000
+#: numbers of a pack of points, and of queries
+PACK_VALUES = 1_000_000
+QUERY_VALUES = 128_000
+#: bytes of points that a task holds while queries meet them
+SIDE_BYTES = 64 << 20
+#: distances that are summed up by coordinate while they stay in a core's cache
+TILE = 1 << 17
 NEIGHBOUR = "query_id long, neighbour_id long, distance double, label double"
 
 
@@ -54,30 +65,125 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in vectors]) if len(vectors) else np.empty((0, 0))
 
 
-def _best(d, ids, folds, labels, query_ids, query_folds, k, skip_self) -> pd.DataFrame:
-    """The k nearest allowed points of every query, ties by id."""
-    rows = []
-    for i, qid in enumerate(query_ids):
-        allowed = folds != query_folds[i]
-        if skip_self:
-            allowed &= ids != qid
-        at = np.flatnonzero(allowed)
-        if not len(at):
-            continue
-        near = d[i, at]
-        if len(at) > k:
-            at = at[near <= np.partition(near, k - 1)[k - 1]]
-        top = at[np.lexsort((ids[at], d[i, at]))][:k]
-        rows.append(
-            pd.DataFrame(
-                {"query_id": qid, "neighbour_id": ids[top], "distance": d[i, top], "label": labels[top]}
-            )
-        )
-    if not rows:
+def _close(a: np.ndarray, b: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distances to the power p up to an error, and the error bound of each row."""
+    width = a.shape[1]
+    if p not in (1, 2):
+        near = distances(a, b, p) ** p
+        return near, 1e-9 * near.max(axis=1, initial=0.0)
+    middle = b.mean(axis=0)
+    a, b = a - middle, b - middle
+    if p == 2:
+        own, other = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        near = a @ (-2 * b.T)
+        near += own[:, None]
+        near += other
+        return near, 4 * (width + 16) * np.finfo(float).eps * (own + other.max(initial=0.0))
+    reach = np.abs(a).sum(axis=1) + np.abs(b).sum(axis=1).max(initial=0.0)
+    kind = np.float32 if reach.max(initial=0.0) < 1e30 else np.float64
+    a, across = a.astype(kind), np.ascontiguousarray(b.T.astype(kind))
+    near = np.zeros((len(a), len(b)), kind)
+    step = max(1, TILE // max(1, len(b)))
+    gap = np.empty((step, len(b)), kind)
+    for i in range(0, len(a), step):
+        total = near[i : i + step]
+        part = gap[: len(total)]
+        for j in range(width):
+            np.subtract(a[i : i + step, j, None], across[j], out=part)
+            np.abs(part, out=part)
+            total += part
+    return near, 2 * (width + 8) * np.finfo(kind).eps * reach
+
+
+class _Nearest:
+    """The k nearest allowed points that each query has met, ties by id.
+
+    Points are sifted by distances with a known error; those that may be among the k best are measured exactly.
+    """
+
+    def __init__(self, vectors, ids, folds, k: int, skip_self: bool, p: float, bound=None):
+        self.vectors, self.ids, self.folds = vectors, ids, folds
+        self.k, self.skip_self, self.p = k, skip_self, p
+        self.bound = np.full(len(ids), np.inf) if bound is None else bound.copy()
+        self.found = np.zeros(len(ids), int)
+        self.distance = np.full((len(ids), k), np.inf)
+        self.neighbour: np.ndarray | None = None
+        self.label = np.full((len(ids), k), np.nan)
+
+    def meet(self, rows: np.ndarray, vectors, ids, folds, labels) -> None:
+        """Let the queries at ``rows`` meet some points."""
+        if not len(rows) or not len(ids):
+            return
+        near, error = _close(self.vectors[rows], vectors, self.p)
+        # copies of the bound: distances to the power p, and room for rounding
+        most = self.bound[rows] ** self.p * (1 + 1e-9) + error
+        away = near > most[:, None]
+        if away.size - np.count_nonzero(away) > 4 * self.k * len(rows):
+            away |= ~self._allowed(rows, slice(None), ids, folds)
+            if len(ids) >= self.k:
+                kth = np.partition(np.where(away, np.inf, near), self.k - 1, axis=1)[:, self.k - 1]
+                away |= near > (kth + error * 2 + np.abs(kth) * 1e-9)[:, None]
+        i, j = np.nonzero(~away)
+        allowed = self._allowed(rows, i, ids, folds, j)
+        i, j = i[allowed], j[allowed]
+        exact = np.empty(len(i))
+        step = max(1, CHUNK_VALUES // max(1, vectors.shape[1]))
+        for at in range(0, len(i), step):
+            gap = np.abs(self.vectors[rows[i[at : at + step]]] - vectors[j[at : at + step]])
+            if self.p == 2:
+                exact[at : at + step] = np.sqrt((gap * gap).sum(axis=1))
+            elif self.p == 1:
+                exact[at : at + step] = gap.sum(axis=1)
+            else:
+                exact[at : at + step] = (gap**self.p).sum(axis=1) ** (1.0 / self.p)
+        known = ~np.isnan(exact)
+        self._merge(rows[i[known]], exact[known], ids[j[known]], labels[j[known]])
+
+    def _allowed(self, rows, at, ids, folds, points=None) -> np.ndarray:
+        own_fold, own_id = self.folds[rows][at], self.ids[rows][at]
+        if points is None:
+            own_fold, own_id = own_fold[:, None], own_id[:, None]
+        else:
+            folds, ids = folds[points], ids[points]
+        allowed = folds != own_fold
+        return allowed & (ids != own_id) if self.skip_self else allowed
+
+    def _merge(self, query, distance, ids, labels) -> None:
+        if not len(query):
+            return
+        if self.neighbour is None:
+            self.neighbour = np.zeros((len(self.ids), self.k), ids.dtype)
+        rows = np.unique(query)
+        held, place = np.nonzero(np.arange(self.k) < self.found[rows][:, None])
+        held = rows[held]
+        query = np.concatenate((held, query))
+        distance = np.concatenate((self.distance[held, place], distance))
+        ids = np.concatenate((self.neighbour[held, place], ids))
+        labels = np.concatenate((self.label[held, place], labels))
+        order = np.lexsort((ids, distance, query))
+        query = query[order]
+        start = np.searchsorted(query, query)
+        rank = np.arange(len(query)) - start
+        best = rank < self.k
+        query, rank, order = query[best], rank[best], order[best]
+        self.distance[query, rank] = distance[order]
+        self.neighbour[query, rank] = ids[order]
+        self.label[query, rank] = labels[order]
+        self.found[rows] = np.bincount(query, minlength=len(self.ids))[rows]
+        self.bound[rows] = np.minimum(self.bound[rows], self.distance[rows, self.k - 1])
+
+    def rows(self) -> pd.DataFrame:
+        query, place = np.nonzero(np.arange(self.k) < self.found[:, None])
+        if not len(query):
+            return pd.DataFrame(
+                {"query_id": [], "neighbour_id": [], "distance": [], "label": []}
+            ).astype({"query_id": "int64", "neighbour_id": "int64"})
         return pd.DataFrame(
-            {"query_id": [], "neighbour_id": [], "distance": [], "label": []}
-        ).astype({"query_id": "int64", "neighbour_id": "int64"})
-    return pd.concat(rows, ignore_index=True)
+            {
+                "query_id": self.ids[query], "neighbour_id": self.neighbour[query, place],
+                "distance": self.distance[query, place], "label": self.label[query, place],
+            }
+        )
 
 
 def _prepare(df: DataFrame, row_id: str, vector: str, fold: str | None, label: str | None) -> DataFrame:
@@ -103,6 +209,7 @@ def knn_join(
     pivots: int = PIVOTS,
     block_points: int = BLOCK_POINTS,
     group_queries: int = GROUP_QUERIES,
+    pack_values: int = PACK_VALUES,
 ) -> DataFrame:
     """``(query_id, neighbour_id, distance, label)``: the k nearest points of each query.
 
@@ -116,7 +223,7 @@ def knn_join(
     size = s.agg(F.sum(F.size("v").cast("long") + 3)).first()[0] or 0
     if size <= local_values:
         return _join_local(q, s, k, skip_self, p)
-    return _join_cells(q, s, k, skip_self, p, pivots, block_points, group_queries)
+    return _join_cells(q, s, k, skip_self, p, pivots, block_points, group_queries, pack_values)
 
 
 def _join_local(q: DataFrame, s: DataFrame, k: int, skip_self: bool, p: float) -> DataFrame:
@@ -127,54 +234,146 @@ def _join_local(q: DataFrame, s: DataFrame, k: int, skip_self: bool, p: float) -
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors, ids, folds, labels = shared.value
+        step = max(1, min(GROUP_QUERIES, CHUNK_VALUES // BLOCK_POINTS))
         for batch in batches:
-            if len(batch):
-                d = distances(_matrix(batch["v"]), vectors, p)
-                yield _best(d, ids, folds, labels, batch["id"].to_numpy(), batch["fold"].to_numpy(), k, skip_self)
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start : start + step]
+                best = _Nearest(_matrix(part["v"]), part["id"].to_numpy(), part["fold"].to_numpy(), k, skip_self, p)
+                every = np.arange(len(part))
+                for at in range(0, len(ids), BLOCK_POINTS):
+                    cut = slice(at, at + BLOCK_POINTS)
+                    best.meet(every, vectors[cut], ids[cut], folds[cut], labels[cut])
+                yield best.rows()
 
     return q.mapInPandas(search, NEIGHBOUR)
 
 
-def _join_cells(q, s, k, skip_self, p, pivots, block_points, group_queries) -> DataFrame:
-    spark = q.sparkSession
+def _blob(vectors: np.ndarray) -> list[bytes]:
+    """Vectors as bytes, in single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        single = vectors.astype("<f4")
+    kept = single if (single == vectors).all() else vectors.astype("<f8")
+    return [v.tobytes() for v in kept]
+
+
+def _vectors(blobs: pd.Series, width: int) -> np.ndarray:
+    sizes = blobs.map(len).to_numpy()
+    out = np.empty((len(blobs), width))
+    for size, kind in ((4 * width, "<f4"), (8 * width, "<f8")):
+        at = np.flatnonzero(sizes == size)
+        if len(at):
+            out[at] = np.frombuffer(b"".join(blobs.iloc[at]), kind).reshape(len(at), width)
+    return out
+
+
+class _Deal:
+    """Which pack a row goes to: neighbouring cells share packs, larger cells are cut into rings and by a hash."""
+
+    def __init__(self, cells: Sequence[tuple[int, int, float]], most: int):
+        self.most = most
+        size = max((c for c, _, _ in cells), default=0) + 1
+        self.rings, self.reach = np.ones(size, int), np.zeros(size)
+        for cell, n, reach in cells:
+            self.rings[cell], self.reach[cell] = -(-n // most), reach
+        self.packs = 0
+        self.first: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def ring(self, cell: np.ndarray, r: np.ndarray) -> np.ndarray:
+        reach, rings = self.reach[cell], self.rings[cell]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            at = np.where(reach > 0, r / reach * rings, 0.0)
+        return np.clip(np.nan_to_num(at), 0, rings - 1).astype("int32")
+
+    def number(self, counts: Sequence[tuple[int, int, int]]) -> _Deal:
+        """Packs of (cell, ring, rows) in order."""
+        filled = self.most
+        for cell, ring, n in sorted(counts):
+            subs = -(-n // self.most)
+            if subs > 1 or filled + n > self.most:
+                self.first[cell, ring] = (self.packs, subs)
+                self.packs += subs
+                filled = n if subs == 1 else self.most
+            else:
+                self.first[cell, ring] = (self.packs - 1, 1)
+                filled += n
+        return self
+
+    def pack(self, cell: np.ndarray, ring: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        places = np.array([self.first[c, g] for c, g in zip(cell.tolist(), ring.tolist(), strict=True)]).reshape(-1, 2)
+        return (places[:, 0] + mark % places[:, 1]).astype("int32")
+
+
+POINTS = "pack int, v binary, id binary, fold binary, label binary, cell binary, r binary"
+QUERIES = "pack int, v binary, id binary, fold binary, theta binary, need array<int>"
+
+
+def _join_cells(q, s, k, skip_self, p, pivots, block_points, group_queries, pack_values) -> DataFrame:
     keep = k + 1 if skip_self else k
+    # the hashes decide which vectors become pivots, and only those vectors are sent
+    finite = s.filter("forall(v, x -> abs(x) < double('infinity'))").select("v", F.xxhash64("v").alias("__h"))
+    hashes = finite.select("__h").distinct().orderBy("__h").limit(pivots).collect()
+    if not hashes:
+        return q.sparkSession.createDataFrame([], NEIGHBOUR)
+    among = finite.filter(F.col("__h").isin([r["__h"] for r in hashes]))
+    chosen = among.groupBy("v").agg(F.min("__h").alias("__h")).orderBy("__h").limit(pivots).collect()
+    centers = np.array([r["v"] for r in chosen], dtype=float)
+    width = centers.shape[1]
     # at most ``keep`` copies per (vector, fold): the row_number filter is applied map-side
     copies = Window.partitionBy("v", "fold").orderBy("id")
-    members = s.withColumn("__c", F.row_number().over(copies)).filter(F.col("__c") <= keep)
-    distinct = members.groupBy("v").agg(F.collect_list(F.struct("id", "fold", "label")).alias("m"))
-    chosen = distinct.select("v", F.xxhash64("v").alias("__h")).orderBy("__h").limit(pivots).collect()
-    centers = np.array([r["v"] for r in chosen], dtype=float)
+    members = s.withColumn("__c", F.row_number().over(copies)).filter(F.col("__c") <= keep).drop("__c")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = distances(_matrix(batch["v"]), centers, p)
+                vectors = _matrix(batch["v"])
+                d = distances(vectors, centers, p)
                 cell = d.argmin(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), r=d[np.arange(len(d)), cell])
+                yield batch.assign(v=_blob(vectors), cell=cell.astype("int32"), r=d[np.arange(len(d)), cell])
 
-    member = "array<struct<id:bigint,fold:bigint,label:double>>"
-    placed = distinct.mapInPandas(place, f"v array<double>, m {member}, cell int, r double")
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("reach"))
-    rings = cells.select("cell", "reach", F.ceil(F.col("n") / F.lit(block_points)).alias("rings"))
-    # one row per pivot
-    ringed = placed.join(F.broadcast(rings), "cell").withColumn(
-        "ring",
-        F.when(F.col("reach") > 0, F.least(F.col("rings") - 1, F.floor(F.col("r") / F.col("reach") * F.col("rings"))))
-        .otherwise(F.lit(0))
-        .cast("int"),
+    # a point that holds a NaN is at no distance from anything
+    placed = checkpointed(
+        members.mapInPandas(place, "id long, v binary, fold long, label double, cell int, r double").filter("not isnan(r)")
     )
-    filled = ringed.groupBy("cell", "ring").agg(
-        F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")
+    # one row per pivot
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("reach")).collect()
+    deal = _Deal([(r["cell"], r["n"], r["reach"]) for r in cells], max(block_points, pack_values // width))
+
+    def ringed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(ring=deal.ring(batch["cell"].to_numpy(), batch["r"].to_numpy()))
+
+    # a row per pivot and one per full pack
+    rings = placed.select("cell", "r").mapInPandas(ringed, "cell int, r double, ring int")
+    deal.number([(r["cell"], r["ring"], r["n"]) for r in rings.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n")).collect()])
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cell, r = batch["cell"].to_numpy(), batch["r"].to_numpy()
+            yield batch.assign(pack=deal.pack(cell, deal.ring(cell, r), batch.pop("mark").to_numpy()))
+
+    numbered = placed.withColumn("mark", F.pmod(F.xxhash64("v"), F.lit(1 << 30))).mapInPandas(
+        dealt, "id long, v binary, fold long, label double, cell int, r double, pack int"
     )
-    blocks = settle(
-        filled.select("cell", "ring", "low", "high", F.ceil(F.col("n") / F.lit(block_points)).cast("int").alias("subs"))
-    ).table
+    # where the points of a pack lie: at most a row for each pivot and pack that share points
+    lies = numbered.groupBy("pack", "cell").agg(F.min("r").alias("low"), F.max("r").alias("high")).collect()
+    l_pack, l_cell = (np.array([r[c] for r in lies], dtype=int) for c in ("pack", "cell"))
+    l_low, l_high = (np.array([r[c] for r in lies], dtype=float) for c in ("low", "high"))
+
+    def stored(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["cell", "r"])
+        out = {"pack": [int(rows["pack"].iloc[0])], "v": [b"".join(_blob(_vectors(rows["v"], width)))]}
+        for name, kind in (("id", "<i8"), ("fold", "<i8"), ("label", "<f8"), ("cell", "<i4"), ("r", "<f8")):
+            out[name] = [rows[name].astype(kind).to_numpy().tobytes()]
+        return pd.DataFrame(out)
+
+    # a group is one pack; few rows, dealt evenly
+    sides = max(1, -(-sum(r["n"] for r in cells) * (8 * width + 36) // SIDE_BYTES))
+    points = checkpointed(numbered.groupBy("pack").applyInPandas(stored, POINTS).repartition(sides))
 
     # k smallest pivot distances per (cell, fold): at most pivots x folds x k numbers
     nearest = Window.partitionBy("cell", "fold").orderBy("r")
     bound_rows = (
-        placed.select("cell", "r", F.explode("m").alias("x"))
-        .select("cell", "r", F.col("x.fold").alias("fold"))
+        placed.select("cell", "fold", "r")
         .withColumn("__n", F.row_number().over(nearest))
         .filter(F.col("__n") <= keep)
         .select("cell", "fold", "r")
@@ -183,13 +382,23 @@ def _join_cells(q, s, k, skip_self, p, pivots, block_points, group_queries) -> D
     )
     b_cell, b_fold, b_r = (bound_rows[c].to_numpy() for c in ("cell", "fold", "r"))
 
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"cell": distances(_matrix(batch["v"]), centers, p).argmin(axis=1).astype("int32")})
+
+    home = q.select("v").mapInPandas(homes, "cell int").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    most = max(1, min(QUERY_VALUES, pack_values) // width)
+    asked = _Deal([], most).number([(r["cell"], 0, r["n"]) for r in home])
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Upper bound of the k-th distance and the cells that may hold a neighbour."""
+        """Upper bound of the k-th distance and the pack of every query."""
         step = max(1, CHUNK_VALUES // max(1, len(b_r)))
         for batch in batches:
             for start in range(0, len(batch), step):
                 part = batch.iloc[start : start + step]
-                d = distances(_matrix(part["v"]), centers, p)
+                vectors = _matrix(part["v"])
+                d = distances(vectors, centers, p)
                 bound = d[:, b_cell] + b_r
                 bound[b_fold[None, :] == part["fold"].to_numpy()[:, None]] = np.inf
                 theta = (
@@ -197,60 +406,74 @@ def _join_cells(q, s, k, skip_self, p, pivots, block_points, group_queries) -> D
                     if bound.shape[1] >= keep
                     else np.full(len(part), np.inf)
                 )
-                theta = theta * (1 + 1e-9) + 1e-12
-                own = d.min(axis=1)
-                row, cell = np.nonzero((d - own[:, None]) / 2 <= theta[:, None])
+                pack = asked.pack(d.argmin(axis=1), np.zeros(len(part), int), part["mark"].to_numpy())
                 yield pd.DataFrame(
                     {
-                        "id": part["id"].to_numpy()[row],
-                        "fold": part["fold"].to_numpy()[row],
-                        "v": part["v"].to_numpy()[row],
-                        "home": d.argmin(axis=1)[row].astype("int32"),
-                        "cell": cell.astype("int32"),
-                        "d": d[row, cell],
-                        "theta": theta[row],
+                        "id": part["id"].to_numpy(), "fold": part["fold"].to_numpy(), "v": _blob(vectors),
+                        "theta": theta * (1 + 1e-9) + 1e-12, "pack": pack,
                     }
                 )
 
-    routed = q.mapInPandas(
-        route, "id long, fold long, v array<double>, home int, cell int, d double, theta double"
-    )
-    groups = max(1, -(-q.count() // group_queries))
-    near = (F.col("low") <= F.col("d") + F.col("theta")) & (F.col("high") >= F.col("d") - F.col("theta"))
-    visits = (
-        routed.join(blocks, "cell")
-        .filter(near)
-        .select(
-            "id", "fold", "v", "home", "cell", "ring",
-            F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("part"),
-            F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"),
-        )
-    )
-    met = visits.select("cell", "ring", "sub", "home", "part").distinct()
-    stored = ringed.join(blocks.select("cell", "ring", "subs"), ["cell", "ring"]).withColumn(
-        "sub", F.pmod(F.xxhash64("v"), F.col("subs")).cast("int")
+    def reached(d: np.ndarray, bound: np.ndarray, cell, low, high) -> np.ndarray:
+        """Whether points of a cell between two distances from its pivot may be within the bound of a query."""
+        at = d[:, cell]
+        return (at + bound >= low) & (at - bound <= high) & ((at - d.min(axis=1)) / 2 <= bound)
+
+    def gathered(rows: pd.DataFrame) -> pd.DataFrame:
+        vectors, theta = _vectors(rows["v"], width), rows["theta"].to_numpy()
+        d = distances(vectors, centers, p)
+        need = {int(l_pack[i]) for i in range(len(lies)) if reached(d, theta, l_cell[i], l_low[i], l_high[i]).any()}
+        out = {"pack": [int(rows["pack"].iloc[0])], "v": [b"".join(_blob(vectors))], "need": [sorted(need)]}
+        for name, kind in (("id", "<i8"), ("fold", "<i8"), ("theta", "<f8")):
+            out[name] = [rows[name].astype(kind).to_numpy().tobytes()]
+        return pd.DataFrame(out)[["pack", "v", "id", "fold", "theta", "need"]]
+
+    routed = q.withColumn("mark", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).mapInPandas(
+        route, "id long, fold long, v binary, theta double, pack int"
     )
-    sent = stored.join(met, ["cell", "ring", "sub"]).select("cell", "ring", "sub", "home", "part", "v", "m")
-    keys = ["cell", "ring", "sub", "home", "part"]
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        flat = [(i, m["id"], m["fold"], m["label"]) for i, ms in enumerate(right["m"]) for m in ms]
-        at = np.array([f[0] for f in flat], dtype=int)
-        ids = np.array([f[1] for f in flat], dtype="int64")
-        folds = np.array([f[2] for f in flat], dtype="int64")
-        labels = np.array([np.nan if f[3] is None else f[3] for f in flat], dtype=float)
-        if not len(at) or not len(left):
-            return _best(np.empty((0, 0)), ids, folds, labels, [], [], k, skip_self)
-        d = distances(_matrix(left["v"]), _matrix(right["w"]), p)[:, at]
-        return _best(d, ids, folds, labels, left["id"].to_numpy(), left["fold"].to_numpy(), k, skip_self)
-
-    # renamed so that the two sides of the cogroup share no attribute
-    other = sent.select(*[F.col(c).alias(f"{c}_") for c in keys], F.col("v").alias("w"), "m")
-    found = (
-        visits.groupBy(*keys)
-        .cogroup(other.groupBy(*[f"{c}_" for c in keys]))
-        .applyInPandas(meet, NEIGHBOUR)
+    groups = routed.groupBy("pack").applyInPandas(gathered, QUERIES).repartition(max(1, asked.packs))
+    queries = checkpointed(groups).select(
+        F.col("pack").alias("q_pack"), F.col("v").alias("q_v"), F.col("id").alias("q_id"),
+        F.col("fold").alias("q_fold"), "theta", "need",
     )
+    # packs, not rows, meet here, and only those that the bounds do not rule out; neither side is shuffled
+    pairs = queries.join(points.hint("shuffle_replicate_nl"), F.expr("array_contains(need, pack)")).drop("need")
+
+    def matrix(blob: bytes, n: int) -> np.ndarray:
+        return np.frombuffer(blob, "<f4" if len(blob) == 4 * n * width else "<f8").reshape(n, width).astype(float)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, best, d = None, None, None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if row.q_pack != current:
+                    if best is not None:
+                        yield best.rows()
+                    ids = np.frombuffer(row.q_id, "<i8")
+                    best = _Nearest(
+                        matrix(row.q_v, len(ids)), ids, np.frombuffer(row.q_fold, "<i8"), k, skip_self, p,
+                        np.frombuffer(row.theta, "<f8"),
+                    )
+                    current, d = row.q_pack, distances(best.vectors, centers, p)
+                cell, r = np.frombuffer(row.cell, "<i4"), np.frombuffer(row.r, "<f8")
+                ids, folds, labels = (np.frombuffer(b, t) for b, t in ((row.id, "<i8"), (row.fold, "<i8"), (row.label, "<f8")))
+                vectors = matrix(row.v, len(ids))
+                step = max(1, min(group_queries, CHUNK_VALUES // block_points))
+                # blocks of points that lie in one order around the pivots of the pack
+                for low in range(0, len(ids), block_points):
+                    cut = slice(low, low + block_points)
+                    own = [(c, r[cut][cell[cut] == c]) for c in np.unique(cell[cut]).tolist()]
+                    for at in range(0, len(d), step):
+                        part = d[at : at + step]
+                        bound = best.bound[at : at + step] * (1 + 1e-9) + 1e-12
+                        near = np.zeros(len(part), bool)
+                        for c, x in own:
+                            near |= reached(part, bound, c, x[0], x[-1])
+                        best.meet(at + np.flatnonzero(near), vectors[cut], ids[cut], folds[cut], labels[cut])
+        if best is not None:
+            yield best.rows()
+
+    found = pairs.mapInPandas(search, NEIGHBOUR)
     final = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     return found.withColumn("__n", F.row_number().over(final)).filter(F.col("__n") <= k).drop("__n")
 

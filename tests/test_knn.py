@@ -66,3 +66,36 @@ def test_predictions(spark):
     assert weighted[2] == pytest.approx((2 * 1 + 5 * 0.5 + 5 * 0.5) / 2)
     assert {r[0]: r[1] for r in knn.knn_classify(near).collect()} == {1: 5.0, 2: 5.0}
     assert {r[0]: r[1] for r in knn.knn_classify(near, "distance").collect()}[2] == 2.0
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_packs_equal_brute_force(spark, monkeypatch, p):
+    monkeypatch.setattr(knn, "SIDE_BYTES", 3_000)
+    monkeypatch.setattr(knn, "QUERY_VALUES", 60)
+    rows = _points()
+    df = spark.createDataFrame(rows, SCHEMA)
+    near = knn.knn_join(
+        df, df, 5, label="label", fold="fold", p=p, local_values=0, pivots=6, block_points=7, group_queries=4, pack_values=80
+    )
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["query_id"], []).append((round(r["distance"], 9), r["neighbour_id"], r["label"]))
+    assert {q: sorted(v) for q, v in got.items()} == _brute(rows, rows, 5, p)
+
+
+def test_vectors_far_from_the_origin_and_nan(spark):
+    rows = [(i, [1e9 + x for x in v], label, f) for i, v, label, f in _points(120)]
+    df = spark.createDataFrame([*rows, (500, [float("nan")] * 4, 1.0, 0)], SCHEMA)
+    for p in (1, 2):
+        near = knn.knn_join(df, df, 5, label="label", fold="fold", p=p, local_values=0, pivots=4, block_points=30)
+        got = {}
+        for r in near.collect():
+            got.setdefault(r["query_id"], []).append((round(r["distance"], 9), r["neighbour_id"], r["label"]))
+        assert {q: sorted(v) for q, v in got.items()} == _brute(rows, rows, 5, p)
+
+
+def test_no_shuffle_copies_vectors_to_the_blocks_they_meet(spark):
+    df = spark.createDataFrame(_points(60), SCHEMA)
+    near = knn.knn_join(df, df, 5, label="label", fold="fold", local_values=0, pivots=6, block_points=5, group_queries=5)
+    plan = near._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "explode" not in plan
