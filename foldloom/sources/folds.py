@@ -1,22 +1,26 @@
 """Reading and writing datasets laid out as folds.
 
 Two layouts are read: one directory per dataset and fold with four parquet files
-(features and targets of both splits), and the partitioned table this package
+(features and targets of both splits; each may be a folder of numbered part files), and the partitioned table this package
 writes (``dataset=/fold=/split=``), where a fold is found by partition pruning.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldloom.operators.columns import nan_to_null
+from foldloom.session import checkpointed
 
 LAYOUT = ("dataset", "fold", "split")
 EXAM = "exam_dataset"
+#: rows of a part file
+FILE_ROWS = 100_000
 
 
 def read_folds(spark: SparkSession, root: str, dataset: str | None = None, fold: int | None = None) -> DataFrame:
@@ -41,9 +45,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def _position(df: DataFrame) -> Column:
+    """Position of each row inside its file, the only row identity this layout has.
+
+    Where a file is a folder of several parts, the number of the part comes first.
+    """
+    at = F.col("_metadata.row_index")
+    folders = Counter(f.rsplit("/", 1)[0] for f in df.inputFiles() if "/part-" in f)
+    if max(folders.values(), default=1) == 1:
+        return at
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
+    return F.shiftleft(F.when(part == "", 0).otherwise(part).cast("long"), 33) + at
+
+
 def _numbered(df: DataFrame) -> DataFrame:
-    """Position of each row inside its file, the only row identity this layout has."""
-    return df.withColumn("row_id", F.col("_metadata.row_index"))
+    return df.withColumn("row_id", _position(df))
 
 
 def read_fold_directory(
@@ -62,7 +78,7 @@ def read_fold_directory(
         if split == "train" or _exists(spark, target_path):
             raw = spark.read.parquet(target_path)
             y = raw.select(
-                F.col("_metadata.row_index").alias("row_id"), F.col(f"`{raw.columns[0]}`").cast("double").alias("target")
+                _position(raw).alias("row_id"), F.col(f"`{raw.columns[0]}`").cast("double").alias("target")
             )
             joined = x.join(y, "row_id", "left")
         else:
@@ -87,11 +103,11 @@ def fold_layout(spark: SparkSession, root: str) -> dict[str, list[int]]:
     return {d: sorted(f) for d, f in sorted(found.items())}
 
 
-def _placed(df: DataFrame) -> DataFrame:
+def _placed(df: DataFrame, position: Column) -> DataFrame:
     """fold, split and row position from the file that a row comes from."""
     part = lambda i: F.regexp_extract(F.col("_metadata.file_path"), PLACE, i)
     return df.withColumns(
-        {"fold": part(2).cast("int"), "split": part(3), "row_id": F.col("_metadata.row_index")}
+        {"fold": part(2).cast("int"), "split": part(3), "row_id": position}
     )
 
 
@@ -103,25 +119,31 @@ def read_dataset(spark: SparkSession, root: str, dataset: str, suffix: str = "",
     """
     both = "{train,test}"
     x = spark.read.option("mergeSchema", ragged).parquet(f"{root}/{dataset}/*/X_{both}{suffix}.parquet")
-    x = nan_to_null(_placed(x))
+    x = nan_to_null(_placed(x, _position(x)))
     try:
         raw = spark.read.parquet(f"{root}/{dataset}/*/y_{both}.parquet")
     except AnalysisException:
         joined = x.withColumn("target", F.lit(None).cast("double"))
     else:
         target = F.col(f"`{raw.columns[0]}`").cast("double").alias("target")
-        y = _placed(raw.select(target, "_metadata")).select("fold", "split", "row_id", "target")
-        joined = x.join(y, ["fold", "split", "row_id"], "left")
+        y = _placed(raw.select(target, "_metadata"), _position(raw)).select("fold", "split", "row_id", "target")
+        # targets are as many as features, which the size of their files hides
+        joined = x.join(y.hint("merge"), ["fold", "split", "row_id"], "left")
     return joined.withColumn("dataset", F.lit(dataset))
 
 
 def write_fold_files(df: DataFrame, root: str, dataset: str, fold: int, target: str, row_id: str) -> None:
-    """One fold of the four-file layout: rows of ``fold`` are the test split; targets follow the features' order."""
-    for split, rows in (("train", df.filter(F.col("fold") != fold)), ("test", df.filter(F.col("fold") == fold))):
-        ordered = rows.repartition(1).sortWithinPartitions(row_id)
-        features = [c for c in df.columns if c not in (target, "fold", row_id)]
-        ordered.select(*features).write.mode("overwrite").parquet(f"{root}/{dataset}/{fold}/X_{split}.parquet")
-        ordered.select(target).write.mode("overwrite").parquet(f"{root}/{dataset}/{fold}/y_{split}.parquet")
+    """One fold of the four-file layout: rows of ``fold`` are the test split; targets follow the features' order.
+
+    Rows are in the order of ``row_id``, in part files of about ``FILE_ROWS`` rows of the dataset.
+    """
+    parts = max(1, -(-df.count() // FILE_ROWS))
+    # written once, so that features and targets are cut and ordered alike
+    ordered = checkpointed(df.repartitionByRange(parts, row_id).sortWithinPartitions(row_id))
+    features = [c for c in df.columns if c not in (target, "fold", row_id)]
+    for split, rows in (("train", ordered.filter(F.col("fold") != fold)), ("test", ordered.filter(F.col("fold") == fold))):
+        rows.select(*features).write.mode("overwrite").parquet(f"{root}/{dataset}/{fold}/X_{split}.parquet")
+        rows.select(target).write.mode("overwrite").parquet(f"{root}/{dataset}/{fold}/y_{split}.parquet")
 
 
 def read_flat(spark: SparkSession, folder: str, dataset: str) -> DataFrame:

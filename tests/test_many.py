@@ -61,3 +61,19 @@ def test_folds_without_targets(spark, tmp_path, labels):
     rows = source.read_dataset(spark, str(tmp_path), "e").collect()
     assert len(rows) == 10
     assert all((r["target"] == r["a"]) if labels == "train" and r["split"] == "train" else r["target"] is None for r in rows)
+
+
+def test_fold_files_in_parts_match_by_position(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source, "FILE_ROWS", 50)
+    df = spark.range(300).select(
+        (F.col("id") * 7919 % 300).alias("id"), F.col("id").cast("double").alias("a"), (F.col("id") + 100).alias("y"), (F.col("id") % 2).alias("fold")
+    ).repartition(7)
+    source.write_fold_files(df, str(tmp_path), "d", 1, "y", "id")
+    files = spark.read.parquet(f"{tmp_path}/d/1/X_train.parquet").inputFiles()
+    assert len(files) > 3 and len(spark.read.parquet(f"{tmp_path}/d/1/y_train.parquet").inputFiles()) == len(files)
+    found = source.read_dataset(spark, str(tmp_path), "d")
+    # the targets of a large dataset are no table to send to every task
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    for rows in (found.collect(), source.read_fold_directory(spark, str(tmp_path), "d", 1).collect()):
+        assert len(rows) == 300 == len({(r["split"], r["row_id"]) for r in rows})
+        assert all(r["target"] == r["a"] + 100 and (r["split"] == "test") == (r["a"] % 2 == 1) for r in rows)
