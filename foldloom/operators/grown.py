@@ -89,7 +89,10 @@ def _uniform(row_id: np.ndarray, *salt: int) -> np.ndarray:
 def _poisson(u: np.ndarray, mean: float) -> np.ndarray:
     term = total = np.exp(-mean)
     out = np.zeros(len(u))
+    most = u.max(initial=0.0)
     for k in range(1, 200):
+        if most < total:
+            break
         out += u >= total
         term *= mean / k
         total += term
@@ -270,7 +273,7 @@ def _level(packed: Packed, features: Features, grown: Grown, growing: dict, bins
                 continue
             b = binned(features(rows, at, held_out), cuts[key])
             width = max(b.shape[1], 1)
-            place = np.arange(width) * bins
+            columns = np.ascontiguousarray(b.T if b.shape[1] else np.zeros((1, len(b)), b.dtype)).astype(np.int64)
             for t, n, tree in by_fold[key]:
                 y = rows.y - grown.center[key]
                 if specs[t].kind == "boosted" and n:
@@ -280,10 +283,13 @@ def _level(packed: Packed, features: Features, grown: Grown, growing: dict, bins
                 slot = slot[tree.leaves(b)]
                 w = specs[t].weights(n, rows.row_id)
                 own = np.flatnonzero((slot >= 0) & (w > 0))
-                flat = (slot[own, None] * (width * bins) + place + (b[own] if b.shape[1] else 0)).ravel()
-                sums = np.empty((len(tree.open) * width * bins, 3))
-                for i, v in enumerate((w[own], w[own] * y[own], w[own] * y[own] ** 2)):
-                    sums[:, i] = np.bincount(flat, np.repeat(v, width), minlength=len(sums))
+                first, w, y = slot[own] * bins, w[own], y[own]
+                wy, wyy = w * y, w * y**2
+                sums = np.empty((len(tree.open), width, bins, 3))
+                for f in range(width):
+                    cell = first + columns[f, own]
+                    for i, v in enumerate((w, wy, wyy)):
+                        sums[:, f, :, i] = np.bincount(cell, v, minlength=len(tree.open) * bins).reshape(-1, bins)
                 yield held_out, number[t, n], "sum", sums.reshape(len(tree.open), width * bins * 3)
 
     opened = {(d, h, number[t, n]): tree.open for (d, h, t, n), tree in growing.items()}

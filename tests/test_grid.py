@@ -263,3 +263,24 @@ def test_profiles_share_their_plan(spark):
         spark.createDataFrame([("d", [1.0], 0, 1.0)], rows.schema), {f"d{i}": profiles.Width(1, 0, 1) for i in range(n)} | {"d": profiles.Width(1, 0, 1)}
     )._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
     assert operators(1) == operators(200)
+
+
+def test_bootstrap_weights_end_with_the_last_row_that_grows():
+    class Counted(np.ndarray):
+        passes = 0
+
+        def __ge__(self, other):
+            Counted.passes += 1
+            return np.asarray(self) >= other
+
+    u = grown._uniform(np.arange(5000), 1, 2)
+    for mean in (0.5, 1.0):
+        term = total = np.exp(-mean)
+        want = np.zeros(len(u))
+        for k in range(1, 200):
+            want += u >= total
+            term *= mean / k
+            total += term
+        Counted.passes = 0
+        assert (grown._poisson(u.view(Counted), mean) == want).all()
+        assert Counted.passes < 20
