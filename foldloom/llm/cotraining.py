@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from foldloom.llm.store import Scratch, first_by_hash, small_side
 from foldloom.llm.text_stats import per_row
-from foldloom.llm.words import slices, word_hashes, words_of
+from foldloom.llm.words import HASHED_BYTES, released, slices, word_hashes, words_of
 
 LABELLED = 20_000
 CHOSEN = 5_000
@@ -246,7 +246,7 @@ class Classifier:
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", HASHED_BYTES):
                     x = text_rows(part.column("text"))
                     pages = page_rows([part.column(c).to_numpy() for c in PAGE_COLUMNS])
                     yield pa.RecordBatch.from_arrays(
@@ -259,7 +259,7 @@ class Classifier:
 
         rows = docs.select(*names, "text", *page_features())
         kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
-        return rows.mapInArrow(scored, f"{kinds}, text_margin double, page_margin double")
+        return rows.mapInArrow(lambda batches: released(scored(batches)), f"{kinds}, text_margin double, page_margin double")
 
     def score(self, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         """doc_id, text_probability, page_probability, good_probability and kept of every document."""
@@ -295,7 +295,7 @@ def _featured(rows: DataFrame) -> DataFrame:
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HASHED_BYTES):
                 words = text_rows(part.column("text"))
                 cuts = np.searchsorted(words.row, np.arange(part.num_rows + 1))
                 made = {
@@ -305,7 +305,7 @@ def _featured(rows: DataFrame) -> DataFrame:
                 }
                 yield pa.RecordBatch.from_arrays([made.get(c, part.column(c) if c not in made else None) for c in names], names)
 
-    return rows.select("doc_id", "part", "good", "text", *PAGE_COLUMNS).mapInArrow(computed, FEATURES)
+    return rows.select("doc_id", "part", "good", "text", *PAGE_COLUMNS).mapInArrow(lambda batches: released(computed(batches)), FEATURES)
 
 
 def _once(rows: DataFrame) -> DataFrame:

@@ -44,7 +44,9 @@ from foldloom.llm.census import bucket_of, census, parts_of, runs_of, values
 from foldloom.llm.components import components
 from foldloom.llm.pieces import spread
 from foldloom.llm.store import Scratch, attach, small_side
-from foldloom.llm.words import GRAM, Words, blobs, gram_hashes, mixed, run_hashes, slices, word_hashes, words_of
+from foldloom.llm.words import (
+    GRAM, HASHED_BYTES, Words, blobs, gram_hashes, mixed, released, run_hashes, slices, word_hashes, words_of,
+)
 
 SHINGLE = 5
 #: prefix shingles that a task gathers before it asks about them
@@ -170,7 +172,7 @@ def summaries(docs: DataFrame, buckets: int) -> DataFrame:
         distinct: dict[bytes, np.ndarray] = {}
         gathered = 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HASHED_BYTES):
                 sets = shingles(words_of(part.column("text"), lower=True))
                 prints = [fingerprint(s) for s in sets]
                 n = len(sets)
@@ -187,7 +189,7 @@ def summaries(docs: DataFrame, buckets: int) -> DataFrame:
                     distinct, gathered = {}, 0
         yield _prefixes(distinct, buckets)
 
-    rows = docs.select("doc_id", "text").mapInArrow(asked, ASKED)
+    rows = docs.select("doc_id", "text").mapInArrow(lambda batches: released(asked(batches)), ASKED)
     return rows.groupBy("bucket").applyInArrow(_shared, FOUND)
 
 
@@ -395,7 +397,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HASHED_BYTES):
                 sets = shingles(words_of(part.column("text"), lower=True))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -407,7 +409,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
                     ["id", "print", "n", "tokens"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(computed, "id long, print binary, n long, tokens binary")
+    schema = "id long, print binary, n long, tokens binary"
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(computed(batches)), schema)
 
 
 def duplicate_classes(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, block_sets: int = BLOCK_SETS) -> DataFrame:
@@ -467,11 +470,11 @@ def with_print(docs: DataFrame) -> DataFrame:
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HASHED_BYTES):
                 prints = [fingerprint(s) for s in shingles(words_of(part.column("text"), lower=True))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints, pa.binary())], [*names, "_print"])
 
-    return docs.mapInArrow(computed, T.StructType([*docs.schema.fields, T.StructField("_print", T.BinaryType())]))
+    return docs.mapInArrow(lambda batches: released(computed(batches)), T.StructType([*docs.schema.fields, T.StructField("_print", T.BinaryType())]))
 
 
 def _likely(sets: DataFrame, counts: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
-#: length of the kept tables of powers: a slice, and a text that ends it
+#: of slices whose words are hashed, which takes some fifty bytes a byte of text for a moment
+HASHED_BYTES = 1 << 18
+#: greatest length of the kept tables of powers: a slice, and a text that ends it
 KEPT_POWERS = SLICE_BYTES + (1 << 16)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -53,6 +55,12 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         at = to
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one, Arrow gives freed memory back, which a waiting worker would keep."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 @dataclass
 class Words:
     """Words of several texts: ``data[starts[i]:ends[i]]``; those of row r are first[r]:first[r + 1]."""
@@ -100,7 +108,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^0 … and its inverses, modulo 2^64, for n positions; one table of each base is kept."""
     kept = _POWERS.get(base)
     if kept is None or len(kept[0]) < n:
-        size = max(n, KEPT_POWERS)
+        size = n if n > KEPT_POWERS else min(KEPT_POWERS, max(1 << 16, 1 << n.bit_length()))
 
         def powers(b: int) -> np.ndarray:
             out = np.full(size, b, np.uint64)
@@ -108,7 +116,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             return np.multiply.accumulate(out)
 
         kept = powers(base), powers(pow(base, -1, 1 << 64))
-        if size == KEPT_POWERS:  # tables for longer texts go again
+        if size <= KEPT_POWERS:  # tables for longer texts go again
             _POWERS[base] = kept
     return kept[0][:n], kept[1][:n]
 

@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 
 from foldloom.llm import text_stats
-from foldloom.llm.words import gram_hashes, slices, word_hashes, word_list, words_of
+from foldloom.llm import words as words_module
+from foldloom.llm.words import HASHED_BYTES, KEPT_POWERS, gram_hashes, released, slices, word_hashes, word_list, words_of
 
 
 def texts(seed, n=400, alphabet="ab  \n\n\t\r\x0b\x0c#é中| "):
@@ -37,6 +38,31 @@ def test_hashes_depend_on_the_words_alone():
     assert len(np.unique(ha)) == 4
 
 
+def test_hashing_a_small_slice_keeps_small_tables(monkeypatch):
+    kept = {}
+    monkeypatch.setattr(words_module, "_POWERS", kept)
+    small, large = pa.array(["one two three " * 9000]), pa.array(["one two three " * 90000])
+    first = word_hashes(words_of(small))
+    assert kept and all(len(t) <= 2 * HASHED_BYTES < KEPT_POWERS for pair in kept.values() for t in pair)
+    sizes = {base: len(pair[0]) for base, pair in kept.items()}
+    assert word_hashes(words_of(large))[: len(first)].tolist() == first.tolist()
+    assert {base: len(pair[0]) for base, pair in kept.items()} == sizes  # longer than any kept table
+    assert word_hashes(words_of(small)).tolist() == first.tolist()
+
+
+def test_released_gives_memory_back_after_the_last_batch(monkeypatch):
+    called = []
+
+    class Pool:
+        def release_unused(self):
+            called.append(1)
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    batches = released(iter([1, 2]))
+    assert [next(batches), next(batches), called] == [1, 2, []]
+    assert list(batches) == [] and called == [1]
+
+
 def test_statistics_match_a_plain_count(words):
     some = texts(2) + ["a b c d e a b c d e", "l\nl\nl\n\nm l", "x " * 500]
     found = text_stats.stats_of(pa.array(some))
