@@ -10,7 +10,8 @@ doc_id.  Finding them takes the same steps twice.
    size, each shard's phrases are compiled into an Aho-Corasick automaton, and the passages of the
    other documents that hold a phrase of the shard stream through it.  An owner with very many
    documents has its passages in several shards.  Every match is extended word by word to both
-   sides; a run of at least ``WINDOW`` equal words is confirmed.
+   sides; a run of at least ``WINDOW`` equal words is confirmed, and a passage tells the words that
+   its runs cover together, which are at most a run for each ``WINDOW`` of its words.
 3. *Windows left.*  A window may recur in another document than its phrase's owner.  The windows
    around recurring phrases that no run covers are hashed, a census gives their first documents, and
    the second round confirms them by automata whose phrases are the windows' beginnings.
@@ -27,7 +28,7 @@ an empty result; extra columns are kept unless an output has their name.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -147,6 +148,17 @@ def cut(texts: DataFrame, window: int, phrase: int) -> DataFrame:
 RUNS = "doc_id long, key long, start long, end long"
 
 
+def joined(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs as disjoint ascending ones that cover the same words."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(runs):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
 class Automaton:
     """Phrases of owners' passages as sequences of word numbers, with the passages and places that hold them."""
 
@@ -170,7 +182,10 @@ class Automaton:
             self.machine.make_automaton()
 
     def runs(self, doc: int, words: bytes) -> set[tuple[int, int]]:
-        """Runs of at least a window of words that a passage of a smaller document holds as well."""
+        """Disjoint runs of words covered by windows that a passage of a smaller document holds as well.
+
+        Repetitive text matches at very many offsets; their runs overlap, and only what they cover together is told.
+        """
         if not len(self.machine):
             return set()
         own = words.split(b" ")
@@ -198,7 +213,7 @@ class Automaton:
                     out.add((start, a))
                     if a > high:
                         low, high = start, a
-        return out
+        return set(joined(out))
 
 
 def confirm(passages: DataFrame, window: int, phrase: int, shard_bytes: int, stream_bytes: int, scratch: Scratch) -> DataFrame:
@@ -318,13 +333,7 @@ def _candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def spans_of(runs: list[dict] | None) -> list[tuple[int, int]]:
     """Runs as disjoint ascending spans of words."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted((r["start"], r["end"]) for r in runs or []):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
-    return out
+    return joined((r["start"], r["end"]) for r in runs or [])
 
 
 SPANS = "doc_id long, key long, n_removed long, kept_sha256 string, spans array<struct<start long, end long>>"

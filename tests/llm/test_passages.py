@@ -112,3 +112,28 @@ def test_automaton_extends_matches_to_smaller_documents_only():
     assert machine.runs(9, text) == {(1, 57)}
     assert machine.runs(3, text) == set() and machine.runs(2, text) == set()
     assert machine.runs(9, b" ".join(own[5:40])) == set()
+
+
+def test_runs_of_repetitive_text_are_told_together():
+    line = [b"w%d" % i for i in range(5)]
+    owner = [*line * 60, b"end"]
+    places = np.arange(0, 275, 5, dtype="<i4").tobytes()
+    machine = passages.Automaton(pa.table({"owner": [3], "words": [b" ".join(owner)], "phrases": [places]}), 50, 25)
+    assert machine.runs(9, b" ".join([b"new", *line * 40, b"other"])) == {(1, 201)}
+    twice = [b"new", *line * 40, b"other", *line * 30]
+    assert machine.runs(9, b" ".join(twice)) == {(1, 201), (202, 352)}
+
+
+def test_rows_of_confirmed_runs_follow_the_words_not_the_repeats(spark, words, monkeypatch):
+    rows = [(i, " ".join([f"a{i}", *["to be or not to"] * (40 + i), f"b{i}"])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    confirm, counts = passages.confirm, []
+
+    def counted(*given):
+        found = confirm(*given)
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(passages, "confirm", counted)
+    assert result(docs) == brute(rows, words, passages.WINDOW)
+    assert sum(counts) <= 2 * len(rows)
