@@ -10,14 +10,14 @@ inequality decides which blocks of points a query has to meet:
   neighbour closer than ``max(low - d, d - high)`` for a query at distance d from
   the same pivot.
 
-Points and queries are stored once, as packs of bounded size that hold neighbouring
-cells.  A pack of queries meets each pack of points that one of its queries needs;
-packs are read where they meet and never copied through a shuffle, so disk grows
-with the rows alone, also where the triangle inequality rules out nothing.  Inside a
-pair of packs, groups of queries meet blocks of points and only the k best per query
-leave a task.  Exact copies of a point beyond the k smallest ids per fold are left
-out first, so copies cannot form a hot block.  Nothing is capped: a query visits
-every block it cannot rule out.
+Vectors are shuffled once as points and once as queries, into packs of bounded size
+that hold neighbouring cells; only the packs of points are stored.  A pack of queries
+meets each pack of points that one of its queries needs, in one task that reads the
+stored packs one after the other, so disk grows with the rows alone, also where the
+triangle inequality rules out nothing.  Inside a pair of packs, groups of queries meet
+blocks of points and only the k best per query leave the task.  Exact copies of a point
+beyond the k smallest ids per fold are left out first, so copies cannot form a hot
+block.  Nothing is capped: a query visits every block it cannot rule out.
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ CHUNK_VALUES = 4_000_000
 #: numbers of a pack of points, and of queries
 PACK_VALUES = 1_000_000
 QUERY_VALUES = 128_000
-#: bytes of points that a task holds while queries meet them
+#: bytes of points in a stored partition
 SIDE_BYTES = 64 << 20
+#: hashes of vectors with many copies that are broadcast
+COPIED_HASHES = 100_000
 #: distances that are summed up by coordinate while they stay in a core's cache
 TILE = 1 << 17
 NEIGHBOUR = "query_id long, neighbour_id long, distance double, label double"
@@ -285,7 +287,7 @@ class _Deal:
         return np.clip(np.nan_to_num(at), 0, rings - 1).astype("int32")
 
     def number(self, counts: Sequence[tuple[int, int, int]]) -> _Deal:
-        """Packs of (cell, ring, rows) in order."""
+        """Packs of (cell, ring, rows) in order; a row of none of these, if rounding differs when it is read again, goes to the first."""
         filled = self.most
         for cell, ring, n in sorted(counts):
             subs = -(-n // self.most)
@@ -299,10 +301,33 @@ class _Deal:
         return self
 
     def pack(self, cell: np.ndarray, ring: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        places = np.array([self.first[c, g] for c, g in zip(cell.tolist(), ring.tolist(), strict=True)]).reshape(-1, 2)
+        places = np.array([self.first.get((c, g), (0, 1)) for c, g in zip(cell.tolist(), ring.tolist(), strict=True)]).reshape(-1, 2)
         return (places[:, 0] + mark % places[:, 1]).astype("int32")
 
 
+def _without_copies(s: DataFrame, keep: int) -> DataFrame:
+    """At most ``keep`` rows per (vector, fold), those of smallest id.
+
+    Only rows whose hash is that frequent are shuffled to be compared.
+    """
+    copies = Window.partitionBy("v", "fold").orderBy("id")
+
+    def few(rows: DataFrame) -> DataFrame:
+        # the row_number filter is applied map-side
+        return rows.withColumn("__c", F.row_number().over(copies)).filter(F.col("__c") <= keep).drop("__c")
+
+    hashed = s.withColumn("__h", F.xxhash64("v", "fold"))
+    frequent = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > keep).select("__h")
+    held = frequent.limit(COPIED_HASHES + 1).collect()
+    if not held:
+        return s
+    if len(held) > COPIED_HASHES:
+        return few(s)
+    hot = F.broadcast(s.sparkSession.createDataFrame(held, "__h long"))
+    rest = hashed.join(hot, "__h", "left_anti").drop("__h")
+    return rest.unionByName(few(hashed.join(hot, "__h", "left_semi").drop("__h")))
+
+
 POINTS = "pack int, v binary, id binary, fold binary, label binary, cell binary, r binary"
 QUERIES = "pack int, v binary, id binary, fold binary, theta binary, need array<int>"
 
@@ -318,22 +343,23 @@ def _join_cells(q, s, k, skip_self, p, pivots, block_points, group_queries, pack
     chosen = among.groupBy("v").agg(F.min("__h").alias("__h")).orderBy("__h").limit(pivots).collect()
     centers = np.array([r["v"] for r in chosen], dtype=float)
     width = centers.shape[1]
-    # at most ``keep`` copies per (vector, fold): the row_number filter is applied map-side
-    copies = Window.partitionBy("v", "fold").orderBy("id")
-    members = s.withColumn("__c", F.row_number().over(copies)).filter(F.col("__c") <= keep).drop("__c")
+    members = _without_copies(s, keep)
+
+    # a point that holds a NaN is at no distance from anything
+    def nearest_pivot(batch: pd.DataFrame) -> pd.DataFrame:
+        vectors = _matrix(batch["v"])
+        d = distances(vectors, centers, p)
+        cell = d.argmin(axis=1)
+        r = d[np.arange(len(d)), cell]
+        known = ~np.isnan(r)
+        return batch.assign(v=_blob(vectors), cell=cell.astype("int32"), r=r)[known]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                vectors = _matrix(batch["v"])
-                d = distances(vectors, centers, p)
-                cell = d.argmin(axis=1)
-                yield batch.assign(v=_blob(vectors), cell=cell.astype("int32"), r=d[np.arange(len(d)), cell])
+                yield nearest_pivot(batch)[["cell", "fold", "r"]]
 
-    # a point that holds a NaN is at no distance from anything
-    placed = checkpointed(
-        members.mapInPandas(place, "id long, v binary, fold long, label double, cell int, r double").filter("not isnan(r)")
-    )
+    placed = checkpointed(members.select("v", "fold").mapInPandas(place, "cell int, fold long, r double"))
     # one row per pivot
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("reach")).collect()
     deal = _Deal([(r["cell"], r["n"], r["reach"]) for r in cells], max(block_points, pack_values // width))
@@ -348,16 +374,14 @@ def _join_cells(q, s, k, skip_self, p, pivots, block_points, group_queries, pack
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cell, r = batch["cell"].to_numpy(), batch["r"].to_numpy()
-            yield batch.assign(pack=deal.pack(cell, deal.ring(cell, r), batch.pop("mark").to_numpy()))
+            if len(batch):
+                batch = nearest_pivot(batch)
+                cell, r = batch["cell"].to_numpy(), batch["r"].to_numpy()
+                yield batch.assign(pack=deal.pack(cell, deal.ring(cell, r), batch.pop("mark").to_numpy()))
 
-    numbered = placed.withColumn("mark", F.pmod(F.xxhash64("v"), F.lit(1 << 30))).mapInPandas(
+    numbered = members.withColumn("mark", F.pmod(F.xxhash64("v"), F.lit(1 << 30))).mapInPandas(
         dealt, "id long, v binary, fold long, label double, cell int, r double, pack int"
     )
-    # where the points of a pack lie: at most a row for each pivot and pack that share points
-    lies = numbered.groupBy("pack", "cell").agg(F.min("r").alias("low"), F.max("r").alias("high")).collect()
-    l_pack, l_cell = (np.array([r[c] for r in lies], dtype=int) for c in ("pack", "cell"))
-    l_low, l_high = (np.array([r[c] for r in lies], dtype=float) for c in ("low", "high"))
 
     def stored(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["cell", "r"])
@@ -366,9 +390,24 @@ def _join_cells(q, s, k, skip_self, p, pivots, block_points, group_queries, pack
             out[name] = [rows[name].astype(kind).to_numpy().tobytes()]
         return pd.DataFrame(out)
 
-    # a group is one pack; few rows, dealt evenly
+    # a group is one pack; they are dealt evenly
     sides = max(1, -(-sum(r["n"] for r in cells) * (8 * width + 36) // SIDE_BYTES))
-    points = checkpointed(numbered.groupBy("pack").applyInPandas(stored, POINTS).repartition(sides))
+    shared = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    sides = max(sides, min(deal.packs, shared))
+    points = checkpointed(numbered.repartitionById(sides, "pack").groupBy("pack").applyInPandas(stored, POINTS))
+
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                cell, r = np.frombuffer(row.cell, "<i4"), np.frombuffer(row.r, "<f8")
+                out += [(row.pack, c, r[cell == c].min(), r[cell == c].max()) for c in np.unique(cell).tolist()]
+            yield pd.DataFrame(out, columns=["pack", "cell", "low", "high"])
+
+    # where the points of a pack lie: at most a row for each pivot and pack that share points
+    lies = points.select("pack", "cell", "r").mapInPandas(spans, "pack int, cell int, low double, high double").collect()
+    l_pack, l_cell = (np.array([r[c] for r in lies], dtype=int) for c in ("pack", "cell"))
+    l_low, l_high = (np.array([r[c] for r in lies], dtype=float) for c in ("low", "high"))
 
     # k smallest pivot distances per (cell, fold): at most pivots x folds x k numbers
     nearest = Window.partitionBy("cell", "fold").orderBy("r")
@@ -431,30 +470,31 @@ def _join_cells(q, s, k, skip_self, p, pivots, block_points, group_queries, pack
     routed = q.withColumn("mark", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).mapInPandas(
         route, "id long, fold long, v binary, theta double, pack int"
     )
-    groups = routed.groupBy("pack").applyInPandas(gathered, QUERIES).repartition(max(1, asked.packs))
-    queries = checkpointed(groups).select(
+    # a partition is one pack
+    groups = routed.repartitionById(max(1, asked.packs), "pack").groupBy("pack").applyInPandas(gathered, QUERIES)
+    queries = groups.select(
         F.col("pack").alias("q_pack"), F.col("v").alias("q_v"), F.col("id").alias("q_id"),
         F.col("fold").alias("q_fold"), "theta", "need",
     )
-    # packs, not rows, meet here, and only those that the bounds do not rule out; neither side is shuffled
-    pairs = queries.join(points.hint("shuffle_replicate_nl"), F.expr("array_contains(need, pack)")).drop("need")
+    # packs, not rows, meet here, and only those that the bounds do not rule out; neither side is shuffled again.  A task
+    # holds one pack of queries and reads the partitions of points in turn, so a query's k best leave one task alone
+    pairs = points.coalesce(1).join(queries.hint("shuffle_replicate_nl"), F.expr("array_contains(need, pack)")).drop("need")
 
     def matrix(blob: bytes, n: int) -> np.ndarray:
         return np.frombuffer(blob, "<f4" if len(blob) == 4 * n * width else "<f8").reshape(n, width).astype(float)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, best, d = None, None, None
+        met: dict[int, tuple[_Nearest, np.ndarray]] = {}
         for batch in batches:
             for row in batch.itertuples(index=False):
-                if row.q_pack != current:
-                    if best is not None:
-                        yield best.rows()
+                if row.q_pack not in met:
                     ids = np.frombuffer(row.q_id, "<i8")
                     best = _Nearest(
                         matrix(row.q_v, len(ids)), ids, np.frombuffer(row.q_fold, "<i8"), k, skip_self, p,
                         np.frombuffer(row.theta, "<f8"),
                     )
-                    current, d = row.q_pack, distances(best.vectors, centers, p)
+                    met[row.q_pack] = (best, distances(best.vectors, centers, p))
+                best, d = met[row.q_pack]
                 cell, r = np.frombuffer(row.cell, "<i4"), np.frombuffer(row.r, "<f8")
                 ids, folds, labels = (np.frombuffer(b, t) for b, t in ((row.id, "<i8"), (row.fold, "<i8"), (row.label, "<f8")))
                 vectors = matrix(row.v, len(ids))
@@ -470,7 +510,7 @@ def _join_cells(q, s, k, skip_self, p, pivots, block_points, group_queries, pack
                         for c, x in own:
                             near |= reached(part, bound, c, x[0], x[-1])
                         best.meet(at + np.flatnonzero(near), vectors[cut], ids[cut], folds[cut], labels[cut])
-        if best is not None:
+        for best, _ in met.values():
             yield best.rows()
 
     found = pairs.mapInPandas(search, NEIGHBOUR)

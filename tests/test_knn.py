@@ -99,3 +99,43 @@ def test_no_shuffle_copies_vectors_to_the_blocks_they_meet(spark):
     near = knn.knn_join(df, df, 5, label="label", fold="fold", local_values=0, pivots=6, block_points=5, group_queries=5)
     plan = near._jdf.queryExecution().toString()
     assert "CoGroup" not in plan and "explode" not in plan
+
+
+def test_stored_bytes_follow_the_vectors_once(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist(), 1.0, i % 4) for i, v in enumerate(rng.normal(size=(2_000, 64)).astype("f4").astype(float))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    context = spark.sparkContext
+    folder = context.getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        near = knn.knn_join(df, df, 5, fold="fold", local_values=0, pivots=6, block_points=250, group_queries=250)
+        stored = sum(f.stat().st_size for f in tmp_path.rglob("part-*"))
+        assert near.count() == 5 * len(rows)
+    finally:
+        if folder is not None:
+            context._jsc.sc().setCheckpointDir(folder)
+    assert 256 * len(rows) < stored < 1.8 * 256 * len(rows)
+
+
+def test_the_nearest_of_a_query_leave_one_task(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SIDE_BYTES", 1_000)
+    df = spark.createDataFrame(_points(), SCHEMA)
+    near = knn.knn_join(df, df, 5, fold="fold", local_values=0, pivots=6, block_points=5, group_queries=5, pack_values=80)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    # the stored points are read in turn, not dealt over tasks that each send a query's k best
+    assert plan[plan.index("Join Inner") :].count("Repartition 1, false") == 1
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_copies_beyond_those_kept_go(spark, monkeypatch, most):
+    monkeypatch.setattr(knn, "COPIED_HASHES", most)
+    rows = [(i, [float(i % 3 == 0 or i), 1.0], None, i % 2) for i in range(60)] + [(60, [-0.0, 1.0], None, None)] * 4
+    s = spark.createDataFrame([(i, v, f, y) for i, v, y, f in rows], "id long, v array<double>, fold long, label double")
+    kept = sorted((r["id"], r["fold"] is None) for r in knn._without_copies(s, 3).collect())
+    groups = {}
+    for i, v, _, f in rows:
+        groups.setdefault((tuple(v), f), []).append(i)
+    assert kept == sorted((i, f is None) for (_, f), ids in groups.items() for i in sorted(ids)[:3])
+    unique = s.filter("id % 3 <> 0")
+    assert "Window" not in knn._without_copies(unique, 3)._jdf.queryExecution().toString()
