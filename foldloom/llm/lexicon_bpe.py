@@ -40,7 +40,7 @@ from foldloom.llm.pieces import (
     vocabulary,
 )
 from foldloom.llm.store import Scratch
-from foldloom.llm.words import slices
+from foldloom.llm.words import released, slices
 
 LEXICON_WORDS = 1 << 15
 
@@ -175,7 +175,7 @@ def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> lis
                     ["piece", "n"],
                 )
 
-    table = docs.select("text").mapInArrow(counted, "piece binary, n long")
+    table = docs.select("text").mapInArrow(lambda batches: released(counted(batches)), "piece binary, n long")
     band = F.floor(8 * F.log2(F.sum("n").cast("double"))).cast("int").alias("band")
     with Scratch(docs.sparkSession) as scratch:
         bands = scratch.save(table.groupBy("piece").agg(band))
@@ -301,7 +301,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", lexicon: str | None =
                 )
 
     schema = StructType(list(docs.schema.fields)).add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
-    return docs.mapInArrow(encoded, schema)
+    return docs.mapInArrow(lambda batches: released(encoded(batches)), schema)
 
 
 def decode_ids(ids: bytes, path: str) -> str:

@@ -39,7 +39,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from foldloom.llm.census import census, values
 from foldloom.llm.store import Scratch, attach, small_side
-from foldloom.llm.words import gram_hashes, slices, word_hashes, word_list, words_of
+from foldloom.llm.words import HASHED_BYTES, gram_hashes, released, slices, word_hashes, word_list, words_of
 
 WINDOW = 50
 PHRASE = 25
@@ -84,7 +84,7 @@ def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HASHED_BYTES):
                 words = words_of(part.column("text"))
                 grams = gram_hashes(word_hashes(words), phrase)
                 row = np.repeat(np.arange(part.num_rows), words.counts)
@@ -105,7 +105,7 @@ def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                     ["doc_id", "key", "n_words", "words_sha256", "tokens", "places"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(computed, PHRASES)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(computed(batches)), PHRASES)
 
 
 CUT = "owner long, doc_id long, key long, start long, words binary, phrases binary"
@@ -142,7 +142,7 @@ def cut(texts: DataFrame, window: int, phrase: int) -> DataFrame:
                     [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], CUT_NAMES
                 )
 
-    return texts.select("doc_id", "key", "text", "places", "first").mapInArrow(computed, CUT)
+    return texts.select("doc_id", "key", "text", "places", "first").mapInArrow(lambda batches: released(computed(batches)), CUT)
 
 
 RUNS = "doc_id long, key long, start long, end long"
@@ -263,7 +263,7 @@ def windows_left(texts: DataFrame, window: int, phrase: int) -> DataFrame:
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HASHED_BYTES):
                 words = words_of(part.column("text"))
                 hashes = gram_hashes(word_hashes(words), window)
                 docs, keys, runs = (part[c].to_pylist() for c in ("doc_id", "key", "runs"))
@@ -285,7 +285,7 @@ def windows_left(texts: DataFrame, window: int, phrase: int) -> DataFrame:
                 yield _batch(rows, ["id", "key", "tokens", "places"])
 
     columns = texts.select("doc_id", "key", "text", "places", "first", "runs")
-    return columns.mapInArrow(computed, "id long, key long, tokens binary, places binary")
+    return columns.mapInArrow(lambda batches: released(computed(batches)), "id long, key long, tokens binary, places binary")
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -320,7 +320,7 @@ def keyed(docs: DataFrame) -> DataFrame:
                 keys = [digest(word_list(words, i))[1] for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], schema.names)
 
-    return docs.mapInArrow(computed, schema).withColumn("_doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    return docs.mapInArrow(lambda batches: released(computed(batches)), schema).withColumn("_doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
 
 
 def _candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -366,7 +366,7 @@ def _judged(texts: DataFrame) -> DataFrame:
                     ["doc_id", "key", "n_removed", "kept_sha256", "spans"],
                 )
 
-    return texts.select("doc_id", "key", "text", "runs").mapInArrow(computed, SPANS)
+    return texts.select("doc_id", "key", "text", "runs").mapInArrow(lambda batches: released(computed(batches)), SPANS)
 
 
 def repeated_passages(
@@ -440,4 +440,4 @@ def without_passages(docs: DataFrame, **options: int) -> DataFrame:
                 columns = [pa.array(texts, pa.string()) if n == "text" else part[n] for n in names]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(computed, StructType(list(docs.schema.fields)))
+    return joined.mapInArrow(lambda batches: released(computed(batches)), StructType(list(docs.schema.fields)))

@@ -137,3 +137,30 @@ def test_rows_of_confirmed_runs_follow_the_words_not_the_repeats(spark, words, m
     monkeypatch.setattr(passages, "confirm", counted)
     assert result(docs) == brute(rows, words, passages.WINDOW)
     assert sum(counts) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("step", ["phrases", "windows_left"])
+def test_texts_are_hashed_in_small_slices_and_memory_is_given_back(monkeypatch, step):
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    taken, given = [], []
+    words_of, released = passages.words_of, passages.released
+    monkeypatch.setattr(passages, "words_of", lambda texts: taken.append(texts.nbytes) or words_of(texts))
+    monkeypatch.setattr(passages, "released", lambda batches: given.append(1) or released(batches))
+    n = 400
+    none = np.zeros(0, "<i4").tobytes()
+    batch = pa.record_batch(
+        {
+            "doc_id": pa.array(range(n), pa.int64()), "key": pa.array(range(n), pa.int64()),
+            "text": [f"w{i} " * 1000 for i in range(n)], "places": [none] * n, "first": [none] * n,
+            "runs": pa.nulls(n, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        }
+    )
+    list(getattr(passages, step)(Docs(), 50, 25).run(iter([batch])))
+    assert 4 < len(taken) and max(taken) < 300_000 and given
