@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from foldloom.llm.census import census, values
-from foldloom.llm.store import Scratch, attach, small_side
+from foldloom.llm.store import Scratch, attach, bounded, sifted, small_side
 from foldloom.llm.words import HASHED_BYTES, gram_hashes, released, slices, word_hashes, word_list, words_of
 
 WINDOW = 50
@@ -325,8 +325,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def _candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, key, text, places, first of the documents that hold a recurring phrase."""
-    ids = found.select("doc_id").distinct()
-    texts = keyed(docs.join(small_side(ids), "doc_id", "left_semi"))
+    ids = Scratch.kept(found.select("doc_id").distinct())
+    texts = docs.join(F.broadcast(ids), "doc_id", "left_semi") if bounded(ids) else sifted(docs, ids, "doc_id")
+    texts = keyed(texts)
     texts = texts.select("doc_id", F.col("_key").alias("key"), "text").dropDuplicates(["doc_id", "key"])
     return texts.join(found, ["doc_id", "key"])
 
@@ -385,14 +386,15 @@ def repeated_passages(
     with Scratch(docs.sparkSession) as scratch:
         table = scratch.save(phrases(docs, window, phrase))
         facts = table.select("doc_id", "key", "n_words", "words_sha256")
+        # word sequences of several rows, and the document that stands for them
         first = facts.groupBy("words_sha256").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
-        first = Scratch.kept(first)
-        # one document stands for those of equal words
-        alone = small_side(first.select(F.col("first_id").alias("doc_id"), "words_sha256"))
-        own = table.filter(F.octet_length("tokens") > 0).join(alone, ["doc_id", "words_sha256"], "left_semi")
+        first = Scratch.kept(first.filter("rows > 1"))
+        own = attach(table.filter(F.octet_length("tokens") > 0), first, ["words_sha256"], "rows", "left")
+        own = own.filter("first_id is null or doc_id = first_id")
         own = scratch.save(own.select(F.col("doc_id").alias("id"), "key", "tokens", "places"))
         found = scratch.save(recurring(own).dropDuplicates(same))
-        texts = scratch.save(_candidates(docs, found))
+        # joined three times below, each time with little
+        texts = scratch.bucketed(_candidates(docs, found), same)
         runs = confirm(cut(texts, window, phrase), window, phrase, shard_bytes, stream_bytes, scratch)
         by_doc = runs.groupBy(*same).agg(F.collect_set(F.struct("start", "end")).alias("runs"))
         waiting = windows_left(texts.join(by_doc, same, "left"), window, phrase)
@@ -401,8 +403,8 @@ def repeated_passages(
         more = confirm(cut(again, window, phrase), window, phrase, shard_bytes, stream_bytes, scratch)
         by_doc = runs.unionByName(more).groupBy(*same).agg(F.collect_set(F.struct("start", "end")).alias("runs"))
         judged = Scratch.kept(_judged(texts.select(*same, "text").join(by_doc, same)))
-        rows = attach(facts, first, ["words_sha256"], "rows").join(judged, same, "left")
-        copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
+        rows = attach(facts, first, ["words_sha256"], "rows", "left").join(judged, same, "left")
+        copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)) & (F.col("n_words") >= window)
         whole = F.expr("array(named_struct('start', 0L, 'end', n_words))")
         out = rows.select(
             F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id"),

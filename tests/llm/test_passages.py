@@ -4,8 +4,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from foldloom.llm import passages
+from foldloom.llm.store import sifted
 
 AFTER_ALL = 1 << 63
 
@@ -164,3 +166,57 @@ def test_texts_are_hashed_in_small_slices_and_memory_is_given_back(monkeypatch,
     )
     list(getattr(passages, step)(Docs(), 50, 25).run(iter([batch])))
     assert 4 < len(taken) and max(taken) < 300_000 and given
+
+
+def hash_exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_texts_are_not_shuffled_again_for_each_join(spark, words, monkeypatch):
+    """Only the runs and places are, also where they are too large to broadcast."""
+    rows = shared_passages(6, 120, [f"w{i}" for i in range(300)], 150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(passages, "bounded", lambda df: False, raising=False)
+    counts = {}
+    for step in ("cut", "windows_left", "_judged"):
+        run = getattr(passages, step)
+
+        def counted(df, *given, step=step, run=run):
+            counts.setdefault(step, []).append(hash_exchanges(df))
+            return run(df, *given)
+
+        monkeypatch.setattr(passages, step, counted)
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = result(docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert found == brute(rows, words, passages.WINDOW)
+    assert counts == {"cut": [0, 1], "windows_left": [1], "_judged": [1]}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("table_")]
+
+
+def test_only_repeated_word_sequences_are_joined_to_the_documents(spark, words, monkeypatch):
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(60))) for i in range(20)]
+    rows += [(30, rows[3][1]), (31, rows[3][1] + " "), (2, rows[5][1]), (5, rows[5][1]), (None, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    attach, sizes = passages.attach, []
+
+    def counted(df, table, keys, *given):
+        sizes.extend([table.count()] * (keys == ["words_sha256"]))
+        return attach(df, table, keys, *given)
+
+    monkeypatch.setattr(passages, "attach", counted)
+    assert result(docs) == brute(rows, words, passages.WINDOW)
+    assert sizes == [2, 2]
+
+
+def test_many_ids_are_sifted_by_bits_without_a_shuffle_of_the_rows(spark):
+    ids = spark.range(0, 40_000, 8).select((F.col("id") * F.col("id") - 7).alias("doc_id"))
+    docs = spark.range(40_000).select((F.col("id") * F.col("id") - 7).alias("doc_id"), F.lit("x").alias("text"))
+    left = sifted(docs, ids, "doc_id")
+    assert left.columns == docs.columns and hash_exchanges(left) == 0
+    assert left.join(ids, "doc_id", "left_semi").count() == 5_000
+    assert left.count() - 5_000 < 35_000 / 12
+    assert sifted(docs, ids.limit(0), "doc_id").count() == 0
