@@ -17,7 +17,8 @@ stored packs one after the other, so disk grows with the rows alone, also where
 triangle inequality rules out nothing.  Inside a pair of packs, groups of queries meet
 blocks of points and only the k best per query leave the task.  Exact copies of a point
 beyond the k smallest ids per fold are left out first, so copies cannot form a hot
-block.  Nothing is capped: a query visits every block it cannot rule out.
+block.  Nothing is capped: a query visits every block it cannot rule out.  Manhattan
+distances, which are no matrix product, are sifted by sums of bytes (``_Bytes``).
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ SIDE_BYTES = 64 << 20
 COPIED_HASHES = 100_000
 #: distances that are summed up by coordinate while they stay in a core's cache
 TILE = 1 << 17
+#: coordinates whose rounded distances are summed up in a byte, and the share of the pairs that these may leave to be measured
+GROUP = 16
+LEFT = 1 / 16
 NEIGHBOUR = "query_id long, neighbour_id long, distance double, label double"
 
 
@@ -97,15 +101,71 @@ def _close(a: np.ndarray, b: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarr
     return near, 2 * (width + 8) * np.finfo(kind).eps * reach
 
 
+class _Bytes:
+    """Lower bounds of Manhattan distances, from coordinates rounded to bytes.
+
+    |a - b| is 2 max(a, b) - a - b, so a group of coordinates takes two operations on bytes for each.  Sums wrap around at
+    256: that only makes a distance smaller, as does cutting off what lies outside the range of a byte.
+    """
+
+    def __init__(self, sample: np.ndarray):
+        sample = sample[(np.abs(sample) < 1e30).all(axis=1)][:PIVOTS]
+        if not len(sample):
+            sample = np.zeros((1, sample.shape[1]))
+        # a group of a usual pair does not reach 256
+        widest = max(float(np.quantile(distances(g, g, 1), 0.999)) for g in np.split(sample, range(GROUP, sample.shape[1], GROUP), axis=1))
+        self.step = widest / 250 if widest > 0 else 1.0
+        self.low = np.median(sample, axis=0) - 127.5 * self.step
+        self.groups = -(-sample.shape[1] // GROUP)
+
+    def rounded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of rows, their sums by group, and by how much the coordinates were changed in all."""
+        at = np.clip((x - self.low) / self.step, 0, 255)
+        out = np.zeros((len(x), self.groups * GROUP), np.uint8)
+        out[:, : x.shape[1]] = np.rint(at)
+        return out, out.reshape(len(x), -1, GROUP).sum(axis=2, dtype=np.uint8), np.abs(at - out[:, : x.shape[1]]).sum(axis=1)
+
+    def near(self, a: tuple, b: tuple, bound: np.ndarray) -> np.ndarray:
+        """Which rows of ``a`` may be within their bound of which rows of ``b``."""
+        (rows, own, moved), (points, other, away) = a, b
+        kind = np.uint16 if self.groups <= 257 else np.uint32
+        most = np.floor((bound / self.step + moved + away.max()) * (1 + 1e-9)) + 1
+        most = np.minimum(most, np.iinfo(kind).max).astype(kind)
+        points, other = np.ascontiguousarray(points.T), np.ascontiguousarray(other.T)
+        larger = np.empty(points.shape, np.uint8)
+        by_group = larger.reshape(self.groups, GROUP, -1)
+        out = np.empty((len(rows), points.shape[1]), bool)
+        step = max(1, TILE // max(1, other.size))
+        sums = np.empty((step, *other.shape), np.uint8)
+        for at in range(0, len(rows), step):
+            part = sums[: len(rows) - at]
+            for i in range(len(part)):
+                np.maximum(points, rows[at + i][:, None], out=larger)
+                np.add.reduce(by_group, axis=1, dtype=np.uint8, out=part[i])
+            part += part
+            part -= other
+            part -= own[at : at + step, :, None]
+            total = part[:, 0].astype(kind)
+            for g in range(1, self.groups):
+                total += part[:, g]
+            np.less_equal(total, most[at : at + step, None], out=out[at : at + step])
+        return out
+
+
 class _Nearest:
     """The k nearest allowed points that each query has met, ties by id.
 
     Points are sifted by distances with a known error; those that may be among the k best are measured exactly.
+    Manhattan distances are bounded by bytes first, once the k best are near enough for that to leave few points.
     """
 
-    def __init__(self, vectors, ids, folds, k: int, skip_self: bool, p: float, bound=None):
+    def __init__(self, vectors, ids, folds, k: int, skip_self: bool, p: float, bound=None, coarse: _Bytes | None = None):
         self.vectors, self.ids, self.folds = vectors, ids, folds
         self.k, self.skip_self, self.p = k, skip_self, p
+        self.coarse = coarse if p == 1 and np.isfinite(vectors).all() else None
+        self.rounded: tuple | None = None
+        #: blocks to be met before bytes are tried again, and how many that are when they leave too much
+        self.wait = self.waits = 0
         self.bound = np.full(len(ids), np.inf) if bound is None else bound.copy()
         self.found = np.zeros(len(ids), int)
         self.distance = np.full((len(ids), k), np.inf)
@@ -116,20 +176,24 @@ class _Nearest:
         """Let the queries at ``rows`` meet some points."""
         if not len(rows) or not len(ids):
             return
-        near, error = _close(self.vectors[rows], vectors, self.p)
-        # copies of the bound: distances to the power p, and room for rounding
-        most = self.bound[rows] ** self.p * (1 + 1e-9) + error
-        away = near > most[:, None]
-        if away.size - np.count_nonzero(away) > 4 * self.k * len(rows):
-            away |= ~self._allowed(rows, slice(None), ids, folds)
-            if len(ids) >= self.k:
-                kth = np.partition(np.where(away, np.inf, near), self.k - 1, axis=1)[:, self.k - 1]
-                away |= near > (kth + error * 2 + np.abs(kth) * 1e-9)[:, None]
-        i, j = np.nonzero(~away)
+        near = self._bounded(rows, vectors)
+        if near is None:
+            near, error = _close(self.vectors[rows], vectors, self.p)
+            # copies of the bound: distances to the power p, and room for rounding
+            most = self.bound[rows] ** self.p * (1 + 1e-9) + error
+            away = near > most[:, None]
+            if away.size - np.count_nonzero(away) > 4 * self.k * len(rows):
+                away |= ~self._allowed(rows, slice(None), ids, folds)
+                if len(ids) >= self.k:
+                    kth = np.partition(np.where(away, np.inf, near), self.k - 1, axis=1)[:, self.k - 1]
+                    away |= near > (kth + error * 2 + np.abs(kth) * 1e-9)[:, None]
+            near = ~away
+        i, j = np.divmod(np.flatnonzero(near), len(ids))
         allowed = self._allowed(rows, i, ids, folds, j)
         i, j = i[allowed], j[allowed]
         exact = np.empty(len(i))
-        step = max(1, CHUNK_VALUES // max(1, vectors.shape[1]))
+        # pairs whose gaps stay in a core's cache
+        step = max(1, TILE // max(1, vectors.shape[1]))
         for at in range(0, len(i), step):
             gap = np.abs(self.vectors[rows[i[at : at + step]]] - vectors[j[at : at + step]])
             if self.p == 2:
@@ -138,9 +202,26 @@ class _Nearest:
                 exact[at : at + step] = gap.sum(axis=1)
             else:
                 exact[at : at + step] = (gap**self.p).sum(axis=1) ** (1.0 / self.p)
-        known = ~np.isnan(exact)
+        # none of what lies beyond the bound, nor at no distance at all
+        known = exact <= self.bound[rows[i]] * (1 + 1e-9)
         self._merge(rows[i[known]], exact[known], ids[j[known]], labels[j[known]])
 
+    def _bounded(self, rows: np.ndarray, vectors: np.ndarray) -> np.ndarray | None:
+        """Which pairs the bytes do not rule out; none if these would be too many to be measured."""
+        if self.coarse is None:
+            return None
+        if self.wait or not np.isfinite(self.bound[rows]).all() or not np.isfinite(vectors).all():
+            self.wait = max(0, self.wait - 1)
+            return None
+        if self.rounded is None:
+            self.rounded = self.coarse.rounded(self.vectors)
+        near = self.coarse.near(tuple(v[rows] for v in self.rounded), self.coarse.rounded(vectors), self.bound[rows])
+        if np.count_nonzero(near) <= LEFT * near.size:
+            self.waits = 0
+            return near
+        self.wait = self.waits = min(2 * self.waits + 1, 64)
+        return None
+
     def _allowed(self, rows, at, ids, folds, points=None) -> np.ndarray:
         own_fold, own_id = self.folds[rows][at], self.ids[rows][at]
         if points is None:
@@ -230,9 +311,11 @@ def knn_join(
 
 def _join_local(q: DataFrame, s: DataFrame, k: int, skip_self: bool, p: float) -> DataFrame:
     held = s.toArrow().to_pandas()  # at most LOCAL_VALUES numbers, checked by the caller
+    points = _matrix(held["v"])
     shared = q.sparkSession.sparkContext.broadcast(
-        (_matrix(held["v"]), held["id"].to_numpy(), held["fold"].to_numpy(), held["label"].to_numpy(dtype=float))
+        (points, held["id"].to_numpy(), held["fold"].to_numpy(), held["label"].to_numpy(dtype=float))
     )
+    coarse = _Bytes(points[:: -(-len(points) // PIVOTS)]) if p == 1 and points.size else None
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors, ids, folds, labels = shared.value
@@ -240,7 +323,9 @@ def _join_local(q: DataFrame, s: DataFrame, k: int, skip_self: bool, p: float) -
         for batch in batches:
             for start in range(0, len(batch), step):
                 part = batch.iloc[start : start + step]
-                best = _Nearest(_matrix(part["v"]), part["id"].to_numpy(), part["fold"].to_numpy(), k, skip_self, p)
+                best = _Nearest(
+                    _matrix(part["v"]), part["id"].to_numpy(), part["fold"].to_numpy(), k, skip_self, p, coarse=coarse
+                )
                 every = np.arange(len(part))
                 for at in range(0, len(ids), BLOCK_POINTS):
                     cut = slice(at, at + BLOCK_POINTS)
@@ -343,6 +428,7 @@ def _join_cells(q, s, k, skip_self, p, pivots, block_points, group_queries, pack
     chosen = among.groupBy("v").agg(F.min("__h").alias("__h")).orderBy("__h").limit(pivots).collect()
     centers = np.array([r["v"] for r in chosen], dtype=float)
     width = centers.shape[1]
+    coarse = _Bytes(centers) if p == 1 else None
     members = _without_copies(s, keep)
 
     # a point that holds a NaN is at no distance from anything
@@ -491,7 +577,7 @@ def _join_cells(q, s, k, skip_self, p, pivots, block_points, group_queries, pack
                     ids = np.frombuffer(row.q_id, "<i8")
                     best = _Nearest(
                         matrix(row.q_v, len(ids)), ids, np.frombuffer(row.q_fold, "<i8"), k, skip_self, p,
-                        np.frombuffer(row.theta, "<f8"),
+                        np.frombuffer(row.theta, "<f8"), coarse,
                     )
                     met[row.q_pack] = (best, distances(best.vectors, centers, p))
                 best, d = met[row.q_pack]

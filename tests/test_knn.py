@@ -139,3 +139,39 @@ def test_copies_beyond_those_kept_go(spark, monkeypatch, most):
     assert kept == sorted((i, f is None) for (_, f), ids in groups.items() for i in sorted(ids)[:3])
     unique = s.filter("id % 3 <> 0")
     assert "Window" not in knn._without_copies(unique, 3)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("width", [3, 16, 37])
+def test_bytes_rule_out_no_pair_within_its_bound(width):
+    draw = np.random.default_rng(width)
+    points = draw.normal(size=(300, width)) * draw.choice([0.0, 0.1, 5.0], width) + draw.normal(size=width) * 1e4
+    points[:20] += draw.normal(size=(20, width)) * 1e6
+    queries = np.concatenate((points[::7], draw.normal(size=(40, width))))
+    exact = knn.distances(queries, points, 1)
+    for sample in (points[100:150], points[100:101], points[:25]):
+        coarse = knn._Bytes(sample)
+        for k in (0, 5, 150):
+            bound = np.sort(exact, axis=1)[:, k]
+            near = coarse.near(coarse.rounded(queries), coarse.rounded(points), bound)
+            assert near[exact <= bound[:, None]].all()
+    usual = knn._Bytes(points[100:])
+    near = usual.near(usual.rounded(points[100:]), usual.rounded(points[100:]), np.zeros(200))
+    assert near.mean() < 0.5
+
+
+def test_manhattan_distances_are_mostly_ruled_out_by_bytes(monkeypatch):
+    draw = np.random.default_rng(5)
+    points = draw.normal(size=(6_000, 64))
+    ids, queries = np.arange(6_000), points[:300]
+    summed, close = [], knn._close
+    monkeypatch.setattr(knn, "_close", lambda a, b, p: summed.append(len(a) * len(b)) or close(a, b, p))
+    best = knn._Nearest(queries, ids[:300], ids[:300] % 10, 7, False, 1, coarse=knn._Bytes(points[::50]))
+    for at in range(0, 6_000, 500):
+        cut = slice(at, at + 500)
+        best.meet(np.arange(300), points[cut], ids[cut], ids[cut] % 10, ids[cut] / 7)
+    assert sum(summed) <= 300 * 6_000 / 3
+    exact = knn.distances(queries, points, 1)
+    exact[ids[:300, None] % 10 == ids[None] % 10] = np.inf
+    want = np.lexsort((np.broadcast_to(ids, exact.shape), exact), axis=1)[:, :7]
+    assert (best.neighbour == want).all()
+    assert (best.distance == np.take_along_axis(exact, want, axis=1)).all()
