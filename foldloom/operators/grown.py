@@ -6,6 +6,11 @@ node meet, its best split is found, and only splits reach the driver.  So the nu
 depth (times the rounds, for boosting), not datasets, folds, trials or trees.  All trees
 of a forest grow side by side; boosted trials grow their trees one after another, beside all else.
 
+Rows with the same bins are one cell: they go the same way in every tree.  Where a (dataset, held-out fold) has few
+cells, one pass adds up weight, target and its square by tree and cell, whatever the number of trees, rounds and levels;
+whole trees then grow where the sums of a tree (of a boosted trial: of all its rounds) meet, from cells instead of rows.
+They stay in a stored table until they are asked for; what each trial predicts for each cell reaches the driver.
+
 A node is split where the variance falls most (ties: the first feature, then the lowest cut); it stays a leaf at
 the depth limit, where no split leaves enough rows on both sides, or where nothing is gained.  Bootstrap
 weights and feature subsets come from hashes of row, trial, tree and node, so a task that runs again
@@ -14,19 +19,28 @@ gives the same sums.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from foldloom.operators.packed import Block, Layout, Packed, collected, keyed_sums
+from foldloom.operators.packed import HELD_BYTES, Block, Layout, Packed, blocks, collected, keyed_sums, partial_sums
+from foldloom.session import checkpointed
 
 BINS = 32
 #: equally wide cells of a feature's range, of which cuts are chosen
 CELLS = 1024
 SEED = 42
 MAX_DEPTH = 30
+#: distinct rows of bins of a (dataset, held-out fold) from which its trees grow as a whole
+KEPT_CELLS = 1 << 14
+#: nodes that are held by the driver from the start
+HELD_NODES = 200_000
 SPLITS = (
     "dataset string, held_out int, task int, part int, feature int, bin int, gain double, "
     "w double, s double, ss double, wl double, sl double, ssl double"
@@ -64,9 +78,7 @@ class TreeSpec:
         width = self.width(features)
         if width >= features:
             return np.arange(features)
-        at = 0 if self.kind == "boosted" else node
-        draw = np.random.default_rng([self.seed, self.trial, tree, at])
-        return np.sort(draw.permutation(features)[:width])
+        return _drawn((self.seed, self.trial, tree, 0 if self.kind == "boosted" else node), features, width)
 
     def weights(self, tree: int, row_id: np.ndarray) -> np.ndarray:
         if self.kind == "forest" and self.trees > 1:
@@ -76,6 +88,12 @@ class TreeSpec:
         return np.ones(len(row_id))
 
 
+@lru_cache(maxsize=1 << 16)
+def _drawn(salt: tuple[int, ...], features: int, width: int) -> np.ndarray:
+    """Some of the features; a draw takes longer than a split, and datasets and folds share it."""
+    return np.sort(np.random.default_rng(list(salt)).permutation(features)[:width])
+
+
 def _uniform(row_id: np.ndarray, *salt: int) -> np.ndarray:
     """Numbers in [0, 1) from a hash of row and salt."""
     h = row_id.astype(np.int64).view(np.uint64)
@@ -194,6 +212,25 @@ def fit_cuts(
     return cuts, {key: own["sum"][1] / own["sum"][0] for key, own in span.items()}
 
 
+class Trees(dict):
+    """Trees by (dataset, held-out fold, trial); those of a stored table are read when one of them is asked for."""
+
+    stored: DataFrame | None = None
+
+    def __missing__(self, key: tuple[str, int, int]) -> list[Tree]:
+        if self.stored is None:
+            raise KeyError(f"trees of {key} are not held here; ask for them on the driver first")
+        rows, self.stored = self.stored.drop("at"), None
+        for batch in rows.orderBy("dataset", "held_out", "trial", "tree").toArrow().to_batches(max_chunksize=1000):
+            for r in batch.to_pylist():
+                nodes = [array(code, r[name]) for name, code in _NODES.items()]
+                self.setdefault((r["dataset"], r["held_out"], r["trial"]), []).append(Tree(*nodes, open=[]))
+        return self[key]
+
+    def __reduce__(self):
+        return Trees, (dict(self),)
+
+
 @dataclass
 class Grown:
     """The trees of every (dataset, held-out fold) and trial."""
@@ -202,11 +239,25 @@ class Grown:
     #: mean label; the trees predict deviations from it
     center: Mapping[Key, float]
     specs: Mapping[int, TreeSpec]
-    trees: dict[tuple[str, int, int], list[Tree]]
+    trees: Trees
+    #: codes of the cells in order, where these are few
+    cells: Mapping[Key, np.ndarray] = field(default_factory=dict)
+    #: what a trial predicts for each of them
+    tables: dict[tuple[str, int, int], np.ndarray] = field(default_factory=dict)
 
     def predict(self, dataset: str, held_out: int, trial: int, x: np.ndarray) -> np.ndarray:
-        bins = binned(x, self.cuts[dataset, held_out])
-        return self.center[dataset, held_out] + self.combined(trial, self.trees[dataset, held_out, trial], bins)
+        key = (dataset, held_out)
+        bins = binned(x, self.cuts[key])
+        out = np.empty(len(bins))
+        rest = np.ones(len(bins), bool)
+        if key in self.cells:
+            codes = coded(bins, self.cuts[key])
+            at = np.minimum(np.searchsorted(self.cells[key], codes), len(self.cells[key]) - 1)
+            rest = self.cells[key][at] != codes
+            out[~rest] = self.tables[*key, trial][at[~rest]]
+        if rest.any():
+            out[rest] = self.combined(trial, self.trees[*key, trial], bins[rest])
+        return self.center[key] + out
 
     def combined(self, trial: int, trees: Sequence[Tree], bins: np.ndarray) -> np.ndarray:
         if not trees:
@@ -233,13 +284,234 @@ def best_split(numbers: np.ndarray, tried: np.ndarray, spec: TreeSpec) -> tuple:
     return (int(tried[f]), int(b), float(gain[f, b] / w), w, s, ss, *left[f, b])
 
 
+def coded(bins: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
+    """A number for every row of bins."""
+    out = np.zeros(len(bins), np.int64)
+    for i, c in enumerate(cuts):
+        out = out * (len(c) + 1) + bins[:, i]
+    return out
+
+
+def decoded(codes: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(codes), max(len(cuts), 1)), np.int64)
+    for i in reversed(range(len(cuts))):
+        codes, out[:, i] = np.divmod(codes, len(cuts[i]) + 1)
+    return out
+
+
+def _cells(packed: Packed, features: Features, cuts: Mapping[Key, list[np.ndarray]]) -> dict[Key, np.ndarray]:
+    """The cells of all rows, labelled or not, of every (dataset, held-out fold) that has at most ``KEPT_CELLS``: one pass."""
+    layout, most = packed.layout, KEPT_CELLS
+    small = {key for key, own in cuts.items() if np.prod([len(c) + 1.0 for c in own]) < 1 << 62}
+    schema = "dataset string, held_out int, codes array<long>"
+
+    def table(found: Mapping[Key, np.ndarray]) -> pa.Table:
+        # one cell too many stands for all
+        kept = [(d, int(h), c[: most + 1]) for (d, h), c in found.items()]
+        columns = (pa.array([r[i] for r in kept], k) for i, k in enumerate((pa.string(), pa.int32(), pa.list_(pa.int64()))))
+        return pa.table(list(columns), names=["dataset", "held_out", "codes"])
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[Key, np.ndarray] = {}
+        for batch in batches:
+            for block in blocks(batch, layout) if batch.num_rows else ():
+                for at, held_out in enumerate(layout[block.dataset].folds):
+                    key = (block.dataset, held_out)
+                    before = found.get(key, np.zeros(0, np.int64))
+                    if key in small and len(before) <= most:
+                        codes = coded(binned(features(block, at, held_out), cuts[key]), cuts[key])
+                        found[key] = np.union1d(before, codes)
+        yield from table(found).to_batches()
+
+    def joined(key: tuple, rows: pa.Table) -> pa.Table:
+        codes = np.unique(rows.column("codes").combine_chunks().flatten().to_numpy())
+        return table({(key[0].as_py(), key[1].as_py()): codes})
+
+    rows = packed.rows.mapInArrow(seen, schema).groupBy("dataset", "held_out").applyInArrow(joined, schema)
+    found = rows.filter(F.size("codes").between(1, most)).toArrow().to_pylist()
+    return {(r["dataset"], r["held_out"]): np.array(r["codes"]) for r in found}
+
+
+def whole_tree(spec: TreeSpec, number: int, cells: np.ndarray, sums: np.ndarray, bins: int) -> Tree:
+    """A tree from the weight, sum and sum of squares of every cell."""
+    own = np.flatnonzero(sums[:, 0] > 0)
+    columns, sums = cells[own].T, sums[own]
+    width, tree = len(columns), Tree()
+    bins = min(bins, int(columns.max(initial=0)) + 2)
+    depth = min(spec.depth, MAX_DEPTH)
+    place = np.zeros(len(own), np.int64)
+    for level in range(1, depth + 2):
+        opened, tree.open = tree.open, []
+        if not opened or not len(place):
+            break
+        n = len(opened)
+        cell = ((place * width + np.arange(width)[:, None]) * bins + columns).ravel()
+        held = [np.bincount(cell, np.tile(v, width), n * width * bins) for v in sums.T]
+        numbers = np.stack(held, axis=-1).reshape(n, width, bins, 3)
+        whole = numbers[:, 0].sum(axis=1)
+        left = np.cumsum(numbers, axis=2)[:, :, :-1]
+        right = whole[:, None, None] - left
+        w, s, ss = whole.T
+        below, above = _impurity(left), _impurity(right)
+        most = np.maximum(ss - s * s / w, 0.0)
+        allowed = (left[..., 0] >= spec.min_leaf) & (right[..., 0] >= spec.min_leaf) & (left[..., 0] > 0) & (right[..., 0] > 0)
+        split = (w >= spec.min_split) & (most > 1e-12 * np.maximum(ss, 1e-300)) & (level <= depth)
+        if spec.width(width) < width:
+            tried = np.zeros((n, width), bool)
+            for i in np.flatnonzero(split).tolist():
+                tried[i, spec.tried(number, opened[i], width)] = True
+            allowed &= tried[:, :, None]
+        gain = np.where(allowed, most[:, None, None] - below - above, -np.inf).reshape(n, -1)
+        best = gain.argmax(axis=1)
+        split &= gain[np.arange(n), best] > 1e-12 * most
+        feature, cut = np.divmod(best, bins - 1)
+        sides = np.stack([v[np.arange(n), feature, cut] for v in (left, right)], axis=1)
+        means = sides[..., 1] / np.where(sides[..., 0] > 0, sides[..., 0], 1.0)
+        found = zip(opened, (s / w).tolist(), split.tolist(), feature.tolist(), cut.tolist(), means.tolist(), strict=True)
+        for node, value, inner, f, b, below_and_above in found:
+            tree.value[node] = value
+            if not inner:
+                continue
+            tree.feature[node], tree.bin[node], tree.left[node] = f, b, len(tree.feature)
+            if level < depth:
+                tree.open += (len(tree.feature), len(tree.feature) + 1)
+            tree.feature += (-1, -1)
+            tree.bin += (0, 0)
+            tree.left += (0, 0)
+            tree.value += below_and_above
+            tree.level += (level, level)
+        # cells of nodes that were split go on to the children, which are opened in order
+        kept = split[place]
+        place, columns, sums = place[kept], columns[:, kept], sums[kept]
+        child = 2 * (np.cumsum(split) - 1)
+        place = child[place] + (columns[feature[place], np.arange(len(place))] > cut[place])
+    tree.open = []
+    return tree
+
+
+def _impurity(v: np.ndarray) -> np.ndarray:
+    return np.maximum(v[..., 2] - v[..., 1] ** 2 / np.maximum(v[..., 0], 1e-300), 0.0)
+
+
+_NODES = {"feature": "i", "bin": "i", "left": "i", "value": "d", "level": "i"}
+TREES = (
+    "dataset string, held_out int, trial int, tree int, feature array<int>, bin array<int>, left array<int>, "
+    "value array<double>, level array<int>, at array<double>"
+)
+
+
+def _whole_trees(packed: Packed, features: Features, grown: Grown, bins: int) -> DataFrame:
+    """The trees of all trials where cells are few: columns of ``TREES``; ``at`` is what the trees of a row predict for the cells."""
+    specs, cuts, cells, center = grown.specs, grown.cuts, grown.cells, grown.center
+    #: (trial, first tree): a tree of a forest, or all rounds of a boosted trial
+    groups = [(t, n) for t, s in specs.items() for n in range(s.trees if s.kind == "forest" else 1)]
+    rounds = max(max((s.trees for s in specs.values()), default=1), 1)
+    sets = [
+        (g, t, n + r) for g, (t, n) in enumerate(groups)
+        for r in range(specs[t].trees if specs[t].kind == "boosted" and specs[t].sample < 1 else 1)
+    ]
+
+    def summing(some: Sequence[tuple[int, int, int]]):
+        def kernel(block: Block, layout: Layout):
+            parts = []
+            for at, held_out in enumerate(layout.folds):
+                key = (block.dataset, held_out)
+                own = np.flatnonzero((block.fold != held_out) & ~np.isnan(block.y))
+                if key in cells and len(own):
+                    rows = block.take(own)
+                    codes = coded(binned(features(rows, at, held_out), cuts[key]), cuts[key])
+                    y = rows.y - center[key]
+                    parts.append((held_out, own, np.searchsorted(cells[key], codes), y, y * y, len(cells[key])))
+            for g, t, n in some if parts else ():
+                weights = specs[t].weights(n, block.row_id)
+                for held_out, own, cell, y, yy, size in parts:
+                    w = weights[own]
+                    sums = np.stack([np.bincount(cell, v, size) for v in (w, w * y, w * yy)], axis=1)
+                    yield held_out, g * rounds + n - groups[g][1], "sum", sums.reshape(1, -1)
+
+        return kernel
+
+    # a task holds the sums of some trees alone; rows are read once for each such part
+    bytes_of_set = 24 * sum(len(c) for c in cells.values())
+    step = max(1, HELD_BYTES // max(1, bytes_of_set))
+    parts = [sets[i : i + step] for i in range(0, len(sets), step)]
+    cores = packed.rows.sparkSession.sparkContext.defaultParallelism
+    few = Packed(packed.rows.coalesce(max(1, 2 * cores // len(parts))), packed.layout, packed.modes)
+    sums = reduce(DataFrame.unionAll, [partial_sums(few, summing(p)) for p in parts])
+
+    def trees(key: tuple, rows: pa.Table) -> pa.Table:
+        dataset, held_out, group = (k.as_py() for k in key)
+        t, first = groups[group]
+        spec, own = specs[t], cuts[dataset, held_out]
+        found: dict[int, np.ndarray] = {}
+        for task, numbers in zip(rows.column("task").to_pylist(), rows.column("numbers"), strict=True):
+            values = numbers.values.to_numpy(zero_copy_only=False).reshape(-1, 3)
+            found[task % rounds] = found[task % rounds] + values if task % rounds in found else values
+        b = decoded(cells[dataset, held_out], own)
+        out, total = [], np.zeros(len(b))
+        for r in range(spec.trees if spec.kind == "boosted" else 1):
+            numbers = found.get(r if spec.sample < 1 else 0, np.zeros((len(b), 3)))
+            if r:
+                numbers = _residual(numbers, total)
+            tree = whole_tree(spec, first + r, b, numbers, bins)
+            at = tree.predict(b)
+            total = total + spec.rate * at if r else at
+            out.append((first + r, tree))
+        n = len(out)
+        last = [None] * (n - 1) + [total]
+        columns = [
+            pa.array([dataset] * n), pa.array([held_out] * n, pa.int32()), pa.array([t] * n, pa.int32()),
+            pa.array([i for i, _ in out], pa.int32()),
+            *(pa.array([getattr(tree, f) for _, tree in out], pa.list_(pa.float64() if f == "value" else pa.int32())) for f in _NODES),
+            pa.array(last, pa.list_(pa.float64())),
+        ]
+        return pa.table(columns, names=[f.split()[0] for f in TREES.split(", ")])
+
+    # growing takes time, not bytes, so tasks are not joined by their size; a tree's draws are shared by all datasets and folds
+    by = sums.withColumn("run", F.expr(f"task div {rounds}").cast("int")).repartition(4 * cores, "run")
+    return checkpointed(by.groupBy("dataset", "held_out", "run").applyInArrow(trees, TREES))
+
+
+def _residual(numbers: np.ndarray, predicted: np.ndarray) -> np.ndarray:
+    """Sums of twice the residuals of the cells, by their means and the squares about these."""
+    w, s, ss = numbers.T
+    mean = s / np.where(w > 0, w, 1.0)
+    gap = np.where(w > 0, mean - predicted, 0.0)
+    about = np.maximum(ss - s * mean, 0.0)
+    return np.stack((w, 2 * w * gap, 4 * (about + w * gap * gap)), axis=1)
+
+
+def _tables(grown: Grown, rows: DataFrame) -> None:
+    """What every trial predicts for the cells; its trees stay where they are, if they are many."""
+    forests = {t: s.trees for t, s in grown.specs.items() if s.kind == "forest"}
+    schema = "dataset string, held_out int, trial int, at array<double>"
+
+    def joined(key: tuple, found: pa.Table) -> pa.Table:
+        numbered = sorted(zip(found.column("tree").to_pylist(), found.column("at"), strict=True), key=lambda r: r[0])
+        total = sum(v.values.to_numpy() for _, v in numbered)
+        out = total / forests.get(key[2].as_py(), 1)
+        return pa.table([pa.array([k.as_py()], f) for k, f in zip(key, (pa.string(), pa.int32(), pa.int32()), strict=True)]
+                        + [pa.array([out], pa.list_(pa.float64()))], names=["dataset", "held_out", "trial", "at"])
+
+    by = rows.filter("at is not null").select("dataset", "held_out", "trial", "tree", "at").groupBy("dataset", "held_out", "trial")
+    for r in by.applyInArrow(joined, schema).toArrow().to_pylist():
+        grown.tables[r["dataset"], r["held_out"], r["trial"]] = np.array(r["at"])
+    grown.trees.stored = rows
+    key = next(iter(grown.tables), None)
+    if key and rows.agg(F.sum(F.size("feature"))).first()[0] <= HELD_NODES:
+        grown.trees[key]
+
+
 def grow(packed: Packed, features: Features, specs: Iterable[TreeSpec], bins: int = BINS) -> Grown:
     specs = {s.trial: s for s in specs}
-    grown = Grown(*fit_cuts(packed, features, bins), specs, {})
+    grown = Grown(*fit_cuts(packed, features, bins), specs, Trees())
+    grown.cells = _cells(packed, features, grown.cuts)
+    if grown.cells:
+        _tables(grown, _whole_trees(packed, features, grown, bins))
     #: trees that grow now: (dataset, held-out fold, trial, number)
     growing: dict[tuple[str, int, int, int], Tree] = {}
     for (d, h), cuts in grown.cuts.items():
-        for t, spec in specs.items():
+        for t, spec in specs.items() if (d, h) not in grown.cells else ():
             grown.trees[d, h, t] = []
             for n in range(spec.trees if spec.kind == "forest" else 1):
                 growing[d, h, t, n] = Tree()

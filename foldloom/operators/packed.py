@@ -159,6 +159,11 @@ JOINED: dict[str, Callable] = {"sum": np.add, "min": np.minimum, "max": np.maxim
 
 def keyed_sums(packed: Packed, kernel: Callable[[Block, Layout], Found]) -> DataFrame:
     """Sums (or minima, maxima) of what ``kernel`` gives for every block: the columns of ``SUMS``."""
+    return summed(partial_sums(packed, kernel))
+
+
+def partial_sums(packed: Packed, kernel: Callable[[Block, Layout], Found]) -> DataFrame:
+    """The sums of each task, not yet joined."""
     layout = packed.layout
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +178,7 @@ def keyed_sums(packed: Packed, kernel: Callable[[Block, Layout], Found]) -> Data
                 held = {}
         yield from sent(held)
 
-    return summed(packed.rows.mapInArrow(partial, SUMS))
+    return packed.rows.mapInArrow(partial, SUMS)
 
 
 def summed(sums: DataFrame) -> DataFrame:

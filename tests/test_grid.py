@@ -284,3 +284,78 @@ def test_bootstrap_weights_end_with_the_last_row_that_grows():
         Counted.passes = 0
         assert (grown._poisson(u.view(Counted), mean) == want).all()
         assert Counted.passes < 20
+
+
+#: nodes of so many rows that no two cuts of them are equally good
+SPECS = [
+    grown.TreeSpec(0, "tree", depth=20, min_leaf=30, min_split=70), grown.TreeSpec(1, "tree", depth=9, min_leaf=30, subset="log2"),
+    grown.TreeSpec(2, "forest", 6, depth=11, min_leaf=30, subset="sqrt"),
+    grown.TreeSpec(3, "boosted", 5, depth=4, min_leaf=30, sample=0.7, subset=0.6),
+    grown.TreeSpec(4, "boosted", 4, depth=3, min_leaf=30, rate=0.3), grown.TreeSpec(5, "tree", depth=0),
+]
+
+
+@pytest.mark.parametrize("held", [0, 10**6])
+def test_trees_from_cells_equal_those_from_rows(spark, monkeypatch, held):
+    raw = few_values(spark, 4_000).withColumn("y", F.when(F.col("row_id") % 9 != 0, F.col("y")))
+    alone = spark.createDataFrame([(i, i % 2, float(i % 5)) for i in range(20)], "row_id long, fold int, y double")
+    packed = pack({"d": (raw, "y"), "none": (alone, "y")})
+    features = lambda b, at, h: b.x + (h == 1) * 0.25
+    monkeypatch.setattr(grown, "HELD_NODES", held)
+    cells = grown.grow(packed, features, SPECS)
+    monkeypatch.setattr(grown, "KEPT_CELLS", 0)
+    rows = grown.grow(packed, features, SPECS)
+    assert len(cells.cells) == 4 and not rows.cells and len(cells.trees) == (0 if held == 0 else 4 * len(SPECS))
+    seen = np.array([r["x"] for r in packed.rows.filter("dataset = 'd'").collect()])
+    unseen = np.random.default_rng(0).uniform(0, 12, (200, 3))
+    for key in [(d, h, s.trial) for d in ("d", "none") for h in (0, 1) for s in SPECS]:
+        for x in (seen, unseen) if key[0] == "d" else (np.zeros((3, 0)),):
+            x = x + (key[1] == 1) * 0.25 if key[0] == "d" else x
+            assert cells.predict(*key, x) == pytest.approx(rows.predict(*key, x), abs=1e-9)
+        # those of a forest come as they end, or by number
+        ordered = ([sorted(t, key=lambda t: (*t.feature, *t.bin)) if key[2] == 2 else t for t in (g.trees[key] for g in (cells, rows))])
+        for a, b in zip(*ordered, strict=True):
+            assert [list(a.feature), list(a.bin), list(a.left), list(a.level)] == [b.feature, b.bin, b.left, b.level]
+            assert list(a.value) == pytest.approx(b.value, abs=1e-9)
+
+
+def test_jobs_do_not_grow_with_rounds_and_levels(spark):
+    packed = pack({"d": (few_values(spark), "y")})
+
+    def jobs(rounds, depth):
+        group = f"rounds-{rounds}-{depth}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            specs = [grown.TreeSpec(0, "boosted", rounds, depth=depth, sample=0.8), grown.TreeSpec(1, "forest", rounds, depth=depth)]
+            grown.grow(packed, lambda b, at, h: b.x, specs)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    # Spark may run a small stage or two as jobs of their own
+    assert jobs(40, 9) <= jobs(2, 2) + 3
+
+
+def test_the_search_runs_every_parameter_as_drawn(spark, sf, monkeypatch):
+    from foldloom.catalog import QUERIES
+    from foldloom.operators import hyperparams
+
+    run, fitted_trials = grid.fit, []
+
+    def small(packed, states, trials):
+        fitted_trials.extend(trials)
+        # what is fitted is looked at; how it is grown is tested above
+        return run(packed, states, [t for t in trials if t.algorithm in grid.LINEAR])
+
+    monkeypatch.setattr(grid, "fit", small)
+    QUERIES["grid_search"](spark, sf)
+    spaces = {a: {name: (kind, *rest) for name, kind, *rest in s} for a, s in hyperparams.SEARCH_SPACES.items()}
+    assert {t.algorithm for t in fitted_trials} == {"ridge", "lasso", "decision_tree", "random_forest", "gradient_boosting"}
+    for t in fitted_trials:
+        assert set(t.params) == set(spaces[t.algorithm])
+        for name, value in t.params.items():
+            kind, *rest = spaces[t.algorithm][name]
+            assert value in rest[0] if kind == "choice" else rest[0] <= float(value) <= rest[1]
+    # beyond the former limit
+    assert max(int(t.params["max_depth"]) for t in fitted_trials if t.algorithm == "decision_tree") > 6
+    assert all(int(t.params["n_estimators"]) >= 50 for t in fitted_trials if "n_estimators" in t.params)
